@@ -1,0 +1,7 @@
+"""Streaming.
+
+The modelled platform has no streaming work: its only schedule is a daily batch
+and every model is a view.  Nothing lives here on purpose; the batch models in
+``kpiloom.operators`` are plain DataFrame functions, so they can be applied to a
+``foreachBatch`` micro-batch without change if a caller needs that.
+"""
