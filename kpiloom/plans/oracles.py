@@ -73,8 +73,182 @@ revenue_completed AS (
 )"""
 
 
+FUNNEL_USERS = """
+funnel_users AS (
+  WITH f_users AS (SELECT DISTINCT id AS user_id FROM s_users),
+  f_ev AS (
+    SELECT user_id,
+           max(CASE WHEN event_type = 'page_view' THEN 1 ELSE 0 END) AS visited_flag,
+           max(CASE WHEN event_type = 'add_to_cart' THEN 1 ELSE 0 END) AS atc_flag
+    FROM s_events GROUP BY user_id),
+  f_conv AS (SELECT DISTINCT user_id FROM s_orders WHERE status = 'Complete')
+  SELECT u.user_id,
+         coalesce(ev.visited_flag, 0) = 1 AS visited,
+         coalesce(ev.atc_flag, 0) = 1 AS added_to_cart,
+         c.user_id IS NOT NULL AS converted
+  FROM f_users u LEFT JOIN f_ev ev ON ev.user_id = u.user_id LEFT JOIN f_conv c ON c.user_id = u.user_id
+)"""
+
+FUNNEL_EVENT_SET = """
+funnel_event_set AS (
+  WITH e AS (
+    SELECT user_id, array_agg(DISTINCT raw_event_type) FILTER (WHERE raw_event_type IS NOT NULL) AS evs
+    FROM s_events GROUP BY user_id),
+  purchasers AS (SELECT DISTINCT user_id FROM s_orders WHERE status = 'Complete')
+  SELECT e.user_id,
+         coalesce(list_contains(evs, 'view'), false) AS saw_landing,
+         coalesce(list_contains(evs, 'click'), false) AS saw_product,
+         coalesce(list_contains(evs, 'signup'), false) AS saw_cart,
+         p.user_id IS NOT NULL AS converted
+  FROM e LEFT JOIN purchasers p ON p.user_id = e.user_id
+)"""
+
+RETENTION_WEEKLY = """
+retention_weekly AS (
+  WITH cohorts AS (
+    SELECT id AS user_id, CAST(date_trunc('week', CAST(created_at AS DATE)) AS DATE) AS cohort_week FROM s_users),
+  activity AS (
+    SELECT user_id, CAST(date_trunc('week', CAST(created_at AS DATE)) AS DATE) AS activity_week
+    FROM s_events WHERE user_id IS NOT NULL),
+  joined AS (
+    SELECT c.cohort_week, a.user_id, CAST(date_diff('day', c.cohort_week, a.activity_week) // 7 AS BIGINT) AS week_n
+    FROM cohorts c JOIN activity a ON a.user_id = c.user_id
+    WHERE date_diff('day', c.cohort_week, a.activity_week) // 7 BETWEEN 0 AND 12),
+  cohort_sizes AS (SELECT cohort_week, count(DISTINCT user_id) AS cohort_users FROM cohorts GROUP BY 1),
+  retention AS (SELECT cohort_week, week_n, count(DISTINCT user_id) AS active_users FROM joined GROUP BY 1, 2)
+  SELECT r.cohort_week, r.week_n, r.active_users / cs.cohort_users AS retention_rate
+  FROM retention r JOIN cohort_sizes cs ON cs.cohort_week = r.cohort_week
+)"""
+
+RETENTION_UNBOUNDED = """
+retention_unbounded AS (
+  WITH users_cohort AS (
+    SELECT id AS user_id, CAST(created_at AS DATE) - CAST(dayofweek(CAST(created_at AS DATE)) AS INTEGER) AS cohort_week
+    FROM s_users),
+  activity AS (
+    SELECT user_id, CAST(created_at AS DATE) - CAST(dayofweek(CAST(created_at AS DATE)) AS INTEGER) AS active_week
+    FROM s_events),
+  cohort_sizes AS (SELECT cohort_week, count(DISTINCT user_id) AS cohort_size FROM users_cohort GROUP BY 1),
+  actives AS (
+    SELECT u.cohort_week, a.active_week, count(DISTINCT a.user_id) AS active_users
+    FROM users_cohort u JOIN activity a ON a.user_id = u.user_id GROUP BY 1, 2)
+  SELECT a.cohort_week, CAST(date_diff('day', a.cohort_week, a.active_week) // 7 AS BIGINT) AS week_number,
+         a.active_users / cs.cohort_size AS retention
+  FROM actives a JOIN cohort_sizes cs ON cs.cohort_week = a.cohort_week
+)"""
+
+FEATURES = f"""
+last_event AS (SELECT user_id, max(created_at) AS anchor_ts FROM s_events GROUP BY 1),
+rfm AS (
+  SELECT u.id AS user_id,
+         CAST(date_sub('day', u.created_at, le.anchor_ts) AS BIGINT) AS days_since_signup,
+         CAST(count(*) FILTER (WHERE o.created_at >= le.anchor_ts - INTERVAL 30 DAY) AS BIGINT) AS orders_30d,
+         CAST(SUM(CASE WHEN o.created_at >= le.anchor_ts - INTERVAL 30 DAY
+                       THEN CAST(oi.sale_price AS {M}) ELSE 0 END) AS DOUBLE) AS revenue_30d,
+         CAST(count(DISTINCT CASE WHEN o.created_at >= le.anchor_ts - INTERVAL 30 DAY THEN o.order_id END) AS BIGINT)
+           AS frequency_30d
+  FROM s_users u
+  JOIN last_event le ON le.user_id = u.id
+  LEFT JOIN s_orders o ON o.user_id = u.id
+  LEFT JOIN s_items oi ON oi.order_id = o.order_id
+  GROUP BY 1, 2
+),
+source_mix AS (
+  SELECT user_id,
+         count(*) FILTER (WHERE traffic_source = 'Email') / count(*) AS pct_email,
+         count(*) FILTER (WHERE traffic_source = 'Direct') / count(*) AS pct_direct,
+         count(*) FILTER (WHERE traffic_source = 'Organic') / count(*) AS pct_organic,
+         count(*) FILTER (WHERE traffic_source = 'Ads') / count(*) AS pct_ads,
+         count(*) FILTER (WHERE traffic_source = 'Social') / count(*) AS pct_social
+  FROM s_events GROUP BY 1
+),
+label AS (
+  SELECT le.user_id,
+         count(*) FILTER (WHERE o.created_at > le.anchor_ts AND o.created_at <= le.anchor_ts + INTERVAL 14 DAY) > 0
+           AS will_convert_14d
+  FROM last_event le LEFT JOIN s_orders o ON o.user_id = le.user_id
+  GROUP BY 1
+),
+features_conversion AS (
+  SELECT r.user_id, r.days_since_signup, r.orders_30d, r.revenue_30d, r.frequency_30d,
+         coalesce(s.pct_email, 0) AS pct_email, coalesce(s.pct_direct, 0) AS pct_direct,
+         coalesce(s.pct_organic, 0) AS pct_organic, coalesce(s.pct_ads, 0) AS pct_ads,
+         coalesce(s.pct_social, 0) AS pct_social,
+         CAST(l.will_convert_14d AS BIGINT) AS will_convert_14d
+  FROM rfm r LEFT JOIN source_mix s ON s.user_id = r.user_id JOIN label l ON l.user_id = r.user_id
+)"""
+
+AB_GROUP = """
+ab_group AS (
+  SELECT id AS user_id,
+         CASE WHEN (CAST('0x' || substr(md5(CAST(id AS VARCHAR)), 1, 8) AS BIGINT)) % 100 < 50 THEN 'A' ELSE 'B' END
+           AS ab_group
+  FROM s_users
+)"""
+
+
+def ab_metrics_cte(name: str, funnel: str) -> str:
+    return f"""
+{name} AS (
+  SELECT g.ab_group, CAST(count(*) AS BIGINT) AS users,
+         CAST(SUM(CAST(f.converted AS BIGINT)) AS BIGINT) AS converters,
+         SUM(CAST(f.converted AS BIGINT)) / count(*) AS conversion_rate
+  FROM {funnel} f JOIN ab_group g ON f.user_id = g.user_id
+  GROUP BY g.ab_group
+)"""
+
+
+AB_METRICS = ab_metrics_cte("ab_metrics", "funnel_users")
+AB_METRICS_EVENT_USERS = ab_metrics_cte("ab_metrics_ev", "funnel_event_set")
+
+
 def oracle_sql() -> dict[str, str]:
+    A = with_adapter
     q: dict[str, str] = {}
-    q["revenue_daily"] = with_adapter(REVENUE_DAILY, body="SELECT * FROM revenue_daily")
-    q["revenue_daily_completed"] = with_adapter(REVENUE_DAILY_COMPLETED, body="SELECT * FROM revenue_completed")
+    q["silver_users"] = A(body="SELECT * FROM s_users")
+    q["silver_orders"] = A(body="SELECT * FROM s_orders")
+    q["silver_order_items"] = A(body="SELECT * FROM s_items")
+    q["silver_events"] = A(body="SELECT * FROM s_events")
+    q["revenue_daily"] = A(REVENUE_DAILY, body="SELECT * FROM revenue_daily")
+    q["revenue_daily_completed"] = A(REVENUE_DAILY_COMPLETED, body="SELECT * FROM revenue_completed")
+    q["funnel_users"] = A(FUNNEL_USERS, body="SELECT * FROM funnel_users")
+    q["funnel_event_set"] = A(FUNNEL_EVENT_SET, body="SELECT * FROM funnel_event_set")
+    q["retention_weekly"] = A(RETENTION_WEEKLY, body="SELECT * FROM retention_weekly")
+    q["retention_unbounded"] = A(RETENTION_UNBOUNDED, body="SELECT * FROM retention_unbounded")
+    q["features_last_event"] = A(FEATURES, body="SELECT * FROM last_event")
+    q["features_rfm"] = A(FEATURES, body="SELECT * FROM rfm")
+    q["features_source_mix"] = A(FEATURES, body="SELECT * FROM source_mix")
+    q["features_label"] = A(FEATURES, body=(
+        "SELECT user_id, CAST(will_convert_14d AS BIGINT) AS will_convert_14d FROM label"))
+    q["features_conversion"] = A(FEATURES, body="SELECT * FROM features_conversion")
+    q["ab_group"] = A(AB_GROUP, body="SELECT * FROM ab_group")
+    q["ab_metrics"] = A(FUNNEL_USERS, AB_GROUP, AB_METRICS, body="SELECT * FROM ab_metrics")
+    q["revenue_daily_range"] = A(REVENUE_DAILY, body=(
+        "SELECT day, orders, revenue, aov FROM revenue_daily "
+        "WHERE day >= DATE '2024-01-01' AND day <= DATE '2024-01-31' ORDER BY day"))
+    q["funnel_users_page"] = A(FUNNEL_USERS, body="SELECT * FROM funnel_users ORDER BY user_id LIMIT 5000")
+    q["retention_weekly_sorted"] = A(RETENTION_WEEKLY, body=(
+        "SELECT * FROM retention_weekly ORDER BY cohort_week, week_n"))
+    q["ab_group_page"] = A(AB_GROUP, body="SELECT * FROM ab_group ORDER BY user_id LIMIT 5000")
+    q["ab_metrics_sorted"] = A(FUNNEL_USERS, AB_GROUP, AB_METRICS, body="SELECT * FROM ab_metrics ORDER BY ab_group")
+    q["features_page"] = A(FEATURES, body="SELECT * FROM features_conversion ORDER BY user_id LIMIT 5000")
+    q["revenue_last_7"] = A(REVENUE_DAILY_COMPLETED, body="SELECT * FROM revenue_completed ORDER BY day DESC LIMIT 7")
+    q["funnel_counts"] = A(FUNNEL_EVENT_SET, body=(
+        "SELECT CAST(SUM(CAST(saw_landing AS BIGINT)) AS BIGINT) AS landing_users, "
+        "CAST(SUM(CAST(saw_product AS BIGINT)) AS BIGINT) AS product_users, "
+        "CAST(SUM(CAST(saw_cart AS BIGINT)) AS BIGINT) AS cart_users, "
+        "CAST(SUM(CAST(converted AS BIGINT)) AS BIGINT) AS purchasers FROM funnel_event_set"))
+    q["ab_metrics_event_users"] = A(FUNNEL_EVENT_SET, AB_GROUP, AB_METRICS_EVENT_USERS,
+                                    body="SELECT * FROM ab_metrics_ev")
+    q["funnel_rates"] = A(FUNNEL_USERS, body="""
+        SELECT step_order, step, users, users / total AS share FROM (
+          SELECT 0 AS step_order, 'all_users' AS step, CAST(count(*) AS BIGINT) AS users, count(*) AS total
+            FROM funnel_users
+          UNION ALL SELECT 1, 'visited', CAST(count(*) FILTER (WHERE visited) AS BIGINT), count(*) FROM funnel_users
+          UNION ALL SELECT 2, 'added_to_cart', CAST(count(*) FILTER (WHERE added_to_cart) AS BIGINT), count(*)
+            FROM funnel_users
+          UNION ALL SELECT 3, 'converted', CAST(count(*) FILTER (WHERE converted) AS BIGINT), count(*)
+            FROM funnel_users)""")
+    weeks = ", ".join(f"max(CASE WHEN week_n = {k} THEN retention_rate END) AS week_{k}" for k in range(13))
+    q["retention_pivot"] = A(RETENTION_WEEKLY, body=f"SELECT cohort_week, {weeks} FROM retention_weekly GROUP BY 1")
     return q

@@ -1,17 +1,36 @@
-"""Named reports: the registry behind ``run_report`` and ``queries()``."""
+"""Named reports: the registry behind ``run_report`` and ``queries()``.
+
+Each report is a function of the silver :class:`Sources` plus typed keyword
+parameters and returns a lazy DataFrame.  Ordering and paging happen here, not
+in the models (a model's row order is not a contract).
+"""
 
 from __future__ import annotations
 
+import datetime as _dt
+import inspect
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..operators import assignment as asg
+from ..operators import features as feat
+from ..operators import funnel as fun
+from ..operators import retention as ret
 from ..operators import revenue as rev
 from ..sources.silver import Sources
 
 Report = Callable[..., DataFrame]
 REGISTRY: dict[str, Report] = {}
 
+PAGE = 5000            # page size of the list reports
+LAST_DAYS = 7          # "last n days" report
+MAX_WEEK = 12          # retention pivot columns week_0..week_12
+# Default range of the range report (both ends inclusive, each optional).
+RANGE_START = _dt.date(2024, 1, 1)
+RANGE_END = _dt.date(2024, 1, 31)
+
 
 def report(name: str):
     def deco(fn: Report) -> Report:
@@ -20,6 +39,36 @@ def report(name: str):
     return deco
 
 
+def publish(df: DataFrame, name: str) -> DataFrame:
+    """Publish a model under a view name (session-scoped temp view)."""
+    df.createOrReplaceTempView(name)
+    return df
+
+
+# -- silver -------------------------------------------------------------------
+
+@report("silver_users")
+def _silver_users(src: Sources) -> DataFrame:
+    return src.users
+
+
+@report("silver_orders")
+def _silver_orders(src: Sources) -> DataFrame:
+    return src.orders
+
+
+@report("silver_order_items")
+def _silver_items(src: Sources) -> DataFrame:
+    return src.items
+
+
+@report("silver_events")
+def _silver_events(src: Sources) -> DataFrame:
+    return src.events
+
+
+# -- gold models ----------------------------------------------------------------
+
 @report("revenue_daily")
 def _revenue_daily(src: Sources) -> DataFrame:
     return rev.revenue_daily(src.orders, src.items)
@@ -30,18 +79,175 @@ def _revenue_daily_completed(src: Sources) -> DataFrame:
     return rev.revenue_daily_completed(src.orders, src.items)
 
 
+@report("funnel_users")
+def _funnel_users(src: Sources) -> DataFrame:
+    return fun.funnel_users(src.users, src.events, src.orders)
+
+
+@report("funnel_event_set")
+def _funnel_event_set(src: Sources) -> DataFrame:
+    return fun.funnel_event_set(src.events, src.orders)
+
+
+@report("retention_weekly")
+def _retention_weekly(src: Sources) -> DataFrame:
+    return ret.retention_weekly(src.users, src.events)
+
+
+@report("retention_unbounded")
+def _retention_unbounded(src: Sources) -> DataFrame:
+    return ret.retention_unbounded(src.users, src.events)
+
+
+@report("features_last_event")
+def _features_last_event(src: Sources) -> DataFrame:
+    return feat.last_event(src.events)
+
+
+@report("features_rfm")
+def _features_rfm(src: Sources) -> DataFrame:
+    return feat.rfm(src.users, src.orders, src.items, feat.last_event(src.events))
+
+
+@report("features_source_mix")
+def _features_source_mix(src: Sources) -> DataFrame:
+    return feat.source_mix(src.events)
+
+
+@report("features_label")
+def _features_label(src: Sources) -> DataFrame:
+    return feat.conversion_label(feat.last_event(src.events), src.orders)
+
+
+@report("features_conversion")
+def _features_conversion(src: Sources) -> DataFrame:
+    return feat.features_conversion(src.users, src.orders, src.items, src.events)
+
+
+@report("ab_group")
+def _ab_group(src: Sources, method: str = "md5") -> DataFrame:
+    return asg.ab_group(src.users, method=method)
+
+
+@report("ab_metrics")
+def _ab_metrics(src: Sources) -> DataFrame:
+    return asg.ab_metrics(_funnel_users(src), _ab_group(src))
+
+
+# -- reports --------------------------------------------------------------------
+
+@report("revenue_daily_range")
+def _revenue_daily_range(src: Sources, start: _dt.date | None = RANGE_START,
+                         end: _dt.date | None = RANGE_END) -> DataFrame:
+    """Revenue in an optional closed date range, ordered by day.
+
+    Written as parameterised SQL: a null bound folds away at analysis time and
+    the remaining bound travels through the aggregate and the join into the
+    orders scan as a pushed filter.
+    """
+    return src.spark.sql(
+        "SELECT day, orders, revenue, aov FROM {rd} "
+        "WHERE (CAST(:start AS DATE) IS NULL OR day >= CAST(:start AS DATE)) "
+        "AND (CAST(:end AS DATE) IS NULL OR day <= CAST(:end AS DATE)) ORDER BY day",
+        args={"start": start, "end": end},
+        rd=_revenue_daily(src),
+    )
+
+
+def _page(df: DataFrame, limit: int, key: str = "user_id") -> DataFrame:
+    # ordered page: TakeOrderedAndProject keeps a per-task top-k, never a full sort
+    return df.orderBy(key).limit(limit)
+
+
+@report("funnel_users_page")
+def _funnel_users_page(src: Sources, limit: int = PAGE) -> DataFrame:
+    return _page(_funnel_users(src), limit)
+
+
+@report("retention_weekly_sorted")
+def _retention_sorted(src: Sources) -> DataFrame:
+    return _retention_weekly(src).orderBy("cohort_week", "week_n")
+
+
+@report("ab_group_page")
+def _ab_group_page(src: Sources, limit: int = PAGE) -> DataFrame:
+    return _page(_ab_group(src), limit)
+
+
+@report("ab_metrics_sorted")
+def _ab_metrics_sorted(src: Sources) -> DataFrame:
+    return _ab_metrics(src).orderBy("ab_group")
+
+
+@report("features_page")
+def _features_page(src: Sources, limit: int = PAGE) -> DataFrame:
+    return _page(_features_conversion(src), limit)
+
+
+@report("revenue_last_7")
+def _revenue_last_7(src: Sources, n: int = LAST_DAYS) -> DataFrame:
+    return _revenue_daily_completed(src).orderBy(F.desc("day")).limit(n)
+
+
+@report("funnel_counts")
+def _funnel_counts(src: Sources) -> DataFrame:
+    f = _funnel_event_set(src)
+    return f.agg(
+        F.sum(F.col("saw_landing").cast("bigint")).alias("landing_users"),
+        F.sum(F.col("saw_product").cast("bigint")).alias("product_users"),
+        F.sum(F.col("saw_cart").cast("bigint")).alias("cart_users"),
+        F.sum(F.col("converted").cast("bigint")).alias("purchasers"),
+    )
+
+
+@report("ab_metrics_event_users")
+def _ab_metrics_event_users(src: Sources) -> DataFrame:
+    return asg.ab_metrics(_funnel_event_set(src), _ab_group(src))
+
+
+FUNNEL_STEPS = ["visited", "added_to_cart", "converted"]
+
+
+@report("funnel_rates")
+def _funnel_rates(src: Sources) -> DataFrame:
+    """Funnel status as counts and as shares of all users: one row per step."""
+    f = _funnel_users(src)
+    totals = f.agg(
+        F.count(F.lit(1)).alias("all_users"),
+        *[F.count_if(F.col(s)).alias(s) for s in FUNNEL_STEPS],
+    )
+    steps = ["all_users"] + FUNNEL_STEPS
+    stack = "stack({n}, {items}) as (step_order, step, users)".format(
+        n=len(steps), items=", ".join(f"{i}, '{s}', `{s}`" for i, s in enumerate(steps)))
+    long = totals.select(F.col("all_users").alias("_total"), F.expr(stack))
+    return long.select(
+        F.col("step_order").cast("int").alias("step_order"), "step",
+        F.col("users").cast("bigint").alias("users"),
+        F.try_divide(F.col("users"), F.col("_total")).alias("share"),
+    )
+
+
+@report("retention_pivot")
+def _retention_pivot(src: Sources, max_week: int = MAX_WEEK) -> DataFrame:
+    """Cohort table: one row per cohort week, columns week_0 .. week_<max_week>.
+
+    The pivot values are given, so no extra job collects the distinct weeks.
+    """
+    r = _retention_weekly(src)
+    p = r.groupBy("cohort_week").pivot("week_n", list(range(max_week + 1))).agg(F.first("retention_rate"))
+    return p.select("cohort_week", *[F.col(str(k)).alias(f"week_{k}") for k in range(max_week + 1)])
+
+
 def run_report(spark: SparkSession, name: str | None, sf_dir: str, params: dict | None = None) -> DataFrame:
     """Run a named report with typed parameters.
 
-    A missing name raises ``ValueError``; an unknown one ``KeyError``.
-    Parameters a report does not take are ignored.
+    A missing name raises ``ValueError``, an unknown one ``KeyError``;
+    parameters a report does not take are ignored.
     """
     if not name:
         raise ValueError("report name is required")
     if name not in REGISTRY:
         raise KeyError(f"unknown report {name!r}")
     fn = REGISTRY[name]
-    params = dict(params or {})
-    import inspect
-    accepted = {k: v for k, v in params.items() if k in inspect.signature(fn).parameters}
+    accepted = {k: v for k, v in dict(params or {}).items() if k in inspect.signature(fn).parameters}
     return fn(Sources(spark, sf_dir), **accepted)
