@@ -202,6 +202,65 @@ AB_METRICS = ab_metrics_cte("ab_metrics", "funnel_users")
 AB_METRICS_EVENT_USERS = ab_metrics_cte("ab_metrics_ev", "funnel_event_set")
 
 
+def _erfc_taylor(x: str) -> str:
+    """1 - erf(x) from the Maclaurin series of erf (60 terms; fine for x <= 4),
+    independent of the rational approximation used on the Spark side."""
+    return (f"(1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 60), lambda n: "
+            f"pow(-1, n) * pow({x}, 2 * n + 1) / (gamma(n + 1) * (2 * n + 1)))))")
+
+
+def ab_test_sql(cells: str, keys: str = "", alpha: float = 0.05) -> str:
+    """Z-test, CI and SRM over a cells relation, in the original's arithmetic."""
+    k = f"{keys}, " if keys else ""
+    return f"""
+    SELECT {k}a_success, a_total, b_success, b_total,
+           CASE WHEN a_total > 0 AND b_total > 0 THEN a_success / a_total END AS a_rate,
+           CASE WHEN a_total > 0 AND b_total > 0 THEN b_success / b_total END AS b_rate,
+           CASE WHEN ok THEN uplift END AS uplift,
+           CASE WHEN ok THEN uplift / se END AS z,
+           CASE WHEN ok THEN round({_erfc_taylor('abs(uplift / se) / sqrt(2)')}, 10) END AS p_value,
+           CASE WHEN ok THEN uplift - 1.96 * se END AS ci_low,
+           CASE WHEN ok THEN uplift + 1.96 * se END AS ci_high,
+           CASE WHEN ok THEN chi2 END AS srm_chi2,
+           CASE WHEN ok THEN round({_erfc_taylor('sqrt(chi2 / 2)')}, 10) END AS srm_p,
+           CASE WHEN ok THEN {_erfc_taylor('abs(uplift / se) / sqrt(2)')} < {alpha} END AS significant,
+           coalesce(ok, false) AS valid
+    FROM (
+      SELECT *, pre AND se > 0 AS ok,
+             b_success / b_total - a_success / a_total AS uplift,
+             pow(a_total - (a_total + b_total) / 2, 2) / ((a_total + b_total) / 2)
+               + pow(b_total - (a_total + b_total) / 2, 2) / ((a_total + b_total) / 2) AS chi2
+      FROM (
+        SELECT *, CASE WHEN pre THEN sqrt(pooled * (1 - pooled) * (1 / a_total + 1 / b_total)) END AS se
+        FROM (
+          SELECT *, (a_total > 0 AND b_total > 0 AND a_success BETWEEN 0 AND a_total
+                     AND b_success BETWEEN 0 AND b_total) AS pre,
+                 CASE WHEN a_total + b_total <> 0 THEN (a_success + b_success) / (a_total + b_total) END AS pooled
+          FROM {cells}) c0) c1) c2"""
+
+
+def pivot_sql(metrics: str, keys: str = "") -> str:
+    k = f"{keys}, " if keys else ""
+    g = f"GROUP BY {keys}" if keys else ""
+    return f"""
+    SELECT {k}CAST(max(CASE WHEN ab_group = 'A' THEN converters END) AS BIGINT) AS a_success,
+           CAST(max(CASE WHEN ab_group = 'A' THEN users END) AS BIGINT) AS a_total,
+           max(CASE WHEN ab_group = 'A' THEN conversion_rate END) AS a_rate,
+           CAST(max(CASE WHEN ab_group = 'B' THEN converters END) AS BIGINT) AS b_success,
+           CAST(max(CASE WHEN ab_group = 'B' THEN users END) AS BIGINT) AS b_total,
+           max(CASE WHEN ab_group = 'B' THEN conversion_rate END) AS b_rate
+    FROM {metrics} {g}"""
+
+
+def verdict_sql(tested: str) -> str:
+    return f"""
+    SELECT *, CASE WHEN valid THEN CASE WHEN srm_p > 0.001 THEN 'PASS' ELSE 'FAIL' END END AS srm_status,
+           CASE WHEN valid THEN (NOT significant) AND abs(uplift * 100) < 1.0 END AS expected_null,
+           CASE WHEN valid THEN CASE WHEN (NOT significant) AND abs(uplift * 100) < 1.0
+                THEN 'EXPECTED' ELSE 'UNEXPECTED' END END AS verdict
+    FROM ({tested}) t"""
+
+
 def oracle_sql() -> dict[str, str]:
     A = with_adapter
     q: dict[str, str] = {}
@@ -251,4 +310,30 @@ def oracle_sql() -> dict[str, str]:
             FROM funnel_users)""")
     weeks = ", ".join(f"max(CASE WHEN week_n = {k} THEN retention_rate END) AS week_{k}" for k in range(13))
     q["retention_pivot"] = A(RETENTION_WEEKLY, body=f"SELECT cohort_week, {weeks} FROM retention_weekly GROUP BY 1")
+    gold_ab = (FUNNEL_USERS, AB_GROUP, AB_METRICS)
+    q["ab_pivot"] = A(*gold_ab, body=pivot_sql("ab_metrics"))
+    q["ab_uplift"] = A(*gold_ab, body="""
+        SELECT cr_A, cr_B, cr_B - cr_A AS abs_uplift,
+               CASE WHEN cr_A <> 0 THEN (cr_B - cr_A) / cr_A END AS rel_uplift
+        FROM (SELECT max(CASE WHEN ab_group = 'A' THEN conversion_rate END) AS cr_A,
+                     max(CASE WHEN ab_group = 'B' THEN conversion_rate END) AS cr_B FROM ab_metrics) r""")
+    q["ab_bucket_share"] = A(AB_GROUP, body="""
+        SELECT count(*) FILTER (WHERE ab_group = 'A') / count(*) AS share_A,
+               count(*) FILTER (WHERE ab_group = 'B') / count(*) AS share_B FROM ab_group""")
+    q["ab_test"] = A(*gold_ab, body=ab_test_sql(f"({pivot_sql('ab_metrics')})"))
+    gold_cells = f"({pivot_sql('ab_metrics')})"
+    q["ab_srm"] = A(*gold_ab, body=f"SELECT a_total, b_total, srm_chi2, srm_p FROM ({ab_test_sql(gold_cells)}) t")
+    seg_metrics = """
+    seg_metrics AS (
+      SELECT CAST(u.created_at AS DATE) AS signup_day, g.ab_group, CAST(count(*) AS BIGINT) AS users,
+             CAST(SUM(CAST(f.converted AS BIGINT)) AS BIGINT) AS converters,
+             SUM(CAST(f.converted AS BIGINT)) / count(*) AS conversion_rate
+      FROM funnel_users f JOIN s_users u ON u.id = f.user_id JOIN ab_group g ON g.user_id = f.user_id
+      GROUP BY 1, 2
+    )"""
+    q["ab_test_invalid"] = A(*gold_ab, seg_metrics,
+                             body=ab_test_sql(f"({pivot_sql('seg_metrics', 'signup_day')})", "signup_day"))
+    q["ab_verdict"] = A(FUNNEL_EVENT_SET, AB_GROUP, AB_METRICS_EVENT_USERS,
+                        body=verdict_sql(ab_test_sql(f"({pivot_sql('ab_metrics_ev')})")))
+    q["ab_pipeline"] = A(*gold_ab, body=verdict_sql(ab_test_sql(f"({pivot_sql('ab_metrics')})")))
     return q

@@ -15,10 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import assignment as asg
+from ..operators import experiments as exp
 from ..operators import features as feat
 from ..operators import funnel as fun
 from ..operators import retention as ret
 from ..operators import revenue as rev
+from ..functions.dates import day_of
 from ..sources.silver import Sources
 
 Report = Callable[..., DataFrame]
@@ -238,6 +240,61 @@ def _retention_pivot(src: Sources, max_week: int = MAX_WEEK) -> DataFrame:
     return p.select("cohort_week", *[F.col(str(k)).alias(f"week_{k}") for k in range(max_week + 1)])
 
 
+# -- experiments --------------------------------------------------------------
+
+P_DIGITS = 10   # p-values are reported to 10 decimals
+
+
+def _rounded_p(df: DataFrame) -> DataFrame:
+    return df.withColumn("p_value", F.round("p_value", P_DIGITS)).withColumn("srm_p", F.round("srm_p", P_DIGITS))
+
+
+@report("ab_pivot")
+def _ab_pivot(src: Sources) -> DataFrame:
+    return exp.ab_pivot(_ab_metrics(src))
+
+
+@report("ab_uplift")
+def _ab_uplift(src: Sources) -> DataFrame:
+    return exp.ab_uplift(_ab_metrics(src))
+
+
+@report("ab_bucket_share")
+def _ab_bucket_share(src: Sources) -> DataFrame:
+    return exp.ab_bucket_share(_ab_group(src))
+
+
+@report("ab_test")
+def _ab_test(src: Sources, alpha: float = exp.DEFAULT_ALPHA) -> DataFrame:
+    return _rounded_p(exp.ab_test(exp.ab_pivot(_ab_metrics(src)), alpha))
+
+
+@report("ab_srm")
+def _ab_srm(src: Sources) -> DataFrame:
+    return _ab_test(src).select("a_total", "b_total", "srm_chi2", "srm_p")
+
+
+@report("ab_test_invalid")
+def _ab_test_segments(src: Sources, alpha: float = exp.DEFAULT_ALPHA) -> DataFrame:
+    """The test per signup-day segment: small segments (nobody converted, or one
+    group empty) come out ``valid = false`` with null statistics."""
+    seg = src.users.select(F.col("id").alias("user_id"), day_of("created_at").alias("signup_day"))
+    f = _funnel_users(src).join(seg, "user_id", "inner")
+    m = asg.ab_metrics(f, _ab_group(src), keys=["signup_day"])
+    return _rounded_p(exp.ab_test(exp.ab_pivot(m, keys=["signup_day"]), alpha))
+
+
+@report("ab_verdict")
+def _ab_verdict(src: Sources, alpha: float = exp.DEFAULT_ALPHA) -> DataFrame:
+    """Verdict on the first-generation metrics (users with events)."""
+    return _rounded_p(exp.ab_verdict(exp.ab_test(exp.ab_pivot(_ab_metrics_event_users(src)), alpha)))
+
+
+@report("ab_pipeline")
+def _ab_pipeline(src: Sources, alpha: float = exp.DEFAULT_ALPHA) -> DataFrame:
+    return _rounded_p(exp.run_experiment(src.users, src.events, src.orders, alpha))
+
+
 def run_report(spark: SparkSession, name: str | None, sf_dir: str, params: dict | None = None) -> DataFrame:
     """Run a named report with typed parameters.
 
