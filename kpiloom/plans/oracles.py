@@ -336,4 +336,29 @@ def oracle_sql() -> dict[str, str]:
     q["ab_verdict"] = A(FUNNEL_EVENT_SET, AB_GROUP, AB_METRICS_EVENT_USERS,
                         body=verdict_sql(ab_test_sql(f"({pivot_sql('ab_metrics_ev')})")))
     q["ab_pipeline"] = A(*gold_ab, body=verdict_sql(ab_test_sql(f"({pivot_sql('ab_metrics')})")))
+    tests = [
+        ("revenue_daily", "day", "not_null"), ("funnel_users", "user_id", "not_null"),
+        ("funnel_users", "converted", "accepted_values"), ("ab_group", "user_id", "not_null"),
+        ("ab_group", "ab_group", "not_null"), ("ab_metrics", "ab_group", "not_null"),
+        ("ab_metrics", "users", "not_null"), ("retention_weekly", "cohort_week", "not_null"),
+        ("retention_weekly", "week_n", "not_null"), ("features_conversion", "user_id", "not_null"),
+        ("features_conversion", "will_convert_14d", "accepted_values"),
+    ]
+    accepted = {"converted": "(true, false)", "will_convert_14d": "(0, 1)"}
+
+    def dq_body(kind: str | None) -> str:
+        parts = []
+        for i, (m, c, t) in enumerate(tests):
+            if kind and t != kind:
+                continue
+            cond = f"{c} IS NULL" if t == "not_null" else f"{c} IS NOT NULL AND {c} NOT IN {accepted[c]}"
+            parts.append(f"SELECT CAST({i} AS INTEGER) AS test_id, '{m}' AS model, '{c}' AS \"column\", "
+                         f"'{t}' AS test, CAST(count(*) FILTER (WHERE {cond}) AS BIGINT) AS failures, "
+                         f"count(*) FILTER (WHERE {cond}) = 0 AS passed FROM {m}")
+        return "\nUNION ALL ".join(parts)
+
+    all_gold = (REVENUE_DAILY, FUNNEL_USERS, AB_GROUP, AB_METRICS, RETENTION_WEEKLY, FEATURES)
+    q["dq_report"] = A(*all_gold, body=dq_body(None))
+    q["dq_not_null"] = A(*all_gold, body=dq_body("not_null"))
+    q["dq_accepted_values"] = A(*all_gold, body=dq_body("accepted_values"))
     return q

@@ -18,6 +18,7 @@ from ..operators import assignment as asg
 from ..operators import experiments as exp
 from ..operators import features as feat
 from ..operators import funnel as fun
+from ..operators import quality as dq
 from ..operators import retention as ret
 from ..operators import revenue as rev
 from ..functions.dates import day_of
@@ -295,6 +296,34 @@ def _ab_pipeline(src: Sources, alpha: float = exp.DEFAULT_ALPHA) -> DataFrame:
     return _rounded_p(exp.run_experiment(src.users, src.events, src.orders, alpha))
 
 
+# -- data quality -------------------------------------------------------------
+
+def gold_models(src: Sources) -> dict[str, DataFrame]:
+    return {
+        "revenue_daily": _revenue_daily(src),
+        "funnel_users": _funnel_users(src),
+        "ab_group": _ab_group(src),
+        "ab_metrics": _ab_metrics(src),
+        "retention_weekly": _retention_weekly(src),
+        "features_conversion": _features_conversion(src),
+    }
+
+
+@report("dq_report")
+def _dq_report(src: Sources) -> DataFrame:
+    return dq.run_suite(src.spark, gold_models(src))
+
+
+@report("dq_not_null")
+def _dq_not_null(src: Sources) -> DataFrame:
+    return _dq_report(src).filter(F.col("test") == "not_null")
+
+
+@report("dq_accepted_values")
+def _dq_accepted(src: Sources) -> DataFrame:
+    return _dq_report(src).filter(F.col("test") == "accepted_values")
+
+
 def run_report(spark: SparkSession, name: str | None, sf_dir: str, params: dict | None = None) -> DataFrame:
     """Run a named report with typed parameters.
 
