@@ -361,4 +361,34 @@ def oracle_sql() -> dict[str, str]:
     q["dq_report"] = A(*all_gold, body=dq_body(None))
     q["dq_not_null"] = A(*all_gold, body=dq_body("not_null"))
     q["dq_accepted_values"] = A(*all_gold, body=dq_body("accepted_values"))
+    feats = ["days_since_signup", "orders_30d", "revenue_30d", "frequency_30d", "pct_email", "pct_direct",
+             "pct_organic", "pct_ads", "pct_social"]
+    coerced = ", ".join(f"coalesce(CAST({f} AS DOUBLE), 0.0) AS {f}" for f in feats)
+    q["features_coerced"] = A(FEATURES, body=(
+        f"SELECT user_id, {coerced}, CAST(will_convert_14d AS BIGINT) AS will_convert_14d FROM features_conversion"))
+    split = """
+    fc AS (
+      SELECT *, CAST('0x' || substr(md5('42:' || CAST(user_id AS VARCHAR)), 1, 12) AS BIGINT) AS h
+      FROM features_conversion),
+    thr AS (SELECT will_convert_14d, quantile_disc(h, 0.8) AS t FROM fc GROUP BY 1),
+    split AS (
+      SELECT fc.*, CASE WHEN fc.h <= thr.t THEN 'train' ELSE 'test' END AS split
+      FROM fc JOIN thr ON thr.will_convert_14d = fc.will_convert_14d)"""
+    q["ml_split"] = A(FEATURES, split, body="SELECT user_id, will_convert_14d, split FROM split")
+    q["ml_auc"] = A(FEATURES, split, body="""
+      SELECT CAST(sum(pos + neg) AS BIGINT) AS rows, CAST(sum(pos) AS BIGINT) AS positives,
+             round(sum(pos * (neg_below + 0.5 * neg)) / (sum(pos) * sum(neg)), 10) AS auc
+      FROM (
+        SELECT score, pos, neg,
+               coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                 AS neg_below
+        FROM (SELECT CAST(orders_30d AS DOUBLE) AS score,
+                     count(*) FILTER (WHERE will_convert_14d = 1) AS pos,
+                     count(*) FILTER (WHERE will_convert_14d = 0) AS neg
+              FROM split WHERE split = 'test' GROUP BY 1) g) c""")
+    q["ml_accuracy"] = A(FEATURES, split, body="""
+      SELECT CAST(count(*) AS BIGINT) AS rows,
+             avg(CASE WHEN (CASE WHEN pct_direct >= 0.5 THEN 1.0 ELSE 0.0 END) = CAST(will_convert_14d AS DOUBLE)
+                 THEN 1.0 ELSE 0.0 END) AS accuracy
+      FROM split WHERE split = 'test'""")
     return q

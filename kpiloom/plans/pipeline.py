@@ -1,0 +1,86 @@
+"""The daily batch: build gold models -> test them -> train, explain, save."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+from pyspark.ml import PipelineModel
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..ml import explain, prepare, train
+from ..ml.evaluate import score
+from ..operators import quality as dq
+from ..session import checkpoint_dir
+from ..sources import artifacts, catalog
+from ..sources.silver import Sources
+
+
+@dataclass
+class TrainingRun:
+    feature_table: str
+    features: list[str]
+    table: DataFrame               # coerced features, lineage cut
+    train: DataFrame
+    test: DataFrame
+    models: dict[str, PipelineModel]
+    leaderboard: DataFrame
+    champion: str
+    out: str
+    paths: dict = field(default_factory=dict)
+    importance: DataFrame | None = None
+
+
+def train_from_table(spark: SparkSession, table: DataFrame, table_name: str, out: str,
+                     target: str = prepare.TARGET, profile: train.Profile | None = None,
+                     shap_rows: int | None = None) -> TrainingRun:
+    """Coerce, split, fit the candidates, pick and save the champion, explain it.
+
+    The coerced table is checkpointed to the shared checkpoint folder (reliable
+    storage: lost executors do not force a rebuild of the gold models), and the
+    two splits are cached because every candidate reads them.
+    """
+    checkpoint_dir(spark)
+    coerced, feats = prepare.coerce_features(table, target=target)
+    coerced = coerced.checkpoint(eager=True)
+    rows = coerced.count()
+    tr, te = prepare.stratified_split(coerced, label=target)
+    tr, te = tr.cache(), te.cache()
+    models, board = train.train_candidates(spark, tr, te, feats, target, rows, table_name, profile=profile)
+    best = train.champion(board).first()
+    chosen = best["model"]
+    metrics = board.select("model", (F.col("model") == chosen).alias("chosen"), "train_order", "auc",
+                           "accuracy", "rows", "target", "feature_table")
+    paths = artifacts.save_run(spark, models[chosen], feats, metrics, out)
+    run = TrainingRun(table_name, feats, coerced, tr, te, models, board, chosen, out, paths)
+    if chosen in train.TREE_MODELS:
+        # tree champions only, as in the original; failures must not fail the run
+        try:
+            imp = explain.shap_importance(spark, models[chosen].stages[-1], tr, feats, n=shap_rows)
+            paths[artifacts.IMPORTANCE] = artifacts.save_importance(imp, out)
+            run.importance = artifacts.load_importance(spark, out)
+        except Exception as e:  # noqa: BLE001
+            run.importance = None
+            paths["shap_error"] = str(e)
+    return run
+
+
+def run_pipeline(spark: SparkSession, sf_dir: str, out: str, feature_table: str | None = None,
+                 profile: train.Profile | None = None) -> tuple[DataFrame, TrainingRun]:
+    """Build the gold models, run the data-quality suite, stop when a test fails
+    (:class:`QualityGateError`), otherwise train on the first available feature
+    table (``feature_table`` override first, then the gold view)."""
+    from .reports import gold_models, publish
+    src = Sources(spark, sf_dir)
+    models = gold_models(src)
+    report = dq.run_suite(spark, models)
+    dq.gate(report)
+    for name, df in models.items():
+        publish(df, name)
+    table, name = catalog.load_features(spark, (feature_table, catalog.DEFAULT_FEATURE_TABLE))
+    run = train_from_table(spark, table, name, out, profile=profile)
+    return report, run
+
+
+def champion_scores(run: TrainingRun) -> DataFrame:
+    return score(run.models[run.champion], run.test, prepare.TARGET)

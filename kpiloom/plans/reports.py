@@ -324,6 +324,117 @@ def _dq_accepted(src: Sources) -> DataFrame:
     return _dq_report(src).filter(F.col("test") == "accepted_values")
 
 
+# -- model training -----------------------------------------------------------
+
+BASELINE_AUC_SCORE = "orders_30d"      # single-feature scores that check the metric
+BASELINE_ACC_SCORE = "pct_direct"      # operators against SQL (model scores have no oracle)
+_RUNS: dict = {}
+
+
+def _coerced(src: Sources) -> DataFrame:
+    from ..ml import prepare
+    return prepare.coerce_features(_features_conversion(src))[0]
+
+
+@report("features_coerced")
+def _features_coerced(src: Sources) -> DataFrame:
+    return _coerced(src)
+
+
+@report("ml_split")
+def _ml_split(src: Sources) -> DataFrame:
+    from ..ml import prepare
+    return prepare.assign_split(_coerced(src)).select("user_id", prepare.TARGET, "split")
+
+
+def _baseline_test_scores(src: Sources, score_col: str) -> DataFrame:
+    from ..ml import prepare
+    test = prepare.stratified_split(_coerced(src))[1]
+    return test.select("user_id", F.col(prepare.TARGET).cast("double").alias("label"),
+                       F.col(score_col).cast("double").alias("score"))
+
+
+@report("ml_auc")
+def _ml_auc(src: Sources, score_col: str = BASELINE_AUC_SCORE) -> DataFrame:
+    """Exact AUC of a score on the test split (here a single-feature score)."""
+    from ..ml.evaluate import evaluate_scores
+    m = evaluate_scores(src.spark, _baseline_test_scores(src, score_col))
+    return m.select("rows", "positives", F.round("auc", P_DIGITS).alias("auc"))
+
+
+@report("ml_accuracy")
+def _ml_accuracy(src: Sources, score_col: str = BASELINE_ACC_SCORE) -> DataFrame:
+    from ..ml.evaluate import accuracy_frame
+    return accuracy_frame(_baseline_test_scores(src, score_col))
+
+
+def training_run(src: Sources):
+    """One training run per session and data directory, shared by the ML reports."""
+    from ..session import scratch_path
+    from .pipeline import run_pipeline
+    key = (src.spark.sparkContext.applicationId, src.sf_dir)
+    if key not in _RUNS:
+        slug = "".join(ch if ch.isalnum() else "_" for ch in src.sf_dir.strip("/"))
+        _RUNS[key] = run_pipeline(src.spark, src.sf_dir, scratch_path(src.spark, f"runs/{slug}"))
+    return _RUNS[key]
+
+
+@report("ml_leaderboard")
+def _ml_leaderboard(src: Sources) -> DataFrame:
+    return training_run(src)[1].leaderboard
+
+
+@report("ml_champion")
+def _ml_champion(src: Sources) -> DataFrame:
+    from ..ml import train
+    return train.champion(training_run(src)[1].leaderboard)
+
+
+@report("ml_scores")
+def _ml_scores(src: Sources) -> DataFrame:
+    from .pipeline import champion_scores
+    return champion_scores(training_run(src)[1])
+
+
+@report("ml_evaluate")
+def _ml_evaluate(src: Sources) -> DataFrame:
+    """Evaluate the saved champion on the whole feature table."""
+    from ..ml import prepare
+    from ..ml.evaluate import evaluate_scores, score
+    from ..sources import artifacts
+    run = training_run(src)[1]
+    model = artifacts.load_model(src.spark, run.out)
+    return evaluate_scores(src.spark, score(model, run.table, prepare.TARGET))
+
+
+@report("ml_shap")
+def _ml_shap(src: Sources, n: int | None = None) -> DataFrame:
+    """Mean |SHAP| per feature of the best tree model, over all training rows
+    (``n`` = seeded sample size, optional)."""
+    from ..ml import explain, train
+    run = training_run(src)[1]
+    board = run.leaderboard.filter(F.col("model").isin(*train.TREE_MODELS))
+    best = train.champion(board).first()["model"]
+    return explain.shap_importance(src.spark, run.models[best].stages[-1], run.train, run.features, n=n)
+
+
+@report("ml_metrics_read")
+def _ml_metrics_read(src: Sources) -> DataFrame:
+    from ..sources import artifacts
+    return artifacts.load_metrics(src.spark, training_run(src)[1].out)
+
+
+@report("ml_pipeline")
+def _ml_pipeline(src: Sources) -> DataFrame:
+    """One summary row of the batch: tests, champion and its metrics."""
+    report_df, run = training_run(src)
+    best = run.leaderboard.filter(F.col("model") == run.champion).select(
+        F.col("model").alias("champion"), "auc", "accuracy", "rows")
+    tests = report_df.agg(F.count(F.lit(1)).alias("tests"), F.count_if("passed").alias("tests_passed"))
+    return tests.crossJoin(best).withColumn("features", F.lit(len(run.features))).withColumn(
+        "explained", F.lit(run.importance is not None))
+
+
 def run_report(spark: SparkSession, name: str | None, sf_dir: str, params: dict | None = None) -> DataFrame:
     """Run a named report with typed parameters.
 
