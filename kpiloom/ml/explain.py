@@ -35,14 +35,19 @@ SHAP_BATCH = 256
 
 
 @dataclass
-class LeafTable:
+class LeafGroup:
+    """Leaves of one tree whose paths have the same number ``d`` of distinct features."""
     value: np.ndarray      # (L,)
-    feat: np.ndarray       # (L, D) int, padded with 0
-    lo: np.ndarray         # (L, D)
-    hi: np.ndarray         # (L, D)
-    z: np.ndarray          # (L, D), padded with 1
-    mask: np.ndarray       # (L, D) bool
-    weight: np.ndarray     # (L, D) Shapley weights 1 / (d * C(d-1, k))
+    feat: np.ndarray       # (L, d) feature index per path feature
+    lo: np.ndarray         # (L, d) the path keeps lo < x <= hi on that feature
+    hi: np.ndarray         # (L, d)
+    z: np.ndarray          # (L, d) cover fraction the path keeps on that feature
+    weight: np.ndarray     # (d,) Shapley weights 1 / (d * C(d-1, k))
+
+
+@dataclass
+class LeafTable:
+    groups: list           # [LeafGroup]
     scale: float           # tree weight in the ensemble output
     expected: float        # cover-weighted mean output of the tree
 
@@ -66,57 +71,61 @@ def _leaf_table(nodes: dict, scale: float) -> LeafTable:
         rcons[f] = (max(lo, thr), hi, z * cr)          # right: x > threshold
         stack.append((left, lcons))
         stack.append((right, rcons))
-    n_leaves = len(leaves)
-    depth = max(1, max(len(c) for _, c in leaves))
-    value = np.array([v for v, _ in leaves], dtype=float)
-    feat = np.zeros((n_leaves, depth), dtype=np.int64)
-    lo = np.full((n_leaves, depth), -np.inf)
-    hi = np.full((n_leaves, depth), np.inf)
-    z = np.ones((n_leaves, depth))
-    mask = np.zeros((n_leaves, depth), dtype=bool)
-    weight = np.zeros((n_leaves, depth))
-    for i, (_, cons) in enumerate(leaves):
-        d = len(cons)
-        for j, (f, (a, b, zz)) in enumerate(sorted(cons.items())):
-            feat[i, j], lo[i, j], hi[i, j], z[i, j], mask[i, j] = f, a, b, zz, True
-        for k in range(d):
-            weight[i, k] = 1.0 / (d * math.comb(d - 1, k))
-    expected = float(np.sum(value * np.prod(z, axis=1)))
-    return LeafTable(value, feat, lo, hi, z, mask, weight, scale, expected)
+    expected = 0.0
+    by_depth: dict[int, list] = {}
+    for value, cons in leaves:
+        expected += value * math.prod(c[2] for c in cons.values())
+        by_depth.setdefault(len(cons), []).append((value, sorted(cons.items())))
+    groups = []
+    for d, items in sorted(by_depth.items()):
+        if d == 0:
+            continue                                   # a single-leaf tree only shifts the base
+        value = np.array([v for v, _ in items], dtype=float)
+        feat = np.array([[f for f, _ in c] for _, c in items], dtype=np.int64)
+        lo = np.array([[b[0] for _, b in c] for _, c in items], dtype=float)
+        hi = np.array([[b[1] for _, b in c] for _, c in items], dtype=float)
+        z = np.array([[b[2] for _, b in c] for _, c in items], dtype=float)
+        weight = np.array([1.0 / (d * math.comb(d - 1, k)) for k in range(d)])
+        groups.append(LeafGroup(value, feat, lo, hi, z, weight))
+    return LeafTable(groups, scale, expected)
+
+
+def _group_shap(g: LeafGroup, x: np.ndarray, phi: np.ndarray, scale: float) -> None:
+    n = x.shape[0]
+    n_leaves, d = g.feat.shape
+    xv = x[:, g.feat]                                            # (n, L, d)
+    o = ((xv > g.lo) & (xv <= g.hi)).astype(float)
+    z = g.z
+    # Q(t) = prod_j (z_j + o_j t): coefficients along the last axis
+    q = np.zeros((n, n_leaves, d + 1))
+    q[..., 0] = 1.0
+    for j in range(d):
+        nq = q * z[:, j][None, :, None]
+        nq[..., 1:] += q[..., :-1] * o[..., j][..., None]
+        q = nq
+    r_div = np.empty((n, n_leaves, d))
+    for i in range(d):
+        zi = z[:, i][None, :]
+        oi = o[..., i]
+        # Q / (z_i + o_i t): a constant divisor when o_i = 0, synthetic division when o_i = 1
+        r_div[..., d - 1] = q[..., d]
+        for k in range(d - 1, 0, -1):
+            r_div[..., k - 1] = q[..., k] - zi * r_div[..., k]
+        s_div = r_div @ g.weight                                 # (n, L)
+        s_const = (q[..., :d] @ g.weight) / zi
+        s = np.where(oi > 0, s_div, s_const)
+        contrib = g.value[None, :] * (oi - zi) * s               # (n, L)
+        np.add.at(phi.T, g.feat[:, i], scale * contrib.T)
 
 
 def tree_shap(tables: list[LeafTable], x: np.ndarray, n_features: int) -> tuple[np.ndarray, float]:
     """SHAP values (rows, features) of the ensemble output and its expected value."""
-    n = x.shape[0]
-    phi = np.zeros((n, n_features))
+    phi = np.zeros((x.shape[0], n_features))
     base = 0.0
     for t in tables:
         base += t.scale * t.expected
-        n_leaves, depth = t.feat.shape
-        xv = x[:, t.feat]                                        # (n, L, D)
-        o = ((xv > t.lo) & (xv <= t.hi) & t.mask).astype(float)
-        z = t.z
-        # Q(t) = prod_j (z_j + o_j t), coefficients along the last axis
-        q = np.zeros((n, n_leaves, depth + 1))
-        q[..., 0] = 1.0
-        for j in range(depth):
-            nq = q * z[:, j][None, :, None]
-            nq[..., 1:] += q[..., :-1] * o[..., j][..., None]
-            q = nq
-        onehot = np.eye(n_features)[t.feat] * t.mask[..., None]  # (L, D, M)
-        for i in range(depth):
-            zi = z[:, i][None, :]
-            oi = o[..., i]
-            # divide Q by (z_i + o_i t): constant divisor when o_i = 0, synthetic division when o_i = 1
-            r_const = q[..., :depth] / zi[..., None]
-            r_div = np.empty((n, n_leaves, depth))
-            r_div[..., depth - 1] = q[..., depth]
-            for k in range(depth - 1, 0, -1):
-                r_div[..., k - 1] = q[..., k] - zi * r_div[..., k]
-            r = np.where(oi[..., None] > 0, r_div, r_const)
-            s = np.sum(r * t.weight[None, :, :], axis=-1)          # (n, L)
-            contrib = t.value[None, :] * (oi - zi) * s * t.mask[:, i][None, :]
-            phi += t.scale * (contrib @ onehot[:, i, :])
+        for g in t.groups:
+            _group_shap(g, x, phi, t.scale)
     return phi, base
 
 
@@ -181,7 +190,14 @@ def shap_values(spark: SparkSession, tree_model, df: DataFrame, features: list[s
                 out.insert(0, id_col, part[id_col].to_numpy())
                 yield out
 
-    return df.select(id_col, *features).mapInPandas(explain, schema)
+    rows = df.select(id_col, *features)
+    # CPU-bound per row: give every core a share when the input arrives in fewer
+    # partitions than cores (AQE folds small tables into one); large inputs
+    # already have more partitions and are left as they are
+    cores = spark.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:
+        rows = rows.repartition(cores)
+    return rows.mapInPandas(explain, schema)
 
 
 def sample_rows(df: DataFrame, n: int | None, id_col: str = "user_id", seed: int = SEED) -> DataFrame:
