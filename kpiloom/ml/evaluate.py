@@ -27,13 +27,17 @@ def score(model, df: DataFrame, label: str, id_col: str = "user_id") -> DataFram
     return out.select(*keep, F.col(label).cast("double").alias("label"), s.alias("score"))
 
 
-def auc(scores: DataFrame, label: str = "label", score_col: str = "score") -> float:
-    """Exact ROC AUC (ties count one half).
+def auc(scores: DataFrame, label: str = "label", score_col: str = "score") -> float | None:
+    """Exact ROC AUC (ties count one half); None when a class is missing (the
+    AUC is undefined there).
 
     ``numBins=0`` keeps every distinct score: MLlib groups scores, sorts them
     with a range partitioner and accumulates per-partition counts, so no step
     holds all scores in one task.
     """
+    c = scores.agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n")).first()
+    if not c["p"] or not c["n"]:
+        return None
     ev = BinaryClassificationEvaluator(rawPredictionCol=score_col, labelCol=label,
                                        metricName="areaUnderROC", numBins=0)
     return float(ev.evaluate(scores.select(F.col(score_col).cast("double").alias(score_col),

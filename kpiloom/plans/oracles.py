@@ -377,7 +377,7 @@ def oracle_sql() -> dict[str, str]:
     q["ml_split"] = A(FEATURES, split, body="SELECT user_id, will_convert_14d, split FROM split")
     q["ml_auc"] = A(FEATURES, split, body="""
       SELECT CAST(sum(pos + neg) AS BIGINT) AS rows, CAST(sum(pos) AS BIGINT) AS positives,
-             round(sum(pos * (neg_below + 0.5 * neg)) / (sum(pos) * sum(neg)), 10) AS auc
+             round(sum(pos * (neg_below + 0.5 * neg)) / NULLIF(sum(pos) * sum(neg), 0), 10) AS auc
       FROM (
         SELECT score, pos, neg,
                coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)

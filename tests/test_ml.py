@@ -1,0 +1,97 @@
+import math
+
+import numpy as np
+import pytest
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from kpiloom.ml import explain, prepare, train
+from kpiloom.ml.evaluate import accuracy, score
+from kpiloom.sources import artifacts
+from kpiloom.sources.silver import Sources
+from kpiloom.operators import features as feat
+
+from .conftest import SF_SMALL
+
+
+def test_coercion_edge_values(spark):
+    df = spark.createDataFrame(
+        [(1, "[0.5]", [3.0, 4.0], None, 1), (2, " 2 ", [], 7, 0), (3, "abc", None, 2, 1),
+         (4, None, [float("nan")], None, 0), (5, "\t[ 1e2 ]\n", [None, 1.0], 5, 1)],
+        "user_id long, txt string, arr array<double>, n int, will_convert_14d int")
+    out, feats = prepare.coerce_features(df)
+    assert feats == ["txt", "arr", "n"]
+    got = {r["user_id"]: r for r in out.collect()}
+    assert (got[1]["txt"], got[1]["arr"], got[1]["n"]) == (0.5, 3.0, 0.0)
+    assert (got[2]["txt"], got[2]["arr"], got[2]["n"]) == (2.0, 0.0, 7.0)
+    assert (got[3]["txt"], got[3]["arr"]) == (0.0, 0.0)
+    assert got[4]["txt"] == 0.0 and math.isnan(got[4]["arr"])
+    assert (got[5]["txt"], got[5]["arr"]) == (100.0, 0.0)
+    with pytest.raises(ValueError):
+        prepare.coerce_features(df.drop("will_convert_14d"))
+
+
+def test_split_keeps_both_classes(spark):
+    df = spark.range(0, 500).select(F.col("id").alias("user_id"),
+                                    (F.col("id") % 5 == 0).cast("bigint").alias("will_convert_14d"))
+    s = prepare.assign_split(df)
+    counts = {(r["split"], r["will_convert_14d"]): r["count"] for r in s.groupBy("split", "will_convert_14d").count().collect()}
+    assert counts[("train", 1)] == 80 and counts[("test", 1)] == 20
+    assert counts[("train", 0)] == 320 and counts[("test", 0)] == 80
+
+
+def test_champion_tie_breaks(spark):
+    board = spark.createDataFrame(
+        [(0, "logistic_regression", 0.9, 0.8, 10, "t", "f"), (1, "random_forest", 0.9, 0.85, 10, "t", "f"),
+         (2, "xgboost", 0.9, 0.85, 10, "t", "f")], train.LEADERBOARD_SCHEMA)
+    assert train.champion(board).first()["model"] == "random_forest"
+    with pytest.raises(ValueError):
+        train.champion(board.limit(0))
+
+
+@pytest.fixture(scope="module")
+def data(spark):
+    src = Sources(spark, "/root/testdata/sf0.01")
+    f = feat.features_conversion(src.users, src.orders, src.items, src.events)
+    x, feats = prepare.coerce_features(f)
+    x = x.cache()
+    return x, feats
+
+
+@pytest.mark.parametrize("name", ["random_forest", "xgboost"])
+def test_shap_additive_on_mllib_models(spark, data, name):
+    x, feats = data
+    prof = train.Profile(rf_trees=15, rf_max_depth=6, gbt_rounds=8)
+    model = train.pipeline(name, feats, prepare.TARGET, x.count(), prof).fit(x)
+    tree = model.stages[-1]
+    sv = explain.shap_values(spark, tree, x, feats).toPandas().set_index("user_id")
+    out = model.transform(x)
+    if name == "random_forest":
+        target = out.select("user_id", vector_to_array("probability")[1].alias("t"))
+    else:  # margin: rawPrediction = (-m, m)
+        target = out.select("user_id", vector_to_array("rawPrediction")[1].alias("t"))
+    t = target.toPandas().set_index("user_id")["t"]
+    total = sv[[f"shap_{f}" for f in feats]].sum(axis=1) + sv["base"]
+    assert np.max(np.abs(total - t.loc[total.index])) < 1e-9
+    imp = explain.shap_importance(spark, tree, x, feats, n=50).collect()
+    assert [r["feature"] for r in imp] and imp == sorted(imp, key=lambda r: -r["mean_abs_shap"])
+
+
+def test_artifacts_round_trip(spark, data, tmp_path):
+    x, feats = data
+    tr, te = prepare.stratified_split(x)
+    prof = train.Profile(rf_trees=5, rf_max_depth=4, gbt_rounds=3, lr_max_iter=50)
+    models, board = train.train_candidates(spark, tr, te, feats, prepare.TARGET, x.count(), "t", profile=prof)
+    assert [r["model"] for r in board.orderBy("train_order").collect()] == list(train.CANDIDATES)
+    best = train.champion(board).first()["model"]
+    metrics = board.select("model", (F.col("model") == best).alias("chosen"), "train_order", "auc", "accuracy",
+                           "rows", "target", "feature_table")
+    out = str(tmp_path / "run")
+    artifacts.save_run(spark, models[best], feats, metrics, out)
+    assert artifacts.load_columns(spark, out) == feats
+    assert artifacts.load_metrics(spark, out).filter("chosen").first()["model"] == best
+    model = artifacts.load_model(spark, out)
+    s = score(model, te, prepare.TARGET)
+    assert 0.0 <= accuracy(s) <= 1.0
+    with pytest.raises(FileNotFoundError):
+        artifacts.load_importance(spark, out)
