@@ -11,8 +11,7 @@ values of such a product game have a closed form through the coefficients of
 with numpy, gives exact SHAP values in O(leaves * depth^2) per row and tree.
 
 The model (tree tables, bounded by the model size, which already lives on the
-driver) is read back from the saved model's node data and shipped inside the
-task closure; rows are explained batch by batch in ``mapInPandas`` and the
+driver) is read back from the saved model's node data and broadcast; rows are explained batch by batch in ``mapInPandas`` and the
 per-feature mean |SHAP| is a Spark aggregate.
 """
 
@@ -173,13 +172,15 @@ def leaf_tables(spark: SparkSession, tree_model) -> list[LeafTable]:
 def shap_values(spark: SparkSession, tree_model, df: DataFrame, features: list[str],
                 id_col: str = "user_id") -> DataFrame:
     """Per row: ``id``, ``base`` and one ``shap_<feature>`` column per feature."""
-    tables = leaf_tables(spark, tree_model)
+    # shipped once per executor as a broadcast (bounded by the model size)
+    tables_bc = spark.sparkContext.broadcast(leaf_tables(spark, tree_model))
     m = len(features)
     fields = [T.StructField(id_col, T.LongType()), T.StructField("base", T.DoubleType())]
     fields += [T.StructField(f"shap_{f}", T.DoubleType()) for f in features]
     schema = T.StructType(fields)
 
     def explain(batches):
+        tables = tables_bc.value
         for pdf in batches:
             for start in range(0, len(pdf), SHAP_BATCH):
                 part = pdf.iloc[start:start + SHAP_BATCH]

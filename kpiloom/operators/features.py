@@ -123,9 +123,15 @@ def rfm(users: DataFrame, orders: DataFrame, items: DataFrame, anchors: DataFram
     return _rfm_from(users, anchors, act)
 
 
-def _rfm_from(users: DataFrame, anchors: DataFrame, act: DataFrame) -> DataFrame:
+def _rfm_from(users: DataFrame, anchors: DataFrame, act: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """Users x anchors (inner) left-joined to the order aggregates, then grouped
+    by (user_id, days_since_signup).  ``carry`` are per-user columns of
+    ``anchors`` (or ``act``) passed through unchanged (functionally dependent on
+    ``user_id``)."""
+    carry = list(carry or [])
     u = users.select(F.col("id").alias("user_id"), "created_at")
-    ua = u.join(anchors.select("user_id", "anchor_ts"), "user_id", "inner")
+    a_cols = ["user_id", "anchor_ts"] + [c for c in carry if c in anchors.columns]
+    ua = u.join(anchors.select(*a_cols), "user_id", "inner")
     j = ua.join(act, "user_id", "left")
     has_orders = F.col("frequency_30d").isNotNull()
     per_row = j.select(
@@ -134,6 +140,7 @@ def _rfm_from(users: DataFrame, anchors: DataFrame, act: DataFrame) -> DataFrame
         F.coalesce(F.col("orders_30d"), F.lit(0)).alias("orders_30d"),
         F.when(has_orders, F.col("revenue_30d_dec")).otherwise(as_money(F.lit(0))).alias("revenue_30d_dec"),
         F.coalesce(F.col("frequency_30d"), F.lit(0)).alias("frequency_30d"),
+        *carry,
     )
     # grouping on (user_id, days) is satisfied by the join's user_id partitioning:
     # no extra shuffle
@@ -141,12 +148,14 @@ def _rfm_from(users: DataFrame, anchors: DataFrame, act: DataFrame) -> DataFrame
         F.sum("orders_30d").alias("orders_30d"),
         F.sum("revenue_30d_dec").alias("revenue_30d_dec"),
         F.max("frequency_30d").alias("frequency_30d"),
+        *[F.first(c).alias(c) for c in carry],
     )
     return g.select(
         "user_id", "days_since_signup",
         F.col("orders_30d").cast("bigint").alias("orders_30d"),
         F.col("revenue_30d_dec").cast("double").alias("revenue_30d"),
         F.col("frequency_30d").cast("bigint").alias("frequency_30d"),
+        *carry,
     )
 
 
@@ -169,21 +178,20 @@ def features_conversion(users: DataFrame, orders: DataFrame, items: DataFrame, e
                         lookback_days: int = LOOKBACK_DAYS, label_days: int = LABEL_DAYS) -> DataFrame:
     """K7: rfm ⟕ source mix ⋈ label, shares coalesced to 0, label 0/1.
 
-    Plan (five scans, each shuffled once): one aggregate over events gives the
-    anchor *and* the source mix; one aggregate over orders x anchors gives the
-    30-day features *and* the label; users join the anchors.  All joins are on
-    ``user_id`` and reuse one hash partitioning.
+    Plan: one aggregate over events gives the anchor *and* the source counts;
+    it is joined to users whole (so the mix needs no second aggregate) and, as
+    anchors only, to the orders.  One aggregate over orders x anchors gives the
+    30-day features *and* the label, so orders are read once.  Every join is on
+    ``user_id``; the left join of users to the order aggregate and the final
+    grouping reuse one hash partitioning.
     """
     sources = SOURCES if sources is None else sources
     prof = event_profile(events, sources)
-    anchors = prof.select("user_id", "anchor_ts")
-    act = order_activity(orders, items, anchors, lookback_days, label_days)
-    r = _rfm_from(users, anchors, act)
-    mix = prof.select("user_id", *_shares(prof, sources))
-    label = act.select("user_id", (F.col("label_orders") > 0).cast("bigint").alias("will_convert_14d"))
-    out = r.join(mix, "user_id", "left").join(label, "user_id", "left")
-    return out.select(
+    counts = ["n_events"] + [f"n_{k}" for k in sources]
+    act = order_activity(orders, items, prof.select("user_id", "anchor_ts"), lookback_days, label_days)
+    r = _rfm_from(users, prof, act, carry=counts + ["label_orders"])
+    return r.select(
         "user_id", "days_since_signup", "orders_30d", "revenue_30d", "frequency_30d",
-        *[F.coalesce(F.col(k), F.lit(0.0)).alias(k) for k in sources],
-        F.coalesce(F.col("will_convert_14d"), F.lit(0)).cast("bigint").alias("will_convert_14d"),
+        *[F.coalesce(F.try_divide(F.col(f"n_{k}"), F.col("n_events")), F.lit(0.0)).alias(k) for k in sources],
+        (F.coalesce(F.col("label_orders"), F.lit(0)) > 0).cast("bigint").alias("will_convert_14d"),
     )

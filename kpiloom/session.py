@@ -60,6 +60,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder: checkpoints and run "
+                               "artifacts must survive the loss of an executor")
         configured = tempfile.mkdtemp(prefix="kpiloom-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -69,3 +72,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for intermediate tables under the shared checkpoint folder."""
     base = checkpoint_dir(spark)
     return os.path.join(base, "kpiloom", name)
+
+
+def sizing_conf(input_bytes: int, target_partition_bytes: int = 128 << 20,
+                min_partitions: int = 200, max_partitions: int = 100_000) -> dict:
+    """Partition settings for a given input size.
+
+    Scans split files into ``target_partition_bytes`` pieces; the first shuffle
+    of each query starts with enough partitions that even an unaggregated
+    shuffle of the whole input stays near that size per task, and AQE then
+    coalesces partitions the aggregates made small.  At 100 TB this gives the
+    maximum (100,000) initial partitions of ~1 GB of input each before partial
+    aggregation, which the map-side combines shrink by orders of magnitude.
+    """
+    parts = max(min_partitions, min(max_partitions, -(-int(input_bytes) // target_partition_bytes)))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+    }
