@@ -21,11 +21,14 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "embeddings pages benchmark labels conversations").split()
 
 
+EXACT = os.environ.get("EXACT") == "1"
+
+
 def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return float(f"{v:.10g}")
+        return v if EXACT else float(f"{v:.10g}")
     if isinstance(v, dt.datetime):
         return v.replace(tzinfo=None)
     return v
