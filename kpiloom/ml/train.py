@@ -75,17 +75,33 @@ LEADERBOARD_SCHEMA = T.StructType([
 
 def train_candidates(spark: SparkSession, train: DataFrame, test: DataFrame, features: list[str],
                      label: str, rows: int, feature_table: str, names=CANDIDATES,
-                     profile: Profile | None = None) -> tuple[dict[str, PipelineModel], DataFrame]:
+                     profile: Profile | None = None, parallel: bool = True
+                     ) -> tuple[dict[str, PipelineModel], DataFrame]:
     """Fit every candidate on ``train``, score ``test``; returns the fitted
     pipelines and the leaderboard ``(train_order, model, auc, accuracy, rows,
-    target, feature_table)``, one row per model (``rows`` = whole table)."""
+    target, feature_table)``, one row per model (``rows`` = whole table).
+
+    The candidates are independent, so they are fitted concurrently from
+    driver threads (each fit is itself a distributed MLlib job); seeds are
+    fixed, so the result does not depend on the interleaving.
+    """
     n_train = train.count()
-    models, board = {}, []
-    for i, name in enumerate(names):
+    names = list(names)
+
+    def fit(i_name):
+        i, name = i_name
         m = pipeline(name, features, label, n_train, profile).fit(train)
         s = score(m, test, label)
-        models[name] = m
-        board.append((i, name, auc(s), accuracy(s), int(rows), label, feature_table))
+        return name, m, (i, name, auc(s), accuracy(s), int(rows), label, feature_table)
+
+    if parallel and len(names) > 1:
+        from concurrent.futures import ThreadPoolExecutor
+        with ThreadPoolExecutor(max_workers=len(names)) as pool:
+            results = list(pool.map(fit, enumerate(names)))
+    else:
+        results = [fit(x) for x in enumerate(names)]
+    models = {name: m for name, m, _ in results}
+    board = [row for _, _, row in results]
     return models, spark.createDataFrame(board, LEADERBOARD_SCHEMA)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import add_days, full_days_between
 from ..functions.money import as_money, money_sum
+from .skew import salted_key_join
 
 # Fixed values of the model.
 LOOKBACK_DAYS = 30
@@ -89,13 +90,15 @@ def order_activity(
     * ``label_orders`` = orders (any status) in ``(anchor, anchor + 14 d]``.
 
     Plan: orders (one row per order after the item pre-aggregate) are joined to
-    the anchors with an inner equi-join on ``user_id`` whose streamed side is the
-    orders, so AQE can split a hot user's partition; the distinct count is
-    planned as (user, order) partial aggregates before the final per-user one.
+    the anchors on ``user_id`` with hot users salted over several tasks
+    (:func:`kpiloom.operators.skew.salted_key_join`); the per-user aggregate
+    combines the pieces map-side, and the distinct count is planned as
+    (user, order) partial aggregates before the final per-user one.
     """
     lines = order_lines(orders, items)
     a = anchors.select("user_id", "anchor_ts")
-    ow = lines.join(a, "user_id", "inner")
+    # a hot user's orders are spread over several join tasks (see operators.skew)
+    ow = salted_key_join(lines, a, "user_id", counts_from=orders, salt_by="order_id")
     ts = F.col("created_at")
     in_window = ts >= (F.col("anchor_ts") - F.make_dt_interval(F.lit(lookback_days)))
     in_label = (ts > F.col("anchor_ts")) & (ts <= add_days("anchor_ts", label_days))
@@ -167,7 +170,8 @@ def conversion_label(anchors: DataFrame, orders: DataFrame, items: DataFrame | N
     ts = F.col("created_at")
     a = anchors.select("user_id", "anchor_ts")
     in_label = (ts > F.col("anchor_ts")) & (ts <= add_days("anchor_ts", label_days))
-    hits = (orders.select("user_id", "created_at").join(a, "user_id", "inner")
+    o = orders.select("order_id", "user_id", "created_at")
+    hits = (salted_key_join(o, a, "user_id", counts_from=orders, salt_by="order_id")
             .groupBy("user_id").agg(F.count_if(in_label).alias("label_orders")))
     return a.join(hits, "user_id", "left").select(
         "user_id", (F.coalesce(F.col("label_orders"), F.lit(0)) > 0).cast("bigint").alias("will_convert_14d"))
