@@ -27,8 +27,8 @@ FEATURE_COLUMNS = [
 def event_profile(events: DataFrame, sources: dict[str, str] | None = None) -> DataFrame:
     """Per user (null user included): ``anchor_ts`` = last event time, ``n_events``
     and one count per traffic source.  Last event and source mix share this one
-    aggregate, so events are scanned and shuffled once (after a map-side
-    partial aggregate: a hot user is one row per map task)."""
+    aggregate (a map-side partial aggregate first: a hot user is one row per
+    map task)."""
     sources = SOURCES if sources is None else sources
     return events.groupBy("user_id").agg(
         F.max("created_at").alias("anchor_ts"),
@@ -42,7 +42,7 @@ def last_event(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").agg(F.max("created_at").alias("anchor_ts"))
 
 
-def _shares(profile: DataFrame, sources: dict[str, str]) -> list[Column]:
+def _shares(sources: dict[str, str]) -> list[Column]:
     return [F.try_divide(F.col(f"n_{k}"), F.col("n_events")).alias(k) for k in sources]
 
 
@@ -51,7 +51,7 @@ def source_mix(events: DataFrame, sources: dict[str, str] | None = None) -> Data
     the denominator, so shares may sum to less than 1."""
     sources = SOURCES if sources is None else sources
     p = event_profile(events, sources)
-    return p.select("user_id", *_shares(p, sources))
+    return p.select("user_id", *_shares(sources))
 
 
 # -- K7b + K7d: one pass over orders ------------------------------------------
@@ -162,8 +162,7 @@ def _rfm_from(users: DataFrame, anchors: DataFrame, act: DataFrame, carry: list[
     )
 
 
-def conversion_label(anchors: DataFrame, orders: DataFrame, items: DataFrame | None = None,
-                     label_days: int = LABEL_DAYS) -> DataFrame:
+def conversion_label(anchors: DataFrame, orders: DataFrame, label_days: int = LABEL_DAYS) -> DataFrame:
     """K7d: ``(user_id, will_convert_14d)`` for every anchored user (null user
     included): 1 when the user has any order, of any status, in
     ``(anchor, anchor + 14 d]``."""
