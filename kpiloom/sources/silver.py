@@ -10,6 +10,7 @@ filters on its outputs still push down to the scan where Catalyst can invert the
 from __future__ import annotations
 
 import datetime as _dt
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,12 +112,25 @@ def silver_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class Sources:
-    """The four silver tables of one data directory, built lazily once."""
+    """The four silver tables of one data directory; each is opened on first
+    use only, so a report touches just the tables it reads."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
-        self.users = silver_users(spark, sf_dir)
-        self.orders = silver_orders(spark, sf_dir)
-        self.items = silver_order_items(spark, sf_dir)
-        self.events = silver_events(spark, sf_dir)
+
+    @cached_property
+    def users(self) -> DataFrame:
+        return silver_users(self.spark, self.sf_dir)
+
+    @cached_property
+    def orders(self) -> DataFrame:
+        return silver_orders(self.spark, self.sf_dir)
+
+    @cached_property
+    def items(self) -> DataFrame:
+        return silver_order_items(self.spark, self.sf_dir)
+
+    @cached_property
+    def events(self) -> DataFrame:
+        return silver_events(self.spark, self.sf_dir)
