@@ -81,13 +81,14 @@ def ab_test(cells: DataFrame, alpha: float | str = DEFAULT_ALPHA, strict: bool =
     (chi-square, 1 df, against a 50/50 split), ``significant`` (p < alpha) and
     ``valid``.
 
-    Invalid cells - a total <= 0, a success outside [0, total], or a zero pooled
-    SE (nobody or everybody converted) - get null statistics and
+    Invalid cells - not an integer, a total <= 0, a success outside [0, total],
+    or a zero pooled SE (nobody or everybody converted) - get null statistics and
     ``valid = false``; the original raises on them.  ``strict=True`` raises a
     ``ValueError`` when any row is invalid (one count, no collect of rows).
     ``alpha`` is a number or the name of a per-row column.
     """
-    a_s, a_n, b_s, b_n = (F.col(c).cast("bigint") for c in CELL_COLUMNS)
+    # cells that are not integers (text, fractions) become null -> invalid row
+    a_s, a_n, b_s, b_n = (F.col(c).try_cast("bigint") for c in CELL_COLUMNS)
     alpha_c = F.col(alpha) if isinstance(alpha, str) else F.lit(float(alpha))
     totals_ok = (a_n > 0) & (b_n > 0)
     ranges_ok = a_s.between(F.lit(0), a_n) & b_s.between(F.lit(0), b_n)

@@ -83,3 +83,10 @@ def test_pivot_uplift_share(spark):
     groups = spark.createDataFrame([(1, "A"), (2, "B"), (3, "B"), (4, "B")], "user_id long, ab_group string")
     s = exp.ab_bucket_share(groups).first()
     assert (s["share_A"], s["share_B"]) == (0.25, 0.75)
+
+
+def test_non_numeric_cells_are_invalid(spark):
+    cells = spark.createDataFrame([("12", "100", "x", "100"), ("12", "100", "15", "100")],
+                                  "a_success string, a_total string, b_success string, b_total string")
+    rows = exp.ab_test(cells).collect()
+    assert [r["valid"] for r in rows] == [False, True]
