@@ -89,7 +89,19 @@ def _leaf_table(nodes: dict, scale: float) -> LeafTable:
     return LeafTable(groups, scale, expected)
 
 
+MAX_CELLS = 2_000_000      # rows x leaves x (depth + 1) per working array (16 MB)
+
+
 def _group_shap(g: LeafGroup, x: np.ndarray, phi: np.ndarray, scale: float) -> None:
+    """Add one leaf group's contributions to ``phi``, in row chunks that keep
+    every working array near ``MAX_CELLS`` doubles whatever the tree size."""
+    n_leaves, d = g.feat.shape
+    step = max(1, MAX_CELLS // (n_leaves * (d + 1)))
+    for start in range(0, x.shape[0], step):
+        _group_shap_rows(g, x[start:start + step], phi[start:start + step], scale)
+
+
+def _group_shap_rows(g: LeafGroup, x: np.ndarray, phi: np.ndarray, scale: float) -> None:
     n = x.shape[0]
     n_leaves, d = g.feat.shape
     xv = x[:, g.feat]                                            # (n, L, d)
@@ -129,25 +141,34 @@ def tree_shap(tables: list[LeafTable], x: np.ndarray, n_features: int) -> tuple[
 
 
 def _nodes_from_saved(spark: SparkSession, path: str, classification: bool):
-    """Read a saved tree ensemble's node table; one dict of nodes per tree."""
-    rows = (spark.read.parquet(os.path.join(path, "data"))
-            .select("treeID", "nodeData.id", "nodeData.prediction", "nodeData.impurityStats",
-                    "nodeData.leftChild", "nodeData.rightChild", "nodeData.split.featureIndex",
-                    "nodeData.split.leftCategoriesOrThreshold")
-            .collect())
+    """Read a saved tree ensemble's node table; one dict of nodes per tree.
+
+    Cover (training weight at the node), leaf value and threshold are computed
+    in Spark, and only those numeric columns come to the driver (through Arrow):
+    the table is the size of the model, which the driver holds already.
+    """
+    nd = spark.read.parquet(os.path.join(path, "data"))
+    stats = F.col("nodeData.impurityStats")
+    if classification:
+        cover = F.aggregate(stats, F.lit(0.0), lambda acc, v: acc + v)
+        value = F.when(cover > 0, F.try_element_at(stats, F.lit(2)) / cover).otherwise(F.lit(0.0))
+    else:
+        cover = F.try_element_at(stats, F.lit(1))
+        value = F.col("nodeData.prediction")
+    cols = nd.select(
+        F.col("treeID").alias("tree"), F.col("nodeData.id").alias("id"),
+        F.col("nodeData.leftChild").alias("left"), F.col("nodeData.rightChild").alias("right"),
+        F.col("nodeData.split.featureIndex").alias("feature"),
+        F.coalesce(F.try_element_at(F.col("nodeData.split.leftCategoriesOrThreshold"), F.lit(1)),
+                   F.lit(0.0)).alias("threshold"),
+        F.coalesce(cover, F.lit(0.0)).alias("cover"), F.coalesce(value, F.lit(0.0)).alias("value"),
+    ).toPandas()
     trees: dict[int, dict] = {}
-    for r in rows:
-        stats = list(r["impurityStats"] or [])
-        if classification:
-            cover = float(sum(stats))
-            value = float(stats[1] / cover) if cover > 0 and len(stats) > 1 else 0.0
-        else:
-            cover = float(stats[0]) if stats else 0.0
-            value = float(r["prediction"])
-        thr = r["leftCategoriesOrThreshold"]
-        trees.setdefault(r["treeID"], {})[r["id"]] = (
-            r["leftChild"], r["rightChild"], r["featureIndex"],
-            float(thr[0]) if thr else 0.0, cover, value)
+    for t, left, right, f, thr, cov, val, nid in zip(
+            cols["tree"].to_numpy(), cols["left"].to_numpy(), cols["right"].to_numpy(),
+            cols["feature"].to_numpy(), cols["threshold"].to_numpy(), cols["cover"].to_numpy(),
+            cols["value"].to_numpy(), cols["id"].to_numpy()):
+        trees.setdefault(int(t), {})[int(nid)] = (int(left), int(right), int(f), float(thr), float(cov), float(val))
     return trees
 
 

@@ -84,3 +84,15 @@ def test_repeated_feature_on_path():
     for x in ([0.1, 0.9], [0.3, 0.1], [0.8, 0.6], [0.8, 0.75]):
         phi, base = tree_shap([t], np.array([x]), 2)
         assert np.allclose(phi[0], brute_shap(nodes, x, 2), atol=1e-12)
+
+
+def test_row_chunking_does_not_change_values(monkeypatch):
+    import kpiloom.ml.explain as ex
+    rng = random.Random(11)
+    trees = [random_tree(rng, 4, 5) for _ in range(2)]
+    tables = [_leaf_table(t, 1.0) for t in trees]
+    x = np.array([[rng.random() for _ in range(4)] for _ in range(40)])
+    whole, base = tree_shap(tables, x, 4)
+    monkeypatch.setattr(ex, "MAX_CELLS", 7)
+    chunked, base2 = tree_shap(tables, x, 4)
+    assert np.allclose(whole, chunked, atol=1e-13) and base == base2
