@@ -93,3 +93,23 @@ def sizing_conf(input_bytes: int, target_partition_bytes: int = 128 << 20,
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
     }
+
+
+def input_bytes(spark: SparkSession, paths) -> int:
+    """Total size of the given files or folders on their file system (a metadata
+    call on the driver; no data is read)."""
+    sc = spark.sparkContext
+    jvm, conf = sc._jvm, sc._jsc.hadoopConfiguration()
+    total = 0
+    for p in paths:
+        hp = jvm.org.apache.hadoop.fs.Path(p)
+        total += hp.getFileSystem(conf).getContentSummary(hp).getLength()
+    return int(total)
+
+
+def size_session(spark: SparkSession, paths, **kw) -> dict:
+    """Apply :func:`sizing_conf` for the inputs at ``paths`` to the session."""
+    conf = sizing_conf(input_bytes(spark, paths), **kw)
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    return conf

@@ -81,3 +81,12 @@ def test_entry_and_contract(spark):
     assert df.columns == ["user_id", "days_since_signup", "orders_30d", "revenue_30d", "frequency_30d",
                           "pct_email", "pct_direct", "pct_organic", "pct_ads", "pct_social", "will_convert_14d"]
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_sizing(spark):
+    from kpiloom.session import input_bytes, sizing_conf
+    n = input_bytes(spark, [f"{SF_SMALL}/lineitem.parquet", f"{SF_SMALL}/orders.parquet"])
+    assert n > 0
+    assert sizing_conf(n)["spark.sql.shuffle.partitions"] == "200"            # floor for small inputs
+    assert sizing_conf(100 << 40)["spark.sql.shuffle.partitions"] == "100000"  # 100 TB: the cap
+    assert sizing_conf(1 << 40)["spark.sql.shuffle.partitions"] == "8192"      # 1 TB / 128 MB
