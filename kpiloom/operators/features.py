@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import add_days, full_days_between
 from ..functions.money import as_money, money_sum
-from .skew import salted_key_join
+from .skew import left_join_nulls_aside, salted_key_join
 
 # Fixed values of the model.
 LOOKBACK_DAYS = 30
@@ -70,7 +70,7 @@ def order_lines(orders: DataFrame, items: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_items"),
         money_sum("sale_price").alias("price_sum"),
     )
-    return orders.select("order_id", "user_id", "created_at").join(per_order, "order_id", "left")
+    return left_join_nulls_aside(orders.select("order_id", "user_id", "created_at"), per_order, "order_id")
 
 
 def order_activity(

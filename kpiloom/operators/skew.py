@@ -52,3 +52,12 @@ def salted_key_join(big: DataFrame, lookup: DataFrame, key: str, counts_from: Da
     s = lookup.join(hot, key, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))).drop("_salts")
     return b.join(s, [key, "_salt"], how).drop("_salt")
+
+
+def left_join_nulls_aside(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """``left LEFT JOIN right USING (key)`` where left rows with a null key skip
+    the shuffle: they can never match, and kept in the join they would all hash
+    to one partition (a null key holding a third of the rows is one hot task).
+    They are unioned back with the right side's columns null."""
+    matched = left.filter(F.col(key).isNotNull()).join(right, key, "left")
+    return matched.unionByName(left.filter(F.col(key).isNull()), allowMissingColumns=True)
