@@ -16,6 +16,12 @@ from ..sources import artifacts, catalog
 from ..sources.silver import Sources
 
 
+# Fixed value: the saved explanation covers a seeded sample of at most 200
+# training rows, as in the original (``ml_shap`` / ``shap_importance`` explain
+# every row when asked).
+SHAP_SAMPLE_ROWS = 200
+
+
 @dataclass
 class TrainingRun:
     feature_table: str
@@ -33,7 +39,7 @@ class TrainingRun:
 
 def train_from_table(spark: SparkSession, table: DataFrame, table_name: str, out: str,
                      target: str = prepare.TARGET, profile: train.Profile | None = None,
-                     shap_rows: int | None = None) -> TrainingRun:
+                     shap_rows: int | None = SHAP_SAMPLE_ROWS) -> TrainingRun:
     """Coerce, split, fit the candidates, pick and save the champion, explain it.
 
     The coerced table is checkpointed to the shared checkpoint folder (reliable
