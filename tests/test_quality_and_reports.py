@@ -90,3 +90,12 @@ def test_sizing(spark):
     assert sizing_conf(n)["spark.sql.shuffle.partitions"] == "200"            # floor for small inputs
     assert sizing_conf(100 << 40)["spark.sql.shuffle.partitions"] == "100000"  # 100 TB: the cap
     assert sizing_conf(1 << 40)["spark.sql.shuffle.partitions"] == "8192"      # 1 TB / 128 MB
+
+
+def test_publish_makes_a_named_view(spark):
+    df = reports.run_report(spark, "ab_metrics", SF_SMALL)
+    reports.publish(df, "ab_metrics_view_test")
+    assert spark.catalog.tableExists("ab_metrics_view_test")
+    assert spark.table("ab_metrics_view_test").count() == 2
+    name = catalog.first_available_table(spark, [None, "ab_metrics_view_test"])
+    assert name == "ab_metrics_view_test"
