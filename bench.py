@@ -26,7 +26,7 @@ HEADLINE = [
     "revenue_daily", "revenue_daily_completed", "revenue_daily_range", "revenue_last_7",
     "funnel_users", "funnel_event_set", "funnel_rates",
     "retention_weekly", "retention_unbounded", "retention_pivot",
-    "features_conversion", "ab_group", "ab_metrics", "ab_pipeline", "ab_test_invalid",
+    "features_conversion", "ab_group", "ab_metrics", "ab_experiment", "ab_test_invalid",
     "dq_report",
 ]
 ML = ["ml_leaderboard", "ml_shap"]

@@ -57,7 +57,7 @@ def estimator(name: str, label: str, n_train: int, profile: Profile | None = Non
     raise KeyError(f"unknown model {name!r}")
 
 
-def pipeline(name: str, features: list[str], label: str, n_train: int, profile: Profile | None = None) -> Pipeline:
+def model_spec(name: str, features: list[str], label: str, n_train: int, profile: Profile | None = None) -> Pipeline:
     assembler = VectorAssembler(inputCols=list(features), outputCol=FEATURES_VEC, handleInvalid="keep")
     return Pipeline(stages=[assembler, estimator(name, label, n_train, profile)])
 
@@ -90,7 +90,7 @@ def train_candidates(spark: SparkSession, train: DataFrame, test: DataFrame, fea
 
     def fit(i_name):
         i, name = i_name
-        m = pipeline(name, features, label, n_train, profile).fit(train)
+        m = model_spec(name, features, label, n_train, profile).fit(train)
         s = score(m, test, label)
         return name, m, (i, name, auc(s), accuracy(s), int(rows), label, feature_table)
 

@@ -1 +1 @@
-"""Plans: named reports, the batch pipeline and the SQL oracles."""
+"""Plans: named reports, the daily batch and the SQL oracles."""

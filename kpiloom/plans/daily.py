@@ -71,7 +71,7 @@ def train_from_table(spark: SparkSession, table: DataFrame, table_name: str, out
     return run
 
 
-def run_pipeline(spark: SparkSession, sf_dir: str, out: str, feature_table: str | None = None,
+def run_daily_batch(spark: SparkSession, sf_dir: str, out: str, feature_table: str | None = None,
                  profile: train.Profile | None = None) -> tuple[DataFrame, TrainingRun]:
     """Build the gold models, run the data-quality suite, stop when a test fails
     (:class:`QualityGateError`), otherwise train on the first available feature

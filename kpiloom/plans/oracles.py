@@ -335,7 +335,7 @@ def oracle_sql() -> dict[str, str]:
                              body=ab_test_sql(f"({pivot_sql('seg_metrics', 'signup_day')})", "signup_day"))
     q["ab_verdict"] = A(FUNNEL_EVENT_SET, AB_GROUP, AB_METRICS_EVENT_USERS,
                         body=verdict_sql(ab_test_sql(f"({pivot_sql('ab_metrics_ev')})")))
-    q["ab_pipeline"] = A(*gold_ab, body=verdict_sql(ab_test_sql(f"({pivot_sql('ab_metrics')})")))
+    q["ab_experiment"] = A(*gold_ab, body=verdict_sql(ab_test_sql(f"({pivot_sql('ab_metrics')})")))
     tests = [
         ("revenue_daily", "day", "not_null"), ("funnel_users", "user_id", "not_null"),
         ("funnel_users", "converted", "accepted_values"), ("ab_group", "user_id", "not_null"),

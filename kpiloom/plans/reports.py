@@ -291,8 +291,8 @@ def _ab_verdict(src: Sources, alpha: float = exp.DEFAULT_ALPHA) -> DataFrame:
     return _rounded_p(exp.ab_verdict(exp.ab_test(exp.ab_pivot(_ab_metrics_event_users(src)), alpha)))
 
 
-@report("ab_pipeline")
-def _ab_pipeline(src: Sources, alpha: float = exp.DEFAULT_ALPHA) -> DataFrame:
+@report("ab_experiment")
+def _ab_experiment(src: Sources, alpha: float = exp.DEFAULT_ALPHA) -> DataFrame:
     return _rounded_p(exp.run_experiment(src.users, src.events, src.orders, alpha))
 
 
@@ -375,11 +375,11 @@ def _ml_accuracy(src: Sources, score_col: str = BASELINE_ACC_SCORE) -> DataFrame
 def training_run(src: Sources):
     """One training run per session and data directory, shared by the ML reports."""
     from ..session import scratch_path
-    from .pipeline import run_pipeline
+    from .daily import run_daily_batch
     key = (src.spark.sparkContext.applicationId, src.sf_dir)
     if key not in _RUNS:
         slug = "".join(ch if ch.isalnum() else "_" for ch in src.sf_dir.strip("/"))
-        _RUNS[key] = run_pipeline(src.spark, src.sf_dir, scratch_path(src.spark, f"runs/{slug}"))
+        _RUNS[key] = run_daily_batch(src.spark, src.sf_dir, scratch_path(src.spark, f"runs/{slug}"))
     return _RUNS[key]
 
 
@@ -396,7 +396,7 @@ def _ml_champion(src: Sources) -> DataFrame:
 
 @report("ml_scores")
 def _ml_scores(src: Sources) -> DataFrame:
-    from .pipeline import champion_scores
+    from .daily import champion_scores
     return champion_scores(training_run(src)[1])
 
 
@@ -428,15 +428,18 @@ def _ml_metrics_read(src: Sources) -> DataFrame:
     return artifacts.load_metrics(src.spark, training_run(src)[1].out)
 
 
-@report("ml_pipeline")
-def _ml_pipeline(src: Sources) -> DataFrame:
+@report("ml_daily_run")
+def _ml_daily_run(src: Sources) -> DataFrame:
     """One summary row of the batch: tests, champion and its metrics."""
     report_df, run = training_run(src)
-    best = run.leaderboard.filter(F.col("model") == run.champion).select(
-        F.col("model").alias("champion"), "auc", "accuracy", "rows")
+    best = run.leaderboard.filter(F.col("model") == run.champion).first()   # 3-row table
     tests = report_df.agg(F.count(F.lit(1)).alias("tests"), F.count_if("passed").alias("tests_passed"))
-    return tests.crossJoin(best).withColumn("features", F.lit(len(run.features))).withColumn(
-        "explained", F.lit(run.importance is not None))
+    return tests.select(
+        "tests", "tests_passed",
+        F.lit(run.champion).alias("champion"), F.lit(best["auc"]).cast("double").alias("auc"),
+        F.lit(best["accuracy"]).cast("double").alias("accuracy"), F.lit(best["rows"]).cast("bigint").alias("rows"),
+        F.lit(len(run.features)).alias("features"), F.lit(run.importance is not None).alias("explained"),
+    )
 
 
 def run_report(spark: SparkSession, name: str | None, sf_dir: str, params: dict | None = None) -> DataFrame:

@@ -7,14 +7,14 @@ import pytest
 
 from kpiloom.ml import train
 from kpiloom.operators import experiments as exp
-from kpiloom.plans.pipeline import champion_scores, run_pipeline
+from kpiloom.plans.daily import champion_scores, run_daily_batch
 from kpiloom.sources import artifacts
 
 
-def test_pipeline_end_to_end(spark, tmp_path):
+def test_daily_batch_end_to_end(spark, tmp_path):
     out = str(tmp_path / "run")
     prof = train.Profile(rf_trees=10, rf_max_depth=5, gbt_rounds=5, lr_max_iter=100)
-    report, run = run_pipeline(spark, "/root/testdata/sf0.01", out, profile=prof)
+    report, run = run_daily_batch(spark, "/root/testdata/sf0.01", out, profile=prof)
     assert report.filter("passed").count() == 11
     board = {r["model"]: r for r in run.leaderboard.collect()}
     assert set(board) == set(train.CANDIDATES)

@@ -62,7 +62,7 @@ def data(spark):
 def test_shap_additive_on_mllib_models(spark, data, name):
     x, feats = data
     prof = train.Profile(rf_trees=15, rf_max_depth=6, gbt_rounds=8)
-    model = train.pipeline(name, feats, prepare.TARGET, x.count(), prof).fit(x)
+    model = train.model_spec(name, feats, prepare.TARGET, x.count(), prof).fit(x)
     tree = model.stages[-1]
     sv = explain.shap_values(spark, tree, x, feats).toPandas().set_index("user_id")
     out = model.transform(x)

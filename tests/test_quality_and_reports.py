@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as E
 from kpiloom.operators import quality as dq
 from kpiloom.plans import reports
-from kpiloom.plans.pipeline import run_pipeline
+from kpiloom.plans.daily import run_daily_batch
 from kpiloom.sources import catalog
 from kpiloom.sources.silver import Sources
 
@@ -35,7 +35,7 @@ def test_poisoned_model_stops_the_gate(spark, tmp_path):
     assert r["failures"] == 1
 
 
-def test_pipeline_gate_runs_before_training(spark, tmp_path, monkeypatch):
+def test_gate_runs_before_training(spark, tmp_path, monkeypatch):
     calls = []
     real = dq.gate
 
@@ -44,10 +44,10 @@ def test_pipeline_gate_runs_before_training(spark, tmp_path, monkeypatch):
         raise dq.QualityGateError("poisoned")
 
     monkeypatch.setattr(dq, "gate", failing_gate)
-    import kpiloom.plans.pipeline as pl
+    import kpiloom.plans.daily as pl
     monkeypatch.setattr(pl, "train_from_table", lambda *a, **k: calls.append("train"))
     with pytest.raises(dq.QualityGateError):
-        run_pipeline(spark, SF_SMALL, str(tmp_path / "run"))
+        run_daily_batch(spark, SF_SMALL, str(tmp_path / "run"))
     assert calls == ["gate"]
     monkeypatch.setattr(dq, "gate", real)
 
