@@ -26,8 +26,8 @@ GBT_DEPTH = 5
 GBT_STEP = 0.08
 GBT_ROW_SAMPLE = 0.9
 GBT_COL_SAMPLE = "0.9"
-CANDIDATES = ("logistic_regression", "random_forest", "xgboost")
-TREE_MODELS = ("random_forest", "xgboost")
+CANDIDATES = ("logistic_regression", "random_forest", "gradient_boosting")
+TREE_MODELS = ("random_forest", "gradient_boosting")
 
 
 @dataclass
@@ -49,7 +49,7 @@ def estimator(name: str, label: str, n_train: int, profile: Profile | None = Non
     if name == "random_forest":
         return RandomForestClassifier(featuresCol=FEATURES_VEC, labelCol=label, numTrees=p.rf_trees,
                                       maxDepth=p.rf_max_depth, featureSubsetStrategy="sqrt", seed=SEED)
-    if name == "xgboost":
+    if name == "gradient_boosting":
         # gradient-boosted trees with the original's rounds, depth, rate and row/column sampling
         return GBTClassifier(featuresCol=FEATURES_VEC, labelCol=label, maxIter=p.gbt_rounds,
                              maxDepth=GBT_DEPTH, stepSize=GBT_STEP, subsamplingRate=GBT_ROW_SAMPLE,

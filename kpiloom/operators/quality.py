@@ -34,7 +34,7 @@ class AcceptedValues:
         return F.count_if(c.isNotNull() & ~c.isin(*self.values))
 
 
-# The gold suite: 9 not-null and 2 accepted-values tests.
+# The gold suite, 9 not-null and 2 accepted-values tests.
 GOLD_TESTS = (
     NotNull("revenue_daily", "day"),
     NotNull("funnel_users", "user_id"),

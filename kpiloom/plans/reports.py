@@ -27,6 +27,7 @@ from ..sources.silver import Sources
 Report = Callable[..., DataFrame]
 REGISTRY: dict[str, Report] = {}
 
+# Fixed values of the original reports.
 PAGE = 5000            # page size of the list reports
 LAST_DAYS = 7          # "last n days" report
 MAX_WEEK = 12          # retention pivot columns week_0..week_12

@@ -43,7 +43,7 @@ def test_split_keeps_both_classes(spark):
 def test_champion_tie_breaks(spark):
     board = spark.createDataFrame(
         [(0, "logistic_regression", 0.9, 0.8, 10, "t", "f"), (1, "random_forest", 0.9, 0.85, 10, "t", "f"),
-         (2, "xgboost", 0.9, 0.85, 10, "t", "f")], train.LEADERBOARD_SCHEMA)
+         (2, "gradient_boosting", 0.9, 0.85, 10, "t", "f")], train.LEADERBOARD_SCHEMA)
     assert train.champion(board).first()["model"] == "random_forest"
     with pytest.raises(ValueError):
         train.champion(board.limit(0))
@@ -58,7 +58,7 @@ def data(spark):
     return x, feats
 
 
-@pytest.mark.parametrize("name", ["random_forest", "xgboost"])
+@pytest.mark.parametrize("name", ["random_forest", "gradient_boosting"])
 def test_shap_additive_on_mllib_models(spark, data, name):
     x, feats = data
     prof = train.Profile(rf_trees=15, rf_max_depth=6, gbt_rounds=8)
