@@ -71,13 +71,13 @@ def train_from_table(spark: SparkSession, table: DataFrame, table_name: str, out
     return run
 
 
-def run_daily_batch(spark: SparkSession, sf_dir: str, out: str, feature_table: str | None = None,
+def run_daily_batch(spark: SparkSession, sf_dir: str | Sources, out: str, feature_table: str | None = None,
                  profile: train.Profile | None = None) -> tuple[DataFrame, TrainingRun]:
     """Build the gold models, run the data-quality suite, stop when a test fails
     (:class:`QualityGateError`), otherwise train on the first available feature
     table (``feature_table`` override first, then the gold view)."""
     from .reports import gold_models, publish
-    src = Sources(spark, sf_dir)
+    src = sf_dir if isinstance(sf_dir, Sources) else Sources(spark, sf_dir)
     models = gold_models(src)
     report = dq.run_suite(spark, models)
     dq.gate(report)

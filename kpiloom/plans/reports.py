@@ -377,10 +377,11 @@ def training_run(src: Sources):
     """One training run per session and data directory, shared by the ML reports."""
     from ..session import scratch_path
     from .daily import run_daily_batch
-    key = (src.spark.sparkContext.applicationId, src.sf_dir)
+    from_dir = "users" not in src.__dict__            # tables given directly are keyed by identity
+    key = (src.spark.sparkContext.applicationId, src.sf_dir if from_dir else id(src))
     if key not in _RUNS:
-        slug = "".join(ch if ch.isalnum() else "_" for ch in src.sf_dir.strip("/"))
-        _RUNS[key] = run_daily_batch(src.spark, src.sf_dir, scratch_path(src.spark, f"runs/{slug}"))
+        slug = "".join(ch if ch.isalnum() else "_" for ch in str(key[1]).strip("/"))
+        _RUNS[key] = run_daily_batch(src.spark, src, scratch_path(src.spark, f"runs/{slug}"))
     return _RUNS[key]
 
 
@@ -443,8 +444,10 @@ def _ml_daily_run(src: Sources) -> DataFrame:
     )
 
 
-def run_report(spark: SparkSession, name: str | None, sf_dir: str, params: dict | None = None) -> DataFrame:
-    """Run a named report with typed parameters.
+def run_report(spark: SparkSession, name: str | None, source: str | Sources,
+               params: dict | None = None) -> DataFrame:
+    """Run a named report with typed parameters over a data directory of the
+    driver tables or a :class:`Sources` (e.g. ``Sources.from_tables``).
 
     A missing name raises ``ValueError``, an unknown one ``KeyError``;
     parameters a report does not take are ignored.
@@ -455,4 +458,5 @@ def run_report(spark: SparkSession, name: str | None, sf_dir: str, params: dict
         raise KeyError(f"unknown report {name!r}")
     fn = REGISTRY[name]
     accepted = {k: v for k, v in dict(params or {}).items() if k in inspect.signature(fn).parameters}
-    return fn(Sources(spark, sf_dir), **accepted)
+    src = source if isinstance(source, Sources) else Sources(spark, source)
+    return fn(src, **accepted)

@@ -15,6 +15,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import schemas
 from .tables import read_table
 
 # ---------------------------------------------------------------------------
@@ -111,14 +112,47 @@ def silver_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events_from_events(read_table(spark, sf_dir, "events"))
 
 
+def conform(df: DataFrame, schema, name: str) -> DataFrame:
+    """Select a source table's columns in the declared types (S1: the declared
+    source schema).  A missing column raises with the table and column named."""
+    missing = [f.name for f in schema.fields if f.name not in df.columns]
+    if missing:
+        raise ValueError(f"source table {name} lacks column(s) {missing}")
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
 class Sources:
     """The four silver tables of one data directory; each is opened on first
-    use only, so a report touches just the tables it reads."""
+    use only, so a report touches just the tables it reads.
+
+    ``Sources.from_tables`` serves real e-commerce tables (names or DataFrames)
+    instead of the driver's star schema.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
 
+    @classmethod
+    def from_tables(cls, spark: SparkSession, users, orders, order_items, events, name: str = "tables") -> Sources:
+        """Sources from catalog table names or DataFrames with the columns the
+        models read: users(id, created_at), orders(order_id, user_id, status,
+        created_at), order_items(order_id, sale_price), events(user_id,
+        event_type, created_at, traffic_source)."""
+        def frame(t):
+            return spark.table(t) if isinstance(t, str) else t
+        ev = frame(events)
+        if "raw_event_type" not in ev.columns:
+            ev = ev.withColumn("raw_event_type", F.col("event_type"))
+        src = cls(spark, name)
+        src.__dict__.update(
+            users=conform(frame(users), schemas.USERS, "users"),
+            orders=conform(frame(orders), schemas.SILVER_ORDERS, "orders"),
+            items=conform(frame(order_items), schemas.ORDER_ITEMS, "order_items"),
+            events=conform(ev, schemas.SILVER_EVENTS, "events"),
+        )
+        return src
+
     @cached_property
     def users(self) -> DataFrame:
         return silver_users(self.spark, self.sf_dir)

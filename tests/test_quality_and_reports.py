@@ -99,3 +99,19 @@ def test_publish_makes_a_named_view(spark):
     assert spark.table("ab_metrics_view_test").count() == 2
     name = catalog.first_available_table(spark, [None, "ab_metrics_view_test"])
     assert name == "ab_metrics_view_test"
+
+
+def test_reports_over_given_tables(spark):
+    from kpiloom.sources.silver import Sources as S
+    d = S(spark, SF_SMALL)
+    # real-shaped tables: events without the adapter's raw type column
+    src = S.from_tables(spark, d.users, d.orders, d.items, d.events.drop("raw_event_type"))
+    for name in ("revenue_daily", "funnel_users", "retention_weekly", "features_conversion", "ab_experiment"):
+        a = sorted(map(tuple, reports.run_report(spark, name, src).collect()))
+        b = sorted(map(tuple, reports.run_report(spark, name, SF_SMALL).collect()))
+        assert a == b, name
+    d.users.createOrReplaceTempView("users_tbl")
+    src2 = S.from_tables(spark, "users_tbl", d.orders, d.items, d.events)
+    assert reports.run_report(spark, "ab_group", src2).count() == d.users.count()
+    with pytest.raises(ValueError, match="order_items"):
+        S.from_tables(spark, d.users, d.orders, d.items.drop("sale_price"), d.events)
