@@ -444,8 +444,36 @@ def _ml_daily_run(src: Sources) -> DataFrame:
     )
 
 
+# Typed scalar parameters: SQL type name -> converter of the JSON value.
+PARAM_TYPES = {
+    "DATE": lambda v: v if isinstance(v, _dt.date) else _dt.date.fromisoformat(str(v)),
+    "TIMESTAMP": lambda v: v if isinstance(v, _dt.datetime) else _dt.datetime.fromisoformat(str(v)),
+    "INT64": int,
+    "FLOAT64": float,
+    "STRING": str,
+    "BOOL": lambda v: v if isinstance(v, bool) else str(v).strip().lower() in ("true", "1"),
+}
+
+
+def typed_params(params) -> dict:
+    """``{name: value}`` from either a dict or a list of ``{name, type, value}``
+    entries; a null value stays None (an open bound)."""
+    if params is None:
+        return {}
+    if isinstance(params, dict):
+        return dict(params)
+    out = {}
+    for p in params:
+        kind = str(p.get("type", "STRING")).upper()
+        if kind not in PARAM_TYPES:
+            raise ValueError(f"unsupported parameter type {kind!r} for {p.get('name')!r}")
+        v = p.get("value")
+        out[p["name"]] = None if v is None else PARAM_TYPES[kind](v)
+    return out
+
+
 def run_report(spark: SparkSession, name: str | None, source: str | Sources,
-               params: dict | None = None) -> DataFrame:
+               params=None) -> DataFrame:
     """Run a named report with typed parameters over a data directory of the
     driver tables or a :class:`Sources` (e.g. ``Sources.from_tables``).
 
@@ -457,6 +485,6 @@ def run_report(spark: SparkSession, name: str | None, source: str | Sources,
     if name not in REGISTRY:
         raise KeyError(f"unknown report {name!r}")
     fn = REGISTRY[name]
-    accepted = {k: v for k, v in dict(params or {}).items() if k in inspect.signature(fn).parameters}
+    accepted = {k: v for k, v in typed_params(params).items() if k in inspect.signature(fn).parameters}
     src = source if isinstance(source, Sources) else Sources(spark, source)
     return fn(src, **accepted)

@@ -115,3 +115,16 @@ def test_reports_over_given_tables(spark):
     assert reports.run_report(spark, "ab_group", src2).count() == d.users.count()
     with pytest.raises(ValueError, match="order_items"):
         S.from_tables(spark, d.users, d.orders, d.items.drop("sale_price"), d.events)
+
+
+def test_typed_parameter_list(spark):
+    params = [{"name": "start", "type": "DATE", "value": "2024-01-05"},
+              {"name": "end", "type": "DATE", "value": "2024-01-06"},
+              {"name": "ignored", "type": "INT64", "value": "3"}]
+    days = [r["day"] for r in reports.run_report(spark, "revenue_daily_range", SF_SMALL, params).collect()]
+    assert days == [dt.date(2024, 1, 5), dt.date(2024, 1, 6)]
+    open_end = [{"name": "start", "type": "DATE", "value": "2024-02-20"}, {"name": "end", "type": "DATE", "value": None}]
+    assert all(r["day"] >= dt.date(2024, 2, 20)
+               for r in reports.run_report(spark, "revenue_daily_range", SF_SMALL, open_end).collect())
+    with pytest.raises(ValueError):
+        reports.typed_params([{"name": "x", "type": "GEOGRAPHY", "value": "POINT(0 0)"}])
