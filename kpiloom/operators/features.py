@@ -80,34 +80,44 @@ def order_activity(
     lookback_days: int = LOOKBACK_DAYS,
     label_days: int = LABEL_DAYS,
 ) -> DataFrame:
-    """Per user with an anchor: the in-window order aggregates and the label count.
+    """One row per row of ``anchors`` (per user, null user included) with the
+    in-window order aggregates, the label count, and every other column of
+    ``anchors`` passed through:
 
     * ``orders_30d`` = item rows of orders at or after ``anchor - 30 d`` (there is
       no upper bound: orders after the anchor count too, as in the original);
-    * ``revenue_30d`` = their price sum (null when every in-window row is
-      unpriced, 0 contributions from out-of-window rows otherwise);
+    * ``revenue_30d_dec`` = their price sum (null when every in-window row is
+      unpriced, 0 contributions from out-of-window rows);
     * ``frequency_30d`` = distinct in-window order ids;
-    * ``label_orders`` = orders (any status) in ``(anchor, anchor + 14 d]``.
+    * ``label_orders`` = orders (any status) in ``(anchor, anchor + 14 d]``;
+    * ``order_rows`` = order rows of the user (0 = no orders).
 
     Plan: orders (one row per order after the item pre-aggregate) are joined to
-    the anchors on ``user_id`` with hot users salted over several tasks
-    (:func:`kpiloom.operators.skew.salted_key_join`); the per-user aggregate
-    combines the pieces map-side, and the distinct count is planned as
-    (user, order) partial aggregates before the final per-user one.
+    the anchors on ``user_id``, keeping every anchor row, with hot users salted
+    over several tasks (:func:`kpiloom.operators.skew.salted_key_join`); the
+    per-user aggregate combines the pieces map-side, and the distinct count is
+    planned as (user, order) partial aggregates before the final per-user one.
+    Because the anchor rows survive the join, a caller that passes its whole
+    per-user table gets it back aggregated once, with no second join.
     """
-    lines = order_lines(orders, items)
-    a = anchors.select("user_id", "anchor_ts")
-    # a hot user's orders are spread over several join tasks (see operators.skew)
-    ow = salted_key_join(lines, a, "user_id", counts_from=orders, salt_by="order_id")
+    lines = order_lines(orders, items).withColumn("_hit", F.lit(True))
+    extra = [c for c in anchors.columns if c != "user_id"]
+    j = salted_key_join(lines, anchors, "user_id", counts_from=orders, salt_by="order_id", how="right")
+    hit = F.col("_hit").isNotNull()                     # false on an anchor row without orders
     ts = F.col("created_at")
-    in_window = ts >= (F.col("anchor_ts") - F.make_dt_interval(F.lit(lookback_days)))
-    in_label = (ts > F.col("anchor_ts")) & (ts <= add_days("anchor_ts", label_days))
+    after_start = ts >= (F.col("anchor_ts") - F.make_dt_interval(F.lit(lookback_days)))
+    in_window = hit & after_start
+    in_label = hit & (ts > F.col("anchor_ts")) & (ts <= add_days("anchor_ts", label_days))
     weight = F.greatest(F.coalesce(F.col("n_items"), F.lit(0)), F.lit(1))
-    return ow.groupBy("user_id").agg(
+    return j.groupBy("user_id").agg(
         F.sum(F.when(in_window, weight).otherwise(F.lit(0))).alias("orders_30d"),
-        F.sum(F.when(in_window, F.col("price_sum")).otherwise(as_money(F.lit(0)))).alias("revenue_30d_dec"),
+        # an anchor row without orders contributes null (ignored), an order row 0 or its price sum
+        F.sum(F.when(hit, F.when(after_start, F.col("price_sum")).otherwise(as_money(F.lit(0)))))
+        .alias("revenue_30d_dec"),
         F.count_distinct(F.when(in_window, F.col("order_id"))).alias("frequency_30d"),
         F.count_if(in_label).alias("label_orders"),
+        F.count_if(hit).alias("order_rows"),
+        *[F.first(c).alias(c) for c in extra],
     )
 
 
@@ -122,27 +132,24 @@ def rfm(users: DataFrame, orders: DataFrame, items: DataFrame, anchors: DataFram
     ``(user_id, days_since_signup)`` like the original ``GROUP BY 1, 2``: their
     order counts add up and the distinct count does not.
     """
-    act = order_activity(orders, items, anchors, lookback_days)
-    return _rfm_from(users, anchors, act)
+    act = order_activity(orders, items, anchors.select("user_id", "anchor_ts"), lookback_days)
+    return _rfm_from(users, act)
 
 
-def _rfm_from(users: DataFrame, anchors: DataFrame, act: DataFrame, carry: list[str] | None = None) -> DataFrame:
-    """Users x anchors (inner) left-joined to the order aggregates, then grouped
-    by (user_id, days_since_signup).  ``carry`` are per-user columns of
-    ``anchors`` (or ``act``) passed through unchanged (functionally dependent on
-    ``user_id``)."""
+def _rfm_from(users: DataFrame, act: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """Users joined (inner) to the per-user order aggregate, grouped by
+    (user_id, days_since_signup).  ``carry`` are per-user columns of ``act``
+    passed through unchanged (functionally dependent on ``user_id``)."""
     carry = list(carry or [])
     u = users.select(F.col("id").alias("user_id"), "created_at")
-    a_cols = ["user_id", "anchor_ts"] + [c for c in carry if c in anchors.columns]
-    ua = u.join(anchors.select(*a_cols), "user_id", "inner")
-    j = ua.join(act, "user_id", "left")
-    has_orders = F.col("frequency_30d").isNotNull()
+    j = u.join(act, "user_id", "inner")
+    has_orders = F.col("order_rows") > 0
     per_row = j.select(
         "user_id",
         full_days_between("anchor_ts", "created_at").alias("days_since_signup"),
-        F.coalesce(F.col("orders_30d"), F.lit(0)).alias("orders_30d"),
+        "orders_30d",
         F.when(has_orders, F.col("revenue_30d_dec")).otherwise(as_money(F.lit(0))).alias("revenue_30d_dec"),
-        F.coalesce(F.col("frequency_30d"), F.lit(0)).alias("frequency_30d"),
+        "frequency_30d",
         *carry,
     )
     # grouping on (user_id, days) is satisfied by the join's user_id partitioning:
@@ -181,18 +188,18 @@ def features_conversion(users: DataFrame, orders: DataFrame, items: DataFrame, e
                         lookback_days: int = LOOKBACK_DAYS, label_days: int = LABEL_DAYS) -> DataFrame:
     """K7: rfm ⟕ source mix ⋈ label, shares coalesced to 0, label 0/1.
 
-    Plan: one aggregate over events gives the anchor *and* the source counts;
-    it is joined to users whole (so the mix needs no second aggregate) and, as
-    anchors only, to the orders.  One aggregate over orders x anchors gives the
-    30-day features *and* the label, so orders are read once.  Every join is on
-    ``user_id``; the left join of users to the order aggregate and the final
-    grouping reuse one hash partitioning.
+    Plan: every input is read once.  One aggregate over events gives the
+    anchor *and* the source counts; the orders are joined to that whole profile
+    (profile rows kept, hot users salted) and one aggregate gives the 30-day
+    features, the label and the profile back per user; users join last.  The
+    users join and the final grouping share one hash partitioning on
+    ``user_id``.
     """
     sources = SOURCES if sources is None else sources
     prof = event_profile(events, sources)
     counts = ["n_events"] + [f"n_{k}" for k in sources]
-    act = order_activity(orders, items, prof.select("user_id", "anchor_ts"), lookback_days, label_days)
-    r = _rfm_from(users, prof, act, carry=counts + ["label_orders"])
+    act = order_activity(orders, items, prof, lookback_days, label_days)
+    r = _rfm_from(users, act, carry=counts + ["label_orders"])
     return r.select(
         "user_id", "days_since_signup", "orders_30d", "revenue_30d", "frequency_30d",
         *[F.coalesce(F.try_divide(F.col(f"n_{k}"), F.col("n_events")), F.lit(0.0)).alias(k) for k in sources],

@@ -16,6 +16,10 @@ hot keys are split explicitly:
 5. join on (key, salt).  Every join task then holds at most about ``limit``
    rows of one key, and the per-key aggregate that follows combines the salted
    pieces map-side.
+
+Cost: both sides need the hot set, and with AQE on Spark does not reuse one
+broadcast subtree under two joins, so the one-column count runs twice (a scan
+of the key column and a partial aggregate each time).
 """
 
 from __future__ import annotations
@@ -45,6 +49,8 @@ def salted_key_join(big: DataFrame, lookup: DataFrame, key: str, counts_from: Da
     one row per ``big`` row (e.g. the source table's key column), so the
     counting pass does not recompute ``big``."""
     limit = limit or hot_key_rows(big.sparkSession)
+    if how in ("inner", "right", "right_outer", "rightouter"):
+        big = big.filter(F.col(key).isNotNull())      # cannot match; kept out of the shuffle
     hot = F.broadcast(hot_keys(counts_from.select(key), key, limit))   # <= rows / limit keys
     b = big.join(hot, key, "left").withColumn(
         "_salt", F.when(F.col("_salts").isNull(), F.lit(0))
