@@ -1,7 +1,11 @@
 """Exact money sums.
 
-Prices are summed as ``decimal(18,4)`` so a revenue figure does not depend on
-partitioning or summation order (a double sum does), then returned as double.
+Prices are summed as whole units of 1e-4 in ``bigint``: exact, independent of
+partitioning and summation order (a double sum is neither), on the long fast
+path (a ``decimal(18,4)`` sum widens to ``decimal(28,4)``, which Spark keeps as
+BigInteger bytes and reallocates per row), and an overflow raises under ANSI
+instead of wrapping.  The result is returned as ``units / 10000`` in double,
+the correctly rounded value of the exact sum below 2^53 units (9e11 in money).
 """
 
 from __future__ import annotations
@@ -9,18 +13,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MONEY = "decimal(18,4)"
+# Fixed value: money is exact to four decimal places.
+MONEY_SCALE = 10_000
 
 
-def as_money(c) -> Column:
+def as_units(c) -> Column:
+    """A price as whole 1e-4 units (rounded to four decimals), ``bigint``."""
     c = F.col(c) if isinstance(c, str) else c
-    return c.cast(MONEY)
+    return F.round(c * F.lit(MONEY_SCALE)).cast("bigint")
 
 
 def money_sum(c) -> Column:
-    """``sum`` in exact decimal (null-ignoring, null on no input)."""
-    return F.sum(as_money(c))
+    """Exact sum in 1e-4 units (null-ignoring, null on no input)."""
+    return F.sum(as_units(c))
 
 
-def to_double(c) -> Column:
-    return c.cast("double")
+def zero_units() -> Column:
+    return F.lit(0).cast("bigint")
+
+
+def units_to_double(c) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    return c / F.lit(float(MONEY_SCALE))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import add_days, full_days_between
-from ..functions.money import as_money, money_sum
+from ..functions.money import money_sum, units_to_double, zero_units
 from .skew import left_join_nulls_aside, salted_key_join
 
 # Fixed values of the model.
@@ -86,7 +86,7 @@ def order_activity(
 
     * ``orders_30d`` = item rows of orders at or after ``anchor - 30 d`` (there is
       no upper bound: orders after the anchor count too, as in the original);
-    * ``revenue_30d_dec`` = their price sum (null when every in-window row is
+    * ``revenue_30d_units`` = their price sum (null when every in-window row is
       unpriced, 0 contributions from out-of-window rows);
     * ``frequency_30d`` = distinct in-window order ids;
     * ``label_orders`` = orders (any status) in ``(anchor, anchor + 14 d]``;
@@ -112,8 +112,8 @@ def order_activity(
     return j.groupBy("user_id").agg(
         F.sum(F.when(in_window, weight).otherwise(F.lit(0))).alias("orders_30d"),
         # an anchor row without orders contributes null (ignored), an order row 0 or its price sum
-        F.sum(F.when(hit, F.when(after_start, F.col("price_sum")).otherwise(as_money(F.lit(0)))))
-        .alias("revenue_30d_dec"),
+        F.sum(F.when(hit, F.when(after_start, F.col("price_sum")).otherwise(zero_units())))
+        .alias("revenue_30d_units"),
         F.count_distinct(F.when(in_window, F.col("order_id"))).alias("frequency_30d"),
         F.count_if(in_label).alias("label_orders"),
         F.count_if(hit).alias("order_rows"),
@@ -148,7 +148,7 @@ def _rfm_from(users: DataFrame, act: DataFrame, carry: list[str] | None = None)
         "user_id",
         full_days_between("anchor_ts", "created_at").alias("days_since_signup"),
         "orders_30d",
-        F.when(has_orders, F.col("revenue_30d_dec")).otherwise(as_money(F.lit(0))).alias("revenue_30d_dec"),
+        F.when(has_orders, F.col("revenue_30d_units")).otherwise(zero_units()).alias("revenue_30d_units"),
         "frequency_30d",
         *carry,
     )
@@ -156,14 +156,14 @@ def _rfm_from(users: DataFrame, act: DataFrame, carry: list[str] | None = None)
     # no extra shuffle
     g = per_row.groupBy("user_id", "days_since_signup").agg(
         F.sum("orders_30d").alias("orders_30d"),
-        F.sum("revenue_30d_dec").alias("revenue_30d_dec"),
+        F.sum("revenue_30d_units").alias("revenue_30d_units"),
         F.max("frequency_30d").alias("frequency_30d"),
         *[F.first(c).alias(c) for c in carry],
     )
     return g.select(
         "user_id", "days_since_signup",
         F.col("orders_30d").cast("bigint").alias("orders_30d"),
-        F.col("revenue_30d_dec").cast("double").alias("revenue_30d"),
+        units_to_double("revenue_30d_units").alias("revenue_30d"),
         F.col("frequency_30d").cast("bigint").alias("frequency_30d"),
         *carry,
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import day_of, day_start
-from ..functions.money import as_money, money_sum
+from ..functions.money import money_sum, units_to_double, zero_units
 
 COMPLETE = "Complete"
 
@@ -34,7 +34,7 @@ def revenue_daily(orders: DataFrame, items: DataFrame, complete: str = COMPLETE)
     is_complete = F.col("status") == complete
     agg = joined.groupBy("day").agg(
         F.sum(F.when(is_complete, F.col("n_items")).otherwise(F.lit(0))).alias("orders"),
-        F.sum(F.when(is_complete, F.col("price_sum")).otherwise(as_money(F.lit(0)))).alias("revenue_dec"),
+        F.sum(F.when(is_complete, F.col("price_sum")).otherwise(zero_units())).alias("revenue_units"),
         # an order whose items all have null price contributes no revenue but
         # its rows still count: keep "sum is null" only when every complete
         # item price on the day is null (as a plain SUM would)
@@ -42,8 +42,8 @@ def revenue_daily(orders: DataFrame, items: DataFrame, complete: str = COMPLETE)
     return agg.select(
         "day",
         F.col("orders").cast("bigint").alias("orders"),
-        F.col("revenue_dec").cast("double").alias("revenue"),
-        F.try_divide(F.col("revenue_dec").cast("double"), F.nullif(F.col("orders"), F.lit(0))).alias("aov"),
+        units_to_double("revenue_units").alias("revenue"),
+        F.try_divide(units_to_double("revenue_units"), F.nullif(F.col("orders"), F.lit(0))).alias("aov"),
     )
 
 
@@ -66,12 +66,12 @@ def revenue_daily_completed(orders: DataFrame, items: DataFrame, complete: str =
     joined = o.join(per_order_items, "order_id", "inner")
     agg = joined.groupBy("day").agg(
         F.count_distinct("order_id").alias("orders"),
-        F.sum("price_sum").alias("revenue_dec"),
+        F.sum("price_sum").alias("revenue_units"),
         F.sum("n_priced").alias("n_priced"),
     )
     return agg.select(
         "day",
         F.col("orders").cast("bigint").alias("orders"),
-        F.col("revenue_dec").cast("double").alias("revenue"),
-        F.try_divide(F.col("revenue_dec").cast("double"), F.col("n_priced")).alias("aov"),
+        units_to_double("revenue_units").alias("revenue"),
+        F.try_divide(units_to_double("revenue_units"), F.col("n_priced")).alias("aov"),
     )

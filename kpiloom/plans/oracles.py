@@ -2,7 +2,8 @@
 fan-out shape (joins first, aggregates after), over the raw driver tables.
 
 Every oracle starts with the silver adapter as a shared WITH prefix.  Money is
-summed as DECIMAL(18,4) and returned as DOUBLE, like the Spark side.
+summed as DECIMAL(18,4) and returned as DOUBLE (the Spark side sums exact 1e-4
+units; both give the correctly rounded double of the exact sum).
 """
 
 from __future__ import annotations
