@@ -14,6 +14,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import schemas
 from .tables import read_table
@@ -112,13 +113,25 @@ def silver_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events_from_events(read_table(spark, sf_dir, "events"))
 
 
+def _as_declared(df: DataFrame, field) -> F.Column:
+    c = F.col(field.name)
+    have = df.schema[field.name].dataType
+    if isinstance(field.dataType, T.TimestampNTZType) and isinstance(have, T.TimestampType):
+        # an instant -> its UTC wall-clock time (the models work in UTC), whatever
+        # the session time zone is
+        zone = df.sparkSession.conf.get("spark.sql.session.timeZone")
+        return F.to_utc_timestamp(c, zone).cast("timestamp_ntz").alias(field.name)
+    return c.cast(field.dataType).alias(field.name)
+
+
 def conform(df: DataFrame, schema, name: str) -> DataFrame:
     """Select a source table's columns in the declared types (S1: the declared
-    source schema).  A missing column raises with the table and column named."""
+    source schema).  A missing column raises with the table and column named;
+    session-zone timestamps become UTC wall-clock ``timestamp_ntz``."""
     missing = [f.name for f in schema.fields if f.name not in df.columns]
     if missing:
         raise ValueError(f"source table {name} lacks column(s) {missing}")
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+    return df.select(*[_as_declared(df, f) for f in schema.fields])
 
 
 class Sources:

@@ -128,3 +128,16 @@ def test_typed_parameter_list(spark):
                for r in reports.run_report(spark, "revenue_daily_range", SF_SMALL, open_end).collect())
     with pytest.raises(ValueError):
         reports.typed_params([{"name": "x", "type": "GEOGRAPHY", "value": "POINT(0 0)"}])
+
+
+def test_instants_become_utc_wall_clock(spark):
+    from kpiloom.sources.silver import conform
+    from kpiloom.sources import schemas
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        df = spark.sql("SELECT 1L AS id, to_timestamp('2024-01-01 05:30:00+00:00') AS created_at")
+        row = conform(df, schemas.USERS, "users").first()
+        assert row["created_at"] == dt.datetime(2024, 1, 1, 5, 30)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
