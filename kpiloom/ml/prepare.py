@@ -75,13 +75,23 @@ def assign_split(df: DataFrame, label: str = TARGET, id_col: str = "user_id",
     at or below the label's (1 - test_fraction) percentile train, the rest test,
     so the class ratio is kept on both sides.
 
+    A class with at least two rows keeps at least one on each side: when its
+    percentile is its largest hash (small classes), the threshold drops to the
+    class's second-largest hash.
+
     Deterministic under any partitioning (unlike ``randomSplit``).  The
     thresholds are one row per label value, so broadcasting them is bounded by
     the number of classes.  ``percentile_approx`` is exact up to its accuracy
     (100,000 rows per label) and approximate beyond.
     """
     h = df.withColumn("_h", split_hash(id_col, seed))
-    thr = h.groupBy(label).agg(F.percentile_approx("_h", 1.0 - test_fraction, 100000).alias("_thr"))
+    stats = h.groupBy(label).agg(F.percentile_approx("_h", 1.0 - test_fraction, 100000).alias("_p"),
+                                 F.max("_h").alias("_mx"), F.count(F.lit(1)).alias("_n"))
+    second = (h.join(F.broadcast(stats.select(label, "_mx")), label, "inner")
+              .filter(F.col("_h") < F.col("_mx")).groupBy(label).agg(F.max("_h").alias("_second")))
+    keep_one = (F.col("_n") >= 2) & (F.col("_p") >= F.col("_mx"))
+    thr = stats.join(second, label, "left").select(
+        label, F.when(keep_one, F.coalesce(F.col("_second"), F.col("_p"))).otherwise(F.col("_p")).alias("_thr"))
     j = h.join(F.broadcast(thr), label, "inner")
     return j.withColumn("split", F.when(F.col("_h") <= F.col("_thr"), "train").otherwise("test")).drop("_h", "_thr")
 

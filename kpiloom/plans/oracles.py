@@ -371,7 +371,14 @@ def oracle_sql() -> dict[str, str]:
     fc AS (
       SELECT *, CAST('0x' || substr(md5('42:' || CAST(user_id AS VARCHAR)), 1, 12) AS BIGINT) AS h
       FROM features_conversion),
-    thr AS (SELECT will_convert_14d, quantile_disc(h, 0.8) AS t FROM fc GROUP BY 1),
+    stats AS (SELECT will_convert_14d, quantile_disc(h, 0.8) AS p, max(h) AS mx, count(*) AS n FROM fc GROUP BY 1),
+    thr AS (
+      SELECT s.will_convert_14d,
+             CASE WHEN s.n >= 2 AND s.p >= s.mx
+                  THEN coalesce((SELECT max(f.h) FROM fc f
+                                 WHERE f.will_convert_14d = s.will_convert_14d AND f.h < s.mx), s.p)
+                  ELSE s.p END AS t
+      FROM stats s),
     split AS (
       SELECT fc.*, CASE WHEN fc.h <= thr.t THEN 'train' ELSE 'test' END AS split
       FROM fc JOIN thr ON thr.will_convert_14d = fc.will_convert_14d)"""

@@ -95,3 +95,15 @@ def test_artifacts_round_trip(spark, data, tmp_path):
     assert 0.0 <= accuracy(s) <= 1.0
     with pytest.raises(FileNotFoundError):
         artifacts.load_importance(spark, out)
+
+
+def test_small_classes_keep_a_test_row(spark):
+    df = spark.range(0, 15).select(F.col("id").alias("user_id"),
+                                   (F.col("id") >= 4).cast("bigint").alias("will_convert_14d"))
+    s = prepare.assign_split(df)
+    c = {(r["split"], r["will_convert_14d"]): r["count"] for r in s.groupBy("split", "will_convert_14d").count().collect()}
+    assert c.get(("test", 0), 0) >= 1 and c.get(("train", 0), 0) >= 1
+    assert c.get(("test", 1), 0) >= 1 and c.get(("train", 1), 0) >= 1
+    single = spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "user_id long, will_convert_14d long")
+    got = {r["user_id"]: r["split"] for r in prepare.assign_split(single).collect()}
+    assert got[1] == "train"                       # a one-row class stays in training
