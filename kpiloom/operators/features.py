@@ -172,15 +172,14 @@ def _rfm_from(users: DataFrame, act: DataFrame, carry: list[str] | None = None)
 def conversion_label(anchors: DataFrame, orders: DataFrame, label_days: int = LABEL_DAYS) -> DataFrame:
     """K7d: ``(user_id, will_convert_14d)`` for every anchored user (null user
     included): 1 when the user has any order, of any status, in
-    ``(anchor, anchor + 14 d]``."""
-    ts = F.col("created_at")
+    ``(anchor, anchor + 14 d]``.  Orders are joined onto the anchors with every
+    anchor row kept (hot users salted), then counted per user."""
+    o = orders.select("order_id", "user_id", "created_at").withColumn("_hit", F.lit(True))
     a = anchors.select("user_id", "anchor_ts")
-    in_label = (ts > F.col("anchor_ts")) & (ts <= add_days("anchor_ts", label_days))
-    o = orders.select("order_id", "user_id", "created_at")
-    hits = (salted_key_join(o, a, "user_id", counts_from=orders, salt_by="order_id")
-            .groupBy("user_id").agg(F.count_if(in_label).alias("label_orders")))
-    return a.join(hits, "user_id", "left").select(
-        "user_id", (F.coalesce(F.col("label_orders"), F.lit(0)) > 0).cast("bigint").alias("will_convert_14d"))
+    j = salted_key_join(o, a, "user_id", counts_from=orders, salt_by="order_id", how="right")
+    ts = F.col("created_at")
+    in_label = F.col("_hit").isNotNull() & (ts > F.col("anchor_ts")) & (ts <= add_days("anchor_ts", label_days))
+    return j.groupBy("user_id").agg((F.count_if(in_label) > 0).cast("bigint").alias("will_convert_14d"))
 
 
 def features_conversion(users: DataFrame, orders: DataFrame, items: DataFrame, events: DataFrame,
