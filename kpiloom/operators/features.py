@@ -16,12 +16,6 @@ LABEL_DAYS = 14
 SOURCES = {"pct_email": "Email", "pct_direct": "Direct", "pct_organic": "Organic",
            "pct_ads": "Ads", "pct_social": "Social"}
 
-FEATURE_COLUMNS = [
-    "user_id", "days_since_signup", "orders_30d", "revenue_30d", "frequency_30d",
-    "pct_email", "pct_direct", "pct_organic", "pct_ads", "pct_social", "will_convert_14d",
-]
-
-
 # -- K7a + K7c: one pass over events ----------------------------------------
 
 def event_profile(events: DataFrame, sources: dict[str, str] | None = None) -> DataFrame:

@@ -7,7 +7,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
@@ -49,16 +48,6 @@ GOLD_TESTS = (
     AcceptedValues("features_conversion", "will_convert_14d", (0, 1)),
 )
 
-REPORT_SCHEMA = T.StructType([
-    T.StructField("test_id", T.IntegerType()),
-    T.StructField("model", T.StringType()),
-    T.StructField("column", T.StringType()),
-    T.StructField("test", T.StringType()),
-    T.StructField("failures", T.LongType()),
-    T.StructField("passed", T.BooleanType()),
-])
-
-
 def run_suite(spark: SparkSession, models: dict[str, DataFrame], tests=GOLD_TESTS) -> DataFrame:
     """Evaluate every test; all tests of one model run in a single aggregate, so
     each model is scanned once however many tests it has.  The report has one

@@ -90,6 +90,13 @@ def test_sizing(spark):
     assert sizing_conf(n)["spark.sql.shuffle.partitions"] == "200"            # floor for small inputs
     assert sizing_conf(100 << 40)["spark.sql.shuffle.partitions"] == "100000"  # 100 TB: the cap
     assert sizing_conf(1 << 40)["spark.sql.shuffle.partitions"] == "8192"      # 1 TB / 128 MB
+    from kpiloom.session import size_session
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        conf = size_session(spark, [f"{SF_SMALL}/lineitem.parquet"])
+        assert spark.conf.get("spark.sql.shuffle.partitions") == conf["spark.sql.shuffle.partitions"] == "200"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
 
 
 def test_publish_makes_a_named_view(spark):
