@@ -89,19 +89,25 @@ def _leaf_table(nodes: dict, scale: float) -> LeafTable:
     return LeafTable(groups, scale, expected)
 
 
-MAX_CELLS = 2_000_000      # rows x leaves x (depth + 1) per working array (16 MB)
+MAX_CELLS = 20_000         # rows x leaves x (depth + 1) per working array (160 KB: stays in cache)
 
 
 def _group_shap(g: LeafGroup, x: np.ndarray, phi: np.ndarray, scale: float) -> None:
     """Add one leaf group's contributions to ``phi``, in row chunks that keep
     every working array near ``MAX_CELLS`` doubles whatever the tree size."""
     n_leaves, d = g.feat.shape
+    # leaf -> feature scatter matrices, one per path position (dense, L x M)
+    onehots = []
+    for i in range(d):
+        oh = np.zeros((n_leaves, phi.shape[1]))
+        oh[np.arange(n_leaves), g.feat[:, i]] = 1.0
+        onehots.append(oh)
     step = max(1, MAX_CELLS // (n_leaves * (d + 1)))
     for start in range(0, x.shape[0], step):
-        _group_shap_rows(g, x[start:start + step], phi[start:start + step], scale)
+        _group_shap_rows(g, x[start:start + step], phi[start:start + step], scale, onehots)
 
 
-def _group_shap_rows(g: LeafGroup, x: np.ndarray, phi: np.ndarray, scale: float) -> None:
+def _group_shap_rows(g: LeafGroup, x: np.ndarray, phi: np.ndarray, scale: float, onehots) -> None:
     n = x.shape[0]
     n_leaves, d = g.feat.shape
     xv = x[:, g.feat]                                            # (n, L, d)
@@ -126,18 +132,38 @@ def _group_shap_rows(g: LeafGroup, x: np.ndarray, phi: np.ndarray, scale: float)
         s_const = (q[..., :d] @ g.weight) / zi
         s = np.where(oi > 0, s_div, s_const)
         contrib = g.value[None, :] * (oi - zi) * s               # (n, L)
-        np.add.at(phi.T, g.feat[:, i], scale * contrib.T)
+        phi += scale * (contrib @ onehots[i])
 
 
-def tree_shap(tables: list[LeafTable], x: np.ndarray, n_features: int) -> tuple[np.ndarray, float]:
-    """SHAP values (rows, features) of the ensemble output and its expected value."""
-    phi = np.zeros((x.shape[0], n_features))
-    base = 0.0
+def merge_tables(tables: list[LeafTable]) -> LeafTable:
+    """All trees' leaves in one table: contributions add up over trees and each
+    depends only on its own path, so leaves of equal path length from every tree
+    form one group (tree weight folded into the leaf value).  Fewer, larger
+    array operations per batch."""
+    by_depth: dict[int, list] = {}
     for t in tables:
-        base += t.scale * t.expected
         for g in t.groups:
-            _group_shap(g, x, phi, t.scale)
-    return phi, base
+            by_depth.setdefault(g.feat.shape[1], []).append((g, t.scale))
+    groups = []
+    for d, parts in sorted(by_depth.items()):
+        groups.append(LeafGroup(
+            value=np.concatenate([g.value * sc for g, sc in parts]),
+            feat=np.concatenate([g.feat for g, _ in parts]),
+            lo=np.concatenate([g.lo for g, _ in parts]),
+            hi=np.concatenate([g.hi for g, _ in parts]),
+            z=np.concatenate([g.z for g, _ in parts]),
+            weight=parts[0][0].weight))
+    return LeafTable(groups, 1.0, float(sum(t.scale * t.expected for t in tables)))
+
+
+def tree_shap(tables, x: np.ndarray, n_features: int) -> tuple[np.ndarray, float]:
+    """SHAP values (rows, features) of the ensemble output and its expected value.
+    ``tables``: the per-tree leaf tables or one merged table."""
+    merged = tables if isinstance(tables, LeafTable) else merge_tables(tables)
+    phi = np.zeros((x.shape[0], n_features))
+    for g in merged.groups:
+        _group_shap(g, x, phi, merged.scale)
+    return phi, merged.scale * merged.expected
 
 
 def _nodes_from_saved(spark: SparkSession, path: str, classification: bool):
@@ -194,7 +220,7 @@ def shap_values(spark: SparkSession, tree_model, df: DataFrame, features: list[s
                 id_col: str = "user_id") -> DataFrame:
     """Per row: ``id``, ``base`` and one ``shap_<feature>`` column per feature."""
     # shipped once per executor as a broadcast (bounded by the model size)
-    tables_bc = spark.sparkContext.broadcast(leaf_tables(spark, tree_model))
+    tables_bc = spark.sparkContext.broadcast(merge_tables(leaf_tables(spark, tree_model)))
     m = len(features)
     fields = [T.StructField(id_col, T.LongType()), T.StructField("base", T.DoubleType())]
     fields += [T.StructField(f"shap_{f}", T.DoubleType()) for f in features]
