@@ -8,11 +8,14 @@ of ``o_j`` (the row satisfies the path's interval on feature j) when j in S and
 ``z_j`` (the cover fraction the path keeps on feature j) otherwise.  Shapley
 values of such a product game have a closed form through the coefficients of
 ``prod_j (z_j + o_j t)``; evaluating it per leaf, vectorised over a batch of rows
-with numpy, gives exact SHAP values in O(leaves * depth^2) per row and tree.
-
-The model (tree tables, bounded by the model size, which already lives on the
-driver) is read back from the saved model's node data and broadcast; rows are explained batch by batch in ``mapInPandas`` and the
-per-feature mean |SHAP| is a Spark aggregate.
+with numpy, gives exact SHAP values in O(leaves * depth^2) per row.  Leaf
+contributions add up over trees, so the leaves of all trees are merged into one
+table per path length (tree weight folded into the leaf value).
+
+The model (leaf tables, bounded by the model size, which already lives on the
+driver) is read back from the saved model's node data and broadcast; rows are
+explained batch by batch in ``mapInPandas``, and the per-feature mean |SHAP| is
+a Spark aggregate.
 """
 
 from __future__ import annotations
