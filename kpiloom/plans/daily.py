@@ -39,16 +39,18 @@ class TrainingRun:
 
 def train_from_table(spark: SparkSession, table: DataFrame, table_name: str, out: str,
                      target: str = prepare.TARGET, profile: train.Profile | None = None,
-                     shap_rows: int | None = SHAP_SAMPLE_ROWS) -> TrainingRun:
+                     shap_rows: int | None = SHAP_SAMPLE_ROWS, checkpoint: bool = True) -> TrainingRun:
     """Coerce, split, fit the candidates, pick and save the champion, explain it.
 
     The coerced table is checkpointed to the shared checkpoint folder (reliable
-    storage: lost executors do not force a rebuild of the gold models), and the
-    two splits are cached because every candidate reads them.
+    storage: lost executors do not force a rebuild of the gold models) unless
+    ``checkpoint=False`` says the input already is; the two splits are cached
+    because every candidate reads them.
     """
     checkpoint_dir(spark)
     coerced, feats = prepare.coerce_features(table, target=target)
-    coerced = coerced.checkpoint(eager=True)
+    if checkpoint:
+        coerced = coerced.checkpoint(eager=True)
     rows = coerced.count()
     tr, te = prepare.stratified_split(coerced, label=target)
     tr, te = tr.cache(), te.cache()
@@ -75,16 +77,24 @@ def run_daily_batch(spark: SparkSession, sf_dir: str | Sources, out: str, featur
                  profile: train.Profile | None = None) -> tuple[DataFrame, TrainingRun]:
     """Build the gold models, run the data-quality suite, stop when a test fails
     (:class:`QualityGateError`), otherwise train on the first available feature
-    table (``feature_table`` override first, then the gold view)."""
+    table (``feature_table`` override first, then the gold view).
+
+    The feature model, the heaviest one, is checkpointed once to the shared
+    folder before the suite, so the suite and the training read it from there
+    instead of computing it twice.
+    """
     from .reports import gold_models, publish
     src = sf_dir if isinstance(sf_dir, Sources) else Sources(spark, sf_dir)
     models = gold_models(src)
+    checkpoint_dir(spark)
+    models["features_conversion"] = models["features_conversion"].checkpoint(eager=True)
     report = dq.run_suite(spark, models)
     dq.gate(report)
     for name, df in models.items():
         publish(df, name)
     table, name = catalog.load_features(spark, (feature_table, catalog.DEFAULT_FEATURE_TABLE))
-    run = train_from_table(spark, table, name, out, profile=profile)
+    run = train_from_table(spark, table, name, out, profile=profile,
+                           checkpoint=feature_table is not None and name != catalog.DEFAULT_FEATURE_TABLE)
     return report, run
 
 
