@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,14 +25,32 @@ def feature_columns(df: DataFrame, id_cols=ID_COLUMNS, target: str = TARGET) ->
     return [c for c in df.columns if c not in drop]
 
 
-_WS = r"^\s+|\s+$"
+_WS = r"(?U)^\s+|\s+$"                 # Unicode whitespace at either end
+_DIGIT_UNDERSCORE = r"(?<=\d)_(?=\d)"      # one '_' between digits, as Python's float() allows
+
+
+@lru_cache(maxsize=1)
+def _unicode_digits() -> tuple[str, str]:
+    """Every non-ASCII decimal digit and its ASCII value, built from the
+    Unicode database (Python's float() reads digits of any script)."""
+    src, dst = [], []
+    for cp in range(sys.maxunicode + 1):
+        ch = chr(cp)
+        if ch.isdecimal() and not ("0" <= ch <= "9"):
+            src.append(ch)
+            dst.append(str(unicodedata.decimal(ch)))
+    return "".join(src), "".join(dst)
 
 
 def _text_to_double(c: Column) -> Column:
+    """Text parsed like Python's ``float()`` after stripping whitespace and one
+    pair of surrounding brackets; unparsable text is 0."""
     s = F.regexp_replace(c, _WS, "")
     bracketed = s.startswith("[") & s.endswith("]")
     inner = F.regexp_replace(F.substring(s, F.lit(2), F.length(s) - 2), _WS, "")
     s = F.when(bracketed, inner).otherwise(s)
+    src, dst = _unicode_digits()
+    s = F.regexp_replace(F.translate(s, src, dst), _DIGIT_UNDERSCORE, "")
     return F.coalesce(s.try_cast("double"), F.lit(0.0))
 
 
