@@ -148,3 +148,13 @@ def test_instants_become_utc_wall_clock(spark):
         assert row["created_at"] == dt.datetime(2024, 1, 1, 5, 30)
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from kpiloom.__main__ import main
+    assert main(["list"]) == 0
+    assert "features_conversion" in capsys.readouterr().out
+    out = str(tmp_path / "rd")
+    assert main(["report", "revenue_daily_range", "--data", SF_SMALL, "--out", out,
+                 "--param", "start=DATE:2024-01-05", "--param", "end=DATE:2024-01-06"]) == 0
+    assert spark.read.parquet(out).count() == 2
