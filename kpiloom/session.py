@@ -26,17 +26,21 @@ DEFAULT_CONF = {
 
 
 def build_session(
-    master: str = "local[*]",
+    master: str | None = None,
     app_name: str = "kpiloom",
     shuffle_partitions: int | None = None,
     extra: dict | None = None,
 ) -> SparkSession:
     """Create (or reuse) a session with the package defaults.
 
-    On a cluster the launcher owns ``master`` and resource settings; this only
-    adds the SQL settings the jobs rely on.
+    ``master`` is set only when given (tests, the local bench): under
+    ``spark-submit`` the launcher owns the master and resource settings, and a
+    master set in code would override it.  This only adds the SQL settings the
+    jobs rely on.
     """
-    b = SparkSession.builder.master(master).appName(app_name)
+    b = SparkSession.builder.appName(app_name)
+    if master is not None:
+        b = b.master(master)
     for k, v in DEFAULT_CONF.items():
         b = b.config(k, v)
     if shuffle_partitions is not None:
