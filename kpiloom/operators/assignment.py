@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.hashing import bucket
 
 
+def assign(id_col, share_a: int = 50, method: str = "md5", n_buckets: int = 100) -> F.Column:
+    """The group of an id: 'A' for buckets below ``share_a``, else 'B' (null id -> 'B')."""
+    return F.when(bucket(id_col, n_buckets, method) < share_a, F.lit("A")).otherwise(F.lit("B"))
+
+
 def ab_group(users: DataFrame, share_a: int = 50, method: str = "md5", n_buckets: int = 100) -> DataFrame:
     """``(user_id, ab_group)``: bucket = hash(id as text) mod 100; buckets below
     ``share_a`` -> 'A', else 'B'.  A null id falls to the ELSE branch -> 'B'.
@@ -16,11 +21,8 @@ def ab_group(users: DataFrame, share_a: int = 50, method: str = "md5", n_buckets
     hash is a parameter: ``md5`` (first 8 hex digits, reproducible in SQL) or
     ``xxhash64``.
     """
-    b = bucket("id", n_buckets, method)
-    return users.select(
-        F.col("id").alias("user_id"),
-        F.when(b < share_a, F.lit("A")).otherwise(F.lit("B")).alias("ab_group"),
-    )
+    return users.select(F.col("id").alias("user_id"),
+                        assign("id", share_a, method, n_buckets).alias("ab_group"))
 
 
 def ab_metrics(funnel: DataFrame, groups: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -44,3 +46,28 @@ def ab_metrics(funnel: DataFrame, groups: DataFrame, keys: list[str] | None = No
         F.col("converters").cast("bigint").alias("converters"),
         F.try_divide(F.col("converters"), F.col("users")).alias("conversion_rate"),
     )
+
+
+def ab_metrics_from_users(users: DataFrame, events: DataFrame, orders: DataFrame, share_a: int = 50,
+                          method: str = "md5") -> DataFrame:
+    """Gold A/B metrics (:func:`ab_metrics` of the funnel joined with the
+    assignment of every user row) from one read of ``users``.
+
+    The assignment is a function of the id, so instead of scanning and
+    shuffling the users a second time to join it on, each distinct id carries
+    its number of user rows ``n`` (the join's multiplicity) and gets its group
+    as a column: ``users = sum(n)``, ``converters = sum(n * converted)``.  A
+    null id never matches in the join, so it is left out.
+    """
+    from .funnel import funnel_with_rows
+    f = funnel_with_rows(users, events, orders).filter(F.col("user_id").isNotNull())
+    agg = f.groupBy(assign("user_id", share_a, method).alias("ab_group")).agg(
+        F.sum("n").alias("users"),
+        F.sum(F.col("n") * F.col("converted").cast("bigint")).alias("converters"),
+    )
+    return agg.select(
+        "ab_group",
+        F.col("users").cast("bigint").alias("users"),
+        F.col("converters").cast("bigint").alias("converters"),
+        F.try_divide(F.col("converters"), F.col("users")).alias("conversion_rate"),
+    )

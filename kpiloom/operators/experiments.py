@@ -150,7 +150,6 @@ def run_experiment(users: DataFrame, events: DataFrame, orders: DataFrame,
                    alpha: float = DEFAULT_ALPHA, method: str = "md5") -> DataFrame:
     """Funnel + assignment -> group metrics -> one row of cells -> z-test, SRM and
     verdict, as one logical plan."""
-    from .assignment import ab_group, ab_metrics
-    from .funnel import funnel_users
-    metrics = ab_metrics(funnel_users(users, events, orders), ab_group(users, method=method))
+    from .assignment import ab_metrics_from_users
+    metrics = ab_metrics_from_users(users, events, orders, method=method)
     return ab_verdict(ab_test(ab_pivot(metrics), alpha))

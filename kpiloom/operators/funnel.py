@@ -36,17 +36,36 @@ def funnel_users(
     one hash partitioning.
     """
     base = users.select(F.col("id").alias("user_id")).distinct()
+    return _flags_for(base, events, orders, visit, cart, complete)
+
+
+def user_rows(users: DataFrame) -> DataFrame:
+    """``(user_id, n)``: each distinct user id with its number of user rows."""
+    return users.groupBy(F.col("id").alias("user_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def funnel_with_rows(users: DataFrame, events: DataFrame, orders: DataFrame, visit: str = "page_view",
+                     cart: str = "add_to_cart", complete: str = COMPLETE) -> DataFrame:
+    """:func:`funnel_users` plus ``n``, the number of user rows per id: what a
+    join of the funnel with a per-user-row table multiplies each user by."""
+    return _flags_for(user_rows(users), events, orders, visit, cart, complete)
+
+
+def _flags_for(base: DataFrame, events: DataFrame, orders: DataFrame, visit: str, cart: str,
+               complete: str) -> DataFrame:
     ev = events.groupBy("user_id").agg(
         _flag(F.col("event_type") == visit).alias("visited_flag"),
         _flag(F.col("event_type") == cart).alias("atc_flag"),
     )
     conv = purchasers(orders, complete).withColumn("_conv", F.lit(True))
     j = base.join(ev, "user_id", "left").join(conv, "user_id", "left")
+    extra = [c for c in base.columns if c != "user_id"]
     return j.select(
         "user_id",
         (F.coalesce(F.col("visited_flag"), F.lit(0)) == 1).alias("visited"),
         (F.coalesce(F.col("atc_flag"), F.lit(0)) == 1).alias("added_to_cart"),
         F.col("_conv").isNotNull().alias("converted"),
+        *extra,
     )
 
 

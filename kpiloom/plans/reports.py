@@ -135,7 +135,7 @@ def _ab_group(src: Sources, method: str = "md5") -> DataFrame:
 
 @report("ab_metrics")
 def _ab_metrics(src: Sources) -> DataFrame:
-    return asg.ab_metrics(_funnel_users(src), _ab_group(src))
+    return asg.ab_metrics_from_users(src.users, src.events, src.orders)
 
 
 # -- reports --------------------------------------------------------------------

@@ -10,6 +10,7 @@ import duckdb
 import pyarrow as pa
 import pytest
 
+from kpiloom.operators import assignment as asg
 from kpiloom.operators import features as feat
 from kpiloom.operators import funnel as fun
 from kpiloom.operators import retention as ret
@@ -71,6 +72,10 @@ CASES = {
                             "SELECT * FROM retention_unbounded"),
     "features_conversion": (lambda u, o, i, e: feat.features_conversion(u, o, i, e), [O.FEATURES],
                             "SELECT * FROM features_conversion"),
+    "ab_metrics": (lambda u, o, i, e: asg.ab_metrics_from_users(u, e, o), [O.FUNNEL_USERS, O.AB_GROUP, O.AB_METRICS],
+                   "SELECT * FROM ab_metrics"),
+    "ab_metrics_join": (lambda u, o, i, e: asg.ab_metrics(fun.funnel_users(u, e, o), asg.ab_group(u)),
+                        [O.FUNNEL_USERS, O.AB_GROUP, O.AB_METRICS], "SELECT * FROM ab_metrics"),
     "features_label": (lambda u, o, i, e: feat.conversion_label(feat.last_event(e), o), [O.FEATURES],
                        "SELECT user_id, CAST(will_convert_14d AS BIGINT) AS will_convert_14d FROM label"),
 }
