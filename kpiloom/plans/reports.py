@@ -300,15 +300,12 @@ def _ab_experiment(src: Sources, alpha: float = exp.DEFAULT_ALPHA) -> DataFrame:
 # -- data quality -------------------------------------------------------------
 
 def gold_models(src: Sources) -> dict[str, DataFrame]:
-    """The six gold models, each built once (ab_metrics reuses the funnel and
-    assignment DataFrames, so their exchanges are shared in one plan)."""
-    funnel = _funnel_users(src)
-    groups = _ab_group(src)
+    """The six gold models, each built once, exactly as their reports build them."""
     return {
         "revenue_daily": _revenue_daily(src),
-        "funnel_users": funnel,
-        "ab_group": groups,
-        "ab_metrics": asg.ab_metrics(funnel, groups),
+        "funnel_users": _funnel_users(src),
+        "ab_group": _ab_group(src),
+        "ab_metrics": _ab_metrics(src),
         "retention_weekly": _retention_weekly(src),
         "features_conversion": _features_conversion(src),
     }
