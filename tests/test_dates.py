@@ -3,7 +3,6 @@
 import datetime as dt
 import random
 
-from pyspark.sql import functions as F
 
 from kpiloom.functions.dates import day_start, full_days_between, week_start, weeks_between
 

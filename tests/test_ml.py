@@ -11,8 +11,6 @@ from kpiloom.sources import artifacts
 from kpiloom.sources.silver import Sources
 from kpiloom.operators import features as feat
 
-from .conftest import SF_SMALL
-
 
 def test_coercion_edge_values(spark):
     df = spark.createDataFrame(
