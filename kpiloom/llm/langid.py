@@ -6,11 +6,10 @@ language of the centroid with the largest cosine.  A text whose distance to it i
 beyond what the sample shows for texts of its length is rejected.
 """
 
-from __future__ import annotations
-
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -181,8 +180,7 @@ def accepted(docs: DataFrame, model: Centroids, text_col: str = "text") -> DataF
     bound_batches(docs.sparkSession)
 
     @F.pandas_udf("boolean")
-    def keep(texts: "pd.Series") -> "pd.Series":  # noqa: F821
-        import pandas as pd
+    def keep(texts: pd.Series) -> pd.Series:
         return pd.Series([not r[2] for r in model.predict([t if isinstance(t, str) else None for t in texts])])
 
     return docs.where(keep(F.col(text_col).cast("string")))

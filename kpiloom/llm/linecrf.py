@@ -5,12 +5,11 @@ lines beside it, and the labels beside it.  A document's quality is the mean of
 lines' forward-backward marginals, weighted by line length.
 """
 
-from __future__ import annotations
-
 from dataclasses import dataclass, field
 from operator import eq
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -222,8 +221,7 @@ def accepted(docs: DataFrame, model: LineCRF, text_col: str = "text") -> DataFra
     bound_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
-    def score(texts: "pd.Series") -> "pd.Series":  # noqa: F821
-        import pandas as pd
+    def score(texts: pd.Series) -> pd.Series:
         return pd.Series(model.score([t.encode() if isinstance(t, str) else b"" for t in texts]))
 
     return docs.where(score(F.col(text_col).cast("string")) >= GOOD_FROM)
