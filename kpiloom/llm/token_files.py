@@ -260,7 +260,9 @@ def read_token_files(spark: SparkSession, folder: str, index: DataFrame, end_id:
     bound_batches(spark)
     rows = index.select("doc_id", "start", "n_tokens", "file", "start_in_file",
                         F.floor(F.col("start_in_file") / STRETCH).alias("stretch"))
-    dealt = rows.repartition("file", "stretch").sortWithinPartitions("file", "start_in_file")
+    # the rows are small but stand for ids in files, so the number of tasks goes by those
+    ids = index.agg(F.sum("n_tokens")).first()[0] or 0
+    dealt = rows.repartition(1 + ids // STRETCH, "file", "stretch").sortWithinPartitions("file", "start_in_file")
     kind = index.schema["doc_id"].dataType.simpleString()
 
     def read(batches):

@@ -26,7 +26,7 @@ LEAST_SHARED = 1000
 #: An archive file is closed when it passes this size.
 FILE_BYTES = 1 << 30
 #: Index rows of one stretch of a file are read by one task at a time.
-STRETCH = 32 << 20
+STRETCH = 16 << 20
 #: Ranges closer than this are read together, up to READ_BYTES.
 GAP = 64 << 10
 READ_BYTES = 4 << 20
@@ -186,7 +186,9 @@ def read_warc(spark: SparkSession, folder: str, index: DataFrame, payloads: bool
     bound_batches(spark)
     where = index.select("file", "offset", "length",
                          F.floor(F.col("offset") / STRETCH).alias("stretch"))
-    dealt = where.repartition("file", "stretch").sortWithinPartitions("file", "offset")
+    # the rows are small but stand for archive bytes, so the number of tasks goes by those
+    selected = index.agg(F.sum("length")).first()[0] or 0
+    dealt = where.repartition(1 + selected // STRETCH, "file", "stretch").sortWithinPartitions("file", "offset")
 
     def read(batches):
         fs = base = None
