@@ -11,6 +11,8 @@ pieces are joined with the drawn blocks by block number.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,10 +24,8 @@ BLOCK = 64
 WEIGHTS = (5, 2, 1)
 #: A source's target is at most this many times its size.
 MOST = 3
-#: Rows of one prefix-sum cell.
-CELL_ROWS = 16384
-#: Slots generated by one row before the slots are dealt out.
-CHUNK = 4096
+#: Slots generated by one row before the slots are dealt out, and by one task.
+CHUNK, TASK_SLOTS = 4096, 1 << 18
 #: Rounds of the index permutation.
 ROUNDS = 12
 #: Sources numbered by one window task; more sources take range partitions.
@@ -95,9 +95,10 @@ def permuted(index: Column, size: Column, keys: list[Column], rounds: int = ROUN
 
 def stream_positions(docs: DataFrame) -> DataFrame:
     """``docs`` (rank, size, h, ...) with ``start``: the words before each document in
-    its source's stream, by prefix sums over bounded cells."""
-    rows = docs.count()
-    cells = max(1, -(-rows // CELL_ROWS))
+    its source's stream, by prefix sums in two levels: over hashed cells of the source and
+    within a cell.  With the square root of the rows as the number of cells, neither
+    level holds more than about that many rows of a source in one task."""
+    cells = max(1, math.isqrt(docs.count()))
     docs = docs.withColumn("cell", F.pmod(F.xxhash64("h"), F.lit(cells)))
     sums = written(docs.groupBy("rank", "cell").agg(F.sum("size").alias("n")), "stream-cells")
     below = sums.select("rank", "cell", (
@@ -118,7 +119,9 @@ def draw_slots(sources: DataFrame, words: int, seed: int, out_shards: int) -> Da
     chunks = plan.select(
         "rank", "blocks", "slots",
         F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / CHUNK))).alias("chunk"))
-    chunks = chunks.repartition("rank", "chunk")
+    # each row stands for CHUNK slots, so the number of tasks goes by the slots
+    total = plan.agg(F.sum("slots")).first()[0] or 0
+    chunks = chunks.repartition(1 + total // TASK_SLOTS, "rank", "chunk")
     first = F.col("chunk") * CHUNK
     slots = chunks.select("rank", "blocks", F.explode(F.sequence(
         first, F.least(first + CHUNK, F.col("slots")) - 1)).alias("slot"))
@@ -127,7 +130,8 @@ def draw_slots(sources: DataFrame, words: int, seed: int, out_shards: int) -> Da
         F.floor(F.col("slot") / F.col("blocks")).cast("int").alias("pass"),
         F.pmod(F.xxhash64(F.lit(seed), "rank", "slot"), F.lit(out_shards)).cast("int").alias("out_shard"))
     block = permuted(F.col("index"), F.col("blocks"), [F.lit(seed), F.col("rank"), F.col("pass")])
-    return slots.select("rank", "slot", "out_shard", "pass", block.alias("block"))
+    # written, so that the join with the documents' pieces is planned by its real size
+    return written(slots.select("rank", "slot", "out_shard", "pass", block.alias("block")), "mix-slots")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -9,6 +9,7 @@ within tolerance of the target.  Rows are exchanged once, to their final shard.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,8 +19,6 @@ from .common import written
 
 #: Bits of the key that one probing round resolves: 4,096 probes per splitter.
 BITS = 12
-#: Rows of one sort cell; a shard is numbered in cells of about this many rows.
-CELL_ROWS = 16384
 _LOW = -(1 << 63)
 
 
@@ -137,8 +136,7 @@ def shard_of(splitters: list[Splitter], hash_col: str = "h", tie_col: str = "t")
 
 
 def histogram_shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id",
-                    text_col: str = "text", tolerance: float = 0.002,
-                    cell_rows: int = CELL_ROWS) -> DataFrame:
+                    text_col: str = "text", tolerance: float = 0.002) -> DataFrame:
     """``docs`` with ``size`` (UTF-8 bytes of the text, none if null, plus 1),
     ``shard`` (0 to shards - 1, near equal bytes) and ``slot`` (gapless from 0 in each shard).
 
@@ -153,8 +151,9 @@ def histogram_shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id",
     h, t = F.xxhash64(text), F.xxhash64(ident, text)
     keys = written(docs.select(h.alias("h"), t.alias("t"), size.alias("size")), "shard-keys")
     splitters = find_splitters(keys, shards, tolerance)
-    rows = keys.count()
-    cells = max(1, -(-rows // (shards * cell_rows)))
+    # a shard is numbered in two levels, hashed cells and rows of a cell, neither of which
+    # holds more than about the square root of the shard's rows in one task
+    cells = max(1, math.isqrt(keys.count() // shards))
     shard = shard_of(splitters)
     cell = F.pmod(F.xxhash64("t"), F.lit(cells))
     # rows below each (shard, cell): one row per sort cell

@@ -93,7 +93,7 @@ def lane_counts(fp, lanes: int):
     mask = (1 << width) - 1
     key = F.lit(0).cast("long")
     for i in range(lanes):
-        lane = F.shiftrightunsigned(fp, width * i).bitwiseAND(F.lit(mask).cast("long"))
+        lane = F.shiftrightunsigned(fp, width * i).bitwiseAND(F.lit(mask).cast("long")) if lanes > 1 else fp
         key = key + F.shiftleft(F.bit_count(lane).cast("long"), 8 * i)
     return key
 

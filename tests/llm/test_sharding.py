@@ -26,10 +26,10 @@ def check(rows, shards, tolerance):
 def test_even_bytes_with_a_hot_group(spark):
     rows = [(i, "copy of one hot text") for i in range(400)] + [(1000 + i, "t" * (i % 50)) for i in range(800)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = sharding.histogram_shard(df, 8, cell_rows=20).collect()
+    got = sharding.histogram_shard(df, 8).collect()
     assert len(got) == len(rows)
     check(got, 8, 0.002)
-    again = sharding.histogram_shard(df.repartition(3), 8, cell_rows=20).collect()
+    again = sharding.histogram_shard(df.repartition(3), 8).collect()
     assert sorted((r.doc_id, r.shard, r.slot) for r in got) == sorted((r.doc_id, r.shard, r.slot) for r in again)
 
 
