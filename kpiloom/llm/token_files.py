@@ -36,6 +36,9 @@ END_ID = 2
 #: Ids of one stretch of a file that a reading task takes at a time.
 STRETCH = 8 << 20
 
+#: Pieces held by each of the two generations of a worker's cache.
+CACHED = 300_000
+
 INDEX = "doc_id {id}, part int, file string, start_in_file bigint, n_tokens bigint"
 #: A space between two characters that are not white space: no pre-token crosses it
 #: or ends behind it, so the text can be cut in front of it.
@@ -67,7 +70,7 @@ class ByteBPE:
         self.model = self.tok.model
         self.code = np.dtype(dtype).char
         self.letters = byte_letters()
-        self.pieces = PieceCache(self.encode_piece)
+        self.pieces = PieceCache(self.encode_piece, CACHED)
         self.tokens = PieceCache(self.encode_token, 50_000)
 
     def _whole(self, text: str) -> bytes:
@@ -109,6 +112,12 @@ class ByteBPE:
             return b"".join(out)
 
 
+@lru_cache(maxsize=2)
+def byte_bpe(path: str, dtype: str) -> ByteBPE:
+    """One encoder per worker process: its cache serves all tasks the worker runs."""
+    return ByteBPE(path, dtype)
+
+
 def id_type(path: str) -> str:
     """The smallest unsigned type that holds every id of the vocabulary."""
     return "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
@@ -187,7 +196,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, id_col: str = "do
             if not b.num_rows:
                 continue
             if out is None:
-                bpe = ByteBPE(path, dtype)
+                bpe = byte_bpe(path, dtype)
                 out = SequenceWriter(OnceFile(folder, f"part-{part:06d}-{uuid.uuid4().hex}.arrow"),
                                      dtype, seq_len, seqs, part)
             starts, sizes = [], []
