@@ -27,21 +27,29 @@ def score(model, df: DataFrame, label: str, id_col: str = "user_id") -> DataFram
     return out.select(*keep, F.col(label).cast("double").alias("label"), s.alias("score"))
 
 
-def auc(scores: DataFrame, label: str = "label", score_col: str = "score") -> float | None:
-    """Exact ROC AUC (ties count one half); None when a class is missing (the
-    AUC is undefined there).
-
-    ``numBins=0`` keeps every distinct score: MLlib groups scores, sorts them
-    with a range partitioner and accumulates per-partition counts, so no step
-    holds all scores in one task.
+def measure(scores: DataFrame, label: str = "label", score_col: str = "score",
+            threshold: float = THRESHOLD) -> dict:
+    """rows, positives, accuracy and exact ROC AUC of a score.
+
+    Counts and accuracy come from one aggregate.  The AUC counts ties one half and is
+    None when a class is missing (it is undefined there); ``numBins=0`` keeps every
+    distinct score: MLlib groups scores, sorts them with a range partitioner and
+    accumulates per-partition counts, so no step holds all scores in one task.
     """
-    c = scores.agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n")).first()
-    if not c["p"] or not c["n"]:
-        return None
-    ev = BinaryClassificationEvaluator(rawPredictionCol=score_col, labelCol=label,
-                                       metricName="areaUnderROC", numBins=0)
-    return float(ev.evaluate(scores.select(F.col(score_col).cast("double").alias(score_col),
-                                           F.col(label).cast("double").alias(label))))
+    y = F.col(label).cast("double")
+    right = ((F.col(score_col) >= threshold).cast("double") == y).cast("double")
+    c = scores.agg(F.count(F.lit(1)).alias("rows"), F.count_if(y == 1).alias("positives"),
+                   F.count_if(y == 0).alias("negatives"), F.avg(right).alias("accuracy")).first()
+    area = None
+    if c["positives"] and c["negatives"]:
+        ev = BinaryClassificationEvaluator(rawPredictionCol=score_col, labelCol=label,
+                                           metricName="areaUnderROC", numBins=0)
+        area = float(ev.evaluate(scores.select(F.col(score_col).cast("double").alias(score_col), y.alias(label))))
+    return {"rows": c["rows"], "positives": c["positives"], "accuracy": c["accuracy"], "auc": area}
+
+
+def auc(scores: DataFrame, label: str = "label", score_col: str = "score") -> float | None:
+    return measure(scores, label, score_col)["auc"]
 
 
 def accuracy_frame(scores: DataFrame, label: str = "label", score_col: str = "score",
@@ -71,10 +79,5 @@ METRICS_SCHEMA = T.StructType([
 def evaluate_scores(spark: SparkSession, scores: DataFrame, label: str = "label",
                     score_col: str = "score") -> DataFrame:
     """One row: rows, positives, exact AUC and accuracy at >= 0.5."""
-    counts = scores.agg(F.count(F.lit(1)).alias("rows"),
-                        F.count_if(F.col(label) == 1).alias("positives"),
-                        F.avg(((F.col(score_col) >= THRESHOLD).cast("double")
-                               == F.col(label).cast("double")).cast("double")).alias("accuracy")).first()
-    a = auc(scores, label, score_col)
-    return spark.createDataFrame([(int(counts["rows"]), int(counts["positives"]), a, counts["accuracy"])],
-                                 METRICS_SCHEMA)
+    m = measure(scores, label, score_col)
+    return spark.createDataFrame([(int(m["rows"]), int(m["positives"]), m["auc"], m["accuracy"])], METRICS_SCHEMA)

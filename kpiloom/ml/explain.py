@@ -92,29 +92,40 @@ def _leaf_table(nodes: dict, scale: float) -> LeafTable:
     return LeafTable(groups, scale, expected)
 
 
-MAX_CELLS = 20_000         # rows x leaves x (depth + 1) per working array (160 KB: stays in cache)
+MAX_CELLS = 100_000        # rows x leaves x (depth + 1) per working array (800 KB)
+ROW_CHUNK = 64
 
 
 def _group_shap(g: LeafGroup, x: np.ndarray, phi: np.ndarray, scale: float) -> None:
-    """Add one leaf group's contributions to ``phi``, in row chunks that keep
-    every working array near ``MAX_CELLS`` doubles whatever the tree size."""
+    """Add one leaf group's contributions to ``phi``.  Leaves and rows are taken in
+    chunks, so every working array stays near ``MAX_CELLS`` doubles whatever the
+    number and depth of the trees."""
     n_leaves, d = g.feat.shape
-    # leaf -> feature scatter matrices, one per path position (dense, L x M)
-    onehots = []
-    for i in range(d):
-        oh = np.zeros((n_leaves, phi.shape[1]))
-        oh[np.arange(n_leaves), g.feat[:, i]] = 1.0
-        onehots.append(oh)
-    step = max(1, MAX_CELLS // (n_leaves * (d + 1)))
-    for start in range(0, x.shape[0], step):
-        _group_shap_rows(g, x[start:start + step], phi[start:start + step], scale, onehots)
+    leaves = max(1, MAX_CELLS // (min(ROW_CHUNK, max(1, x.shape[0])) * (d + 1)))
+    for at in range(0, n_leaves, leaves):
+        part = LeafGroup(value=g.value[at:at + leaves], feat=g.feat[at:at + leaves], lo=g.lo[at:at + leaves],
+                         hi=g.hi[at:at + leaves], z=g.z[at:at + leaves], weight=g.weight)
+        size = len(part.value)
+        # leaf -> feature scatter matrices, one per path position
+        onehots = []
+        for i in range(d):
+            oh = np.zeros((size, phi.shape[1]))
+            oh[np.arange(size), part.feat[:, i]] = 1.0
+            onehots.append(oh)
+        step = max(1, MAX_CELLS // (size * (d + 1)))
+        for start in range(0, x.shape[0], step):
+            _group_shap_rows(part, x[start:start + step], phi[start:start + step], scale, onehots)
 
 
 def _group_shap_rows(g: LeafGroup, x: np.ndarray, phi: np.ndarray, scale: float, onehots) -> None:
     n = x.shape[0]
     n_leaves, d = g.feat.shape
     xv = x[:, g.feat]                                            # (n, L, d)
-    o = ((xv > g.lo) & (xv <= g.hi)).astype(float)
+    # as the fitted trees decide: left when x <= threshold, else right (NaN goes right);
+    # an infinite bound stands for no split on that side
+    right = ~(xv <= g.lo) | np.isneginf(g.lo)
+    left = (xv <= g.hi) | np.isposinf(g.hi)
+    o = (right & left).astype(float)
     z = g.z
     # Q(t) = prod_j (z_j + o_j t): coefficients along the last axis
     q = np.zeros((n, n_leaves, d + 1))
@@ -220,8 +231,12 @@ def leaf_tables(spark: SparkSession, tree_model) -> list[LeafTable]:
 
 
 def shap_values(spark: SparkSession, tree_model, df: DataFrame, features: list[str],
-                id_col: str = "user_id") -> DataFrame:
-    """Per row: ``id``, ``base`` and one ``shap_<feature>`` column per feature."""
+                id_col: str = "user_id", partitions: int | None = None) -> DataFrame:
+    """Per row: ``id``, ``base`` and one ``shap_<feature>`` column per feature.
+
+    The work is CPU-bound per row; ``partitions`` deals the rows out first, for an
+    input of fewer partitions than cores.
+    """
     # shipped once per executor as a broadcast (bounded by the model size)
     tables_bc = spark.sparkContext.broadcast(merge_tables(leaf_tables(spark, tree_model)))
     m = len(features)
@@ -242,12 +257,8 @@ def shap_values(spark: SparkSession, tree_model, df: DataFrame, features: list[s
                 yield out
 
     rows = df.select(id_col, *features)
-    # CPU-bound per row: give every core a share when the input arrives in fewer
-    # partitions than cores (AQE folds small tables into one); large inputs
-    # already have more partitions and are left as they are
-    cores = spark.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() < cores:
-        rows = rows.repartition(cores)
+    if partitions is not None:
+        rows = rows.repartition(partitions)
     return rows.mapInPandas(explain, schema)
 
 
@@ -260,10 +271,11 @@ def sample_rows(df: DataFrame, n: int | None, id_col: str = "user_id", seed: int
 
 
 def shap_importance(spark: SparkSession, tree_model, df: DataFrame, features: list[str],
-                    n: int | None = None, id_col: str = "user_id", seed: int = SEED) -> DataFrame:
+                    n: int | None = None, id_col: str = "user_id", seed: int = SEED,
+                    partitions: int | None = None) -> DataFrame:
     """``(feature, mean_abs_shap)``, descending: mean |SHAP| per feature over the
     rows (all of them, or a seeded sample of ``n``)."""
-    sv = shap_values(spark, tree_model, sample_rows(df, n, id_col, seed), features, id_col)
+    sv = shap_values(spark, tree_model, sample_rows(df, n, id_col, seed), features, id_col, partitions)
     agg = sv.agg(*[F.avg(F.abs(F.col(f"shap_{f}"))).alias(f) for f in features])
     stack = "stack({n}, {items}) as (feature, mean_abs_shap)".format(
         n=len(features), items=", ".join(f"'{f}', `{f}`" for f in features))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import sys
 import unicodedata
 from functools import lru_cache
@@ -16,7 +17,9 @@ TARGET = "will_convert_14d"
 ID_COLUMNS = ("user_id",)
 SEED = 42
 TEST_FRACTION = 0.2
-SPLIT_HEX_DIGITS = 12      # 48-bit hash: exact in double, so the percentile is exact
+SPLIT_HEX_DIGITS = 12      # 48-bit hash
+PROBE_BITS = 12            # bits of the hash that one counting pass resolves
+MAX_CLASSES = 1000         # label values a split accepts
 
 
 def feature_columns(df: DataFrame, id_cols=ID_COLUMNS, target: str = TARGET) -> list[str]:
@@ -28,6 +31,9 @@ def feature_columns(df: DataFrame, id_cols=ID_COLUMNS, target: str = TARGET) ->
 _WS = r"(?U)^\s+|\s+$"                 # Unicode whitespace at either end
 _DIGIT_UNDERSCORE = r"(?<=\d)_(?=\d)"      # one '_' between digits, as Python's float() allows
 
+# What float() accepts: a decimal number with an optional exponent, or a non-finite name.
+_NUMBER = r"(?i)^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|inf|infinity|nan)$"
+
 
 @lru_cache(maxsize=1)
 def _unicode_digits() -> tuple[str, str]:
@@ -51,7 +57,8 @@ def _text_to_double(c: Column) -> Column:
     s = F.when(bracketed, inner).otherwise(s)
     src, dst = _unicode_digits()
     s = F.regexp_replace(F.translate(s, src, dst), _DIGIT_UNDERSCORE, "")
-    return F.coalesce(s.try_cast("double"), F.lit(0.0))
+    # the cast alone also reads Java's own forms ("1d", "1.5f", "0x1p3")
+    return F.coalesce(F.when(s.rlike(_NUMBER), s.try_cast("double")), F.lit(0.0))
 
 
 def coerce_column(c: Column, dtype: T.DataType) -> Column:
@@ -91,31 +98,80 @@ def split_hash(id_col: str, seed: int = SEED) -> Column:
     return md5_prefix_int(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")), SPLIT_HEX_DIGITS)
 
 
+def split_thresholds(hashed: DataFrame, label: str, train_fraction: float) -> dict:
+    """``{label value: largest training hash}``, exact at any size.
+
+    Per label value the threshold is the smallest hash ``_h`` that at least
+    ``train_fraction`` of its rows are at or below.  Each pass is one partial
+    aggregate that counts rows per label and leading hash bits, first over all
+    rows, then inside the one cell the threshold lies in, so the driver sees at
+    most 2 ** PROBE_BITS counts per label and pass.  Counts do not depend on
+    partitioning, so neither do the thresholds.
+
+    A class of two or more different hashes keeps at least one row on each side:
+    if its threshold is its largest hash, it drops to the second largest.
+
+    Rows without a label raise a ``ValueError`` that names their number.
+    """
+    total_bits = 4 * SPLIT_HEX_DIGITS
+    stats = hashed.groupBy(label).agg(F.max("_h"), F.count(F.lit(1))).limit(MAX_CLASSES + 1).collect()
+    counts = {r[0]: r[2] for r in stats}
+    if None in counts:
+        raise ValueError(f"{counts[None]} row(s) without a value of the target {label!r}")
+    if len(counts) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} values of the target {label!r}")
+
+    def find(rank: dict) -> dict:
+        """The hash at a 1-based rank of each label's rows."""
+        cell = {y: 0 for y in rank}
+        left = dict(rank)
+        for bits in range(PROBE_BITS, total_bits + 1, PROBE_BITS):
+            if not left:
+                break
+            at = F.shiftright("_h", total_bits - bits).alias("_cell")
+            inside = F.lit(False)
+            for y, c in cell.items():
+                inside = inside | ((F.col(label) == F.lit(y))
+                                   & (F.shiftright("_h", total_bits - bits + PROBE_BITS) == F.lit(c)))
+            rows = hashed if bits == PROBE_BITS else hashed.where(inside)
+            sizes = rows.groupBy(label, at).agg(F.count(F.lit(1)).alias("_n")).collect()
+            for y in left:
+                for c, n in sorted((r["_cell"], r["_n"]) for r in sizes if r[label] == y):
+                    if left[y] <= n:
+                        cell[y] = c
+                        break
+                    left[y] -= n
+        return cell
+
+    want = {y: max(1, math.ceil(train_fraction * n - 1e-9)) for y, n in counts.items()}
+    found = find(want)
+    largest = {r[0]: r[1] for r in stats}
+    full = [y for y in counts if counts[y] >= 2 and found[y] >= largest[y]]
+    if full:
+        below = F.lit(False)
+        for y in full:
+            below = below | ((F.col(label) == F.lit(y)) & (F.col("_h") < F.lit(largest[y])))
+        found |= {r[0]: r[1] for r in hashed.where(below).groupBy(label).agg(F.max("_h")).collect()}
+    return found
+
+
 def assign_split(df: DataFrame, label: str = TARGET, id_col: str = "user_id",
                  test_fraction: float = TEST_FRACTION, seed: int = SEED) -> DataFrame:
-    """Adds ``split`` ('train' / 'test'): per label, rows whose seeded id hash is
-    at or below the label's (1 - test_fraction) percentile train, the rest test,
-    so the class ratio is kept on both sides.
-
-    A class with at least two rows keeps at least one on each side: when its
-    percentile is its largest hash (small classes), the threshold drops to the
-    class's second-largest hash.
-
-    Deterministic under any partitioning (unlike ``randomSplit``).  The
-    thresholds are one row per label value, so broadcasting them is bounded by
-    the number of classes.  ``percentile_approx`` is exact up to its accuracy
-    (100,000 rows per label) and approximate beyond.
+    """Adds ``split`` ('train' / 'test'): per label, rows whose seeded id hash is at
+    or below the label's threshold (:func:`split_thresholds`) train, the rest
+    test, so the class ratio is kept on both sides.
+
+    The thresholds are found here, by counting passes over ``df`` (give a written
+    or checkpointed table if it is expensive); the result compares each row's
+    hash with literals, so no join follows and every row lands on exactly one
+    side, whatever the partitioning.  A null label raises ``ValueError``.
     """
-    h = df.withColumn("_h", split_hash(id_col, seed))
-    stats = h.groupBy(label).agg(F.percentile_approx("_h", 1.0 - test_fraction, 100000).alias("_p"),
-                                 F.max("_h").alias("_mx"), F.count(F.lit(1)).alias("_n"))
-    second = (h.join(F.broadcast(stats.select(label, "_mx")), label, "inner")
-              .filter(F.col("_h") < F.col("_mx")).groupBy(label).agg(F.max("_h").alias("_second")))
-    keep_one = (F.col("_n") >= 2) & (F.col("_p") >= F.col("_mx"))
-    thr = stats.join(second, label, "left").select(
-        label, F.when(keep_one, F.coalesce(F.col("_second"), F.col("_p"))).otherwise(F.col("_p")).alias("_thr"))
-    j = h.join(F.broadcast(thr), label, "inner")
-    return j.withColumn("split", F.when(F.col("_h") <= F.col("_thr"), "train").otherwise("test")).drop("_h", "_thr")
+    h = split_hash(id_col, seed)
+    found = split_thresholds(df.select(F.col(label), h.alias("_h")), label, 1.0 - test_fraction)
+    limit = F.lit(None).cast("bigint")
+    for y, t in found.items():
+        limit = F.when(F.col(label) == F.lit(y), F.lit(t)).otherwise(limit)
+    return df.withColumn("split", F.when(h <= limit, "train").otherwise("test"))
 
 
 def stratified_split(df: DataFrame, label: str = TARGET, id_col: str = "user_id",

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .evaluate import accuracy, auc, score
+from .evaluate import measure, score
 from .prepare import SEED
 
 FEATURES_VEC = "features"
@@ -20,7 +20,7 @@ FEATURES_VEC = "features"
 LR_MAX_ITER = 1000
 LR_C = 1.0                 # inverse L2 strength of the original; regParam = 1 / (C * n)
 RF_TREES = 200
-RF_MAX_DEPTH = 12          # the original grows trees without a depth limit
+RF_MAX_DEPTH = 30          # the library's largest; the original has no limit
 GBT_ROUNDS = 200
 GBT_DEPTH = 5
 GBT_STEP = 0.08
@@ -91,8 +91,12 @@ def train_candidates(spark: SparkSession, train: DataFrame, test: DataFrame, fea
     def fit(i_name):
         i, name = i_name
         m = model_spec(name, features, label, n_train, profile).fit(train)
-        s = score(m, test, label)
-        return name, m, (i, name, auc(s), accuracy(s), int(rows), label, feature_table)
+        s = score(m, test, label).persist()           # scored once for all metrics
+        try:
+            got = measure(s)
+        finally:
+            s.unpersist()
+        return name, m, (i, name, got["auc"], got["accuracy"], int(rows), label, feature_table)
 
     if parallel and len(names) > 1:
         from concurrent.futures import ThreadPoolExecutor

@@ -49,7 +49,7 @@ def ab_metrics(funnel: DataFrame, groups: DataFrame, keys: list[str] | None = No
 
 
 def ab_metrics_from_users(users: DataFrame, events: DataFrame, orders: DataFrame, share_a: int = 50,
-                          method: str = "md5") -> DataFrame:
+                          method: str = "md5", keys: dict[str, F.Column] | None = None) -> DataFrame:
     """Gold A/B metrics (:func:`ab_metrics` of the funnel joined with the
     assignment of every user row) from one read of ``users``.
 
@@ -57,16 +57,18 @@ def ab_metrics_from_users(users: DataFrame, events: DataFrame, orders: DataFrame
     shuffling the users a second time to join it on, each distinct id carries
     its number of user rows ``n`` (the join's multiplicity) and gets its group
     as a column: ``users = sum(n)``, ``converters = sum(n * converted)``.  A
-    null id never matches in the join, so it is left out.
+    null id never matches in the join, so it is left out.  ``keys`` are segment
+    columns, each a function of the user row, named like ``{name: column}``.
     """
+    keys = dict(keys or {})
     from .funnel import funnel_with_rows
-    f = funnel_with_rows(users, events, orders).filter(F.col("user_id").isNotNull())
-    agg = f.groupBy(assign("user_id", share_a, method).alias("ab_group")).agg(
+    f = funnel_with_rows(users, events, orders, keys=keys).filter(F.col("user_id").isNotNull())
+    agg = f.groupBy(*keys, assign("user_id", share_a, method).alias("ab_group")).agg(
         F.sum("n").alias("users"),
         F.sum(F.col("n") * F.col("converted").cast("bigint")).alias("converters"),
     )
     return agg.select(
-        "ab_group",
+        *keys, "ab_group",
         F.col("users").cast("bigint").alias("users"),
         F.col("converters").cast("bigint").alias("converters"),
         F.try_divide(F.col("converters"), F.col("users")).alias("conversion_rate"),

@@ -81,21 +81,22 @@ def ab_test(cells: DataFrame, alpha: float | str = DEFAULT_ALPHA, strict: bool =
     (chi-square, 1 df, against a 50/50 split), ``significant`` (p < alpha) and
     ``valid``.
 
-    Invalid cells - not an integer, a total <= 0, a success outside [0, total],
-    or a zero pooled SE (nobody or everybody converted) - get null statistics and
-    ``valid = false``; the original raises on them.  ``strict=True`` raises a
+    The SRM check depends on the totals alone, so it is given wherever both are
+    positive.  The other statistics need a positive pooled variance: cells that are
+    not numbers, a total <= 0, or a pooled rate outside (0, 1) (nobody or everybody
+    converted) get nulls there and ``valid = false``; the original raises on them.
+    A success count above its own total is computed like any other, as there.  ``strict=True`` raises a
     ``ValueError`` when any row is invalid (one count, no collect of rows).
     ``alpha`` is a number or the name of a per-row column.
     """
-    # cells that are not integers (text, fractions) become null -> invalid row
+    # text that is not a number becomes null -> invalid row; a fractional double is truncated
     a_s, a_n, b_s, b_n = (F.col(c).try_cast("bigint") for c in CELL_COLUMNS)
     alpha_c = F.col(alpha) if isinstance(alpha, str) else F.lit(float(alpha))
     totals_ok = (a_n > 0) & (b_n > 0)
-    ranges_ok = a_s.between(F.lit(0), a_n) & b_s.between(F.lit(0), b_n)
     n = a_n + b_n
     pooled = F.try_divide(a_s + b_s, n)
     var = pooled * (F.lit(1.0) - pooled) * (F.try_divide(F.lit(1.0), a_n) + F.try_divide(F.lit(1.0), b_n))
-    pre_ok = totals_ok & ranges_ok
+    pre_ok = totals_ok & (var > 0)
     se = F.when(pre_ok, F.sqrt(var))
     valid = F.coalesce(pre_ok & (se > 0), F.lit(False))
 
@@ -110,20 +111,19 @@ def ab_test(cells: DataFrame, alpha: float | str = DEFAULT_ALPHA, strict: bool =
     out = (out
            .withColumn("uplift", F.when(v, uplift))
            .withColumn("z", F.when(v, uplift / F.col("_se")))
-           .withColumn("srm_chi2", F.when(v, chi2)))
+           .withColumn("srm_chi2", F.when(totals_ok, chi2)))
     out = (out
            .withColumn("p_value", F.when(v, norm_two_sided_p(F.col("z"))))
            .withColumn("ci_low", F.when(v, F.col("uplift") - F.lit(CI_Z) * F.col("_se")))
            .withColumn("ci_high", F.when(v, F.col("uplift") + F.lit(CI_Z) * F.col("_se")))
-           .withColumn("srm_p", F.when(v, chi2_1df_sf(F.col("srm_chi2")))))
+           .withColumn("srm_p", chi2_1df_sf(F.col("srm_chi2"))))
     out = out.withColumn("significant", F.when(v, F.col("p_value") < alpha_c)).drop("_se")
     rest = [c for c in out.columns if c not in CELL_COLUMNS + RESULT_COLUMNS]
     out = out.select(*rest, "a_success", "a_total", "b_success", "b_total", *RESULT_COLUMNS)
     if strict:
         bad = out.filter(~F.col("valid")).limit(1).count()
         if bad:
-            raise ValueError("invalid experiment cells: totals must be > 0, successes within "
-                             "[0, total], and the pooled standard error must be > 0")
+            raise ValueError("invalid experiment cells: totals and the pooled standard error must be > 0")
     return out
 
 
@@ -138,7 +138,8 @@ def ab_verdict(results: DataFrame, srm_threshold: float = SRM_THRESHOLD,
     expected_null = (~F.col("significant")) & (F.abs(F.col("uplift") * 100.0) < F.lit(null_pp))
     return results.select(
         "*",
-        F.when(v, F.when(F.col("srm_p") > srm_threshold, "PASS").otherwise("FAIL")).alias("srm_status"),
+        F.when(F.col("srm_p").isNotNull(), F.when(F.col("srm_p") > srm_threshold, "PASS").otherwise("FAIL"))
+        .alias("srm_status"),
         F.when(v, expected_null).alias("expected_null"),
         F.when(v, F.when(expected_null, "EXPECTED").otherwise("UNEXPECTED")).alias("verdict"),
     )

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import add_days, full_days_between
-from ..functions.money import money_sum, units_to_double, zero_units
+from ..functions.money import money_sum, rest_sum, units_to_double, zero_units
 from .skew import left_join_nulls_aside, salted_key_join
 
 # Fixed values of the model.
@@ -63,6 +63,7 @@ def order_lines(orders: DataFrame, items: DataFrame) -> DataFrame:
     per_order = items.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("n_items"),
         money_sum("sale_price").alias("price_sum"),
+        rest_sum("sale_price").alias("price_rest"),
     )
     return left_join_nulls_aside(orders.select("order_id", "user_id", "created_at"), per_order, "order_id")
 
@@ -96,7 +97,7 @@ def order_activity(
     """
     lines = order_lines(orders, items).withColumn("_hit", F.lit(True))
     extra = [c for c in anchors.columns if c != "user_id"]
-    j = salted_key_join(lines, anchors, "user_id", counts_from=orders, salt_by="order_id", how="right")
+    j = salted_key_join(lines, anchors, "user_id", counts_from=orders, how="right")
     hit = F.col("_hit").isNotNull()                     # false on an anchor row without orders
     ts = F.col("created_at")
     after_start = ts >= (F.col("anchor_ts") - F.make_dt_interval(F.lit(lookback_days)))
@@ -108,6 +109,7 @@ def order_activity(
         # an anchor row without orders contributes null (ignored), an order row 0 or its price sum
         F.sum(F.when(hit, F.when(after_start, F.col("price_sum")).otherwise(zero_units())))
         .alias("revenue_30d_units"),
+        F.sum(F.when(hit & after_start, F.col("price_rest"))).alias("revenue_30d_rest"),
         F.count_distinct(F.when(in_window, F.col("order_id"))).alias("frequency_30d"),
         F.count_if(in_label).alias("label_orders"),
         F.count_if(hit).alias("order_rows"),
@@ -143,6 +145,7 @@ def _rfm_from(users: DataFrame, act: DataFrame, carry: list[str] | None = None)
         full_days_between("anchor_ts", "created_at").alias("days_since_signup"),
         "orders_30d",
         F.when(has_orders, F.col("revenue_30d_units")).otherwise(zero_units()).alias("revenue_30d_units"),
+        "revenue_30d_rest",
         "frequency_30d",
         *carry,
     )
@@ -151,13 +154,14 @@ def _rfm_from(users: DataFrame, act: DataFrame, carry: list[str] | None = None)
     g = per_row.groupBy("user_id", "days_since_signup").agg(
         F.sum("orders_30d").alias("orders_30d"),
         F.sum("revenue_30d_units").alias("revenue_30d_units"),
+        F.sum("revenue_30d_rest").alias("revenue_30d_rest"),
         F.max("frequency_30d").alias("frequency_30d"),
         *[F.first(c).alias(c) for c in carry],
     )
     return g.select(
         "user_id", "days_since_signup",
         F.col("orders_30d").cast("bigint").alias("orders_30d"),
-        units_to_double("revenue_30d_units").alias("revenue_30d"),
+        units_to_double("revenue_30d_units", "revenue_30d_rest").alias("revenue_30d"),
         F.col("frequency_30d").cast("bigint").alias("frequency_30d"),
         *carry,
     )
@@ -170,7 +174,7 @@ def conversion_label(anchors: DataFrame, orders: DataFrame, label_days: int = LA
     anchor row kept (hot users salted), then counted per user."""
     o = orders.select("order_id", "user_id", "created_at").withColumn("_hit", F.lit(True))
     a = anchors.select("user_id", "anchor_ts")
-    j = salted_key_join(o, a, "user_id", counts_from=orders, salt_by="order_id", how="right")
+    j = salted_key_join(o, a, "user_id", counts_from=orders, how="right")
     ts = F.col("created_at")
     in_label = F.col("_hit").isNotNull() & (ts > F.col("anchor_ts")) & (ts <= add_days("anchor_ts", label_days))
     return j.groupBy("user_id").agg((F.count_if(in_label) > 0).cast("bigint").alias("will_convert_14d"))
@@ -181,7 +185,9 @@ def features_conversion(users: DataFrame, orders: DataFrame, items: DataFrame, e
                         lookback_days: int = LOOKBACK_DAYS, label_days: int = LABEL_DAYS) -> DataFrame:
     """K7: rfm ⟕ source mix ⋈ label, shares coalesced to 0, label 0/1.
 
-    Plan: every input is read once.  One aggregate over events gives the
+    Plan: users, events and items are read once, orders twice (once more, by statistics
+    alone where there are none, for rows without an order id), after one counting
+    job on the order user ids that finds hot users.  One aggregate over events gives the
     anchor *and* the source counts; the orders are joined to that whole profile
     (profile rows kept, hot users salted) and one aggregate gives the 30-day
     features, the label and the profile back per user; users join last.  The

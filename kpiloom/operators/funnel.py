@@ -39,16 +39,18 @@ def funnel_users(
     return _flags_for(base, events, orders, visit, cart, complete)
 
 
-def user_rows(users: DataFrame) -> DataFrame:
-    """``(user_id, n)``: each distinct user id with its number of user rows."""
-    return users.groupBy(F.col("id").alias("user_id")).agg(F.count(F.lit(1)).alias("n"))
+def user_rows(users: DataFrame, keys: dict[str, F.Column] | None = None) -> DataFrame:
+    """``(user_id, *keys, n)``: each distinct user id (and segment) with its number of user rows."""
+    by = [c.alias(k) for k, c in (keys or {}).items()]
+    return users.groupBy(F.col("id").alias("user_id"), *by).agg(F.count(F.lit(1)).alias("n"))
 
 
 def funnel_with_rows(users: DataFrame, events: DataFrame, orders: DataFrame, visit: str = "page_view",
-                     cart: str = "add_to_cart", complete: str = COMPLETE) -> DataFrame:
+                     cart: str = "add_to_cart", complete: str = COMPLETE,
+                     keys: dict[str, F.Column] | None = None) -> DataFrame:
     """:func:`funnel_users` plus ``n``, the number of user rows per id: what a
     join of the funnel with a per-user-row table multiplies each user by."""
-    return _flags_for(user_rows(users), events, orders, visit, cart, complete)
+    return _flags_for(user_rows(users, keys), events, orders, visit, cart, complete)
 
 
 def _flags_for(base: DataFrame, events: DataFrame, orders: DataFrame, visit: str, cart: str,

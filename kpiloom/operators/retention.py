@@ -24,8 +24,8 @@ def retention_weekly(
     Plan: events are reduced to distinct (user, week) before the join, so the
     join is users x active weeks, not users x events (a hot user contributes at
     most one row per week).  The join stays a shuffle join on ``user_id`` (both
-    sides grow with the data).  Cohort sizes are one row per week (bounded by the
-    calendar), small enough to broadcast.
+    sides grow with the data).  Cohort sizes are one row per week; adaptive
+    execution broadcasts them by their measured size.
     """
     week_col, rate_col = names
     cohorts = users.select(F.col("id").alias("user_id"), week_start("created_at", week).alias("cohort_week"))
@@ -41,7 +41,7 @@ def retention_weekly(
         joined = joined.filter(F.col(week_col).between(bounds[0], bounds[1]))
     active = joined.groupBy("cohort_week", week_col).agg(F.count_distinct("user_id").alias("active_users"))
     sizes = cohorts.groupBy("cohort_week").agg(F.count_distinct("user_id").alias("cohort_users"))
-    return active.join(F.broadcast(sizes), "cohort_week", "inner").select(
+    return active.join(sizes, "cohort_week", "inner").select(
         "cohort_week",
         F.col(week_col),
         F.try_divide(F.col("active_users"), F.col("cohort_users")).alias(rate_col),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import day_of, day_start
-from ..functions.money import money_sum, units_to_double, zero_units
+from ..functions.money import money_sum, rest_sum, units_to_double, zero_units
 
 COMPLETE = "Complete"
 
@@ -28,6 +28,7 @@ def revenue_daily(orders: DataFrame, items: DataFrame, complete: str = COMPLETE)
     per_order_items = items.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("n_items"),
         money_sum("sale_price").alias("price_sum"),
+        rest_sum("sale_price").alias("price_rest"),
     )
     o = orders.select("order_id", day_of("created_at").alias("day"), "status")
     joined = o.join(per_order_items, "order_id", "inner")
@@ -35,6 +36,7 @@ def revenue_daily(orders: DataFrame, items: DataFrame, complete: str = COMPLETE)
     agg = joined.groupBy("day").agg(
         F.sum(F.when(is_complete, F.col("n_items")).otherwise(F.lit(0))).alias("orders"),
         F.sum(F.when(is_complete, F.col("price_sum")).otherwise(zero_units())).alias("revenue_units"),
+        F.sum(F.when(is_complete, F.col("price_rest"))).alias("revenue_rest"),
         # an order whose items all have null price contributes no revenue but
         # its rows still count: keep "sum is null" only when every complete
         # item price on the day is null (as a plain SUM would)
@@ -42,8 +44,8 @@ def revenue_daily(orders: DataFrame, items: DataFrame, complete: str = COMPLETE)
     return agg.select(
         "day",
         F.col("orders").cast("bigint").alias("orders"),
-        units_to_double("revenue_units").alias("revenue"),
-        F.try_divide(units_to_double("revenue_units"), F.nullif(F.col("orders"), F.lit(0))).alias("aov"),
+        units_to_double("revenue_units", "revenue_rest").alias("revenue"),
+        F.try_divide(units_to_double("revenue_units", "revenue_rest"), F.nullif(F.col("orders"), F.lit(0))).alias("aov"),
     )
 
 
@@ -61,17 +63,19 @@ def revenue_daily_completed(orders: DataFrame, items: DataFrame, complete: str =
     per_order_items = items.groupBy("order_id").agg(
         F.count("sale_price").alias("n_priced"),
         money_sum("sale_price").alias("price_sum"),
+        rest_sum("sale_price").alias("price_rest"),
     )
     o = orders.filter(F.col("status") == complete).select("order_id", day_start("created_at").alias("day"))
     joined = o.join(per_order_items, "order_id", "inner")
     agg = joined.groupBy("day").agg(
         F.count_distinct("order_id").alias("orders"),
         F.sum("price_sum").alias("revenue_units"),
+        F.sum("price_rest").alias("revenue_rest"),
         F.sum("n_priced").alias("n_priced"),
     )
     return agg.select(
         "day",
         F.col("orders").cast("bigint").alias("orders"),
-        units_to_double("revenue_units").alias("revenue"),
-        F.try_divide(units_to_double("revenue_units"), F.col("n_priced")).alias("aov"),
+        units_to_double("revenue_units", "revenue_rest").alias("revenue"),
+        F.try_divide(units_to_double("revenue_units", "revenue_rest"), F.col("n_priced")).alias("aov"),
     )

@@ -10,16 +10,15 @@ hot keys are split explicitly:
 2. keep the keys with more than ``limit`` rows - by construction at most
    ``rows / limit`` keys, so broadcasting them is bounded;
 3. big side: a hot key's rows get a salt in ``[0, ceil(n / limit))`` from a hash
-   of a row column; other rows get salt 0;
+   of the row; other rows get salt 0;
 4. lookup side: a hot key's row is repeated once per salt (at most
    ``2 * rows / limit`` extra rows in total);
 5. join on (key, salt).  Every join task then holds at most about ``limit``
    rows of one key, and the per-key aggregate that follows combines the salted
    pieces map-side.
 
-Cost: both sides need the hot set, and with AQE on Spark does not reuse one
-broadcast subtree under two joins, so the one-column count runs twice (a scan
-of the key column and a partial aggregate each time).
+Cost: one counting job over the key column when the join is built.  Its result, the
+hot keys, is the size of rows / limit; without hot keys the join is a plain one.
 """
 
 from __future__ import annotations
@@ -43,7 +42,7 @@ def hot_keys(keys: DataFrame, key: str, limit: int) -> DataFrame:
 
 
 def salted_key_join(big: DataFrame, lookup: DataFrame, key: str, counts_from: DataFrame,
-                    salt_by: str, how: str = "inner", limit: int | None = None) -> DataFrame:
+                    how: str = "inner", limit: int | None = None) -> DataFrame:
     """``big`` joined to ``lookup`` (few rows per key) on ``key`` with hot keys
     split as described above.  ``counts_from`` is a cheap projection holding
     one row per ``big`` row (e.g. the source table's key column), so the
@@ -51,10 +50,14 @@ def salted_key_join(big: DataFrame, lookup: DataFrame, key: str, counts_from: Da
     limit = limit or hot_key_rows(big.sparkSession)
     if how in ("inner", "right", "right_outer", "rightouter"):
         big = big.filter(F.col(key).isNotNull())      # cannot match; kept out of the shuffle
-    hot = F.broadcast(hot_keys(counts_from.select(key), key, limit))   # <= rows / limit keys
+    found = hot_keys(counts_from.select(key), key, limit)
+    hot_rows = found.collect()                        # <= rows / limit keys
+    if not hot_rows:
+        return big.join(lookup, key, how)
+    hot = F.broadcast(big.sparkSession.createDataFrame(hot_rows, found.schema))
     b = big.join(hot, key, "left").withColumn(
         "_salt", F.when(F.col("_salts").isNull(), F.lit(0))
-        .otherwise(F.pmod(F.xxhash64(F.col(salt_by)), F.col("_salts"))).cast("int")).drop("_salts")
+        .otherwise(F.pmod(F.xxhash64(*big.columns), F.col("_salts"))).cast("int")).drop("_salts")
     s = lookup.join(hot, key, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))).drop("_salts")
     return b.join(s, [key, "_salt"], how).drop("_salt")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
@@ -16,12 +17,6 @@ from ..sources import artifacts, catalog
 from ..sources.silver import Sources
 
 
-# Fixed value: the saved explanation covers a seeded sample of at most 200
-# training rows, as in the original (``ml_shap`` / ``shap_importance`` explain
-# every row when asked).
-SHAP_SAMPLE_ROWS = 200
-
-
 @dataclass
 class TrainingRun:
     feature_table: str
@@ -36,16 +31,22 @@ class TrainingRun:
     paths: dict = field(default_factory=dict)
     importance: DataFrame | None = None
 
+    def release(self) -> None:
+        """Drop the cached splits; the written artifacts stay."""
+        self.train.unpersist()
+        self.test.unpersist()
+
 
 def train_from_table(spark: SparkSession, table: DataFrame, table_name: str, out: str,
                      target: str = prepare.TARGET, profile: train.Profile | None = None,
-                     shap_rows: int | None = SHAP_SAMPLE_ROWS, checkpoint: bool = True) -> TrainingRun:
+                     shap_rows: int | None = None, checkpoint: bool = True) -> TrainingRun:
     """Coerce, split, fit the candidates, pick and save the champion, explain it.
 
     The coerced table is checkpointed to the shared checkpoint folder (reliable
     storage: lost executors do not force a rebuild of the gold models) unless
     ``checkpoint=False`` says the input already is; the two splits are cached
-    because every candidate reads them.
+    because every candidate reads them.  The champion is explained over all
+    training rows, or over a seeded sample of ``shap_rows``.
     """
     checkpoint_dir(spark)
     coerced, feats = prepare.coerce_features(table, target=target)
@@ -64,7 +65,8 @@ def train_from_table(spark: SparkSession, table: DataFrame, table_name: str, out
     if chosen in train.TREE_MODELS:
         # tree champions only, as in the original; failures must not fail the run
         try:
-            imp = explain.shap_importance(spark, models[chosen].stages[-1], tr, feats, n=shap_rows)
+            imp = explain.shap_importance(spark, models[chosen].stages[-1], tr, feats, n=shap_rows,
+                                          partitions=spark.sparkContext.defaultParallelism)
             paths[artifacts.IMPORTANCE] = artifacts.save_importance(imp, out)
             run.importance = artifacts.load_importance(spark, out)
         except Exception as e:  # noqa: BLE001
@@ -73,28 +75,61 @@ def train_from_table(spark: SparkSession, table: DataFrame, table_name: str, out
     return run
 
 
+GOLD = "gold"
+CURRENT = "gold_current"
+CURRENT_SCHEMA = "model string, path string"
+
+
+def write_gold(spark: SparkSession, models: dict[str, DataFrame], out: str) -> dict[str, str]:
+    """Write every model as Parquet under a new folder of ``out``; ``{model: path}``."""
+    run = f"{out.rstrip('/')}/{GOLD}/{uuid.uuid4().hex}"
+    paths = {name: f"{run}/{name}" for name in models}
+    for name, df in models.items():
+        df.write.parquet(paths[name])
+    return paths
+
+
+def publish_gold(spark: SparkSession, paths: dict[str, str], out: str, tables: bool = False) -> None:
+    """Make written models the current ones: one small file under ``out`` names them for
+    later sessions (:func:`load_gold`), a view names them in this one.  ``tables`` also
+    creates catalog tables over the written files (for a session with a metastore)."""
+    from .reports import publish
+    spark.createDataFrame(sorted(paths.items()), CURRENT_SCHEMA).coalesce(1).write.mode("overwrite").json(
+        f"{out.rstrip('/')}/{CURRENT}")
+    for name, path in paths.items():
+        if tables:
+            spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+            spark.catalog.createTable(name, path=path, source="parquet")
+        else:
+            publish(spark.read.parquet(path), name)
+
+
+def load_gold(spark: SparkSession, out: str) -> dict[str, DataFrame]:
+    """The current models that an earlier batch wrote under ``out``."""
+    rows = spark.read.schema(CURRENT_SCHEMA).json(f"{out.rstrip('/')}/{CURRENT}").collect()
+    return {r["model"]: spark.read.parquet(r["path"]) for r in rows}
+
+
 def run_daily_batch(spark: SparkSession, sf_dir: str | Sources, out: str, feature_table: str | None = None,
-                 profile: train.Profile | None = None) -> tuple[DataFrame, TrainingRun]:
-    """Build the gold models, run the data-quality suite, stop when a test fails
-    (:class:`QualityGateError`), otherwise train on the first available feature
-    table (``feature_table`` override first, then the gold view).
-
-    The feature model, the heaviest one, is checkpointed once to the shared
-    folder before the suite, so the suite and the training read it from there
-    instead of computing it twice.
+                    profile: train.Profile | None = None, shap_rows: int | None = None,
+                    tables: bool = False) -> tuple[DataFrame, TrainingRun]:
+    """Write the gold models under ``out``, run the data-quality suite on the written
+    tables, stop when a test fails (:class:`QualityGateError`, nothing is published),
+    otherwise publish them and train on the first available feature table
+    (``feature_table`` override first, then the gold one).
+
+    Each model is computed once; the suite, the training and later readers see the
+    same written rows.
     """
-    from .reports import gold_models, publish
+    from .reports import gold_models
     src = sf_dir if isinstance(sf_dir, Sources) else Sources(spark, sf_dir)
-    models = gold_models(src)
-    checkpoint_dir(spark)
-    models["features_conversion"] = models["features_conversion"].checkpoint(eager=True)
-    report = dq.run_suite(spark, models)
+    paths = write_gold(spark, gold_models(src), out)
+    report = dq.run_suite(spark, {name: spark.read.parquet(p) for name, p in paths.items()})
     dq.gate(report)
-    for name, df in models.items():
-        publish(df, name)
+    publish_gold(spark, paths, out, tables)
     table, name = catalog.load_features(spark, (feature_table, catalog.DEFAULT_FEATURE_TABLE))
-    run = train_from_table(spark, table, name, out, profile=profile,
-                           checkpoint=feature_table is not None and name != catalog.DEFAULT_FEATURE_TABLE)
+    written = feature_table is None or name == catalog.DEFAULT_FEATURE_TABLE
+    run = train_from_table(spark, table, name, out, profile=profile, shap_rows=shap_rows, checkpoint=not written)
     return report, run
 
 

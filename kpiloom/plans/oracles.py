@@ -1,5 +1,5 @@
-"""DuckDB oracles: the same results written directly in SQL, in the original
-fan-out shape (joins first, aggregates after), over the raw driver tables.
+"""DuckDB oracles: the same results asked per user, day or week with correlated
+subqueries over the raw driver tables, a shape of their own beside the Spark plans.
 
 Every oracle starts with the silver adapter as a shared WITH prefix.  Money is
 summed as DECIMAL(18,4) and returned as DOUBLE (the Spark side sums exact 1e-4
@@ -11,7 +11,8 @@ from __future__ import annotations
 ADAPTER = """
 s_users AS (
   SELECT c_custkey AS id,
-         CAST(DATE '2023-10-02' + CAST((((c_custkey * 37) % 120) + 120) % 120 AS INTEGER) AS TIMESTAMP) AS created_at
+         CAST(DATE '2023-10-02' + CAST((((c_custkey * 37) % 120) + 120) % 120 AS INTEGER) AS TIMESTAMP) AS created_at,
+         c_name, c_nationkey, c_acctbal, c_mktsegment
   FROM customer
 ),
 s_orders AS (
@@ -22,11 +23,14 @@ s_orders AS (
               WHEN o_orderstatus = 'P' THEN 'Shipped' END AS status,
          CAST(DATE '2023-12-01'
               + CAST(((date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) % 90) + 90) % 90 AS INTEGER)
-              AS TIMESTAMP) AS created_at
+              AS TIMESTAMP) AS created_at,
+         o_orderstatus, o_totalprice, o_orderdate, o_orderpriority
   FROM orders
 ),
 s_items AS (
-  SELECT l_orderkey AS order_id, l_extendedprice AS sale_price FROM lineitem
+  SELECT l_orderkey AS order_id, l_extendedprice AS sale_price, l_partkey, l_suppkey, l_linenumber, l_quantity,
+         l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate
+  FROM lineitem
 ),
 s_events AS (
   SELECT user_id,
@@ -37,7 +41,8 @@ s_events AS (
          ts AS created_at,
          (['Email', 'Direct', 'Organic', 'Ads', 'Social', 'Other'])[
             CAST((((TRY_CAST(json_extract_string(props, '$.k') AS BIGINT)) % 6) + 6) % 6 + 1 AS INTEGER)
-         ] AS traffic_source
+         ] AS traffic_source,
+         event_id, value, props
   FROM events
 )"""
 
@@ -76,107 +81,77 @@ revenue_completed AS (
 
 FUNNEL_USERS = """
 funnel_users AS (
-  WITH f_users AS (SELECT DISTINCT id AS user_id FROM s_users),
-  f_ev AS (
-    SELECT user_id,
-           max(CASE WHEN event_type = 'page_view' THEN 1 ELSE 0 END) AS visited_flag,
-           max(CASE WHEN event_type = 'add_to_cart' THEN 1 ELSE 0 END) AS atc_flag
-    FROM s_events GROUP BY user_id),
-  f_conv AS (SELECT DISTINCT user_id FROM s_orders WHERE status = 'Complete')
-  SELECT u.user_id,
-         coalesce(ev.visited_flag, 0) = 1 AS visited,
-         coalesce(ev.atc_flag, 0) = 1 AS added_to_cart,
-         c.user_id IS NOT NULL AS converted
-  FROM f_users u LEFT JOIN f_ev ev ON ev.user_id = u.user_id LEFT JOIN f_conv c ON c.user_id = u.user_id
+  SELECT DISTINCT id AS user_id,
+         EXISTS (FROM s_events WHERE user_id = id AND event_type = 'page_view') AS visited,
+         EXISTS (FROM s_events WHERE user_id = id AND event_type = 'add_to_cart') AS added_to_cart,
+         EXISTS (FROM s_orders WHERE user_id = id AND status = 'Complete') AS converted
+  FROM s_users
 )"""
 
 FUNNEL_EVENT_SET = """
 funnel_event_set AS (
-  WITH e AS (
-    SELECT user_id, array_agg(DISTINCT raw_event_type) FILTER (WHERE raw_event_type IS NOT NULL) AS evs
-    FROM s_events GROUP BY user_id),
-  purchasers AS (SELECT DISTINCT user_id FROM s_orders WHERE status = 'Complete')
   SELECT e.user_id,
-         coalesce(list_contains(evs, 'view'), false) AS saw_landing,
-         coalesce(list_contains(evs, 'click'), false) AS saw_product,
-         coalesce(list_contains(evs, 'signup'), false) AS saw_cart,
-         p.user_id IS NOT NULL AS converted
-  FROM e LEFT JOIN purchasers p ON p.user_id = e.user_id
+         count(*) FILTER (WHERE raw_event_type = 'view') > 0 AS saw_landing,
+         count(*) FILTER (WHERE raw_event_type = 'click') > 0 AS saw_product,
+         count(*) FILTER (WHERE raw_event_type = 'signup') > 0 AS saw_cart,
+         bool_or(EXISTS (FROM s_orders o WHERE o.user_id = e.user_id AND o.status = 'Complete')) AS converted
+  FROM s_events e GROUP BY e.user_id
 )"""
 
-RETENTION_WEEKLY = """
-retention_weekly AS (
-  WITH cohorts AS (
-    SELECT id AS user_id, CAST(date_trunc('week', CAST(created_at AS DATE)) AS DATE) AS cohort_week FROM s_users),
-  activity AS (
-    SELECT user_id, CAST(date_trunc('week', CAST(created_at AS DATE)) AS DATE) AS activity_week
-    FROM s_events WHERE user_id IS NOT NULL),
-  joined AS (
-    SELECT c.cohort_week, a.user_id, CAST(date_diff('day', c.cohort_week, a.activity_week) // 7 AS BIGINT) AS week_n
-    FROM cohorts c JOIN activity a ON a.user_id = c.user_id
-    WHERE date_diff('day', c.cohort_week, a.activity_week) // 7 BETWEEN 0 AND 12),
-  cohort_sizes AS (SELECT cohort_week, count(DISTINCT user_id) AS cohort_users FROM cohorts GROUP BY 1),
-  retention AS (SELECT cohort_week, week_n, count(DISTINCT user_id) AS active_users FROM joined GROUP BY 1, 2)
-  SELECT r.cohort_week, r.week_n, r.active_users / cs.cohort_users AS retention_rate
-  FROM retention r JOIN cohort_sizes cs ON cs.cohort_week = r.cohort_week
-)"""
 
-RETENTION_UNBOUNDED = """
-retention_unbounded AS (
-  WITH users_cohort AS (
-    SELECT id AS user_id, CAST(created_at AS DATE) - CAST(dayofweek(CAST(created_at AS DATE)) AS INTEGER) AS cohort_week
-    FROM s_users),
-  activity AS (
-    SELECT user_id, CAST(created_at AS DATE) - CAST(dayofweek(CAST(created_at AS DATE)) AS INTEGER) AS active_week
-    FROM s_events),
-  cohort_sizes AS (SELECT cohort_week, count(DISTINCT user_id) AS cohort_size FROM users_cohort GROUP BY 1),
-  actives AS (
-    SELECT u.cohort_week, a.active_week, count(DISTINCT a.user_id) AS active_users
-    FROM users_cohort u JOIN activity a ON a.user_id = u.user_id GROUP BY 1, 2)
-  SELECT a.cohort_week, CAST(date_diff('day', a.cohort_week, a.active_week) // 7 AS BIGINT) AS week_number,
-         a.active_users / cs.cohort_size AS retention
-  FROM actives a JOIN cohort_sizes cs ON cs.cohort_week = a.cohort_week
+def retention_cte(name: str, week: str, n: str, rate: str, keep: str) -> str:
+    """Retention of the signup weeks; ``week`` maps a date ``d`` to its week's first day."""
+    first = week.format(d="CAST(created_at AS DATE)")
+    return f"""
+{name}_signups AS (SELECT id, {first} AS w0 FROM s_users),
+{name} AS (
+  SELECT w0 AS cohort_week, {n},
+         count(DISTINCT id) / (SELECT count(DISTINCT peer.id) FROM {name}_signups peer WHERE peer.w0 = pair.w0) AS {rate}
+  FROM (SELECT s.id, s.w0, CAST((CAST(e.w1 AS DATE) - CAST(s.w0 AS DATE)) // 7 AS BIGINT) AS {n}
+        FROM (SELECT user_id, {first} AS w1 FROM s_events) e, {name}_signups s WHERE s.id = e.user_id) pair
+  WHERE {keep}
+  GROUP BY w0, {n}
 )"""
 
+
+RETENTION_WEEKLY = retention_cte("retention_weekly", "CAST(date_trunc('week', {d}) AS DATE)", "week_n",
+                                 "retention_rate", "week_n >= 0 AND week_n <= 12")
+RETENTION_UNBOUNDED = retention_cte("retention_unbounded", "({d} - CAST(dayofweek({d}) AS INTEGER))", "week_number",
+                                    "retention", "true")
+
+# One row per (user, whole days from signup to the newest event), ``copies`` user rows each;
+# an order counts as its item rows, at least one.
 FEATURES = f"""
-last_event AS (SELECT user_id, max(created_at) AS anchor_ts FROM s_events GROUP BY 1),
-rfm AS (
-  SELECT u.id AS user_id,
-         CAST(date_sub('day', u.created_at, le.anchor_ts) AS BIGINT) AS days_since_signup,
-         CAST(count(*) FILTER (WHERE o.created_at >= le.anchor_ts - INTERVAL 30 DAY) AS BIGINT) AS orders_30d,
-         CAST(SUM(CASE WHEN o.created_at >= le.anchor_ts - INTERVAL 30 DAY
-                       THEN CAST(oi.sale_price AS {M}) ELSE 0 END) AS DOUBLE) AS revenue_30d,
-         CAST(count(DISTINCT CASE WHEN o.created_at >= le.anchor_ts - INTERVAL 30 DAY THEN o.order_id END) AS BIGINT)
-           AS frequency_30d
-  FROM s_users u
-  JOIN last_event le ON le.user_id = u.id
-  LEFT JOIN s_orders o ON o.user_id = u.id
-  LEFT JOIN s_items oi ON oi.order_id = o.order_id
-  GROUP BY 1, 2
-),
-source_mix AS (
-  SELECT user_id,
-         count(*) FILTER (WHERE traffic_source = 'Email') / count(*) AS pct_email,
-         count(*) FILTER (WHERE traffic_source = 'Direct') / count(*) AS pct_direct,
-         count(*) FILTER (WHERE traffic_source = 'Organic') / count(*) AS pct_organic,
-         count(*) FILTER (WHERE traffic_source = 'Ads') / count(*) AS pct_ads,
-         count(*) FILTER (WHERE traffic_source = 'Social') / count(*) AS pct_social
-  FROM s_events GROUP BY 1
-),
-label AS (
-  SELECT le.user_id,
-         count(*) FILTER (WHERE o.created_at > le.anchor_ts AND o.created_at <= le.anchor_ts + INTERVAL 14 DAY) > 0
-           AS will_convert_14d
-  FROM last_event le LEFT JOIN s_orders o ON o.user_id = le.user_id
-  GROUP BY 1
-),
+newest AS (SELECT user_id, max(created_at) AS anchor_ts FROM s_events GROUP BY user_id),
+person AS (
+  SELECT id, anchor_ts, CAST(date_sub('day', created_at, anchor_ts) AS BIGINT) AS days, count(*) AS copies
+  FROM s_users, newest WHERE user_id = id GROUP BY ALL),
+basket AS (
+  SELECT user_id, order_id, created_at,
+         (SELECT greatest(count(*), 1) FROM s_items i WHERE i.order_id = o.order_id) AS lines,
+         (SELECT sum(CAST(sale_price AS {M})) FROM s_items i WHERE i.order_id = o.order_id) AS amount
+  FROM s_orders o),
+spending AS (
+  SELECT id AS user_id, days AS days_since_signup,
+         CAST(copies * coalesce((SELECT sum(lines) FROM basket b
+              WHERE b.user_id = p.id AND b.created_at >= p.anchor_ts - INTERVAL 30 DAY), 0) AS BIGINT) AS orders_30d,
+         CAST(copies * CASE WHEN EXISTS (FROM basket b WHERE b.user_id = p.id)
+              THEN (SELECT sum(CASE WHEN b.created_at >= p.anchor_ts - INTERVAL 30 DAY THEN amount ELSE 0 END)
+                    FROM basket b WHERE b.user_id = p.id) ELSE 0 END AS DOUBLE) AS revenue_30d,
+         (SELECT count(DISTINCT order_id) FROM basket b
+          WHERE b.user_id = p.id AND b.created_at >= p.anchor_ts - INTERVAL 30 DAY) AS frequency_30d
+  FROM person p),
+channels AS (
+  SELECT user_id, {", ".join(f"avg(CASE WHEN traffic_source = '{c}' THEN 1 ELSE 0 END) AS pct_{c.lower()}"
+                             for c in ("Email", "Direct", "Organic", "Ads", "Social"))}
+  FROM s_events GROUP BY user_id),
+outcome AS (
+  SELECT user_id, CAST(EXISTS (FROM s_orders o WHERE o.user_id = newest.user_id AND o.created_at > anchor_ts
+                               AND o.created_at <= anchor_ts + INTERVAL 14 DAY) AS BIGINT) AS will_convert_14d
+  FROM newest),
 features_conversion AS (
-  SELECT r.user_id, r.days_since_signup, r.orders_30d, r.revenue_30d, r.frequency_30d,
-         coalesce(s.pct_email, 0) AS pct_email, coalesce(s.pct_direct, 0) AS pct_direct,
-         coalesce(s.pct_organic, 0) AS pct_organic, coalesce(s.pct_ads, 0) AS pct_ads,
-         coalesce(s.pct_social, 0) AS pct_social,
-         CAST(l.will_convert_14d AS BIGINT) AS will_convert_14d
-  FROM rfm r LEFT JOIN source_mix s ON s.user_id = r.user_id JOIN label l ON l.user_id = r.user_id
+  SELECT spending.*, channels.* EXCLUDE (user_id), will_convert_14d
+  FROM spending JOIN channels USING (user_id) JOIN outcome USING (user_id)
 )"""
 
 AB_GROUP = """
@@ -211,31 +186,29 @@ def _erfc_taylor(x: str) -> str:
 
 
 def ab_test_sql(cells: str, keys: str = "", alpha: float = 0.05) -> str:
-    """Z-test, CI and SRM over a cells relation, in the original's arithmetic."""
+    """Z-test, CI and SRM over a cells relation, from the pooled variance."""
     k = f"{keys}, " if keys else ""
     return f"""
     SELECT {k}a_success, a_total, b_success, b_total,
-           CASE WHEN a_total > 0 AND b_total > 0 THEN a_success / a_total END AS a_rate,
-           CASE WHEN a_total > 0 AND b_total > 0 THEN b_success / b_total END AS b_rate,
+           CASE WHEN both_ok THEN a_success / a_total END AS a_rate,
+           CASE WHEN both_ok THEN b_success / b_total END AS b_rate,
            CASE WHEN ok THEN uplift END AS uplift,
-           CASE WHEN ok THEN uplift / se END AS z,
-           CASE WHEN ok THEN round({_erfc_taylor('abs(uplift / se) / sqrt(2)')}, 10) END AS p_value,
-           CASE WHEN ok THEN uplift - 1.96 * se END AS ci_low,
-           CASE WHEN ok THEN uplift + 1.96 * se END AS ci_high,
-           CASE WHEN ok THEN chi2 END AS srm_chi2,
-           CASE WHEN ok THEN round({_erfc_taylor('sqrt(chi2 / 2)')}, 10) END AS srm_p,
-           CASE WHEN ok THEN {_erfc_taylor('abs(uplift / se) / sqrt(2)')} < {alpha} END AS significant,
+           CASE WHEN ok THEN uplift / sqrt(var) END AS z,
+           CASE WHEN ok THEN round({_erfc_taylor('abs(uplift / sqrt(var)) / sqrt(2)')}, 10) END AS p_value,
+           CASE WHEN ok THEN uplift - 1.96 * sqrt(var) END AS ci_low,
+           CASE WHEN ok THEN uplift + 1.96 * sqrt(var) END AS ci_high,
+           CASE WHEN both_ok THEN chi2 END AS srm_chi2,
+           CASE WHEN both_ok THEN round({_erfc_taylor('sqrt(chi2 / 2)')}, 10) END AS srm_p,
+           CASE WHEN ok THEN {_erfc_taylor('abs(uplift / sqrt(var)) / sqrt(2)')} < {alpha} END AS significant,
            coalesce(ok, false) AS valid
     FROM (
-      SELECT *, pre AND se > 0 AS ok,
+      SELECT *, both_ok AND var > 0 AS ok,
              b_success / b_total - a_success / a_total AS uplift,
-             pow(a_total - (a_total + b_total) / 2, 2) / ((a_total + b_total) / 2)
-               + pow(b_total - (a_total + b_total) / 2, 2) / ((a_total + b_total) / 2) AS chi2
+             pow(a_total - half, 2) / half + pow(b_total - half, 2) / half AS chi2
       FROM (
-        SELECT *, CASE WHEN pre THEN sqrt(pooled * (1 - pooled) * (1 / a_total + 1 / b_total)) END AS se
+        SELECT *, pooled * (1 - pooled) * (1 / a_total + 1 / b_total) AS var
         FROM (
-          SELECT *, (a_total > 0 AND b_total > 0 AND a_success BETWEEN 0 AND a_total
-                     AND b_success BETWEEN 0 AND b_total) AS pre,
+          SELECT *, a_total > 0 AND b_total > 0 AS both_ok, (a_total + b_total) / 2 AS half,
                  CASE WHEN a_total + b_total <> 0 THEN (a_success + b_success) / (a_total + b_total) END AS pooled
           FROM {cells}) c0) c1) c2"""
 
@@ -244,24 +217,33 @@ def pivot_sql(metrics: str, keys: str = "") -> str:
     k = f"{keys}, " if keys else ""
     g = f"GROUP BY {keys}" if keys else ""
     return f"""
-    SELECT {k}CAST(max(CASE WHEN ab_group = 'A' THEN converters END) AS BIGINT) AS a_success,
-           CAST(max(CASE WHEN ab_group = 'A' THEN users END) AS BIGINT) AS a_total,
-           max(CASE WHEN ab_group = 'A' THEN conversion_rate END) AS a_rate,
-           CAST(max(CASE WHEN ab_group = 'B' THEN converters END) AS BIGINT) AS b_success,
-           CAST(max(CASE WHEN ab_group = 'B' THEN users END) AS BIGINT) AS b_total,
-           max(CASE WHEN ab_group = 'B' THEN conversion_rate END) AS b_rate
+    SELECT {k}CAST(max(converters) FILTER (ab_group = 'A') AS BIGINT) AS a_success,
+           CAST(max(users) FILTER (ab_group = 'A') AS BIGINT) AS a_total,
+           max(conversion_rate) FILTER (ab_group = 'A') AS a_rate,
+           CAST(max(converters) FILTER (ab_group = 'B') AS BIGINT) AS b_success,
+           CAST(max(users) FILTER (ab_group = 'B') AS BIGINT) AS b_total,
+           max(conversion_rate) FILTER (ab_group = 'B') AS b_rate
     FROM {metrics} {g}"""
 
 
 def verdict_sql(tested: str) -> str:
     return f"""
-    SELECT *, CASE WHEN valid THEN CASE WHEN srm_p > 0.001 THEN 'PASS' ELSE 'FAIL' END END AS srm_status,
+    SELECT *, CASE WHEN srm_p > 0.001 THEN 'PASS' WHEN srm_p <= 0.001 THEN 'FAIL' END AS srm_status,
            CASE WHEN valid THEN (NOT significant) AND abs(uplift * 100) < 1.0 END AS expected_null,
            CASE WHEN valid THEN CASE WHEN (NOT significant) AND abs(uplift * 100) < 1.0
                 THEN 'EXPECTED' ELSE 'UNEXPECTED' END END AS verdict
     FROM ({tested}) t"""
 
 
+def _auc(scored: str) -> str:
+    """Exact AUC of (score, y) rows: the share of pairs in order, ties one half, rounded
+    like the Spark side's result in the driver's comparison."""
+    return f"""(SELECT round(sum(pos * (below + 0.5 * neg)) / NULLIF(sum(pos) * sum(neg), 0), 10)
+              FROM (SELECT pos, neg, sum(neg) OVER (ORDER BY score) - neg AS below
+                    FROM (SELECT score, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg
+                          FROM {scored} GROUP BY score)))"""
+
+
 def oracle_sql() -> dict[str, str]:
     A = with_adapter
     q: dict[str, str] = {}
@@ -275,17 +257,15 @@ def oracle_sql() -> dict[str, str]:
     q["funnel_event_set"] = A(FUNNEL_EVENT_SET, body="SELECT * FROM funnel_event_set")
     q["retention_weekly"] = A(RETENTION_WEEKLY, body="SELECT * FROM retention_weekly")
     q["retention_unbounded"] = A(RETENTION_UNBOUNDED, body="SELECT * FROM retention_unbounded")
-    q["features_last_event"] = A(FEATURES, body="SELECT * FROM last_event")
-    q["features_rfm"] = A(FEATURES, body="SELECT * FROM rfm")
-    q["features_source_mix"] = A(FEATURES, body="SELECT * FROM source_mix")
-    q["features_label"] = A(FEATURES, body=(
-        "SELECT user_id, CAST(will_convert_14d AS BIGINT) AS will_convert_14d FROM label"))
+    q["features_last_event"] = A(FEATURES, body="SELECT * FROM newest")
+    q["features_rfm"] = A(FEATURES, body="SELECT * FROM spending")
+    q["features_source_mix"] = A(FEATURES, body="SELECT * FROM channels")
+    q["features_label"] = A(FEATURES, body="SELECT * FROM outcome")
     q["features_conversion"] = A(FEATURES, body="SELECT * FROM features_conversion")
     q["ab_group"] = A(AB_GROUP, body="SELECT * FROM ab_group")
     q["ab_metrics"] = A(FUNNEL_USERS, AB_GROUP, AB_METRICS, body="SELECT * FROM ab_metrics")
     q["revenue_daily_range"] = A(REVENUE_DAILY, body=(
-        "SELECT day, orders, revenue, aov FROM revenue_daily "
-        "WHERE day >= DATE '2024-01-01' AND day <= DATE '2024-01-31' ORDER BY day"))
+        "SELECT day, orders, revenue, aov FROM revenue_daily ORDER BY day"))
     q["funnel_users_page"] = A(FUNNEL_USERS, body="SELECT * FROM funnel_users ORDER BY user_id LIMIT 5000")
     q["retention_weekly_sorted"] = A(RETENTION_WEEKLY, body=(
         "SELECT * FROM retention_weekly ORDER BY cohort_week, week_n"))
@@ -314,10 +294,10 @@ def oracle_sql() -> dict[str, str]:
     gold_ab = (FUNNEL_USERS, AB_GROUP, AB_METRICS)
     q["ab_pivot"] = A(*gold_ab, body=pivot_sql("ab_metrics"))
     q["ab_uplift"] = A(*gold_ab, body="""
-        SELECT cr_A, cr_B, cr_B - cr_A AS abs_uplift,
-               CASE WHEN cr_A <> 0 THEN (cr_B - cr_A) / cr_A END AS rel_uplift
-        FROM (SELECT max(CASE WHEN ab_group = 'A' THEN conversion_rate END) AS cr_A,
-                     max(CASE WHEN ab_group = 'B' THEN conversion_rate END) AS cr_B FROM ab_metrics) r""")
+        SELECT *, abs_uplift / nullif(cr_A, 0) AS rel_uplift
+        FROM (SELECT cr_A, cr_B, cr_B - cr_A AS abs_uplift
+              FROM (SELECT (SELECT max(conversion_rate) FROM ab_metrics WHERE ab_group = 'A') AS cr_A,
+                           (SELECT max(conversion_rate) FROM ab_metrics WHERE ab_group = 'B') AS cr_B))""")
     q["ab_bucket_share"] = A(AB_GROUP, body="""
         SELECT count(*) FILTER (WHERE ab_group = 'A') / count(*) AS share_A,
                count(*) FILTER (WHERE ab_group = 'B') / count(*) AS share_B FROM ab_group""")
@@ -326,11 +306,13 @@ def oracle_sql() -> dict[str, str]:
     q["ab_srm"] = A(*gold_ab, body=f"SELECT a_total, b_total, srm_chi2, srm_p FROM ({ab_test_sql(gold_cells)}) t")
     seg_metrics = """
     seg_metrics AS (
-      SELECT CAST(u.created_at AS DATE) AS signup_day, g.ab_group, CAST(count(*) AS BIGINT) AS users,
-             CAST(SUM(CAST(f.converted AS BIGINT)) AS BIGINT) AS converters,
-             SUM(CAST(f.converted AS BIGINT)) / count(*) AS conversion_rate
-      FROM funnel_users f JOIN s_users u ON u.id = f.user_id JOIN ab_group g ON g.user_id = f.user_id
-      GROUP BY 1, 2
+      SELECT signup_day, ab_group, CAST(count(*) AS BIGINT) AS users, count(*) FILTER (converted) AS converters,
+             count(*) FILTER (converted) / count(*) AS conversion_rate
+      FROM (SELECT CAST(u.created_at AS DATE) AS signup_day, u.id,
+                   (SELECT any_value(g.ab_group) FROM ab_group g WHERE g.user_id = u.id) AS ab_group,
+                   EXISTS (FROM s_orders o WHERE o.user_id = u.id AND o.status = 'Complete') AS converted
+            FROM s_users u WHERE u.id IS NOT NULL)
+      GROUP BY ALL
     )"""
     q["ab_test_invalid"] = A(*gold_ab, seg_metrics,
                              body=ab_test_sql(f"({pivot_sql('seg_metrics', 'signup_day')})", "signup_day"))
@@ -399,4 +381,34 @@ def oracle_sql() -> dict[str, str]:
              avg(CASE WHEN (CASE WHEN pct_direct >= 0.5 THEN 1.0 ELSE 0.0 END) = CAST(will_convert_14d AS DOUBLE)
                  THEN 1.0 ELSE 0.0 END) AS accuracy
       FROM split WHERE split = 'test'""")
+    scored = "scored AS (SELECT coalesce(pct_direct, 0.0) AS score, will_convert_14d AS y FROM features_conversion)"
+    q["ml_evaluate_score"] = A(FEATURES, scored, body=f"""
+      SELECT count(*) AS rows, count(*) FILTER (y = 1) AS positives, {_auc('scored')} AS auc,
+             avg(CASE WHEN (score >= 0.5) = (y = 1) THEN 1.0 ELSE 0.0 END) AS accuracy
+      FROM scored""")
+    board = "\nUNION ALL ".join(f"""
+      SELECT CAST({i} AS INTEGER) AS train_order, '{f}' AS model,
+             (WITH scored AS (SELECT coalesce(CAST({f} AS DOUBLE), 0.0) AS score, will_convert_14d AS y
+                              FROM split WHERE split = 'test')
+              SELECT {_auc('scored')}) AS auc,
+             (SELECT avg(CASE WHEN (coalesce(CAST({f} AS DOUBLE), 0.0) >= 0.5) = (will_convert_14d = 1)
+                              THEN 1.0 ELSE 0.0 END) FROM split WHERE split = 'test') AS accuracy,
+             (SELECT count(*) FROM split) AS rows, 'will_convert_14d' AS target,
+             'features_conversion' AS feature_table""" for i, f in enumerate(feats))
+    q["ml_feature_board"] = A(FEATURES, split, body=board)
+    q["ml_feature_champion"] = A(FEATURES, split, body=f"""
+      SELECT * FROM ({board}) ORDER BY auc DESC, accuracy DESC, train_order LIMIT 1""")
+    q["ml_batch_summary"] = A(FEATURES, body=f"""
+      SELECT CAST({len(tests)} AS BIGINT) AS tests, CAST({len(tests)} AS BIGINT) AS tests_passed, count(*) AS rows,
+             CAST({len(feats)} AS BIGINT) AS features, CAST(3 AS BIGINT) AS models FROM features_conversion""")
+    q["event_type_sets"] = A(body="""
+      SELECT user_id, string_agg(t, ',' ORDER BY t) AS events, count(t) AS n_types,
+             bool_or(t = 'view') AS saw_landing, bool_or(t = 'click') AS saw_product, bool_or(t = 'signup') AS saw_cart
+      FROM (SELECT DISTINCT user_id, raw_event_type AS t FROM s_events) GROUP BY user_id""")
+    q["features_text_coerced"] = A(body="""
+      SELECT event_id, k AS padded, k + 0.5 AS bracketed, 0.0 AS suffixed, CAST('1' || CAST(k AS INTEGER) AS DOUBLE)
+             AS grouped, k * 10 AS scientific, value AS listed, 0.0 AS no_list, k AS nested,
+             CASE WHEN value > 50 THEN 1.0 ELSE 0.0 END AS large, 0.0 AS missing, 0.0 AS word,
+             CAST(event_type = 'purchase' AS BIGINT) AS bought
+      FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM s_events)""")
     return q

@@ -9,6 +9,9 @@ from __future__ import annotations
 
 import datetime as _dt
 import inspect
+import re
+import uuid
+import weakref
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,9 +34,6 @@ REGISTRY: dict[str, Report] = {}
 PAGE = 5000            # page size of the list reports
 LAST_DAYS = 7          # "last n days" report
 MAX_WEEK = 12          # retention pivot columns week_0..week_12
-# Default range of the range report (both ends inclusive, each optional).
-RANGE_START = _dt.date(2024, 1, 1)
-RANGE_END = _dt.date(2024, 1, 31)
 
 
 def report(name: str):
@@ -141,21 +141,16 @@ def _ab_metrics(src: Sources) -> DataFrame:
 # -- reports --------------------------------------------------------------------
 
 @report("revenue_daily_range")
-def _revenue_daily_range(src: Sources, start: _dt.date | None = RANGE_START,
-                         end: _dt.date | None = RANGE_END) -> DataFrame:
-    """Revenue in an optional closed date range, ordered by day.
-
-    Written as parameterised SQL: a null bound folds away at analysis time and
-    the remaining bound travels through the aggregate and the join into the
-    orders scan as a pushed filter.
-    """
-    return src.spark.sql(
-        "SELECT day, orders, revenue, aov FROM {rd} "
-        "WHERE (CAST(:start AS DATE) IS NULL OR day >= CAST(:start AS DATE)) "
-        "AND (CAST(:end AS DATE) IS NULL OR day <= CAST(:end AS DATE)) ORDER BY day",
-        args={"start": start, "end": end},
-        rd=_revenue_daily(src),
-    )
+def _revenue_daily_range(src: Sources, start: _dt.date | None = None, end: _dt.date | None = None) -> DataFrame:
+    """Daily revenue, oldest first; ``start`` and ``end`` are inclusive, and a bound
+    that is not given stays open.  A given bound is a plain filter on the day, which
+    Catalyst moves through the aggregate and the join to the orders scan."""
+    days = _revenue_daily(src)
+    if start is not None:
+        days = days.where(F.col("day") >= F.lit(start))
+    if end is not None:
+        days = days.where(F.col("day") <= F.lit(end))
+    return days.orderBy("day")
 
 
 def _page(df: DataFrame, limit: int, key: str = "user_id") -> DataFrame:
@@ -163,9 +158,17 @@ def _page(df: DataFrame, limit: int, key: str = "user_id") -> DataFrame:
     return df.orderBy(key).limit(limit)
 
 
+def _only(ids: DataFrame, table: DataFrame, key: str) -> list[DataFrame]:
+    """``table`` reduced to the ids of a page (a page's size, so broadcast)."""
+    keys = F.broadcast(ids.select(F.col("user_id").alias("_page_id")))
+    return [table.join(keys, F.col(key).eqNullSafe(F.col("_page_id")), "left_semi")]
+
+
 @report("funnel_users_page")
 def _funnel_users_page(src: Sources, limit: int = PAGE) -> DataFrame:
-    return _page(_funnel_users(src), limit)
+    ids = _page(src.users.select(F.col("id").alias("user_id")).distinct(), limit)
+    return _page(fun.funnel_users(*_only(ids, src.users, "id"), *_only(ids, src.events, "user_id"),
+                                  *_only(ids, src.orders, "user_id")), limit)
 
 
 @report("retention_weekly_sorted")
@@ -185,7 +188,13 @@ def _ab_metrics_sorted(src: Sources) -> DataFrame:
 
 @report("features_page")
 def _features_page(src: Sources, limit: int = PAGE) -> DataFrame:
-    return _page(_features_conversion(src), limit)
+    # a user has features when it has an event; one user row per signup day at least,
+    # so the first ``limit`` such ids cover the page
+    ids = src.users.select(F.col("id").alias("user_id")).join(
+        src.events.select("user_id"), "user_id", "left_semi").distinct()
+    ids = _page(ids, limit)
+    return _page(feat.features_conversion(*_only(ids, src.users, "id"), *_only(ids, src.orders, "user_id"),
+                                          src.items, *_only(ids, src.events, "user_id")), limit)
 
 
 @report("revenue_last_7")
@@ -237,20 +246,13 @@ def _retention_pivot(src: Sources, max_week: int = MAX_WEEK) -> DataFrame:
 
     The pivot values are given, so no extra job collects the distinct weeks.
     """
-    r = _retention_weekly(src)
+    r = ret.retention_weekly(src.users, src.events, bounds=(0, max_week))
     p = r.groupBy("cohort_week").pivot("week_n", list(range(max_week + 1))).agg(F.first("retention_rate"))
     return p.select("cohort_week", *[F.col(str(k)).alias(f"week_{k}") for k in range(max_week + 1)])
 
 
 # -- experiments --------------------------------------------------------------
 
-P_DIGITS = 10   # p-values are reported to 10 decimals
-
-
-def _rounded_p(df: DataFrame) -> DataFrame:
-    return df.withColumn("p_value", F.round("p_value", P_DIGITS)).withColumn("srm_p", F.round("srm_p", P_DIGITS))
-
-
 @report("ab_pivot")
 def _ab_pivot(src: Sources) -> DataFrame:
     return exp.ab_pivot(_ab_metrics(src))
@@ -268,7 +270,7 @@ def _ab_bucket_share(src: Sources) -> DataFrame:
 
 @report("ab_test")
 def _ab_test(src: Sources, alpha: float = exp.DEFAULT_ALPHA) -> DataFrame:
-    return _rounded_p(exp.ab_test(exp.ab_pivot(_ab_metrics(src)), alpha))
+    return exp.ab_test(exp.ab_pivot(_ab_metrics(src)), alpha)
 
 
 @report("ab_srm")
@@ -280,35 +282,52 @@ def _ab_srm(src: Sources) -> DataFrame:
 def _ab_test_segments(src: Sources, alpha: float = exp.DEFAULT_ALPHA) -> DataFrame:
     """The test per signup-day segment: small segments (nobody converted, or one
     group empty) come out ``valid = false`` with null statistics."""
-    seg = src.users.select(F.col("id").alias("user_id"), day_of("created_at").alias("signup_day"))
-    f = _funnel_users(src).join(seg, "user_id", "inner")
-    m = asg.ab_metrics(f, _ab_group(src), keys=["signup_day"])
-    return _rounded_p(exp.ab_test(exp.ab_pivot(m, keys=["signup_day"]), alpha))
+    m = asg.ab_metrics_from_users(src.users, src.events, src.orders,
+                                  keys={"signup_day": day_of("created_at")})
+    return exp.ab_test(exp.ab_pivot(m, keys=["signup_day"]), alpha)
 
 
 @report("ab_verdict")
 def _ab_verdict(src: Sources, alpha: float = exp.DEFAULT_ALPHA) -> DataFrame:
     """Verdict on the first-generation metrics (users with events)."""
-    return _rounded_p(exp.ab_verdict(exp.ab_test(exp.ab_pivot(_ab_metrics_event_users(src)), alpha)))
+    return exp.ab_verdict(exp.ab_test(exp.ab_pivot(_ab_metrics_event_users(src)), alpha))
 
 
 @report("ab_experiment")
 def _ab_experiment(src: Sources, alpha: float = exp.DEFAULT_ALPHA) -> DataFrame:
-    return _rounded_p(exp.run_experiment(src.users, src.events, src.orders, alpha))
+    return exp.run_experiment(src.users, src.events, src.orders, alpha)
 
 
 # -- data quality -------------------------------------------------------------
 
+GOLD_MODELS: dict[str, Report] = {
+    "revenue_daily": _revenue_daily,
+    "funnel_users": _funnel_users,
+    "ab_group": _ab_group,
+    "ab_metrics": _ab_metrics,
+    "retention_weekly": _retention_weekly,
+    "features_conversion": _features_conversion,
+}
+
+
+class LazyModels(dict):
+    """Gold models by name, each built when first asked for."""
+
+    def __init__(self, src: Sources):
+        super().__init__()
+        self.src = src
+
+    def __contains__(self, name):
+        return name in GOLD_MODELS
+
+    def __missing__(self, name):
+        self[name] = GOLD_MODELS[name](self.src)
+        return self[name]
+
+
 def gold_models(src: Sources) -> dict[str, DataFrame]:
     """The six gold models, each built once, exactly as their reports build them."""
-    return {
-        "revenue_daily": _revenue_daily(src),
-        "funnel_users": _funnel_users(src),
-        "ab_group": _ab_group(src),
-        "ab_metrics": _ab_metrics(src),
-        "retention_weekly": _retention_weekly(src),
-        "features_conversion": _features_conversion(src),
-    }
+    return {name: make(src) for name, make in GOLD_MODELS.items()}
 
 
 @report("dq_report")
@@ -318,19 +337,21 @@ def _dq_report(src: Sources) -> DataFrame:
 
 @report("dq_not_null")
 def _dq_not_null(src: Sources) -> DataFrame:
-    return _dq_report(src).filter(F.col("test") == "not_null")
+    return dq.run_suite(src.spark, LazyModels(src), only="not_null")
 
 
 @report("dq_accepted_values")
 def _dq_accepted(src: Sources) -> DataFrame:
-    return _dq_report(src).filter(F.col("test") == "accepted_values")
+    return dq.run_suite(src.spark, LazyModels(src), only="accepted_values")
 
 
 # -- model training -----------------------------------------------------------
 
 BASELINE_AUC_SCORE = "orders_30d"      # single-feature scores that check the metric
 BASELINE_ACC_SCORE = "pct_direct"      # operators against SQL (model scores have no oracle)
+RUNS_KEPT = 4
 _RUNS: dict = {}
+_GIVEN_RUNS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def _coerced(src: Sources) -> DataFrame:
@@ -338,6 +359,14 @@ def _coerced(src: Sources) -> DataFrame:
     return prepare.coerce_features(_features_conversion(src))[0]
 
 
+def _written_features(src: Sources) -> DataFrame:
+    """The coerced features, computed once: the split's counting passes and the report
+    read them from the shared checkpoint folder."""
+    from ..session import checkpoint_dir
+    checkpoint_dir(src.spark)
+    return _coerced(src).checkpoint(eager=True)
+
+
 @report("features_coerced")
 def _features_coerced(src: Sources) -> DataFrame:
     return _coerced(src)
@@ -346,12 +375,12 @@ def _features_coerced(src: Sources) -> DataFrame:
 @report("ml_split")
 def _ml_split(src: Sources) -> DataFrame:
     from ..ml import prepare
-    return prepare.assign_split(_coerced(src)).select("user_id", prepare.TARGET, "split")
+    return prepare.assign_split(_written_features(src)).select("user_id", prepare.TARGET, "split")
 
 
 def _baseline_test_scores(src: Sources, score_col: str) -> DataFrame:
     from ..ml import prepare
-    test = prepare.stratified_split(_coerced(src))[1]
+    test = prepare.stratified_split(_written_features(src))[1]
     return test.select("user_id", F.col(prepare.TARGET).cast("double").alias("label"),
                        F.col(score_col).cast("double").alias("score"))
 
@@ -361,7 +390,7 @@ def _ml_auc(src: Sources, score_col: str = BASELINE_AUC_SCORE) -> DataFrame:
     """Exact AUC of a score on the test split (here a single-feature score)."""
     from ..ml.evaluate import evaluate_scores
     m = evaluate_scores(src.spark, _baseline_test_scores(src, score_col))
-    return m.select("rows", "positives", F.round("auc", P_DIGITS).alias("auc"))
+    return m.select("rows", "positives", "auc")
 
 
 @report("ml_accuracy")
@@ -369,17 +398,101 @@ def _ml_accuracy(src: Sources, score_col: str = BASELINE_ACC_SCORE) -> DataFrame
     from ..ml.evaluate import accuracy_frame
     return accuracy_frame(_baseline_test_scores(src, score_col))
 
+@report("ml_evaluate_score")
+def _ml_evaluate_score(src: Sources, score_col: str = BASELINE_ACC_SCORE) -> DataFrame:
+    """Rows, positives, AUC and accuracy of a fixed score over the whole feature table."""
+    from ..ml import prepare
+    from ..ml.evaluate import evaluate_scores
+    rows = _written_features(src).select(F.col(prepare.TARGET).cast("double").alias("label"),
+                                         F.col(score_col).alias("score"))
+    return evaluate_scores(src.spark, rows)
+
+
+def _feature_board(src: Sources) -> DataFrame:
+    """A leaderboard whose candidates are the single features, on the test split."""
+    from ..ml import prepare, train
+    from ..ml.evaluate import measure
+    rows = _written_features(src)
+    test = prepare.stratified_split(rows)[1].checkpoint(eager=True)
+    n, board = rows.count(), []
+    for i, f in enumerate(prepare.feature_columns(rows)):
+        got = measure(test.select(F.col(prepare.TARGET).cast("double").alias("label"), F.col(f).alias("score")))
+        board.append((i, f, got["auc"], got["accuracy"], n, prepare.TARGET, "features_conversion"))
+    return src.spark.createDataFrame(board, train.LEADERBOARD_SCHEMA)
+
+
+@report("ml_feature_board")
+def _ml_feature_board(src: Sources) -> DataFrame:
+    return _feature_board(src)
+
+
+@report("ml_feature_champion")
+def _ml_feature_champion(src: Sources) -> DataFrame:
+    from ..ml import train
+    return train.champion(_feature_board(src))
+
+
+@report("event_type_sets")
+def _event_type_sets(src: Sources) -> DataFrame:
+    """Each user's set of event types, and membership of the first-generation steps."""
+    sets = fun.event_type_sets(src.events)
+    return sets.select("user_id", F.array_join("events", ",").alias("events"),
+                       F.size("events").cast("bigint").alias("n_types"),
+                       *[F.array_contains("events", t).alias(k) for k, t in fun.FIRST_GEN_STEPS.items()])
+
+
+@report("features_text_coerced")
+def _features_text_coerced(src: Sources) -> DataFrame:
+    """Feature coercion of text, list, boolean and nested cells, on the events table."""
+    from ..ml import prepare
+    k = F.get_json_object("props", "$.k")
+    cells = src.events.select(
+        F.col("event_id"), F.concat(F.lit("  "), k, F.lit(" ")).alias("padded"),
+        F.concat(F.lit("["), k, F.lit(".5]")).alias("bracketed"), F.concat(k, F.lit("d")).alias("suffixed"),
+        F.concat(F.lit("1_"), k).alias("grouped"), F.concat(k, F.lit("e1")).alias("scientific"),
+        F.array(F.col("value"), F.lit(0.0)).alias("listed"), F.array().cast("array<double>").alias("no_list"),
+        F.array(F.array(F.concat(F.lit(" "), k))).alias("nested"), (F.col("value") > 50).alias("large"),
+        F.lit(None).cast("string").alias("missing"), F.col("event_type").alias("word"),
+        (F.col("event_type") == "purchase").cast("int").alias("bought"))
+    return prepare.coerce_features(cells, id_cols=("event_id",), target="bought")[0]
+
+
+@report("ml_batch_summary")
+def _ml_batch_summary(src: Sources) -> DataFrame:
+    """What a batch's result says apart from the trained metrics."""
+    report_df, run = training_run(src)
+    return report_df.agg(F.count(F.lit(1)).alias("tests"), F.count_if("passed").alias("tests_passed")).select(
+        "tests", "tests_passed", F.lit(run.table.count()).cast("bigint").alias("rows"),
+        F.lit(len(run.features)).cast("bigint").alias("features"),
+        F.lit(run.leaderboard.count()).cast("bigint").alias("models"))
+
+
+def _state_of(src: Sources) -> tuple:
+    """Identity of a data directory's current files: bytes, files and newest change."""
+    sc = src.spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(src.sf_dir)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    total = fs.getContentSummary(path)
+    newest = max((f.getModificationTime() for f in fs.listStatus(path)), default=0)
+    return (sc.applicationId, src.sf_dir, total.getLength(), total.getFileCount(), newest)
+
 
 def training_run(src: Sources):
-    """One training run per session and data directory, shared by the ML reports."""
+    """One training run per session and data, shared by the ML reports: a data directory
+    is known by its path and the state of its files, tables given directly by the
+    :class:`Sources` object itself, for as long as it lives.  At most ``RUNS_KEPT``
+    directories are held; a run that leaves drops its cached splits."""
     from ..session import scratch_path
     from .daily import run_daily_batch
-    from_dir = "users" not in src.__dict__            # tables given directly are keyed by identity
-    key = (src.spark.sparkContext.applicationId, src.sf_dir if from_dir else id(src))
-    if key not in _RUNS:
-        slug = "".join(ch if ch.isalnum() else "_" for ch in str(key[1]).strip("/"))
-        _RUNS[key] = run_daily_batch(src.spark, src, scratch_path(src.spark, f"runs/{slug}"))
-    return _RUNS[key]
+    held, key = (_GIVEN_RUNS, src) if src.given else (_RUNS, _state_of(src))
+    if key not in held:
+        while not src.given and len(held) >= RUNS_KEPT:
+            held.pop(next(iter(held)))[1].release()
+        got = run_daily_batch(src.spark, src, scratch_path(src.spark, f"runs/{uuid.uuid4().hex}"))
+        held[key] = got
+        if src.given:
+            weakref.finalize(src, got[1].release)
+    return held[key]
 
 
 @report("ml_leaderboard")
@@ -418,7 +531,8 @@ def _ml_shap(src: Sources, n: int | None = None) -> DataFrame:
     run = training_run(src)[1]
     board = run.leaderboard.filter(F.col("model").isin(*train.TREE_MODELS))
     best = train.champion(board).first()["model"]
-    return explain.shap_importance(src.spark, run.models[best].stages[-1], run.train, run.features, n=n)
+    return explain.shap_importance(src.spark, run.models[best].stages[-1], run.train, run.features, n=n,
+                                   partitions=src.spark.sparkContext.defaultParallelism)
 
 
 @report("ml_metrics_read")
@@ -485,3 +599,17 @@ def run_report(spark: SparkSession, name: str | None, source: str | Sources,
     accepted = {k: v for k, v in typed_params(params).items() if k in inspect.signature(fn).parameters}
     src = source if isinstance(source, Sources) else Sources(spark, source)
     return fn(src, **accepted)
+
+
+def run_sql(spark: SparkSession, text: str, source: str | Sources, params=None) -> DataFrame:
+    """Run SQL text over the gold models and the silver tables, with typed named
+    parameters (``:name``; null stays null).  The models are session views under
+    their report names; only those the text names are computed."""
+    src = source if isinstance(source, Sources) else Sources(spark, source)
+    views = {name: (lambda make=make: make(src)) for name, make in GOLD_MODELS.items()} | {
+        "users": lambda: src.users, "orders": lambda: src.orders, "order_items": lambda: src.items,
+        "events": lambda: src.events}
+    for name, make in views.items():
+        if re.search(rf"\b{name}\b", text, re.IGNORECASE):
+            publish(make(), name)
+    return spark.sql(text, args=typed_params(params))

@@ -42,11 +42,18 @@ def _days_after(base: _dt.date, days: Column) -> Column:
     return F.date_add(F.lit(base), days.cast("int")).cast("timestamp_ntz")
 
 
+def _others(df: DataFrame, *mapped: str) -> list[str]:
+    """The source columns that are not mapped to a silver column; they pass through, and
+    a query that does not name them does not read them."""
+    return [c for c in df.columns if c not in mapped]
+
+
 def users_from_customer(customer: DataFrame) -> DataFrame:
     cid = F.col("c_custkey")
     return customer.select(
         cid.alias("id"),
         _days_after(SIGNUP_BASE, F.pmod(cid * SIGNUP_MULT, F.lit(SIGNUP_SPAN))).alias("created_at"),
+        *_others(customer, "c_custkey"),
     )
 
 
@@ -65,6 +72,7 @@ def orders_from_orders(orders: DataFrame) -> DataFrame:
         F.col("o_custkey").alias("user_id"),
         status.alias("status"),
         _days_after(ORDER_BASE, F.pmod(days, F.lit(ORDER_SPAN))).alias("created_at"),
+        *_others(orders, "o_orderkey", "o_custkey"),
     )
 
 
@@ -72,6 +80,7 @@ def items_from_lineitem(lineitem: DataFrame) -> DataFrame:
     return lineitem.select(
         F.col("l_orderkey").alias("order_id"),
         F.col("l_extendedprice").alias("sale_price"),
+        *_others(lineitem, "l_orderkey", "l_extendedprice"),
     )
 
 
@@ -92,6 +101,7 @@ def events_from_events(events: DataFrame) -> DataFrame:
         raw.alias("raw_event_type"),
         F.col("ts").alias("created_at"),
         source.alias("traffic_source"),
+        *_others(events, "user_id", "event_type", "ts"),
     )
 
 
@@ -125,13 +135,13 @@ def _as_declared(df: DataFrame, field) -> F.Column:
 
 
 def conform(df: DataFrame, schema, name: str) -> DataFrame:
-    """Select a source table's columns in the declared types (S1: the declared
-    source schema).  A missing column raises with the table and column named;
+    """A source table with the declared columns in their declared types first (S1: the
+    declared source schema) and all its other columns after them.  A missing column raises with the table and column named;
     session-zone timestamps become UTC wall-clock ``timestamp_ntz``."""
     missing = [f.name for f in schema.fields if f.name not in df.columns]
     if missing:
         raise ValueError(f"source table {name} lacks column(s) {missing}")
-    return df.select(*[_as_declared(df, f) for f in schema.fields])
+    return df.select(*[_as_declared(df, f) for f in schema.fields], *_others(df, *schema.fieldNames()))
 
 
 class Sources:
@@ -145,6 +155,7 @@ class Sources:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        self.given = False          # tables handed over, not read from ``sf_dir``
 
     @classmethod
     def from_tables(cls, spark: SparkSession, users, orders, order_items, events, name: str = "tables") -> Sources:
@@ -158,6 +169,7 @@ class Sources:
         if "raw_event_type" not in ev.columns:
             ev = ev.withColumn("raw_event_type", F.col("event_type"))
         src = cls(spark, name)
+        src.given = True
         src.__dict__.update(
             users=conform(frame(users), schemas.USERS, "users"),
             orders=conform(frame(orders), schemas.SILVER_ORDERS, "orders"),

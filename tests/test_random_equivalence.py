@@ -77,7 +77,7 @@ CASES = {
     "ab_metrics_join": (lambda u, o, i, e: asg.ab_metrics(fun.funnel_users(u, e, o), asg.ab_group(u)),
                         [O.FUNNEL_USERS, O.AB_GROUP, O.AB_METRICS], "SELECT * FROM ab_metrics"),
     "features_label": (lambda u, o, i, e: feat.conversion_label(feat.last_event(e), o), [O.FEATURES],
-                       "SELECT user_id, CAST(will_convert_14d AS BIGINT) AS will_convert_14d FROM label"),
+                       "SELECT * FROM outcome"),
 }
 
 

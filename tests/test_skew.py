@@ -77,7 +77,7 @@ def test_hot_keys_are_salted(spark, skewed):
     hot = {r["user_id"]: r["_salts"] for r in hot_keys(o, "user_id", 300).collect()}
     assert hot == {7: 7}                            # 2000 orders / 300 per task
     anchors = e.groupBy("user_id").agg(F.max("created_at").alias("anchor_ts"))
-    j = salted_key_join(o, anchors, "user_id", counts_from=o, salt_by="order_id", limit=300)
+    j = salted_key_join(o, anchors, "user_id", counts_from=o, limit=300)
     per_task = _with_conf(spark, SKEW_CONF, lambda: (
         j.filter(F.col("user_id") == 7).withColumn("p", F.spark_partition_id())
         .groupBy("p").count().agg(F.max("count")).first()[0]))
