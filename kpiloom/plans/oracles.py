@@ -109,7 +109,7 @@ def retention_cte(name: str, week: str, n: str, rate: str, keep: str) -> str:
          count(DISTINCT id) / (SELECT count(DISTINCT peer.id) FROM {name}_signups peer WHERE peer.w0 = pair.w0) AS {rate}
   FROM (SELECT s.id, s.w0, CAST((CAST(e.w1 AS DATE) - CAST(s.w0 AS DATE)) // 7 AS BIGINT) AS {n}
         FROM (SELECT user_id, {first} AS w1 FROM s_events) e, {name}_signups s WHERE s.id = e.user_id) pair
-  WHERE {keep}
+  WHERE w0 IS NOT NULL AND {keep}
   GROUP BY w0, {n}
 )"""
 
