@@ -2,10 +2,12 @@
 
 A text is a normalised TF-IDF vector of hashed letter trigrams.  Each language has
 several centroids, clustered from a bounded sample of its documents; a text takes the
-language of the centroid with the largest cosine.  A text whose distance to it is
-beyond what the sample shows for texts of its length is rejected.
+language of the centroid with the largest cosine.  A text whose cosine is below what
+that language's sample shows for texts of its length is rejected; length is the number
+of different trigrams, so that a repeated word counts as a short text.
 """
 
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,11 +27,15 @@ FIT_DOCS = 500
 #: Centroids per language, and rounds of clustering.
 CENTROIDS = 4
 ROUNDS = 12
-#: A text is rejected beyond the largest sample distance of its length plus SLACK, but never
-#: within NEVER; one of fewer than 2 ** SHORT trigrams, only if it shares none with any centroid.
-SLACK, NEVER, SHORT = 0.1, 0.95, 6
+#: A text is rejected if its cosine is below SHARE of the LOW quantile of the cosines that its
+#: language's sample has at its length, over at least LEAST texts (neighbouring lengths join);
+#: and if it is 0.  A language with fewer texts takes the limits of all languages together.
+LOW, SHARE, LEAST = 0.02, 0.5, 100
+#: Powers of two of the number of different trigrams.
+LENGTHS = DIM.bit_length()
 UNKNOWN = "und"
 _CHUNK = 1 << 20
+_PAIR = np.dtype([("bin", "<u2"), ("n", "<f4")])
 _LETTER = regex.compile(r"\p{L}").search
 #: a-z and all bytes beyond ASCII stand for themselves, capitals are lowered, the
 #: rest separates.
@@ -48,15 +54,45 @@ def trigram_counts(text: str) -> np.ndarray:
     return out
 
 
+def excerpts(text: str) -> list[str]:
+    """One stretch of the text for each power of two of its length, somewhere in it."""
+    out = []
+    for n in (3 << s for s in range(LENGTHS) if 3 << s < len(text)):
+        at = zlib.crc32(f"{n} {text[:1000]}".encode()) % (len(text) - n)
+        if _LETTER(text[at:at + n]):
+            out.append(text[at:at + n])
+    return out
+
+
+def lengths(counts: np.ndarray) -> np.ndarray:
+    """The power of two of the number of different trigrams, row by row."""
+    return np.log2(np.maximum((counts > 0).sum(axis=1), 1)).astype(int)
+
+
+def packed(counts: np.ndarray) -> bytes:
+    """The bins that are not 0, with their counts."""
+    out = np.zeros(np.count_nonzero(counts), _PAIR)
+    out["bin"] = counts.nonzero()[0]
+    out["n"] = counts[out["bin"]]
+    return out.tobytes()
+
+
+def unpacked(rows: list[bytes]) -> np.ndarray:
+    out = np.zeros((len(rows), DIM))
+    for i, row in enumerate(rows):
+        pairs = np.frombuffer(row, _PAIR)
+        out[i, pairs["bin"]] = pairs["n"]
+    return out
+
+
 @dataclass
 class Centroids:
-    """The fitted model; ``reach`` is the largest accepted distance by the power of two
-    of the number of trigrams."""
+    """The fitted model; ``least`` is the smallest accepted cosine by centroid and ``lengths``."""
 
     langs: list[str] = field(default_factory=list)        # of each centroid
     idf: np.ndarray = field(default_factory=lambda: np.ones(DIM))
     vectors: np.ndarray = field(default_factory=lambda: np.zeros((0, DIM), np.float32))
-    reach: np.ndarray = field(default_factory=lambda: np.full(64, 2.0))
+    least: np.ndarray = field(default_factory=lambda: np.zeros((0, LENGTHS)))
 
     def weigh(self, counts: np.ndarray) -> np.ndarray:
         v = counts * self.idf
@@ -74,9 +110,8 @@ class Centroids:
             counts = np.stack([trigram_counts(texts[i]) for i in part])
             cos = self.weigh(counts).astype(np.float32) @ self.vectors.T
             best = cos.argmax(axis=1)
-            size = np.log2(np.maximum(counts.sum(axis=1), 1)).astype(int)
-            for i, b, c, s in zip(part, best, cos[np.arange(len(part)), best].tolist(), size):
-                out[i] = (self.langs[b], min(1.0, max(0.0, c)), bool(1 - c > self.reach[s]))
+            for i, b, c, s in zip(part, best, cos[np.arange(len(part)), best].tolist(), lengths(counts)):
+                out[i] = (self.langs[b], min(1.0, max(0.0, c)), bool(c < max(self.least[b, s], 1e-6)))
         return out
 
 
@@ -98,34 +133,77 @@ def cluster(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     return c
 
 
-def fit_centroids(sample: list[tuple[str, np.ndarray]], k: int = CENTROIDS) -> Centroids:
-    """Centroids from (language, trigram counts) rows, in any order."""
+def fit_language(model: Centroids, docs: list[bytes], pieces: list[list[bytes]],
+                 k: int = CENTROIDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(centroids, lengths, left-out cosines) of one language from its packed documents and
+    their packed excerpts; lengths and cosines are of both, without a lone document's."""
+    counts = unpacked(docs)
+    x = model.weigh(counts).astype(np.float32)
+    c = cluster(x, k)
+    if len(x) < 2:
+        return c, np.zeros(0, int), np.zeros(0)
+    size, cos = [lengths(counts)], [left_out_cosines(x, c, x, np.arange(len(x)))]
+    flat = [(i, p) for i, own in enumerate(pieces) for p in own]
+    for at in range(0, len(flat), 512):
+        part = flat[at:at + 512]
+        counts = unpacked([p for _, p in part])
+        size.append(lengths(counts))
+        cos.append(left_out_cosines(model.weigh(counts).astype(np.float32), c, x,
+                                    np.array([i for i, _ in part])))
+    return c, np.concatenate(size), np.concatenate(cos)
+
+
+def fit_centroids(sample: list[tuple[str, bytes, list[bytes]]], k: int = CENTROIDS) -> Centroids:
+    """Centroids from (language, packed trigram counts, those of the excerpts) rows, in any order."""
     if not sample:
         return Centroids()
-    sample = sorted(sample, key=lambda r: (r[0], r[1].tobytes()))
-    labels = np.array([r[0] for r in sample])
-    counts = np.stack([r[1] for r in sample]).astype(np.float64)
-    seen = (counts > 0).sum(axis=0)
+    rows = {}
+    for lang, doc, pieces in sorted(sample):
+        rows.setdefault(lang, []).append((doc, pieces))
+    seen = np.zeros(DIM)
+    for _, doc, _ in sample:
+        seen[np.frombuffer(doc, _PAIR)["bin"]] += 1
     model = Centroids(idf=np.log((1 + len(sample)) / (1 + seen)) + 1)
-    x = model.weigh(counts).astype(np.float32)
-    vectors = []
-    for lang in sorted(set(labels.tolist())):
-        c = cluster(x[labels == lang], k)
-        vectors.append(c)
-        model.langs += [lang] * len(c)
-    model.vectors = np.concatenate(vectors).astype(np.float32)
-    distance = 1 - (x @ model.vectors.T).max(axis=1)
-    size = np.log2(np.maximum(counts.sum(axis=1), 1)).astype(int)
-    for s in np.unique(size):
-        model.reach[s] = max(distance[size == s].max() + SLACK, NEVER)
-    # lengths without a sample take the reach of the nearest shorter one
-    for s in range(SHORT, 64):
-        if model.reach[s] == 2.0:
-            model.reach[s] = model.reach[s - 1] if s > SHORT else NEVER + SLACK
-    model.reach[:SHORT] = 1 - 1e-6
+    return assembled(model, [(lang, *fit_language(model, [d for d, _ in own], [p for _, p in own], k))
+                             for lang, own in rows.items()])
+
+
+def assembled(model: Centroids, fitted: list[tuple[str, np.ndarray, np.ndarray, np.ndarray]]) -> Centroids:
+    """``model`` with the (language, centroids, lengths, cosines) of its languages."""
+    fitted = sorted(fitted, key=lambda f: f[0])
+    model.langs = [lang for lang, c, _, _ in fitted for _ in c]
+    model.vectors = np.concatenate([c for _, c, _, _ in fitted]).astype(np.float32)
+    together = least_cosines(*(np.concatenate([f[i] for f in fitted]) for i in (2, 3)))
+    own = [least_cosines(size, cos) if len(cos) >= LEAST else together for _, _, size, cos in fitted]
+    model.least = np.stack([o for (_, c, _, _), o in zip(fitted, own) for _ in c])
     return model
 
 
+def left_out_cosines(x: np.ndarray, c: np.ndarray, of: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Largest cosine of the unit rows ``x`` with the centroids ``c`` of their language, each
+    measured without row ``own`` of the clustered rows ``of``, which it is or comes from."""
+    member = (of @ c.T).argmax(axis=1)
+    sums = np.stack([of[member == i].sum(axis=0) for i in range(len(c))])
+    cos = x @ c.T
+    rest = sums[member[own]] - of[own]
+    norm = np.linalg.norm(rest, axis=1)
+    cos[np.arange(len(x)), member[own]] = np.where(
+        norm > 1e-4, (x * rest).sum(axis=1) / np.maximum(norm, 1e-4), 0)
+    return cos.max(axis=1)
+
+
+def least_cosines(size: np.ndarray, cos: np.ndarray) -> np.ndarray:
+    """The smallest accepted cosine of each length, from the cosines of sample texts."""
+    out = np.zeros(LENGTHS)
+    for s in range(LENGTHS):
+        for width in range(LENGTHS):
+            near = cos[abs(size - s) <= width]
+            if len(near) >= min(LEAST, len(cos)):
+                break
+        out[s] = SHARE * np.quantile(near, LOW) if len(near) else 0
+    return np.maximum.accumulate(out)           # longer texts come no less close
+
+
 def fit_from(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
              each: int = FIT_DOCS, k: int = CENTROIDS) -> Centroids:
     """Fit on about ``each`` documents per language, of those with a non-null id,
@@ -139,14 +217,16 @@ def fit_from(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     def vectors(batches):
         for b in batches:
             langs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            found = [(lang, trigram_counts(t).astype(np.float32).tobytes())
+            found = [(lang, packed(trigram_counts(t)), [packed(trigram_counts(e)) for e in excerpts(t)])
                      for lang, t in zip(langs, texts) if _LETTER(t)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.binary())],
-                names=["lang", "counts"])
+                [pa.array([f[i] for f in found], kind) for i, kind in
+                 enumerate((pa.string(), pa.binary(), pa.list_(pa.binary())))],
+                names=["lang", "doc", "pieces"])
 
-    got = sample.select("lang", "text").mapInArrow(vectors, "lang string, counts binary").collect()
-    return fit_centroids([(r[0], np.frombuffer(r[1], np.float32)) for r in got], k)
+    got = sample.select("lang", "text").mapInArrow(
+        vectors, "lang string, doc binary, pieces array<binary>").collect()
+    return fit_centroids([(r[0], bytes(r[1]), [bytes(p) for p in r[2]]) for r in got], k)
 
 
 def identify(docs: DataFrame, model: Centroids, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -100,3 +100,48 @@ def test_languages_of_awkward_documents(spark):
     assert langid.identify(empty_documents(spark), model).count() == 0
     nothing = langid.fit_from(empty_documents(spark))
     assert {r.lang_pred for r in langid.identify(docs, nothing).collect()} == {"und"}
+
+
+#: Prose in unlearned languages that share the letters of the learned ones.
+FOREIGN = [
+    "Vaka vanha Väinämöinen itse tuon sanoiksi virkkoi: mieleni minun tekevi, aivoni ajattelevi "
+    "lähteäni laulamahan, saa'ani sanelemahan, sukuvirttä suoltamahan, lajivirttä laulamahan.",
+    "Kõik inimesed sünnivad vabadena ja võrdsetena oma väärikuselt ja õigustelt. Neile on antud "
+    "mõistus ja südametunnistus ja nende suhtumist üksteisesse peab kandma vendluse vaim.",
+    "Minden emberi lény szabadon születik és egyenlő méltósága és joga van. Az emberek, ésszel és "
+    "lelkiismerettel bírván, egymással szemben testvéri szellemben kell hogy viseltessenek.",
+    "Gizon-emakume guztiak aske jaiotzen dira, duintasun eta eskubide berberak dituztela; eta "
+    "ezaguera eta kontzientzia dutenez gero, elkarren artean senide legez jokatu beharra dute.",
+]
+
+
+def test_foreign_prose_and_random_letters_are_rejected(spark):
+    model = langid.fit_from(spark.read.parquet(f"{SF}/documents.parquet"))
+    rng = np.random.default_rng(9)
+    noise = " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 9))) for _ in range(200))
+    texts = [t[at:at + 100] for t in (*FOREIGN, noise) for at in range(0, len(t) - 99, 25)]
+    texts += [*FOREIGN, noise] + [t * 50 for t in FOREIGN]
+    assert all(rejected for _, _, rejected in model.predict(texts))
+
+
+def test_learned_languages_are_not_rejected_at_any_length(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit_from(docs)
+    held = [r.text for r in docs.where(langid.id_remainder("doc_id", 4) == 2).collect() if r.text]
+    pieces = [t[:n] for t in held for n in (100, 200, 400, 800, 1 << 20)] + ["to " * 500, "the der que"]
+    assert sum(rejected for _, _, rejected in model.predict(pieces)) <= 0.005 * len(pieces)
+
+
+def test_left_out_rows_do_not_count_for_themselves():
+    rng = np.random.default_rng(3)
+    x = rng.random((40, langid.DIM)) * (rng.random((40, langid.DIM)) < 0.02)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    c = langid.cluster(x, 2)
+    member = (x @ c.T).argmax(axis=1)
+    for i, cos in enumerate(langid.left_out_cosines(x, c, x, np.arange(len(x)))):
+        best = []
+        for j in range(len(c)):
+            rows = [x[n] for n in range(len(x)) if member[n] == j and n != i]
+            mean = np.sum(rows, axis=0) if j == member[i] and rows else c[j] * (j != member[i])
+            best.append(x[i] @ mean / max(np.linalg.norm(mean), 1e-12))
+        assert np.isclose(cos, max(best))
