@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, written
 from .sampling import id_remainder, per_label_sample
 
 #: Hashed dimensions of a vector.
@@ -153,21 +153,6 @@ def fit_language(model: Centroids, docs: list[bytes], pieces: list[list[bytes]],
     return c, np.concatenate(size), np.concatenate(cos)
 
 
-def fit_centroids(sample: list[tuple[str, bytes, list[bytes]]], k: int = CENTROIDS) -> Centroids:
-    """Centroids from (language, packed trigram counts, those of the excerpts) rows, in any order."""
-    if not sample:
-        return Centroids()
-    rows = {}
-    for lang, doc, pieces in sorted(sample):
-        rows.setdefault(lang, []).append((doc, pieces))
-    seen = np.zeros(DIM)
-    for _, doc, _ in sample:
-        seen[np.frombuffer(doc, _PAIR)["bin"]] += 1
-    model = Centroids(idf=np.log((1 + len(sample)) / (1 + seen)) + 1)
-    return assembled(model, [(lang, *fit_language(model, [d for d, _ in own], [p for _, p in own], k))
-                             for lang, own in rows.items()])
-
-
 def assembled(model: Centroids, fitted: list[tuple[str, np.ndarray, np.ndarray, np.ndarray]]) -> Centroids:
     """``model`` with the (language, centroids, lengths, cosines) of its languages."""
     fitted = sorted(fitted, key=lambda f: f[0])
@@ -207,8 +192,15 @@ def least_cosines(size: np.ndarray, cos: np.ndarray) -> np.ndarray:
 def fit_from(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
              each: int = FIT_DOCS, k: int = CENTROIDS) -> Centroids:
     """Fit on about ``each`` documents per language, of those with a non-null id,
-    language and text whose id remainder (crc32 modulo 4) is not 2."""
-    bound_batches(docs.sparkSession)
+    language and text whose id remainder (crc32 modulo 4) is not 2.
+
+    One task fits a language.  The driver receives DIM document frequencies and, for each
+    language, its centroids (16 KB each) and at most some 14 numbers a sample document,
+    about 0.1 MB; so does every Python worker, without the numbers.  More than
+    ``sampling.MOST_LABELS`` languages raise ValueError and there is no result.
+    """
+    spark = docs.sparkSession
+    bound_batches(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"),
                        F.col(text_col).cast("string").alias("text"))
     rows = rows.where(id_remainder("doc_id", 4) != 2).where("lang is not null and text is not null")
@@ -224,9 +216,35 @@ def fit_from(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                  enumerate((pa.string(), pa.binary(), pa.list_(pa.binary())))],
                 names=["lang", "doc", "pieces"])
 
-    got = sample.select("lang", "text").mapInArrow(
-        vectors, "lang string, doc binary, pieces array<binary>").collect()
-    return fit_centroids([(r[0], bytes(r[1]), [bytes(p) for p in r[2]]) for r in got], k)
+    got = written(sample.select("lang", "text").mapInArrow(
+        vectors, "lang string, doc binary, pieces array<binary>").repartition("lang"), "langid-sample")
+    total = got.count()
+    if not total:
+        return Centroids()
+
+    def frequencies(batches):
+        seen = np.zeros(DIM, np.int64)
+        for b in batches:
+            for doc in b.column(0).to_pylist():
+                seen[np.frombuffer(doc, _PAIR)["bin"]] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(range(DIM), pa.int32()), pa.array(seen)], names=["bin", "seen"])
+
+    seen = np.zeros(DIM)
+    for r in got.select("doc").mapInArrow(frequencies, "bin int, seen long").groupBy("bin").sum("seen").collect():
+        seen[r[0]] = r[1]
+    model = Centroids(idf=np.log((1 + total) / (1 + seen)) + 1)
+
+    def fit(group: pa.Table) -> pa.Table:
+        own = sorted(zip(group["doc"].to_pylist(), group["pieces"].to_pylist()))
+        c, size, cos = fit_language(model, [d for d, _ in own], [p for _, p in own], k)
+        return pa.table({"lang": group["lang"][:1], "centroids": pa.array([c.astype("<f4").tobytes()], pa.binary()),
+                         "size": pa.array([size.tolist()], pa.list_(pa.int32())),
+                         "cos": pa.array([cos.tolist()], pa.list_(pa.float32()))})
+
+    fitted = got.groupBy("lang").applyInArrow(
+        fit, "lang string, centroids binary, size array<int>, cos array<float>").collect()
+    return assembled(model, [(r[0], np.frombuffer(r[1], "<f4").reshape(-1, DIM),
+                              np.array(r[2], int), np.array(r[3], float)) for r in fitted])
 
 
 def identify(docs: DataFrame, model: Centroids, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Labels that a sample is drawn for; a corpus with more raises ValueError.
+MOST_LABELS = 1000
+
 
 def id_remainder(id_col: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; null for a null id."""
@@ -12,7 +15,7 @@ def id_remainder(id_col: str, modulus: int) -> Column:
 
 
 def per_label_sample(rows: DataFrame, id_col: str, label_col: str, each: int,
-                     most_labels: int = 1000) -> tuple[DataFrame, dict]:
+                     most_labels: int = MOST_LABELS) -> tuple[DataFrame, dict]:
     """(sample, counts): about ``each`` rows of every label (all, if it has fewer),
     chosen by a hash of the id, so that any partitioning gives the same rows.
 

@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from kpiloom.llm import langid, linecrf
@@ -145,3 +146,28 @@ def test_left_out_rows_do_not_count_for_themselves():
             mean = np.sum(rows, axis=0) if j == member[i] and rows else c[j] * (j != member[i])
             best.append(x[i] @ mean / max(np.linalg.norm(mean), 1e-12))
         assert np.isclose(cos, max(best))
+
+
+def test_many_languages_fit_within_a_small_driver_result(spark):
+    docs = spark.range(6000).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("l"), F.pmod("id", F.lit(40)).cast("string")).alias("lang"))
+    words = F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.substring(
+        F.translate(F.md5(F.concat_ws(" ", "lang", F.pmod(F.xxhash64("doc_id", i), F.lit(30)))), "0123456789", "ghijklmnop"), 1, 6))
+    docs = docs.withColumn("text", F.array_join(words, " "))
+    jvm = spark.sparkContext._jsc.sc().conf()
+    before = jvm.get("spark.driver.maxResultSize", "1g")
+    jvm.set("spark.driver.maxResultSize", "1m")           # the sampled vectors, compressed, are more
+    try:
+        model = langid.fit_from(docs)
+    finally:
+        jvm.set("spark.driver.maxResultSize", before)
+    assert len(set(model.langs)) == 40
+    got = langid.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
+    assert got.where("lang = lang_pred and not rejected").count() >= 0.98 * got.count()
+
+
+def test_more_languages_than_the_bound_raise(spark):
+    docs = spark.range(1500).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("lang"),
+                                    F.lit("some text").alias("text"))
+    with pytest.raises(ValueError, match="labels"):
+        langid.fit_from(docs)
