@@ -1,8 +1,8 @@
 """Mixing sources to target weights, DataFrame functions only.
 
 The words of each source, its documents in hash order, form one stream that is
-packed into blocks of ``block`` words.  A source's target is filled by slots, one
-block each.  Every slot draws the output shard it goes to, so the source counts of
+packed into blocks of ``block`` words, fewer for a source of few blocks.  A source's
+target is filled by slots, one block each.  Every slot draws the output shard it goes to, so the source counts of
 the shards are multinomial draws, conditioned on each source's total meeting its
 target.  Slots map to blocks through a pseudorandom permutation of the source's
 block numbers, another one for each pass over the source, and the documents'
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD_RE, written
 
-#: Words in a block.
-BLOCK = 64
+#: Words in a block, at most; and a block is at most one of PARTS of its source and its target.
+BLOCK, PARTS = 64, 16
 #: Target weights, repeating over the sources in code point order, null last.
 WEIGHTS = (5, 2, 1)
 #: A source's target is at most this many times its size.
@@ -109,12 +109,25 @@ def stream_positions(docs: DataFrame) -> DataFrame:
             .withColumn("start", F.col("below") + F.col("inner")).drop("cell", "inner", "below"))
 
 
-def draw_slots(sources: DataFrame, words: int, seed: int, out_shards: int) -> DataFrame:
-    """(rank, slot, out_shard, pass, block): one row per slot, a block of ``words`` words."""
+def block_words(block: int) -> Column:
+    """Words in a block of a source: ``block``, but not more than one of PARTS of the
+    source's size or target, and 1 at least."""
+    part = F.floor(F.least(F.col("source_size").cast("double"), "target") / F.lit(PARTS))
+    return F.greatest(F.least(part, F.lit(block)), F.lit(1)).cast("long")
+
+
+def draw_slots(sources: DataFrame, seed: int, out_shards: int) -> DataFrame:
+    """(rank, slot, out_shard, pass, block): one row per slot, a block of ``block_words`` words.
+
+    The target in blocks is rounded up or down by a seeded draw on its fraction, so it
+    is met on average; a source with a target of a word or more has a slot.
+    """
     plan = sources.where("source_size > 0").withColumn(
-        "blocks", F.ceil(F.col("source_size") / F.lit(words)).cast("long"))
+        "blocks", F.ceil(F.col("source_size") / F.col("block_words")).cast("long"))
+    exact = F.col("target") * F.col("blocks") / F.col("source_size")
+    draw = F.pmod(F.xxhash64(F.lit("slots"), F.lit(seed), "rank"), F.lit(1 << 30)) / F.lit(1 << 30)
     plan = plan.withColumn("slots", F.least(
-        F.round(F.col("target") * F.col("blocks") / F.col("source_size")),
+        F.floor(exact) + (draw < exact - F.floor(exact)).cast("long"),
         F.col("blocks") * MOST).cast("long")).where("slots > 0")
     chunks = plan.select(
         "rank", "blocks", "slots",
@@ -139,12 +152,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         out_shards: int = 8) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, sources, pieces) of the mix.
 
-    documents: doc_id, h (hash of id, text and source), source, rank, size, start, row by row.
-    sources: source, source_size, rank, weight, target.
+    documents: doc_id, h (hash of id, text and source), source, rank, block_words, size, start,
+    row by row.
+    sources: source, source_size, rank, weight, target, block_words.
     pieces: rank, start, size, block, pass, slot, out_shard, piece_from, piece_words; the
     words [piece_from, piece_from + piece_words) of the document that starts at
     ``start`` of stream ``rank``, once for each time its block is drawn.
 
+    The words taken of a source differ from its target by less than two of its blocks
+    (one by rounding, one by a short last block): by at most 2 ``block``, and at most an
+    eighth of the target or 2 words, the larger.  A target under one word gives a word or
+    none, by a draw that meets it on average; only such sources can leave the mix.
+
     Null and wordless texts have size 0 and no pieces; null is a source of its own,
     last in order; a source without words has target 0.  Repeated rows are separate
     stretches of the stream.  Only the three named columns are read.  An empty table
@@ -155,18 +174,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.xxhash64(*_row_key(id_col, text_col, source_col)).alias("h"),
         word_count(F.col(text_col).cast("string")).alias("size")), "mix-documents")
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
-    sources = written(source_targets(sizes, weights), "mix-sources")
-    numbered = base.join(sources.select(F.col("source").alias("s"), "rank"),
+    sources = written(
+        source_targets(sizes, weights).withColumn("block_words", block_words(block)), "mix-sources")
+    numbered = base.join(sources.select(F.col("source").alias("s"), "rank", "block_words"),
                          F.col("source").eqNullSafe(F.col("s"))).drop("s")
     documents = written(stream_positions(numbered), "mix-positions")
-    blocks = F.explode(F.sequence(F.floor(F.col("start") / block),
-                                  F.floor((F.col("start") + F.col("size") - 1) / block)))
-    parts = documents.where("size > 0").select("rank", "start", "size", blocks.alias("block"))
-    low = F.greatest(F.col("block") * block, F.col("start"))
-    high = F.least((F.col("block") + 1) * block, F.col("start") + F.col("size"))
+    words = F.col("block_words")
+    blocks = F.explode(F.sequence(F.floor(F.col("start") / words),
+                                  F.floor((F.col("start") + F.col("size") - 1) / words)))
+    parts = documents.where("size > 0").select("rank", "start", "size", "block_words", blocks.alias("block"))
+    low = F.greatest(F.col("block") * words, F.col("start"))
+    high = F.least((F.col("block") + 1) * words, F.col("start") + F.col("size"))
     parts = parts.select("rank", "start", "size", "block", (low - F.col("start")).alias("piece_from"),
                          (high - low).alias("piece_words"))
-    pieces = parts.join(draw_slots(sources, block, seed, out_shards), ["rank", "block"])
+    pieces = parts.join(draw_slots(sources, seed, out_shards), ["rank", "block"])
     return documents, sources, pieces
 
 

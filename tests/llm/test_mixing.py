@@ -58,6 +58,27 @@ def test_capped_sources_and_a_hot_one(spark):
     assert check(docs) == len(rows)
 
 
+def test_small_sources_meet_their_targets(spark):
+    docs = spark.range(600).select(
+        F.col("id").alias("doc_id"), F.format_string("s%03d", (F.col("id") / 2).cast("int")).alias("source"),
+        F.repeat(F.lit("w "), 20).alias("text"))
+    sources = mixing.mix_counts(docs.withColumn("doc_id", F.col("source"))).groupBy("doc_id").agg(
+        F.max("target").alias("target"), F.sum("taken").alias("taken")).collect()
+    assert len(sources) == 300
+    assert {round(r.target) for r in sources} == {75, 30, 15}
+    assert all(abs(r.taken - r.target) <= 4 for r in sources)
+    assert abs(sum(r.taken - r.target for r in sources)) <= 0.01 * 300 * 40
+    mixed = mixing.mix_documents(docs)
+    assert mixed.select("source").distinct().count() == 300
+
+
+def test_targets_under_a_word_are_met_on_average(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.format_string("s%04d", "id").alias("source"),
+                                    F.lit("word").alias("text"))
+    got = mixing.mix_counts(docs).groupBy(F.round("target", 3).alias("t")).agg(F.avg("taken").alias("a")).collect()
+    assert len(got) == 3 and all(abs(r.a - r.t) < 0.06 for r in got)
+
+
 def test_reruns_agree(spark):
     docs = awkward_documents(spark)
     runs = [sorted(map(str, mixing.mix_counts(d).collect())) for d in (docs, docs.repartition(7))]
