@@ -28,8 +28,10 @@ from tokenizers import models
 
 from .common import bound_batches
 
-#: Pieces held by each of the two generations of a worker's cache.
+#: Pieces held by each of the two generations of a worker's cache, and the longest
+#: piece held: together they bound the cache in bytes, whatever the corpus.
 CACHED = 250_000
+LONGEST = 64
 #: Separators of the white-space normaliser (Unicode White_Space); Python's own
 #: ``split`` also cuts at the four characters 1C to 1F, which are not among them.
 _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -46,7 +48,8 @@ def byte_letters() -> list[str]:
 
 class PieceCache(dict):
     """piece -> encoded ids in two generations of bounded size: pieces in use move
-    to the young one, the old one is dropped when the young one is full."""
+    to the young one, the old one is dropped when the young one is full.  Pieces
+    longer than ``LONGEST`` characters are never held."""
 
     def __init__(self, encode, limit: int = CACHED):
         super().__init__()
@@ -56,6 +59,8 @@ class PieceCache(dict):
         found = self.old.get(piece)
         if found is None:
             found = self.encode(piece)
+        if len(piece) > LONGEST:
+            return found
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()

@@ -18,13 +18,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .bpe import PieceCache, byte_letters
+from .bpe import LONGEST, PieceCache, byte_letters
 from .common import bound_batches, scratch, written
 from .files import OnceFile, store
 
@@ -51,16 +52,42 @@ _PRE_TOKENS = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
 
 
+#: White space other than space and line feed, which are the two places of fast cuts.
+_OTHER_SPACE = r"\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: Texts whose spaces and line feeds are not all pre-token starts: runs of white space
+#: (two line feeds are still two pre-tokens), a space at an end, special tokens.
+_RUNS = (rf" [ \n{_OTHER_SPACE}]|[\n{_OTHER_SPACE}] |\n[{_OTHER_SPACE}]|[{_OTHER_SPACE}]\n"
+         r"|\n\n\n|\n\n$| $|^ |^\n\n|^\n$|<\|")
+#: Bytes that are no part of a Latin letter (U+00C0 to U+023F beside ASCII), and the
+#: place of each stop.
+_ODD = np.ones(256, bool)
+_ODD[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0xC0), *range(0xC3, 0xC9)]] = False
+_STOP_AT = np.full(256, -1)
+_STOP_AT[list(_STOPS.encode())] = range(len(_STOPS))
+#: Longer texts, in bytes, are encoded stretch by stretch.
+LONG = 4 << 20
+
+
 class _Uncut(Exception):
     """A piece with white space at an end: its neighbours decide its pre-tokens."""
 
 
+def laid_out(values: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The runs ``which`` of ``values``, one after the other; run i has sizes[i] values."""
+    n = sizes[which]
+    shift = (np.cumsum(sizes) - sizes)[which] - (np.cumsum(n) - n)
+    return values[np.repeat(shift, n) + np.arange(n.sum())]
+
+
 class ByteBPE:
     """Ids of whole texts as the tokenizers library gives them for a byte-level file.
 
     A text is cut in front of single inner spaces, where pre-tokens always end, and
     equal pieces are encoded once per worker.  The pre-tokens of Latin text go
     straight to the library's BPE model; all else goes through its whole tokenizer.
+    ``encode_rows`` cuts the texts of a batch at once in Arrow, at line feeds too,
+    takes line feed and full stop off Latin words, looks up each different word of
+    the batch once and lays the ids out by numpy.
     """
 
     def __init__(self, path: str, dtype: str = "<u2"):
@@ -72,6 +99,10 @@ class ByteBPE:
         self.letters = byte_letters()
         self.pieces = PieceCache(self.encode_piece, CACHED)
         self.tokens = PieceCache(self.encode_token, 50_000)
+        self.keys = PieceCache(self.encode_key, CACHED)
+        self.words, self.old_words = {}, {}
+        self.as_letters = dict(enumerate(self.letters)) | {10: "\n"}
+        self.line_feed = self._whole("\n")
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -96,7 +127,114 @@ class ByteBPE:
             return b"".join(map(self.tokens.__getitem__, _PRE_TOKENS(" " + piece)))
         return self._whole(" " + piece)
 
+    def encode_key(self, key: str) -> bytes:
+        """Ids of a piece of a batch: behind a line feed it begins with it, else a
+        space stands before it."""
+        if key[0] != "\n":
+            return self._whole(" " + key) if key[-1].isspace() else self.encode_piece(key)
+        return self.line_feed + (self._whole(key[1:]) if key[1:] else b"")
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of different Latin words, those with a space before it included."""
+        found = list(map(self.words.get, words))
+        new = [w for w, f in zip(words, found) if f is None]
+        if not new:
+            return found
+        fresh = list(map(self.old_words.get, new))
+        unknown = [w for w, f in zip(new, fresh) if f is None]
+        if unknown:
+            letters = "\n".join(unknown).encode().decode("latin-1").translate(self.as_letters).split("\n")
+            tokenize, code = self.model.tokenize, self.code
+            ids = iter([array(code, [t.id for t in tokenize(w)]).tobytes() for w in letters])
+            fresh = [next(ids) if f is None else f for f in fresh]
+        if len(self.words) + len(new) > CACHED:
+            self.old_words, self.words = self.words, {}
+        self.words.update(zip(new, fresh))
+        fill = iter(fresh)
+        return [next(fill) if f is None else f for f in found]
+
+    def _key_ids(self, keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts) of different pieces, none empty."""
+        at = np.frombuffer(keys.buffers()[1], np.int32, len(keys) + 1, 4 * keys.offset)
+        data = np.frombuffer(keys.buffers()[2], np.uint8)[at[0]:at[-1]]
+        at = at - at[0]
+        odd = _ODD[data]
+        odd[:-1] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))     # two signs among the letters
+        n_odd = np.diff(np.concatenate([[0], np.cumsum(odd)])[at])
+        fed, stop = data[at[:-1]] == 10, _STOP_AT[data[at[1:] - 1]]
+        size = np.diff(at)
+        plain = (n_odd == fed + (stop >= 0)) & (size > n_odd) & (size <= LONGEST)
+        some = pa.array(plain)
+        word = pc.ascii_trim(keys.filter(some), "\n" + _STOPS)
+        behind_space = pa.array(~fed[plain])
+        word = pc.if_else(behind_space, pc.binary_join_element_wise(" ", word, ""), word).dictionary_encode()
+        pool = self.encode_words(word.dictionary.to_pylist())
+        n_words = len(pool)
+        pool += map(self.keys.__getitem__, keys.filter(pc.invert(some)).to_pylist())
+        n_pool = len(pool)
+        pool += [self.line_feed, *map(self.tokens.__getitem__, _STOPS)]
+        # the units that make up each piece: a line feed, a word or other piece, a stop
+        fed, stop = fed & plain, np.where(plain, stop, -1)
+        n = 1 + fed + (stop >= 0)
+        start = np.cumsum(n) - n
+        units = np.empty(n.sum(), np.int64)
+        units[start[fed]] = n_pool
+        own = start + fed
+        units[own[plain]] = word.indices.to_numpy()
+        units[own[~plain]] = np.arange(n_words, n_pool)
+        ended = stop >= 0
+        units[own[ended] + 1] = n_pool + 1 + stop[ended]
+        sizes = np.fromiter(map(len, pool), np.int64, len(pool)) // np.dtype(self.dtype).itemsize
+        ids = laid_out(np.frombuffer(b"".join(pool), self.dtype), sizes, units)
+        return ids, np.add.reduceat(sizes[units], start)
+
+    def _encode_plain(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts) of texts without ``_RUNS``, each followed by ``end``."""
+        cut = pc.replace_substring(texts, "\n", " \n")
+        pieces = pc.split_pattern(pc.binary_join_element_wise(pa.scalar("\n", texts.type), cut, ""), " ")
+        first = np.asarray(pieces.offsets)[:-1].astype(np.int64)
+        first -= first[:1]
+        coded = pieces.flatten().dictionary_encode()
+        ids, sizes = self._key_ids(coded.dictionary)
+        which = coded.indices.to_numpy()
+        out = laid_out(ids, sizes, which)
+        n = sizes[which]
+        # every text begins with the id of the line feed put before it: the text
+        # before ends there, and the first of these ids goes to the very end
+        starts = (np.cumsum(n) - n)[first]
+        out[starts] = end
+        return np.append(out[1:], out[:1]), np.diff(starts, append=len(out))
+
+    def encode_rows(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, each followed by ``end``; how many
+        each text has).  A null text is empty."""
+        texts = texts.fill_null("")
+        slow = pc.or_(pc.match_substring_regex(texts, _RUNS),
+                      pc.greater(pc.binary_length(texts), LONG)).to_numpy(zero_copy_only=False)
+        if not slow.any():
+            return self._encode_plain(texts, end) if len(texts) else (np.zeros(0, self.dtype), np.zeros(0, np.int64))
+        counts = np.zeros(len(texts), np.int64)
+        fast = ~slow
+        ids = np.zeros(0, self.dtype)
+        if fast.any():
+            ids, counts[fast] = self._encode_plain(texts.filter(pa.array(fast)), end)
+        last = np.array([end], self.dtype)
+        parts, at = [], 0
+        for i, kept in zip(np.flatnonzero(slow), np.cumsum(counts)[slow]):
+            own = np.frombuffer(self.encode(texts[int(i)].as_py()), self.dtype)
+            parts += [ids[at:kept], own, last]
+            counts[i], at = len(own) + 1, kept
+        return np.concatenate([*parts, ids[at:]]), counts
+
     def encode(self, text: str) -> bytes:
+        """Ids of one text; long ones stretch by stretch."""
+        out, at = [], 0
+        while len(text) - at > LONG and (cut := _CUT.search(text, at + LONG)):
+            out.append(self._encode(text[at:cut.start()]))
+            at = cut.start()
+        return b"".join([*out, self._encode(text[at:])])
+
+    def _encode(self, text: str) -> bytes:
         if not text:
             return b""
         first, *rest = text.split(" ")
@@ -138,6 +276,7 @@ class SequenceWriter:
         self.writer = None
 
     def add(self, ids: bytes) -> None:
+        """Append ids; those of many documents at once are fine."""
         self.held.append(ids)
         self.size += len(ids)
         self.at += len(ids) // np.dtype(self.dtype).itemsize
@@ -186,8 +325,6 @@ def write_token_files(docs: DataFrame, folder: str, path: str, id_col: str = "do
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
     dealt = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    end = np.array([end_id], dtype).tobytes()
-    width = np.dtype(dtype).itemsize
 
     def write(batches):
         part = TaskContext.get().partitionId()
@@ -199,12 +336,9 @@ def write_token_files(docs: DataFrame, folder: str, path: str, id_col: str = "do
                 bpe = byte_bpe(path, dtype)
                 out = SequenceWriter(OnceFile(folder, f"part-{part:06d}-{uuid.uuid4().hex}.arrow"),
                                      dtype, seq_len, seqs, part)
-            starts, sizes = [], []
-            for t in b.column(1).to_pylist():
-                ids = bpe.encode(t or "") + end
-                starts.append(out.at)
-                sizes.append(len(ids) // width)
-                out.add(ids)
+            ids, sizes = bpe.encode_rows(b.column(1), end_id)
+            starts = out.at + np.cumsum(sizes) - sizes
+            out.add(ids.tobytes())
             n = b.num_rows
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([part] * n, pa.int32()), pa.array([out.out.name] * n),
