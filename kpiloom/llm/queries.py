@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, langid, linecrf, mixing, rules, sharding, simhash, token_files, warc
+from . import (bpe, embeddings, langid, linecrf, mixing, packing, rules, sharding, simhash, token_files,
+               warc)
 from .common import table
 
 
@@ -67,6 +68,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                               public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"),
+                                  public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -74,7 +80,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     ops = (op1_simhash, op2_warc, op3_sharding, op4_mixing, op5_embeddings, op6_rules, op7_quality,
-           op8_langid, op9_tokens, op10_bpe, pipeline)
+           op8_langid, op9_tokens, op10_bpe, op12_packing, pipeline)
     return {f.__name__: f for f in ops}
 
 
