@@ -2,11 +2,13 @@
 
 The words of each source, its documents in hash order, form one stream that is
 packed into blocks of ``block`` words, fewer for a source of few blocks.  A source's
-target is filled by slots, one block each.  Every slot draws the output shard it goes to, so the source counts of
-the shards are multinomial draws, conditioned on each source's total meeting its
-target.  Slots map to blocks through a pseudorandom permutation of the source's
-block numbers, another one for each pass over the source, and the documents'
-pieces are joined with the drawn blocks by block number.
+target is filled by slots, one block each.  First the slots of a source are drawn into
+the output shards, one by one, which gives every shard its source counts: multinomial
+draws, conditioned on each source's total meeting its target.  The counts then lay out
+the source's slots, shard after shard.  Slots map to blocks through a pseudorandom
+permutation of the source's block numbers, another one for each pass over the source,
+and the documents' pieces are joined with the drawn blocks by block number.  So the
+counts decide which words an output shard holds.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD_RE, written
 
+#: White space before a word.
+SPACE_RE = r"[\x20\x09-\x0D]*"
 #: Words in a block, at most; and a block is at most one of PARTS of its source and its target.
 BLOCK, PARTS = 64, 16
 #: Target weights, repeating over the sources in code point order, null last.
@@ -116,8 +120,20 @@ def block_words(block: int) -> Column:
     return F.greatest(F.least(part, F.lit(block)), F.lit(1)).cast("long")
 
 
-def draw_slots(sources: DataFrame, seed: int, out_shards: int) -> DataFrame:
-    """(rank, slot, out_shard, pass, block): one row per slot, a block of ``block_words`` words.
+def _chunks(rows: DataFrame, count: str, *keep: str) -> DataFrame:
+    """(*keep, ``_at``): one row for each of the ``count`` things of a row.  They are made
+    by rows of CHUNK each, which are dealt to tasks by the number of things."""
+    first = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / CHUNK)))
+    chunks = rows.select(*keep, count, first.alias("_chunk"))
+    total = rows.agg(F.sum(count)).first()[0] or 0
+    chunks = chunks.repartition(1 + total // TASK_SLOTS, *keep, "_chunk")
+    first = F.col("_chunk") * CHUNK
+    return chunks.select(*keep, F.explode(F.sequence(first, F.least(first + CHUNK, F.col(count)) - 1)).alias("_at"))
+
+
+def draw_shards(sources: DataFrame, seed: int, out_shards: int) -> DataFrame:
+    """(rank, blocks, out_shard, n, before): how many slots of each source an output shard
+    gets, and how many of them lie in shards before it.
 
     The target in blocks is rounded up or down by a seeded draw on its fraction, so it
     is met on average; a source with a target of a word or more has a slot.
@@ -129,19 +145,20 @@ def draw_slots(sources: DataFrame, seed: int, out_shards: int) -> DataFrame:
     plan = plan.withColumn("slots", F.least(
         F.floor(exact) + (draw < exact - F.floor(exact)).cast("long"),
         F.col("blocks") * MOST).cast("long")).where("slots > 0")
-    chunks = plan.select(
-        "rank", "blocks", "slots",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / CHUNK))).alias("chunk"))
-    # each row stands for CHUNK slots, so the number of tasks goes by the slots
-    total = plan.agg(F.sum("slots")).first()[0] or 0
-    chunks = chunks.repartition(1 + total // TASK_SLOTS, "rank", "chunk")
-    first = F.col("chunk") * CHUNK
-    slots = chunks.select("rank", "blocks", F.explode(F.sequence(
-        first, F.least(first + CHUNK, F.col("slots")) - 1)).alias("slot"))
+    drawn = _chunks(plan, "slots", "rank", "blocks").select("rank", "blocks", F.pmod(
+        F.xxhash64(F.lit(seed), "rank", "_at"), F.lit(out_shards)).cast("int").alias("out_shard"))
+    counts = written(drawn.groupBy("rank", "blocks", "out_shard").agg(F.count("*").alias("n")), "mix-shards")
+    return counts.withColumn(                   # at most ``out_shards`` rows of a source
+        "before", F.sum("n").over(Window.partitionBy("rank").orderBy("out_shard")) - F.col("n"))
+
+
+def lay_slots(shards: DataFrame, seed: int) -> DataFrame:
+    """(rank, slot, out_shard, pass, block): one row per slot, a block of ``block_words`` words."""
+    slots = _chunks(shards, "n", "rank", "blocks", "out_shard", "before").select(
+        "rank", "blocks", "out_shard", (F.col("before") + F.col("_at")).alias("slot"))
     slots = slots.select(
-        "rank", "blocks", "slot", F.pmod("slot", "blocks").alias("index"),
-        F.floor(F.col("slot") / F.col("blocks")).cast("int").alias("pass"),
-        F.pmod(F.xxhash64(F.lit(seed), "rank", "slot"), F.lit(out_shards)).cast("int").alias("out_shard"))
+        "rank", "blocks", "out_shard", "slot", F.pmod("slot", "blocks").alias("index"),
+        F.floor(F.col("slot") / F.col("blocks")).cast("int").alias("pass"))
     block = permuted(F.col("index"), F.col("blocks"), [F.lit(seed), F.col("rank"), F.col("pass")])
     # written, so that the join with the documents' pieces is planned by its real size
     return written(slots.select("rank", "slot", "out_shard", "pass", block.alias("block")), "mix-slots")
@@ -187,22 +204,27 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     high = F.least((F.col("block") + 1) * words, F.col("start") + F.col("size"))
     parts = parts.select("rank", "start", "size", "block", (low - F.col("start")).alias("piece_from"),
                          (high - low).alias("piece_words"))
-    pieces = parts.join(draw_slots(sources, seed, out_shards), ["rank", "block"])
+    pieces = parts.join(lay_slots(draw_shards(sources, seed, out_shards), seed), ["rank", "block"])
     return documents, sources, pieces
 
 
 def mix_counts(docs: DataFrame, **how) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken."""
+    """One row per document: doc_id, size, source_size, target, taken, shard_words (output
+    shard -> words of the document that it holds; empty where none is taken)."""
     documents, sources, pieces = mix(docs, **how)
-    taken = pieces.groupBy(F.col("rank").alias("r"), F.col("start").alias("s")).agg(
-        F.sum("piece_words").alias("taken"))
+    of_shard = pieces.groupBy(F.col("rank").alias("r"), F.col("start").alias("s"), "out_shard").agg(
+        F.sum("piece_words").alias("words"))
+    taken = of_shard.groupBy("r", "s").agg(
+        F.sum("words").alias("taken"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("out_shard", "words")))).alias("shard_words"))
     of_source = sources.select(F.col("rank").alias("sr"), "source_size", "target")
     return (documents
             .join(taken, (F.col("rank") == F.col("r")) & (F.col("start") == F.col("s"))
                   & (F.col("size") > 0), "left")
             .join(of_source, F.col("rank") == F.col("sr"))
             .select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"),
-                    "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")))
+                    "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
+                    F.coalesce("shard_words", F.create_map().cast("map<int,bigint>")).alias("shard_words")))
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -210,28 +232,36 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                   **how) -> DataFrame:
     """The mixed corpus in the columns of ``docs``: for each pass over a source, each
     document's words that the pass drew, in order.  A document drawn whole keeps its
-    text unchanged; one drawn in part keeps its drawn pieces, joined by spaces."""
+    text unchanged; one drawn in part keeps its drawn words, each after the white space
+    that stands before it in the text, line breaks included.
+
+    The passes of a document meet its text in one row, whose words are cut once.
+    """
     base = docs.withColumn("__h", F.xxhash64(*_row_key(id_col, text_col, source_col)))
     documents, _, pieces = mix(docs, id_col, text_col, source_col, **how)
     spans = pieces.groupBy("rank", "start", "pass").agg(
         F.sum("piece_words").alias("words"),
         F.sort_array(F.collect_list(F.struct("piece_from", "piece_words"))).alias("spans"))
     drawn = (spans.withColumnsRenamed({"rank": "r", "start": "s"})
-             .join(documents, (F.col("r") == F.col("rank")) & (F.col("s") == F.col("start"))
-                   & (F.col("size") > 0))
-             .select("h", F.col("doc_id").alias("__id"), F.col("words") == F.col("size"), "spans",
-                     "start", "pass").toDF("__k", "__id", "__whole", "__spans", "__start", "__pass"))
+             .join(documents, (F.col("r") == F.col("rank")) & (F.col("s") == F.col("start")) & (F.col("size") > 0))
+             .groupBy("rank", "start").agg(
+                 F.any_value("h").alias("__k"), F.any_value("doc_id").alias("__id"),
+                 F.min(F.col("words") == F.col("size")).alias("__all"),
+                 F.collect_list(F.struct((F.col("words") == F.col("size")).alias("whole"), "spans")).alias("__passes"))
+             .select("__k", "__id", "__all", "__passes"))
     # rows that agree in id, source and text are interchangeable, each was placed
     # separately: they share the keyed text once
     texts = base.dropDuplicates([id_col, "__h"]) if _repeats(documents) else base
     whole = F.col(text_col).cast("string")
-    words = F.regexp_extract_all(whole, F.lit(WORD_RE), F.lit(0))
-    piece = F.flatten(F.transform("__spans", lambda x: F.slice(
-        F.col("__words"), (x["piece_from"] + 1).cast("int"), x["piece_words"].cast("int"))))
+    # each word with the white space before it
+    words = F.regexp_extract_all(whole, F.lit(f"{SPACE_RE}{WORD_RE}"), F.lit(0))
     joined = texts.join(drawn, (F.col("__h") == F.col("__k")) & F.col(id_col).eqNullSafe(F.col("__id")))
-    joined = joined.withColumn("__words", F.when(~F.col("__whole"), words))
-    text = F.when(F.col("__whole"), whole).otherwise(F.array_join(piece, " "))
-    out = joined.withColumn(text_col, text)
+    joined = joined.withColumn("__words", F.when(~F.col("__all"), words))
+    joined = joined.select(*docs.columns, "__words", F.explode("__passes").alias("__pass"))
+    piece = F.flatten(F.transform("__pass.spans", lambda x: F.slice(
+        F.col("__words"), (x["piece_from"] + 1).cast("int"), x["piece_words"].cast("int"))))
+    part = F.regexp_replace(F.array_join(piece, ""), f"^{SPACE_RE}", "")
+    out = joined.withColumn(text_col, F.when(F.col("__pass.whole"), whole).otherwise(part))
     if n_chars_col in docs.columns:
         out = out.withColumn(n_chars_col, F.length(text_col).cast(docs.schema[n_chars_col].dataType))
     return out.select(*docs.columns)

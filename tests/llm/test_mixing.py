@@ -40,6 +40,7 @@ def check(docs, block=4):
         assert r.size == len(re.findall(r"[^\x20\x09-\x0D]+", r.doc_id.text or ""))
         assert r.source_size == sizes[s] and r.target == pytest.approx(target[s])
         assert 0 <= r.taken <= 3 * r.size
+        assert sum(r.shard_words.values()) == r.taken and set(r.shard_words) <= set(range(8))
         taken[s] = taken.get(s, 0) + r.taken
     for s in sizes:
         assert abs(taken[s] - target[s]) <= 2 * block, s
@@ -98,11 +99,50 @@ def test_mixed_texts_hold_the_taken_words(spark):
         at = iter(own)
         assert all(w in at for w in words)              # in order
         assert len(words) < len(own) or r.text == texts[r.doc_id]
+        assert "\n" not in r.text or "\n" in texts[r.doc_id]
         assert r.n_chars == len(r.text)
         got[r.doc_id] += len(words)
     assert got == want
 
 
+def test_partly_drawn_texts_keep_their_lines(spark):
+    lines = "\n".join(f"{i}a  {i}b\t{i}c" for i in range(40))
+    docs = spark.createDataFrame([(i, lines, "abc"[i % 3]) for i in range(12)], "doc_id long, text string, source string")
+    parts = [r.text for r in mixing.mix_documents(docs, block=16).collect()]
+    assert any(t != lines for t in parts)
+    for t in parts:
+        own = re.findall(r"\s*\S+", lines)
+        at = 0
+        for i, w in enumerate(re.findall(r"\s*\S+", t)):
+            at = next(k for k in range(at, len(own)) if own[k].strip() == w.strip()) + 1
+            assert i == 0 or w == own[at - 1]           # with the white space it had
+        assert t == t.lstrip()
+
+
+def test_shards_draw_their_source_counts(spark):
+    """The counts are multinomial: their chi-square against equal shares is that of chance,
+    they differ from seed to seed, and they decide which words a shard holds."""
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), 50).alias("text"),
+                                   F.format_string("s%02d", F.col("id") % 40).alias("source"))
+    _, sources, pieces = mixing.mix(docs, block=8)
+    counts = {}
+    for seed in range(6):
+        rows = mixing.draw_shards(sources, seed, 8).collect()
+        for r in rows:
+            counts.setdefault((seed, r["rank"]), {})[r.out_shard] = r.n
+            assert r.before == sum(q.n for q in rows if q["rank"] == r["rank"] and q.out_shard < r.out_shard)
+    chi = []
+    for c in counts.values():
+        n = sum(c.values())
+        chi.append(sum((c.get(k, 0) - n / 8) ** 2 / (n / 8) for k in range(8)))
+    assert 6.2 < sum(chi) / len(chi) < 7.8              # 7 degrees of freedom, 240 draws
+    assert len({tuple(sorted(c.items())) for c in counts.values()}) > 200
+    drawn = {(r["rank"], r.out_shard): r.n for r in mixing.draw_shards(sources, 7, 8).collect()}
+    held = {(r["rank"], r.out_shard): r.n for r in pieces.select("rank", "out_shard", "slot").distinct().groupBy(
+        "rank", "out_shard").agg(F.count("*").alias("n")).collect()}
+    assert held == drawn
+
+
 def test_empty_table(spark):
     assert mixing.mix_counts(empty_documents(spark)).count() == 0
     assert mixing.mix_documents(empty_documents(spark)).count() == 0
