@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import bound_batches
+from .common import bound_batches, written
 
 #: Words of a repeated window.
 WINDOW = 8
@@ -121,6 +121,12 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return measured.withColumn("failed", bits)
 
 
+def stored_ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """:func:`ledger` written once in the shared checkpoint folder: any number of policies
+    and ablations read its numbers, and no text is measured again."""
+    return written(ledger(docs, id_col, text_col), "rules-ledger")
+
+
 def apply_policy(rows: DataFrame, policy: Policy) -> DataFrame:
     """The ledger with ``kept`` under ``policy`` and the policy's version."""
     return rows.withColumns({

@@ -74,3 +74,13 @@ def test_keeps_good_documents(spark):
 def test_empty_table(spark):
     rows = rules.ledger(empty_documents(spark))
     assert rows.count() == 0 and rules.ablations(rows, rules.POLICIES["v2"]).count() == 0
+
+
+def test_one_measurement_serves_all_policies(spark):
+    """The stored ledger's readers scan numbers: no Python evaluation is left in their plans."""
+    rows = rules.stored_ledger(awkward_documents(spark))
+    for df in (*(rules.apply_policy(rows, p) for p in rules.POLICIES.values()),
+               rules.ablations(rows, rules.POLICIES[rules.CURRENT])):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Arrow" not in plan and "Python" not in plan and "FileScan parquet" in plan
+    assert rows.count() == awkward_documents(spark).count()
