@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe, embeddings, langid, linecrf, mixing, packing, rules, sharding, simhash, token_files,
-               warc)
+from . import (bpe, embeddings, langid, linecrf, mixing, negatives, packing, rules, search, sharding,
+               simhash, token_files, warc)
 from .common import table
 
 
@@ -31,7 +31,8 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_counts(table(spark, sf_dir, "documents"))
+    got = mixing.mix_counts(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "size", "source_size", "target", "taken", F.size("shard_words").alias("n_shards"))
 
 
 def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +40,7 @@ def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = rules.apply_policy(rules.ledger(table(spark, sf_dir, "documents")),
+    rows = rules.apply_policy(rules.stored_ledger(table(spark, sf_dir, "documents")),
                               rules.POLICIES[rules.CURRENT])
     base = rules.POLICIES["base"].mask
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -68,11 +69,21 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                               public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine_hard_negatives(rows.withColumn("label", moved))
+
+
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"),
                                   public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -80,7 +91,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     ops = (op1_simhash, op2_warc, op3_sharding, op4_mixing, op5_embeddings, op6_rules, op7_quality,
-           op8_langid, op9_tokens, op10_bpe, op12_packing, pipeline)
+           op8_langid, op9_tokens, op10_bpe, op11_negatives, op12_packing, op13_search, pipeline)
     return {f.__name__: f for f in ops}
 
 
@@ -142,5 +153,49 @@ FROM embeddings JOIN reach ON reach.a = vec_id GROUP BY vec_id
 """
 
 
+_NEGATIVES_SQL = r"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS c
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same,
+         list_sum(list_transform(list_zip(a.c, b.c), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (
+  SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id,
+       row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.b)::INTEGER AS rank,
+       n.b AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.a = p.a AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score
+QUALIFY rank <= 5
+"""
+
+_SEARCH_SQL = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+i AS (
+  SELECT item_id, unnest(list_distinct(
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term FROM benchmark),
+total AS (SELECT count(*)::BIGINT AS docs, sum(len(words))::BIGINT AS terms FROM d WHERE len(words) > 0),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(words) AS term FROM d) GROUP BY r, term),
+w AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), total),
+gain AS (
+  SELECT tf.r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * len(words) * docs) // terms))) AS g
+  FROM tf JOIN w USING (term) JOIN d ON d.r = tf.r, total)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM (SELECT item_id, r, any_value(doc_id) AS doc_id, sum(g)::BIGINT AS score FROM i JOIN gain USING (term) GROUP BY item_id, r)
+WHERE score > 0 QUALIFY rank <= 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": _WARC_SQL, "op5_embeddings": _EMBEDDINGS_SQL, "op6_rules": _RULES_SQL}
+    return {"op2_warc": _WARC_SQL, "op5_embeddings": _EMBEDDINGS_SQL, "op6_rules": _RULES_SQL,
+            "op11_negatives": _NEGATIVES_SQL, "op13_search": _SEARCH_SQL}
