@@ -14,7 +14,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import unicodedata
 from array import array
 from functools import lru_cache
 from itertools import pairwise
@@ -24,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import models
+from tokenizers import Tokenizer, models
 
 from .common import bound_batches
 
@@ -32,9 +31,13 @@ from .common import bound_batches
 #: piece held: together they bound the cache in bytes, whatever the corpus.
 CACHED = 250_000
 LONGEST = 64
-#: Separators of the white-space normaliser (Unicode White_Space); Python's own
-#: ``split`` also cuts at the four characters 1C to 1F, which are not among them.
-_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: Latin text, on which Python and the library agree in lower case, letters and
+#: digits, and which is its own composed form; all other text is normalised and split
+#: by the library itself, whose Unicode tables are of another version.
+_LATIN = re.compile("[\x00-\u024f]*").fullmatch
+#: White space of Latin text; Python's own ``split`` also cuts at the four characters 1C
+#: to 1F, which the library does not take for white space.
+_SPACE = re.compile("[\t-\r \x85\xa0]+")
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
 
 
@@ -92,7 +95,9 @@ class WordBPE:
         every = range(256)
         self.forced = {(a, b) for a in every for b in every} - inside   # never side by side in a token
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.words = regex.compile(split).findall
+        self.latin_words = regex.compile(split).findall
+        library = Tokenizer.from_file(path)
+        self.library_form, self.library_words = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         self.marks = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.pieces = PieceCache(self.encode_piece, limit)
 
@@ -107,21 +112,30 @@ class WordBPE:
         """Ids, as little-endian unsigned 32-bit integers, of text without white space."""
         if not (piece.isascii() and piece.isalpha()):
             words = self.words(piece)
-            if len(words) > 1:
+            if words != [piece]:
                 return b"".join(map(self.pieces.__getitem__, words))
         *parts, end = self.fragments(piece.encode())
         ids = [t.id for f in parts for t in self.inner.tokenize(self._letters(f))]
         ids += [t.id for t in self.last.tokenize(self._letters(end))]
         return array("I", ids).tobytes()
 
+    def words(self, piece: str) -> list[str]:
+        """The pre-tokens of text without white space."""
+        if _LATIN(piece):
+            return self.latin_words(piece)
+        return [piece[i:j] for _, (i, j) in self.library_words(piece)]
+
     def _letters(self, data: bytes) -> str:
         return data.decode() if data.isalnum() else "".join(map(self.letters.__getitem__, data))
 
-    def normalised(self, text: str) -> str:
-        if text.isascii():
-            return text.lower()
-        # each capital sigma by itself: the library's rule knows no final sigma
-        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+    def normalised(self, text: str) -> list[str]:
+        """The pieces of a text between white space, in lower case and composed form."""
+        if not _LATIN(text):
+            return [p for p in self.library_form(text).split(" ") if p]
+        text = text.lower()
+        if "\u0307" in text:                # of a dotted capital I, the one letter of another form
+            return [p for p in self.library_form(text).split(" ") if p]
+        return [p for p in _SPACE.split(text) if p] if _NOT_SPACE.search(text) else text.split()
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
@@ -132,9 +146,7 @@ class WordBPE:
         return self._plain(text)
 
     def _plain(self, text: str) -> bytes:
-        text = self.normalised(text)
-        pieces = [p for p in _SPACE.split(text) if p] if _NOT_SPACE.search(text) else text.split()
-        return b"".join(map(self.pieces.__getitem__, pieces))
+        return b"".join(map(self.pieces.__getitem__, self.normalised(text)))
 
     def decode(self, ids: bytes) -> bytes:
         """The decoded text in UTF-8: this vocabulary has no decoder of its own, so

@@ -119,3 +119,32 @@ def test_sequences_are_random_access_views(spark):
             with pytest.raises(ValueError):
                 list(f.spans(n - 1, 2))
             del rows
+
+
+def differing(lib, own, texts):
+    encoded = lib.encode_batch(texts, add_special_tokens=False)
+    return [t for t, e in zip(texts, encoded) if np.frombuffer(own.encode(t), "<u4").tolist() != e.ids]
+
+
+def test_word_ids_equal_the_library_on_every_script(word):
+    lib, own = word
+    points = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF and (c < 0x3400 or 0xA000 <= c < 0xAC00
+              or 0xF900 <= c < 0x11000 or c % 41 == 0)]
+    for form in ("a{}b", "!{}!", "{} {}"):
+        assert differing(lib, own, [form.replace("{}", chr(c)) for c in points]) == []
+
+
+def test_word_ids_equal_the_library_on_runs_of_marks(word):
+    lib, own = word
+    rng = random.Random(3)
+    marks = [chr(c) for a, b in ((0x300, 0x370), (0x1AB0, 0x1ACF), (0x1DC0, 0x1E00), (0x20D0, 0x20F1)) for c in range(a, b)]
+    texts = ["".join(rng.choice(["a", "İ", "I", "ོ", " ", *marks]) for _ in range(rng.randint(1, 8))) for _ in range(8000)]
+    assert differing(lib, own, texts) == []
+
+
+def test_unbroken_megabyte(word):
+    lib, own = word
+    rng = random.Random(4)
+    text = "".join(rng.choice("abcdefghij") for _ in range(1 << 20))
+    assert differing(lib, own, [text, text[:1000] + "é" + text[:1000]]) == []
+    assert max(map(len, own.pieces)) <= bpe.LONGEST and len(own.pieces) <= 50
