@@ -29,6 +29,11 @@ def brute(rows, cosine=0.95):
     return sorted(out, key=str)
 
 
+def brute_by_length(df):
+    rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    return sorted((x for n in {len(v) for _, v in rows} for x in brute([r for r in rows if len(r[1]) == n])), key=str)
+
+
 def frame(spark, rows):
     return spark.createDataFrame([(i, v, 1, "clash", "clash") for i, v in rows],
                                  "vec_id long, embedding array<float>, label int, key string, node string")
@@ -70,8 +75,8 @@ def test_awkward_vectors(spark):
     kept = {r.vec_id: r.kept for r in embeddings.embedding_dedup(df).collect()}
     assert kept[1] and kept[3] and not kept[8] and kept[9] and not kept[12]
     assert got(df.where("false")) == []
-    with pytest.raises(ValueError):
-        got(frame(spark, [(1, [1.0]), (2, [1.0, 2.0])]))
+    unlike = frame(spark, [(1, [1.0]), (2, [1.0, 0.0]), (3, [2.0]), (4, [2.0, 0.1]), (5, [1.0, 0.0, 0.0]), (6, [-3.0])])
+    assert got(unlike) == brute_by_length(unlike)
 
 
 def test_recall_at_the_threshold():
@@ -86,8 +91,33 @@ def test_recall_at_the_threshold():
     lines = embeddings.directions(dim)
     half = embeddings.half_window(dim, 0.95, embeddings.WINDOW)
     hits = (np.abs((a - b) @ lines.T) <= half)
-    found = (hits.sum(axis=1) >= embeddings.calibrated_count(len(lines))) & hits[:, :embeddings.ROUTING].all(axis=1)
-    assert found.mean() > 0.995
+    counted = hits.sum(axis=1) >= embeddings.calibrated_count(len(lines))
+    for axes in (1, 3, embeddings.MOST_ROUTING):            # cells on these, windows on one more
+        assert (counted & hits[:, :axes + 1].all(axis=1)).mean() > 0.994
+
+
+def test_many_vectors_take_more_axes(spark):
+    assert [embeddings.routing_axes(n) for n in (0, 100, 50_000, 10 ** 7, 10 ** 12)] == [1, 1, 3, 6, 8]
+    rng = np.random.default_rng(9)
+    rows = [(i, floats(rng.standard_normal(5))) for i in range(120)]
+    df = frame(spark, rows + [(200, floats(rng.standard_normal(2))), (201, floats(rng.standard_normal(2)))])
+    want = brute_by_length(df)
+    for axes in (1, 2, 4):
+        assert got(df, routing=axes, tile=8) == want
+
+
+def test_windows_lose_no_pair():
+    rng = np.random.default_rng(6)
+    a, b = (embeddings.unit_rows(rng.standard_normal((n, 4))) for n in (90, 70))
+    lines = embeddings.directions(4)
+    half, count = embeddings.half_window(4, 0.95, embeddings.WINDOW), embeddings.calibrated_count(len(lines))
+    a, b = (x[np.argsort(x @ lines[1])] for x in (a, b))
+    for same, y in ((False, b), (True, a)):
+        want = embeddings.near_pairs(a, y, lines @ a.T, lines @ y.T, same, 9.0, 0, 0.95)
+        have = embeddings.windowed_pairs(a, y, lines @ a.T, lines @ y.T, same, 1, half, count, 0.95)
+        kept = [(i, j) for i, j in zip(*want) if (np.abs(lines @ (a[i] - y[j])) <= half).sum() >= count
+                and abs(lines[1] @ (a[i] - y[j])) <= half]
+        assert set(kept) <= set(zip(*have)) <= set(zip(*want)) and len(kept) > 10
 
 
 def test_calibration():
