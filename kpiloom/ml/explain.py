@@ -214,8 +214,11 @@ def _nodes_from_saved(spark: SparkSession, path: str, classification: bool):
 
 def leaf_tables(spark: SparkSession, tree_model) -> list[LeafTable]:
     """Leaf tables of a fitted random forest (probability of class 1, mean over
-    trees) or gradient-boosted classifier (margin, tree-weighted sum)."""
+    trees), gradient-boosted classifier (margin, tree-weighted sum) or second-order
+    boosted model (margin over its base)."""
     name = type(tree_model).__name__
+    if name == "BoostedModel":
+        return [_leaf_table(nodes, 1.0) for nodes in tree_model.nodes()]
     path = scratch_path(spark, f"shap-models/{tree_model.uid}")
     tree_model.write().overwrite().save(path)
     if name == "RandomForestClassificationModel":

@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .boosting import Boosting, fit_boosted
 from .evaluate import measure, score
 from .prepare import SEED
 
 FEATURES_VEC = "features"
 
-# Fixed hyper-parameters of the three candidates, in training order.
+# Fixed hyper-parameters of the candidates, in training order.
 LR_MAX_ITER = 1000
 LR_C = 1.0                 # inverse L2 strength of the original; regParam = 1 / (C * n)
 RF_TREES = 200
@@ -26,8 +27,8 @@ GBT_DEPTH = 5
 GBT_STEP = 0.08
 GBT_ROW_SAMPLE = 0.9
 GBT_COL_SAMPLE = "0.9"
-CANDIDATES = ("logistic_regression", "random_forest", "gradient_boosting")
-TREE_MODELS = ("random_forest", "gradient_boosting")
+CANDIDATES = ("logistic_regression", "random_forest", "gradient_boosting", "regularised_boosting")
+TREE_MODELS = ("random_forest", "gradient_boosting", "regularised_boosting")
 
 
 @dataclass
@@ -90,7 +91,12 @@ def train_candidates(spark: SparkSession, train: DataFrame, test: DataFrame, fea
 
     def fit(i_name):
         i, name = i_name
-        m = model_spec(name, features, label, n_train, profile).fit(train)
+        if name == "regularised_boosting":
+            how = Boosting(rounds=(profile or Profile()).gbt_rounds, depth=GBT_DEPTH, rate=GBT_STEP,
+                           row_share=GBT_ROW_SAMPLE, column_share=float(GBT_COL_SAMPLE), seed=SEED)
+            m = fit_boosted(train, features, label, how=how)
+        else:
+            m = model_spec(name, features, label, n_train, profile).fit(train)
         s = score(m, test, label).persist()           # scored once for all metrics
         try:
             got = measure(s)

@@ -77,4 +77,7 @@ def load_model(spark: SparkSession, path: str) -> PipelineModel:
     p = os.path.join(path, MODEL)
     if not _exists(spark, p):
         raise FileNotFoundError(f"no model artifact under {path}")
+    if _exists(spark, os.path.join(p, "nodes")):
+        from ..ml.boosting import BoostedModel
+        return BoostedModel.load(spark, p)
     return PipelineModel.load(p)
