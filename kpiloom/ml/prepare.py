@@ -19,7 +19,8 @@ SEED = 42
 TEST_FRACTION = 0.2
 SPLIT_HEX_DIGITS = 12      # 48-bit hash
 PROBE_BITS = 12            # bits of the hash that one counting pass resolves
-MAX_CLASSES = 1000         # label values a split accepts
+FEW_CLASSES = 20           # from so many label values on, thresholds are joined
+MAX_CLASSES = 1000         # label values a split accepts: it holds a threshold of each
 
 
 def feature_columns(df: DataFrame, id_cols=ID_COLUMNS, target: str = TARGET) -> list[str]:
@@ -111,8 +112,19 @@ def split_thresholds(hashed: DataFrame, label: str, train_fraction: float) -> di
     A class of two or more different hashes keeps at least one row on each side:
     if its threshold is its largest hash, it drops to the second largest.
 
+    Per-label values meet the rows by a join with a table of one row per label (at most
+    ``MAX_CLASSES``, so it is broadcast), not as a chain of conditions, whose depth
+    would grow with the labels.
+
     Rows without a label raise a ``ValueError`` that names their number.
     """
+    spark = hashed.sparkSession
+    kind = hashed.schema[label].dataType.simpleString()
+
+    def with_value(rows: DataFrame, values: dict, name: str) -> DataFrame:
+        """``rows`` of the given labels with their value."""
+        return rows.join(F.broadcast(spark.createDataFrame(list(values.items()), f"`{label}` {kind}, {name} bigint")), label)
+
     total_bits = 4 * SPLIT_HEX_DIGITS
     stats = hashed.groupBy(label).agg(F.max("_h"), F.count(F.lit(1))).limit(MAX_CLASSES + 1).collect()
     counts = {r[0]: r[2] for r in stats}
@@ -129,14 +141,14 @@ def split_thresholds(hashed: DataFrame, label: str, train_fraction: float) -> di
             if not left:
                 break
             at = F.shiftright("_h", total_bits - bits).alias("_cell")
-            inside = F.lit(False)
-            for y, c in cell.items():
-                inside = inside | ((F.col(label) == F.lit(y))
-                                   & (F.shiftright("_h", total_bits - bits + PROBE_BITS) == F.lit(c)))
-            rows = hashed if bits == PROBE_BITS else hashed.where(inside)
-            sizes = rows.groupBy(label, at).agg(F.count(F.lit(1)).alias("_n")).collect()
+            rows = with_value(hashed, cell, "_in")
+            if bits > PROBE_BITS:
+                rows = rows.where(F.shiftright("_h", total_bits - bits + PROBE_BITS) == F.col("_in"))
+            sizes: dict = {}
+            for r in rows.groupBy(label, at).agg(F.count(F.lit(1)).alias("_n")).toLocalIterator():
+                sizes.setdefault(r[label], []).append((r["_cell"], r["_n"]))
             for y in left:
-                for c, n in sorted((r["_cell"], r["_n"]) for r in sizes if r[label] == y):
+                for c, n in sorted(sizes.get(y, [])):
                     if left[y] <= n:
                         cell[y] = c
                         break
@@ -148,10 +160,8 @@ def split_thresholds(hashed: DataFrame, label: str, train_fraction: float) -> di
     largest = {r[0]: r[1] for r in stats}
     full = [y for y in counts if counts[y] >= 2 and found[y] >= largest[y]]
     if full:
-        below = F.lit(False)
-        for y in full:
-            below = below | ((F.col(label) == F.lit(y)) & (F.col("_h") < F.lit(largest[y])))
-        found |= {r[0]: r[1] for r in hashed.where(below).groupBy(label).agg(F.max("_h")).collect()}
+        below = with_value(hashed, {y: largest[y] for y in full}, "_largest").where(F.col("_h") < F.col("_largest"))
+        found |= {r[0]: r[1] for r in below.groupBy(label).agg(F.max("_h")).collect()}
     return found
 
 
@@ -163,11 +173,18 @@ def assign_split(df: DataFrame, label: str = TARGET, id_col: str = "user_id",
 
     The thresholds are found here, by counting passes over ``df`` (give a written
     or checkpointed table if it is expensive); the result compares each row's
-    hash with literals, so no join follows and every row lands on exactly one
-    side, whatever the partitioning.  A null label raises ``ValueError``.
+    hash with its label's threshold (a literal each, or from ``FEW_CLASSES`` labels on
+    a broadcast table of them), so every row lands on exactly one side, whatever the
+    partitioning.  A null label raises ``ValueError``.
     """
     h = split_hash(id_col, seed)
     found = split_thresholds(df.select(F.col(label), h.alias("_h")), label, 1.0 - test_fraction)
+    if len(found) >= FEW_CLASSES:
+        kind = df.schema[label].dataType.simpleString()
+        limits = F.broadcast(df.sparkSession.createDataFrame(list(found.items()), f"`{label}` {kind}, _limit bigint"))
+        joined = df.withColumn("_h", h).join(limits, label, "left")
+        return joined.withColumn("split", F.when(F.col("_h") <= F.col("_limit"), "train").otherwise("test")).select(
+            *df.columns, "split")
     limit = F.lit(None).cast("bigint")
     for y, t in found.items():
         limit = F.when(F.col(label) == F.lit(y), F.lit(t)).otherwise(limit)

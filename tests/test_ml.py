@@ -125,3 +125,15 @@ def test_text_coercion_follows_python_float(spark):
     for r in df.select("v", prepare.coerce_column(F.col("v"), T.StringType()).alias("c")).collect():
         want = py(r["v"])
         assert (math.isnan(want) and math.isnan(r["c"])) or r["c"] == want, r["v"]
+
+
+def test_split_of_a_thousand_label_values(spark):
+    from pyspark.sql import functions as F
+    df = spark.range(12_000).select(F.col("id").alias("user_id"), (F.col("id") % 1000).alias("y"))
+    got = prepare.assign_split(df, label="y").groupBy("y").agg(
+        F.count_if(F.col("split") == "train").alias("train"), F.count_if(F.col("split") == "test").alias("test")).collect()
+    assert len(got) == 1000 and {(r.train, r.test) for r in got} == {(10, 2)}
+    few = df.where("y < 3")
+    a = {tuple(r) for r in prepare.assign_split(few, label="y").collect()}
+    b = {tuple(r) for r in prepare.assign_split(df, label="y").where("y < 3").collect()}
+    assert a == b                               # a table of thresholds decides as literals do
