@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .fingerprint import farm_fingerprint
+
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -19,7 +21,9 @@ def bucket(id_col, n: int = 100, method: str = "md5", salt: str | None = None) -
     """Bucket in ``[0, n)`` from the id's text form; null id -> null bucket.
 
     ``md5``: first 8 hex digits of md5 (reproducible in any SQL engine);
-    ``xxhash64``: the fast built-in hash.
+    ``xxhash64``: the fast built-in hash; ``farm``: the published 64-bit fingerprint
+    that warehouses offer, taken as ``abs(hash) mod n`` (the one hash whose absolute
+    value is out of range, -2^63, raises under ANSI, as it does there).
     """
     text = _c(id_col).cast("string")
     if salt is not None:
@@ -28,6 +32,8 @@ def bucket(id_col, n: int = 100, method: str = "md5", salt: str | None = None) -
         h = md5_prefix_int(text, 8)
     elif method == "xxhash64":
         h = F.xxhash64(text)
+    elif method == "farm":
+        h = F.abs(farm_fingerprint(text))
     else:
         raise ValueError(f"unknown hash method {method!r}")
     return F.pmod(h, F.lit(n))

@@ -18,8 +18,9 @@ def ab_group(users: DataFrame, share_a: int = 50, method: str = "md5", n_buckets
     ``share_a`` -> 'A', else 'B'.  A null id falls to the ELSE branch -> 'B'.
 
     Stateless and row-local (no shuffle); stable under any repartitioning.  The
-    hash is a parameter: ``md5`` (first 8 hex digits, reproducible in SQL) or
-    ``xxhash64``.
+    hash is a parameter: ``md5`` (first 8 hex digits, reproducible in SQL),
+    ``xxhash64``, or ``farm`` (the warehouse fingerprint, which reproduces
+    assignments made there).
     """
     return users.select(F.col("id").alias("user_id"),
                         assign("id", share_a, method, n_buckets).alias("ab_group"))

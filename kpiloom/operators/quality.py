@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -48,6 +48,92 @@ GOLD_TESTS = (
     AcceptedValues("features_conversion", "will_convert_14d", (0, 1)),
 )
 
+
+
+@dataclass(frozen=True)
+class Relationship:
+    """Fails when a non-null ``column`` of ``model`` is no value of ``to_column`` of ``to_model``."""
+    model: str
+    column: str
+    to_model: str
+    to_column: str
+
+
+# The foreign keys of the silver tables.
+SILVER_RELATIONSHIPS = (
+    Relationship("orders", "user_id", "users", "id"),
+    Relationship("order_items", "order_id", "orders", "order_id"),
+    Relationship("events", "user_id", "users", "id"),
+)
+
+
+def orphans(child: DataFrame, column: str, parent: DataFrame, to_column: str) -> DataFrame:
+    """``(key, n)``: the keys of ``child`` that ``parent`` lacks, with their rows.
+
+    Nulls point nowhere and pass.  Rows are counted per key before the join (a map-side
+    partial aggregate first), so an orphan key with a third of all rows is one row of
+    it; the join is an anti join of different keys.
+    """
+    keys = child.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    return keys.join(parent.select(F.col(to_column).alias("key")), "key", "left_anti")
+
+
+def run_relationships(tables: dict[str, DataFrame], tests=SILVER_RELATIONSHIPS) -> DataFrame:
+    """One row per test: ``(test_id, model, column, test, failures, passed, to_model,
+    orphan_keys)``; ``failures`` counts rows, ``orphan_keys`` different keys."""
+    out = None
+    for i, t in enumerate(tests):
+        for name in (t.model, t.to_model):
+            if name not in tables:
+                raise KeyError(f"no table named {name!r} for the relationship tests")
+        counts = orphans(tables[t.model], t.column, tables[t.to_model], t.to_column).agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("failures"), F.count(F.lit(1)).alias("orphan_keys"))
+        row = counts.select(F.lit(i).alias("test_id"), F.lit(t.model).alias("model"), F.lit(t.column).alias("column"),
+                            F.lit("relationship").alias("test"), "failures", (F.col("failures") == 0).alias("passed"),
+                            F.lit(t.to_model).alias("to_model"), "orphan_keys")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+#: Trailing days that a metric's bounds are drawn from, fewest of them with a value, and
+#: half width of the bounds in robust standard deviations (1.4826 median deviations).
+BOUND_DAYS, BOUND_LEAST, BOUND_WIDTH = 28, 7, 5.0
+MAD_TO_SD = 1.4826
+
+
+def metric_bounds(rows: DataFrame, day: str, metrics: list[str], days: int = BOUND_DAYS, least: int = BOUND_LEAST,
+                  width: float = BOUND_WIDTH) -> DataFrame:
+    """``(metric, day, value, n, median, mad, low, high, flagged)``: every value of the
+    daily ``metrics`` against the ``days`` calendar days before it.
+
+    The frame is one of time, not of rows, so missing days shorten it.  Median and
+    median absolute deviation are exact (a frame holds ``days`` values).  With
+    fewer than ``least`` values behind it, or a null value, a day has null bounds and
+    is not flagged; a history without any spread allows its median only.  A null day
+    is left out.
+    """
+    cells = rows.where(F.col(day).isNotNull()).select(F.col(day).alias("day"), F.explode(F.array(*[
+        F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("_c"))
+    cells = cells.select("_c.metric", "day", "_c.value").withColumn("_n", F.unix_date("day"))
+    behind = Window.partitionBy("metric").orderBy("_n").rangeBetween(-days, -1)
+
+    def middle(values: Column) -> Column:
+        def of(s: Column) -> Column:
+            n = F.size(s)
+            return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
+        return F.get(F.transform(F.array(F.array_sort(values)), of), F.lit(0))
+
+    got = cells.withColumn("_past", F.collect_list("value").over(behind)).withColumn("n", F.size("_past").cast("bigint"))
+    got = got.withColumn("median", F.when(F.col("n") >= least, middle(F.col("_past"))))
+    away = F.transform("_past", lambda x: F.abs(x - F.col("median")))
+    got = got.withColumn("mad", F.when(F.col("n") >= least, middle(away)))
+    reach = F.col("mad") * F.lit(width * MAD_TO_SD)
+    got = got.withColumns({"low": F.col("median") - reach, "high": F.col("median") + reach})
+    flagged = (F.col("value") < F.col("low")) | (F.col("value") > F.col("high"))
+    return got.select("metric", "day", "value", "n", "median", "mad", "low", "high",
+                      F.coalesce(flagged, F.lit(False)).alias("flagged"))
+
+
 def run_suite(spark: SparkSession, models: dict[str, DataFrame], tests=GOLD_TESTS,
               only: str | None = None) -> DataFrame:
     """Evaluate every test; all tests of one model run in a single aggregate, so

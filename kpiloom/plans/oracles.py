@@ -178,6 +178,19 @@ AB_METRICS = ab_metrics_cte("ab_metrics", "funnel_users")
 AB_METRICS_EVENT_USERS = ab_metrics_cte("ab_metrics_ev", "funnel_event_set")
 
 
+# A/B metrics per signup day.
+SEGMENT_METRICS = """
+seg_metrics AS (
+  SELECT signup_day, ab_group, CAST(count(*) AS BIGINT) AS users, count(*) FILTER (converted) AS converters,
+         count(*) FILTER (converted) / count(*) AS conversion_rate
+  FROM (SELECT CAST(u.created_at AS DATE) AS signup_day, u.id,
+               (SELECT any_value(g.ab_group) FROM ab_group g WHERE g.user_id = u.id) AS ab_group,
+               EXISTS (FROM s_orders o WHERE o.user_id = u.id AND o.status = 'Complete') AS converted
+        FROM s_users u WHERE u.id IS NOT NULL)
+  GROUP BY ALL
+)"""
+
+
 def _erfc_taylor(x: str) -> str:
     """1 - erf(x) from the Maclaurin series of erf (60 terms; fine for x <= 4),
     independent of the rational approximation used on the Spark side."""
@@ -245,6 +258,7 @@ def _auc(scored: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import oracles_experiments
     A = with_adapter
     q: dict[str, str] = {}
     q["silver_users"] = A(body="SELECT * FROM s_users")
@@ -304,17 +318,7 @@ def oracle_sql() -> dict[str, str]:
     q["ab_test"] = A(*gold_ab, body=ab_test_sql(f"({pivot_sql('ab_metrics')})"))
     gold_cells = f"({pivot_sql('ab_metrics')})"
     q["ab_srm"] = A(*gold_ab, body=f"SELECT a_total, b_total, srm_chi2, srm_p FROM ({ab_test_sql(gold_cells)}) t")
-    seg_metrics = """
-    seg_metrics AS (
-      SELECT signup_day, ab_group, CAST(count(*) AS BIGINT) AS users, count(*) FILTER (converted) AS converters,
-             count(*) FILTER (converted) / count(*) AS conversion_rate
-      FROM (SELECT CAST(u.created_at AS DATE) AS signup_day, u.id,
-                   (SELECT any_value(g.ab_group) FROM ab_group g WHERE g.user_id = u.id) AS ab_group,
-                   EXISTS (FROM s_orders o WHERE o.user_id = u.id AND o.status = 'Complete') AS converted
-            FROM s_users u WHERE u.id IS NOT NULL)
-      GROUP BY ALL
-    )"""
-    q["ab_test_invalid"] = A(*gold_ab, seg_metrics,
+    q["ab_test_invalid"] = A(*gold_ab, SEGMENT_METRICS,
                              body=ab_test_sql(f"({pivot_sql('seg_metrics', 'signup_day')})", "signup_day"))
     q["ab_verdict"] = A(FUNNEL_EVENT_SET, AB_GROUP, AB_METRICS_EVENT_USERS,
                         body=verdict_sql(ab_test_sql(f"({pivot_sql('ab_metrics_ev')})")))
@@ -400,7 +404,7 @@ def oracle_sql() -> dict[str, str]:
       SELECT * FROM ({board}) ORDER BY auc DESC, accuracy DESC, train_order LIMIT 1""")
     q["ml_batch_summary"] = A(FEATURES, body=f"""
       SELECT CAST({len(tests)} AS BIGINT) AS tests, CAST({len(tests)} AS BIGINT) AS tests_passed, count(*) AS rows,
-             CAST({len(feats)} AS BIGINT) AS features, CAST(3 AS BIGINT) AS models FROM features_conversion""")
+             CAST({len(feats)} AS BIGINT) AS features, CAST(4 AS BIGINT) AS models FROM features_conversion""")
     q["event_type_sets"] = A(body="""
       SELECT user_id, string_agg(t, ',' ORDER BY t) AS events, count(t) AS n_types,
              bool_or(t = 'view') AS saw_landing, bool_or(t = 'click') AS saw_product, bool_or(t = 'signup') AS saw_cart
@@ -411,4 +415,4 @@ def oracle_sql() -> dict[str, str]:
              CASE WHEN value > 50 THEN 1.0 ELSE 0.0 END AS large, 0.0 AS missing, 0.0 AS word,
              CAST(event_type = 'purchase' AS BIGINT) AS bought
       FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM s_events)""")
-    return q
+    return q | oracles_experiments.oracle_sql()

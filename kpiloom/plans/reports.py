@@ -25,6 +25,7 @@ from ..operators import quality as dq
 from ..operators import retention as ret
 from ..operators import revenue as rev
 from ..functions.dates import day_of
+from ..session import scratch_path
 from ..sources.silver import Sources
 
 Report = Callable[..., DataFrame]
@@ -159,8 +160,9 @@ def _page(df: DataFrame, limit: int, key: str = "user_id") -> DataFrame:
 
 
 def _only(ids: DataFrame, table: DataFrame, key: str) -> list[DataFrame]:
-    """``table`` reduced to the ids of a page (a page's size, so broadcast)."""
-    keys = F.broadcast(ids.select(F.col("user_id").alias("_page_id")))
+    """``table`` reduced to the ids of a page.  Spark knows the size of a limited result, and
+    broadcasts the ids when that is small; a huge ``limit`` gives a shuffle join."""
+    keys = ids.select(F.col("user_id").alias("_page_id"))
     return [table.join(keys, F.col(key).eqNullSafe(F.col("_page_id")), "left_semi")]
 
 
@@ -193,8 +195,14 @@ def _features_page(src: Sources, limit: int = PAGE) -> DataFrame:
     ids = src.users.select(F.col("id").alias("user_id")).join(
         src.events.select("user_id"), "user_id", "left_semi").distinct()
     ids = _page(ids, limit)
-    return _page(feat.features_conversion(*_only(ids, src.users, "id"), *_only(ids, src.orders, "user_id"),
-                                          src.items, *_only(ids, src.events, "user_id")), limit)
+    # the page's orders are written, so their size is known when their items are looked up:
+    # of few orders, the ids are broadcast and the items are never exchanged
+    path = scratch_path(src.spark, f"pages/{uuid.uuid4().hex}")
+    _only(ids, src.orders, "user_id")[0].write.parquet(path)
+    orders = src.spark.read.parquet(path)
+    items = src.items.join(orders.select("order_id"), "order_id", "left_semi")
+    return _page(feat.features_conversion(*_only(ids, src.users, "id"), orders, items,
+                                          *_only(ids, src.events, "user_id")), limit)
 
 
 @report("revenue_last_7")
@@ -482,7 +490,6 @@ def training_run(src: Sources):
     is known by its path and the state of its files, tables given directly by the
     :class:`Sources` object itself, for as long as it lives.  At most ``RUNS_KEPT``
     directories are held; a run that leaves drops its cached splits."""
-    from ..session import scratch_path
     from .daily import run_daily_batch
     held, key = (_GIVEN_RUNS, src) if src.given else (_RUNS, _state_of(src))
     if key not in held:
@@ -613,3 +620,6 @@ def run_sql(spark: SparkSession, text: str, source: str | Sources, params=None)
         if re.search(rf"\b{name}\b", text, re.IGNORECASE):
             publish(make(), name)
     return spark.sql(text, args=typed_params(params))
+
+
+from . import experiment_reports, operation_reports  # noqa: E402,F401  (they register their reports)
