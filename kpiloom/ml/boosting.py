@@ -9,7 +9,7 @@ that of the model (nodes x features x bins), whatever the data.
 
 The rows stay on the executors as packed blocks with their margins.  That is an RDD of
 numpy arrays: a run makes rounds x depth small passes (1,000 by default), and planning
-each as a query would cost more than the pass.  Gradients are rounded to fixed-point
+each as a query would cost more than the pass.  A table of a block or less is one task's.  Gradients are rounded to fixed-point
 numbers whose sums are exact in double, so neither partitioning nor the order of
 addition changes a tree.  Margins are brought up to date, and written to the
 checkpoint folder, every few rounds; in between a pass adds the newest trees itself, so
@@ -32,6 +32,9 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_dir
 
 BLOCK = 1 << 16
+#: Up to so many rows, one task runs all rounds; beyond, every level is a distributed
+#: pass.  The sums, and so the trees, are the same.
+ONE_TASK = 1 << 16
 #: Rounds between two updates of the stored margins.
 REFRESH = 10
 #: Partial sums that the driver adds itself; more are added in a tree of tasks.
@@ -191,6 +194,21 @@ def binned(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def boosted_in_task(blocks: list, cuts: list[np.ndarray], how: Boosting, n_bins: int, bits: int) -> list[Tree]:
+    """All rounds over the blocks of one task."""
+    keys, bins, y, margin = (np.concatenate(c) for c in zip(*blocks))
+    trees: list[Tree] = []
+    for t in range(how.rounds):
+        mask = drawn(keys, t, how.row_share, how.seed)
+
+        def sums_of(tree, first, count, mask=mask, margin=margin):
+            return node_sums(bins, y, margin, mask, tree.of_bins(bins) - first, count, n_bins, bits)
+
+        trees.append(grow(sums_of, how, t, len(cuts), cuts, bits))
+        margin = margin + trees[-1].value[trees[-1].of_bins(bins)]
+    return trees
+
+
 def _blocks(rows: DataFrame, features: list[str], label: str, id_col: str, cuts: list[np.ndarray], base: float):
     """RDD of (keys, bins, labels, margins), ``BLOCK`` rows at most each."""
     packed = rows.select(F.xxhash64(id_col, *features).alias("_key"), *features, F.col(label).cast("double").alias("_y"))
@@ -233,7 +251,11 @@ def fit_boosted(rows: DataFrame, features: list[str], label: str, id_col: str =
         return BoostedModel(features, base, [], how)
     cuts = quantile_cuts(rows, features, how.bins)
     n_bins, bits = 1 + max(map(len, cuts)) + 1, fixed_bits(n)
-    held = _blocks(rows, features, label, id_col, cuts, base).persist(StorageLevel.MEMORY_AND_DISK)
+    held = _blocks(rows, features, label, id_col, cuts, base)
+    if n <= ONE_TASK:
+        found = held.coalesce(1).mapPartitions(lambda b: [boosted_in_task(list(b), cuts, how, n_bins, bits)]).first()
+        return BoostedModel(features, base, found, how)
+    held = held.persist(StorageLevel.MEMORY_AND_DISK)
     trees: list[Tree] = []
     stored = 0                                     # trees that the stored margins hold
     try:

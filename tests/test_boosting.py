@@ -61,8 +61,9 @@ def plain_boost(x, y, keys, cuts, how):
     return margin
 
 
-@pytest.mark.parametrize("parts", [1, 5])
-def test_equals_a_plain_version(spark, parts):
+@pytest.mark.parametrize("parts,one_task", [(1, 0), (5, 0), (5, 1 << 16)])
+def test_equals_a_plain_version(spark, monkeypatch, parts, one_task):
+    monkeypatch.setattr(boosting, "ONE_TASK", one_task)
     data = rows(600, 1)
     how = Boosting(rounds=13, depth=3, rate=0.3, bins=16)
     df = frame(spark, data, parts)
@@ -80,10 +81,12 @@ def test_equals_a_plain_version(spark, parts):
     assert all(abs(by_id[i] - 1 / (1 + math.exp(-m))) < 1e-12 for i, m in enumerate(want))
 
 
-def test_partitioning_changes_no_tree(spark):
+def test_neither_partitioning_nor_passes_change_a_tree(spark, monkeypatch):
     how = Boosting(rounds=12, depth=4, bins=32)
+    in_task = boosting.fit_boosted(frame(spark, rows(400, 2), 3), FEATURES, "y", how=how)
+    monkeypatch.setattr(boosting, "ONE_TASK", 0)
     one, many = (boosting.fit_boosted(frame(spark, rows(400, 2), n), FEATURES, "y", how=how) for n in (1, 7))
-    assert one.nodes() == many.nodes()
+    assert one.nodes() == many.nodes() == in_task.nodes()
 
 
 def test_learns_and_regularises(spark):
