@@ -40,9 +40,12 @@ WINDOW = 3.5
 #: Pairs at the threshold that pass the count, at least.
 RECALL = 0.9999
 #: Vectors in a tile, rows of a strip that share a window, and tile pairs of a task.
-TILE = 256
-STRIP = 32
-TASK_PAIRS = 4096
+TILE = 1024
+STRIP = 128
+TASK_PAIRS = 512
+#: Projections counted over all pairs of a window; the rest are counted over the pairs
+#: that these leave.
+FIRST = 12
 SEED = 11
 
 
@@ -185,10 +188,13 @@ def near_pairs(a: np.ndarray, b: np.ndarray, pa_: np.ndarray, pb: np.ndarray, sa
     """Index pairs of unit rows of a and b with enough collisions and cosine at or
     above ``cosine``.  pa_ and pb hold a row of each projection."""
     misses_allowed = len(pa_) - count
-    first = 6                                   # projections counted over all pairs
+    first = min(FIRST, len(pa_))
     miss = np.zeros((a.shape[0], b.shape[0]), np.uint8)
-    for x, y in zip(pa_[:first], pb[:first]):
-        miss += np.abs(x[:, None] - y[None, :]) > half
+    # in single precision, with a window wider than its rounding
+    apart, wide = np.empty(miss.shape, np.float32), np.float32(half + 1e-6)
+    for x, y in zip(pa_[:first].astype(np.float32), pb[:first].astype(np.float32)):
+        np.subtract(x[:, None], y[None, :], out=apart)
+        miss += np.abs(apart, out=apart) > wide
     i, j = np.nonzero(miss <= misses_allowed)
     if same:
         keep = i < j
