@@ -194,17 +194,17 @@ def fit_from(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """Fit on about ``each`` documents per language, of those with a non-null id,
     language and text whose id remainder (crc32 modulo 4) is not 2.
 
-    One task fits a language.  The driver receives DIM document frequencies and, for each
-    language, its centroids (16 KB each) and at most some 14 numbers a sample document,
-    about 0.1 MB; so does every Python worker, without the numbers.  More than
-    ``sampling.MOST_LABELS`` languages raise ValueError and there is no result.
+    Rows that agree in id, language and text are one document.  One task fits a
+    language.  The driver receives DIM document frequencies and, for each language, its
+    centroids (16 KB each) and at most some 14 numbers a sample document, about 0.1 MB;
+    the model, 64 KB a language, is broadcast to the Python workers.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"),
                        F.col(text_col).cast("string").alias("text"))
     rows = rows.where(id_remainder("doc_id", 4) != 2).where("lang is not null and text is not null")
-    sample, _ = per_label_sample(rows, "doc_id", "lang", each)
+    sample = per_label_sample(rows, "lang", ["doc_id", "text"], each)
 
     def vectors(batches):
         for b in batches:
@@ -260,10 +260,11 @@ def identify(docs: DataFrame, model: Centroids, id_col: str = "doc_id", text_col
                        F.coalesce(id_remainder(id_col, 4) == 2, F.lit(False)).alias("held_out"),
                        F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
+    held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for b in batches:
-            got = model.predict(b.column(2).to_pylist())
+            got = held.value.predict(b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array([g[0] for g in got], pa.string()),
                  pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.bool_())],
@@ -276,9 +277,10 @@ def identify(docs: DataFrame, model: Centroids, id_col: str = "doc_id", text_col
 def accepted(docs: DataFrame, model: Centroids, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the model does not reject, columns unchanged."""
     bound_batches(docs.sparkSession)
+    held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
     def keep(texts: pd.Series) -> pd.Series:
-        return pd.Series([not r[2] for r in model.predict([t if isinstance(t, str) else None for t in texts])])
+        return pd.Series([not r[2] for r in held.value.predict([t if isinstance(t, str) else None for t in texts])])
 
     return docs.where(keep(F.col(text_col).cast("string")))

@@ -5,6 +5,7 @@ lines beside it, and the labels beside it.  A document's quality is the mean of
 lines' forward-backward marginals, weighted by line length.
 """
 
+import zlib
 from dataclasses import dataclass, field
 from operator import eq
 
@@ -14,13 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, written
 from .sampling import id_remainder, per_label_sample
 
 #: Labelled documents per class that the model is fitted on (expected number), and the
-#: lines beyond which a document is left out of that sample.
+#: lines that are taken of each, in one stretch somewhere in it.
 FIT_DOCS = 1200
-FIT_LINES = 4000
+FIT_LINES = 400
 #: Score from which a document counts as good (fixed by contract).
 GOOD_FROM = 0.3
 STEPS, RATE, RIDGE = 150, 0.1, 1e-3
@@ -169,28 +170,54 @@ def fit_crf(sample: list[tuple[int, np.ndarray]], steps: int = STEPS) -> LineCRF
     return LineCRF(params[:-4], params[-4:].reshape(2, 2))
 
 
+def stretch(rows: np.ndarray, text: bytes, most: int) -> np.ndarray:
+    """``most`` rows in a row at most, from a place drawn by the text."""
+    if len(rows) <= most:
+        return rows
+    at = zlib.crc32(text) % (len(rows) - most + 1)
+    return rows[at:at + most]
+
+
 def fit_from(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              label_col: str = "quality", each: int = FIT_DOCS, most_lines: int = FIT_LINES) -> LineCRF:
     """Fit on about ``each`` documents per class, of those labelled 0 or 1 whose id
-    remainder (crc32 modulo 5) is not 0.  The sample of ids is bounded by ``each``, so it
-    is broadcast to the documents; texts are not shuffled."""
+    remainder (crc32 modulo 5) is not 0, and on a stretch of ``most_lines`` lines of
+    those that have more.
+
+    The labels are joined to the documents by id; rows that agree in id, label and
+    text are one document, an id under many texts as many.  One executor task fits the
+    model from the stretches' features (29 KB a document at most); the driver
+    receives its weights alone.
+    """
     bound_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     known = known.where(id_remainder("id", 5) != 0).where("label in (0, 1)")
-    chosen, _ = per_label_sample(known, "id", "label", each)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.join(F.broadcast(chosen), "id").select("label", F.coalesce("text", F.lit("")).alias("text"))
+    # twice: of the labels, so that few ids meet the documents, and of the documents found
+    # by them, so that an id under many texts can't swell the sample
+    chosen = written(per_label_sample(known, "label", ["id"], each), "quality-labels")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = written(rows.join(chosen, "id").select("id", "label", "text"), "quality-documents")
+    rows = per_label_sample(rows, "label", ["id", "text"], each).select("label", "text")
 
     def features(batches):
         for b in batches:
-            out = [(y, f) for y, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist())
-                   if t.count(b"\n") < most_lines for f in [line_features(t)[0]]]
+            out = [(y, stretch(line_features(t)[0], t, most_lines))
+                   for y, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([y for y, _ in out], pa.int32()), pa.array([f.tobytes() for _, f in out], pa.binary())],
                 names=["label", "features"])
 
-    got = rows.mapInArrow(features, "label int, features binary").collect()
-    return fit_crf([(r[0], np.frombuffer(r[1], np.float32).reshape(-1, OWN)) for r in got])
+    def fit(sample: pa.Table) -> pa.Table:
+        model = fit_crf([(y, np.frombuffer(f, np.float32).reshape(-1, OWN)) for y, f in
+                         zip(sample["label"].to_pylist(), sample["features"].to_pylist())])
+        return pa.table({"weights": [model.weights.tolist()], "moves": [model.moves.ravel().tolist()]})
+
+    sample = rows.mapInArrow(features, "label int, features binary").withColumn("all", F.lit(0))
+    fitted = sample.groupBy("all").applyInArrow(
+        fit, "weights array<double>, moves array<double>").collect()
+    if not fitted:
+        return LineCRF()
+    return LineCRF(np.array(fitted[0][0]), np.array(fitted[0][1]).reshape(2, 2))
 
 
 def score_quality(docs: DataFrame, model: LineCRF, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

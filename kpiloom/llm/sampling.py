@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labels that a sample is drawn for; a corpus with more raises ValueError.
-MOST_LABELS = 1000
+from .common import written
+
+_STEPS = 1 << 30
 
 
 def id_remainder(id_col: str, modulus: int) -> Column:
@@ -14,21 +15,18 @@ def id_remainder(id_col: str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(modulus))
 
 
-def per_label_sample(rows: DataFrame, id_col: str, label_col: str, each: int,
-                     most_labels: int = MOST_LABELS) -> tuple[DataFrame, dict]:
-    """(sample, counts): about ``each`` rows of every label (all, if it has fewer),
-    chosen by a hash of the id, so that any partitioning gives the same rows.
+def per_label_sample(rows: DataFrame, label_col: str, keys: list[str], each: int) -> DataFrame:
+    """About ``each`` rows of every label (all, if it has fewer), chosen by a hash of the
+    ``keys``, so that any partitioning gives the same rows; rows that agree in label
+    and keys are in the sample once, however often they stand.
 
-    One small aggregate counts the labels; more than ``most_labels`` raise.  A label
-    with a third of all rows needs no sort and no single task: its rows are kept
-    one by one where their hash falls under the label's share.
+    The labels are counted by one partial aggregate, and each row is joined with its
+    label's count (broadcast by measured size): any number of labels will do.  A label
+    with a third of all rows needs no sort and no single task: its rows are kept one
+    by one where their hash falls under the label's share.
     """
-    counts = {r[0]: r[1] for r in rows.groupBy(label_col).count().limit(most_labels + 1).collect()}
-    if len(counts) > most_labels:
-        raise ValueError(f"more than {most_labels} labels in {label_col}")
-    steps = 1 << 30
-    share = F.lit(0)
-    for label, n in counts.items():
-        share = F.when(F.col(label_col) == F.lit(label), F.lit(min(steps, steps * each // n))).otherwise(share)
-    keep = F.pmod(F.xxhash64(F.lit("fit"), F.col(id_col)), F.lit(steps)) < share
-    return rows.where(keep), counts
+    counts = written(rows.where(F.col(label_col).isNotNull()).groupBy(label_col).agg(
+        F.count(F.lit(1)).alias("_n")), "label-counts")
+    share = F.least(F.lit(_STEPS), F.floor(F.lit(_STEPS * each) / F.col("_n")))
+    chosen = rows.join(counts, label_col).where(F.pmod(F.xxhash64(F.lit("fit"), *keys), F.lit(_STEPS)) < share)
+    return chosen.select(*rows.columns).dropDuplicates([label_col, *keys])

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kpiloom.llm import langid, linecrf
+from kpiloom.llm import langid, linecrf, sampling
 
 from .data import awkward_documents, empty_documents
 
@@ -166,8 +166,81 @@ def test_many_languages_fit_within_a_small_driver_result(spark):
     assert got.where("lang = lang_pred and not rejected").count() >= 0.98 * got.count()
 
 
-def test_more_languages_than_the_bound_raise(spark):
-    docs = spark.range(1500).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("lang"),
-                                    F.lit("some text").alias("text"))
-    with pytest.raises(ValueError, match="labels"):
-        langid.fit_from(docs)
+def test_a_thousand_languages(spark):
+    docs = spark.range(12_000).select(
+        F.col("id").alias("doc_id"), F.format_string("l%04d", F.pmod("id", F.lit(1000))).alias("lang"))
+    words = F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: F.substring(F.translate(F.md5(F.concat_ws(
+        " ", "lang", F.pmod(F.xxhash64("doc_id", i), F.lit(25)))), "0123456789", "ghijklmnop"), 1, 7))
+    docs = docs.withColumn("text", F.array_join(words, " "))
+    model = langid.fit_from(docs, k=1)
+    assert len(model.langs) == 1000
+    got = langid.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
+    assert got.where("lang = lang_pred").count() >= 0.98 * got.count()
+
+
+def test_samples_stay_bounded(spark):
+    """Neither a repeated row nor an id under many texts swells a sample."""
+    docs = spark.range(100_000).select(
+        F.lit(7).cast("long").alias("doc_id"), F.lit("a").alias("lang"), F.concat(F.lit("text "), "id").alias("text"))
+    docs = docs.union(spark.range(50_000).select(F.lit(8).cast("long"), F.lit("a"), F.lit("one text")))
+    got = sampling.per_label_sample(docs, "lang", ["doc_id", "text"], 300)
+    assert got.count() <= 400 and got.columns == docs.columns
+    assert got.where("doc_id = 8").count() <= 1
+    few = sampling.per_label_sample(docs.where("doc_id = 8").limit(50), "lang", ["doc_id", "text"], 300)
+    assert few.count() == 1
+    with_null = spark.createDataFrame([(1, None, "x"), (None, "a", None)], "doc_id long, lang string, text string")
+    assert [r.lang for r in sampling.per_label_sample(with_null, "lang", ["doc_id", "text"], 5).collect()] == ["a"]
+
+
+def test_predictions_equal_brute_force(spark):
+    """Cosines by plain dictionaries of trigrams, against the fitted centroids."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit_from(docs)
+    for text in [r.text for r in docs.limit(12).collect() if r.text] + ["the of and", "é", "x1y"]:
+        low = text if text.isascii() else text.lower()
+        data = b" " + bytes(langid._TABLE[b] for b in low.encode()) + b" "
+        counts = {}
+        for i in range(len(data) - 2):
+            if data[i + 1] != 32:
+                code = (data[i] << 16) | (data[i + 1] << 8) | data[i + 2]
+                b = ((code * 2654435761) & 0xFFFFFFFF) >> 20
+                counts[b] = counts.get(b, 0) + 1
+        norm = sum((n * model.idf[b]) ** 2 for b, n in counts.items()) ** 0.5
+        cosines = [sum(n * model.idf[b] * c[b] for b, n in counts.items()) / norm for c in model.vectors]
+        best = int(np.argmax(cosines))
+        (lang, score, rejected), = model.predict([text])
+        assert lang == model.langs[best] and score == pytest.approx(cosines[best], abs=1e-5)
+        limit = max(model.least[best, int(np.log2(len(counts)))], 1e-6)
+        assert rejected == (score < limit) or abs(score - limit) < 1e-5
+
+
+def test_quality_scores_equal_brute_force(spark):
+    """Length-weighted marginals by enumeration of all labellings."""
+    rng = np.random.default_rng(2)
+    model = linecrf.LineCRF(rng.normal(size=1 + 3 * linecrf.OWN), rng.normal(size=(2, 2)))
+    for text in [b"One two three.\nFOUR!! five|six\n\nseven 8 9", b"", b"a\na\na", b"### $$$"]:
+        lines = text.split(b"\n")
+        own = linecrf.line_features(text)[0]
+        zero = np.zeros(linecrf.OWN)
+        good = [model.weights @ np.concatenate([[1], own[i], own[i - 1] if i else zero,
+                                                own[i + 1] if i + 1 < len(lines) else zero]) for i in range(len(lines))]
+        total = marginal = 0
+        for y in itertools.product((0, 1), repeat=len(lines)):
+            w = np.exp(sum(g for g, k in zip(good, y) if k) + sum(model.moves[a, b] for a, b in zip(y, y[1:])))
+            total, marginal = total + w, marginal + w * np.array(y)
+        length = np.array([len(x) + 1 for x in lines])
+        want = (marginal / total) @ length / length.sum()
+        assert model.score([text]) == pytest.approx([want], abs=1e-6)
+
+
+def test_long_documents_are_fitted_by_a_stretch(spark):
+    docs = spark.createDataFrame(
+        [(i, "\n".join(["good words stand in this line"] * 900 if i % 2 else ["### $$$ ||| !!!"] * 900)) for i in range(30)]
+        + [(100, "x " * 300_000)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    model = linecrf.fit_from(docs, labels, most_lines=50)
+    got = {r.doc_id: r.predicted for r in linecrf.score_quality(docs, model).collect()}
+    assert all(got[i] == i % 2 for i in range(30))
+    rows = np.arange(1000).reshape(-1, 1)
+    part = linecrf.stretch(rows, b"any text", 50)
+    assert len(part) == 50 and (np.diff(part[:, 0]) == 1).all() and linecrf.stretch(rows, b"", 1000) is rows
