@@ -178,6 +178,24 @@ AB_METRICS = ab_metrics_cte("ab_metrics", "funnel_users")
 AB_METRICS_EVENT_USERS = ab_metrics_cte("ab_metrics_ev", "funnel_event_set")
 
 
+# Train and test side of every row of the feature table.
+SPLIT = """
+fc AS (
+  SELECT *, CAST('0x' || substr(md5('42:' || CAST(user_id AS VARCHAR)), 1, 12) AS BIGINT) AS h
+  FROM features_conversion),
+stats AS (SELECT will_convert_14d, quantile_disc(h, 0.8) AS p, max(h) AS mx, count(*) AS n FROM fc GROUP BY 1),
+thr AS (
+  SELECT s.will_convert_14d,
+         CASE WHEN s.n >= 2 AND s.p >= s.mx
+              THEN coalesce((SELECT max(f.h) FROM fc f
+                             WHERE f.will_convert_14d = s.will_convert_14d AND f.h < s.mx), s.p)
+              ELSE s.p END AS t
+  FROM stats s),
+split AS (
+  SELECT fc.*, CASE WHEN fc.h <= thr.t THEN 'train' ELSE 'test' END AS split
+  FROM fc JOIN thr ON thr.will_convert_14d = fc.will_convert_14d)"""
+
+
 # A/B metrics per signup day.
 SEGMENT_METRICS = """
 seg_metrics AS (
@@ -353,23 +371,8 @@ def oracle_sql() -> dict[str, str]:
     coerced = ", ".join(f"coalesce(CAST({f} AS DOUBLE), 0.0) AS {f}" for f in feats)
     q["features_coerced"] = A(FEATURES, body=(
         f"SELECT user_id, {coerced}, CAST(will_convert_14d AS BIGINT) AS will_convert_14d FROM features_conversion"))
-    split = """
-    fc AS (
-      SELECT *, CAST('0x' || substr(md5('42:' || CAST(user_id AS VARCHAR)), 1, 12) AS BIGINT) AS h
-      FROM features_conversion),
-    stats AS (SELECT will_convert_14d, quantile_disc(h, 0.8) AS p, max(h) AS mx, count(*) AS n FROM fc GROUP BY 1),
-    thr AS (
-      SELECT s.will_convert_14d,
-             CASE WHEN s.n >= 2 AND s.p >= s.mx
-                  THEN coalesce((SELECT max(f.h) FROM fc f
-                                 WHERE f.will_convert_14d = s.will_convert_14d AND f.h < s.mx), s.p)
-                  ELSE s.p END AS t
-      FROM stats s),
-    split AS (
-      SELECT fc.*, CASE WHEN fc.h <= thr.t THEN 'train' ELSE 'test' END AS split
-      FROM fc JOIN thr ON thr.will_convert_14d = fc.will_convert_14d)"""
-    q["ml_split"] = A(FEATURES, split, body="SELECT user_id, will_convert_14d, split FROM split")
-    q["ml_auc"] = A(FEATURES, split, body="""
+    q["ml_split"] = A(FEATURES, SPLIT, body="SELECT user_id, will_convert_14d, split FROM split")
+    q["ml_auc"] = A(FEATURES, SPLIT, body="""
       SELECT CAST(sum(pos + neg) AS BIGINT) AS rows, CAST(sum(pos) AS BIGINT) AS positives,
              round(sum(pos * (neg_below + 0.5 * neg)) / NULLIF(sum(pos) * sum(neg), 0), 10) AS auc
       FROM (
@@ -380,7 +383,7 @@ def oracle_sql() -> dict[str, str]:
                      count(*) FILTER (WHERE will_convert_14d = 1) AS pos,
                      count(*) FILTER (WHERE will_convert_14d = 0) AS neg
               FROM split WHERE split = 'test' GROUP BY 1) g) c""")
-    q["ml_accuracy"] = A(FEATURES, split, body="""
+    q["ml_accuracy"] = A(FEATURES, SPLIT, body="""
       SELECT CAST(count(*) AS BIGINT) AS rows,
              avg(CASE WHEN (CASE WHEN pct_direct >= 0.5 THEN 1.0 ELSE 0.0 END) = CAST(will_convert_14d AS DOUBLE)
                  THEN 1.0 ELSE 0.0 END) AS accuracy
@@ -399,8 +402,8 @@ def oracle_sql() -> dict[str, str]:
                               THEN 1.0 ELSE 0.0 END) FROM split WHERE split = 'test') AS accuracy,
              (SELECT count(*) FROM split) AS rows, 'will_convert_14d' AS target,
              'features_conversion' AS feature_table""" for i, f in enumerate(feats))
-    q["ml_feature_board"] = A(FEATURES, split, body=board)
-    q["ml_feature_champion"] = A(FEATURES, split, body=f"""
+    q["ml_feature_board"] = A(FEATURES, SPLIT, body=board)
+    q["ml_feature_champion"] = A(FEATURES, SPLIT, body=f"""
       SELECT * FROM ({board}) ORDER BY auc DESC, accuracy DESC, train_order LIMIT 1""")
     q["ml_batch_summary"] = A(FEATURES, body=f"""
       SELECT CAST({len(tests)} AS BIGINT) AS tests, CAST({len(tests)} AS BIGINT) AS tests_passed, count(*) AS rows,

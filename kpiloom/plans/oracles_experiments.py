@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from .oracles import AB_GROUP, RETENTION_WEEKLY, REVENUE_DAILY, SEGMENT_METRICS, pivot_sql, with_adapter
+from .oracles import (AB_GROUP, FEATURES, RETENTION_WEEKLY, REVENUE_DAILY, SEGMENT_METRICS, SPLIT, _auc, pivot_sql,
+                      with_adapter)
+from .scorers import SCORERS
 
 _M = "18446744073709551616::UHUGEINT"
 _K0, _K1, _K2 = ("14097894508562428199::UBIGINT", "13011662864482103923::UBIGINT", "11160318154034397263::UBIGINT")
@@ -112,6 +114,30 @@ halving AS (
         FROM halving WHERE step < 60))"""
 
 
+def _margin(name: str) -> str:
+    intercept, weights = SCORERS[name]
+    return " + ".join([f"{intercept!r}::DOUBLE", *(
+        f"coalesce(CAST({f} AS DOUBLE), 0.0) * {w!r}::DOUBLE" for f, w in weights.items())])
+
+
+def scorer_ctes() -> tuple[str, ...]:
+    """Scores, leaderboard and champion of the fixed scorers."""
+    scores = ", ".join(f"1 / (1 + exp(-({_margin(n)}))) AS {n}" for n in SCORERS)
+    parts = " UNION ALL ".join(f"""
+      SELECT CAST({i} AS INTEGER) AS train_order, '{n}' AS model,
+             (WITH s AS (SELECT {n} AS score, y FROM scored WHERE split = 'test') SELECT {_auc('s')}) AS auc,
+             (SELECT avg(CASE WHEN ({n} >= 0.5) = (y = 1) THEN 1.0 ELSE 0.0 END) FROM scored WHERE split = 'test')
+               AS accuracy,
+             (SELECT count(*) FROM scored) AS rows, 'will_convert_14d' AS target, 'features_conversion' AS feature_table"""
+                              for i, n in enumerate(SCORERS))
+    return (SPLIT, f"scored AS (SELECT user_id, split, will_convert_14d AS y, {scores} FROM split)",
+            f"board AS ({parts})", "best AS (SELECT model FROM board ORDER BY auc DESC, accuracy DESC, train_order LIMIT 1)")
+
+
+def _of_best(column) -> str:
+    return "CASE (SELECT model FROM best) " + " ".join(f"WHEN '{n}' THEN {column(n)}" for n in SCORERS) + " END"
+
+
 def oracle_sql() -> dict[str, str]:
     A = with_adapter
     q: dict[str, str] = {}
@@ -177,4 +203,23 @@ def oracle_sql() -> dict[str, str]:
       SELECT metric, day, value, n, median, mad, median - mad * (5.0 * 1.4826) AS low, median + mad * (5.0 * 1.4826) AS high,
              coalesce(value < median - mad * (5.0 * 1.4826) OR value > median + mad * (5.0 * 1.4826), false) AS flagged
       FROM spread""")
+    ctes = scorer_ctes()
+    q["ml_fixed_metrics"] = A(FEATURES, *ctes, body="""
+      SELECT model, model = (SELECT model FROM best) AS chosen, train_order, auc, accuracy, rows, target, feature_table
+      FROM board""")
+    q["ml_fixed_scores"] = A(FEATURES, *ctes, body=f"""
+      SELECT user_id, CAST(y AS DOUBLE) AS label, round({_of_best(str)}, 12) AS score FROM scored WHERE split = 'test'""")
+    q["ml_fixed_evaluate"] = A(FEATURES, *ctes, body=f"""
+      SELECT count(*) AS rows, count(*) FILTER (y = 1) AS positives,
+             (WITH s AS (SELECT {_of_best(str)} AS score, y FROM scored) SELECT {_auc('s')}) AS auc,
+             avg(CASE WHEN ({_of_best(str)} >= 0.5) = (y = 1) THEN 1.0 ELSE 0.0 END) AS accuracy
+      FROM scored""")
+    parts = " UNION ALL ".join(f"""
+      SELECT '{f}' AS feature, CAST({i} AS INTEGER) AS position,
+             (SELECT round(avg(abs((v - m) * {w!r}::DOUBLE)), 9)
+              FROM (SELECT coalesce(CAST({f} AS DOUBLE), 0.0) AS v FROM split WHERE split = 'train'),
+                   (SELECT avg(coalesce(CAST({f} AS DOUBLE), 0.0)) AS m FROM split WHERE split = 'train')) AS mean_abs_shap
+      WHERE (SELECT model FROM best) = '{n}'"""
+                              for n, (_, weights) in SCORERS.items() for i, (f, w) in enumerate(weights.items()))
+    q["ml_fixed_importance"] = A(FEATURES, *ctes, body=parts)
     return q

@@ -622,4 +622,4 @@ def run_sql(spark: SparkSession, text: str, source: str | Sources, params=None)
     return spark.sql(text, args=typed_params(params))
 
 
-from . import experiment_reports, operation_reports  # noqa: E402,F401  (they register their reports)
+from . import experiment_reports, operation_reports, scorer_reports  # noqa: E402,F401  (they register their reports)
