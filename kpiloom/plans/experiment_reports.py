@@ -12,6 +12,7 @@ from ..functions.fingerprint import LONGEST, farm_fingerprint
 from ..operators import assignment as asg
 from ..operators import experiments as exp
 from ..operators import exposure as seen
+from ..operators import guardrails as guard
 from ..operators import power as pow_
 from ..operators import sequential as seq
 from ..sources.silver import Sources
@@ -57,3 +58,9 @@ def _ab_power(src: Sources, alpha: float = exp.DEFAULT_ALPHA, target: float = po
 def _ab_exposure(src: Sources, event: str = "page_view") -> DataFrame:
     """Assigned, exposed and converted users per group."""
     return seen.exposure_metrics(src.users, src.events, src.orders, event)
+
+
+@report("ab_guardrails")
+def _ab_guardrails(src: Sources, margin: float = guard.MARGIN, alpha: float = guard.ALPHA) -> DataFrame:
+    """Revenue per order, events and orders per user: is B no worse than A?"""
+    return guard.guardrail_test(guard.user_ratios(src.users, src.events, src.orders, src.items), margin, alpha)

@@ -203,6 +203,31 @@ def oracle_sql() -> dict[str, str]:
       SELECT metric, day, value, n, median, mad, median - mad * (5.0 * 1.4826) AS low, median + mad * (5.0 * 1.4826) AS high,
              coalesce(value < median - mad * (5.0 * 1.4826) OR value > median + mad * (5.0 * 1.4826), false) AS flagged
       FROM spread""")
+    q["ab_guardrails"] = A(AB_GROUP, """
+    per_user AS (
+      SELECT id, (SELECT any_value(g.ab_group) FROM ab_group g WHERE g.user_id = id) AS g,
+             (SELECT count(*) FROM s_events e WHERE e.user_id = id)::DOUBLE AS n_events,
+             (SELECT count(*) FROM s_orders o WHERE o.user_id = id AND o.status = 'Complete')::DOUBLE AS n_orders,
+             coalesce((SELECT sum(CAST(i.sale_price AS DECIMAL(18,4))) FROM s_orders o JOIN s_items i USING (order_id)
+                       WHERE o.user_id = id AND o.status = 'Complete'), 0)::DOUBLE AS revenue
+      FROM (SELECT DISTINCT id FROM s_users WHERE id IS NOT NULL)),
+    cells AS (
+      SELECT g, 'revenue_per_order' AS metric, revenue AS x, n_orders AS y FROM per_user
+      UNION ALL SELECT g, 'events_per_user', n_events, 1.0 FROM per_user
+      UNION ALL SELECT g, 'orders_per_user', n_orders, 1.0 FROM per_user),
+    sums AS (SELECT metric, g, count(*) AS n, sum(x) / sum(y) AS r,
+                    var_samp(x - y * (SELECT sum(c.x) / sum(c.y) FROM cells c WHERE c.metric = cells.metric AND c.g = cells.g))
+                      / (count(*) * pow(avg(y), 2)) AS v FROM cells GROUP BY metric, g),
+    tested AS (SELECT metric, a.n AS a_users, b.n AS b_users, a.r AS a_ratio, b.r AS b_ratio,
+                      (b.r - 0.95 * a.r) / sqrt(b.v + 0.95 * 0.95 * a.v) AS z
+               FROM (SELECT * FROM sums WHERE g = 'A') a JOIN (SELECT * FROM sums WHERE g = 'B') b USING (metric))""",
+                           body=f"""
+      SELECT metric, a_users, b_users, round(a_ratio, 9) AS a_ratio, round(b_ratio, 9) AS b_ratio,
+             round(b_ratio / a_ratio - 1, 9) AS lift, round(z, 9) AS z, round(p, 8) AS p_value,
+             round(least(1.0, max(p * step) OVER (ORDER BY p, metric)), 8) AS p_holm,
+             least(1.0, max(p * step) OVER (ORDER BY p, metric)) < 0.05 AS safe
+      FROM (SELECT *, count(*) OVER () - row_number() OVER (ORDER BY p, metric) + 1 AS step
+            FROM (SELECT *, {_phi("-z")} AS p FROM tested))""")
     ctes = scorer_ctes()
     q["ml_fixed_metrics"] = A(FEATURES, *ctes, body="""
       SELECT model, model = (SELECT model FROM best) AS chosen, train_order, auc, accuracy, rows, target, feature_table
