@@ -17,8 +17,9 @@ def md5_prefix_int(text: Column, hex_digits: int = 8) -> Column:
     return F.conv(F.substring(F.md5(text), 1, hex_digits), 16, 10).cast("bigint")
 
 
-def bucket(id_col, n: int = 100, method: str = "md5", salt: str | None = None) -> Column:
-    """Bucket in ``[0, n)`` from the id's text form; null id -> null bucket.
+def bucket(id_col, n: int = 100, method: str = "md5", salt: str | Column | None = None) -> Column:
+    """Bucket in ``[0, n)`` from the id's text form; null id -> null bucket.  ``salt``
+    (a text, or a column of texts) makes another, independent assignment.
 
     ``md5``: first 8 hex digits of md5 (reproducible in any SQL engine);
     ``xxhash64``: the fast built-in hash; ``farm``: the published 64-bit fingerprint
@@ -27,7 +28,7 @@ def bucket(id_col, n: int = 100, method: str = "md5", salt: str | None = None) -
     """
     text = _c(id_col).cast("string")
     if salt is not None:
-        text = F.concat(F.lit(f"{salt}:"), text)
+        text = F.concat(F.lit(salt), F.lit(":"), text)
     if method == "md5":
         h = md5_prefix_int(text, 8)
     elif method == "xxhash64":

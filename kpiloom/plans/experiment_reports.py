@@ -10,12 +10,14 @@ from pyspark.sql import types as T
 from ..functions.dates import day_of
 from ..functions.fingerprint import LONGEST, farm_fingerprint
 from ..operators import assignment as asg
+from ..operators import enrolment as enrol
 from ..operators import experiments as exp
 from ..operators import exposure as seen
 from ..operators import guardrails as guard
 from ..operators import power as pow_
 from ..operators import sequential as seq
 from ..sources.silver import Sources
+from ..sources.tables import read_table
 from .reports import report
 
 
@@ -64,3 +66,21 @@ def _ab_exposure(src: Sources, event: str = "page_view") -> DataFrame:
 def _ab_guardrails(src: Sources, margin: float = guard.MARGIN, alpha: float = guard.ALPHA) -> DataFrame:
     """Revenue per order, events and orders per user: is B no worse than A?"""
     return guard.guardrail_test(guard.user_ratios(src.users, src.events, src.orders, src.items), margin, alpha)
+
+
+def _planned_experiments(src: Sources) -> DataFrame:
+    """Experiments of the test data, one per nation: staggered starts, 3 to 31 days long."""
+    key = F.col("n_nationkey")
+    starts = F.date_add(F.lit("2023-12-15").cast("date"), key.cast("int")).cast("timestamp_ntz")
+    return read_table(src.spark, src.sf_dir, "nation").select(
+        F.col("n_name").alias("experiment"), starts.alias("starts"),
+        F.date_add(starts.cast("date"), (F.pmod(key, F.lit(5)) * 7 + 3).cast("int")).cast("timestamp_ntz").alias("ends"),
+        F.lit(50).alias("share_a"), F.concat(F.lit("x"), key.cast("string")).alias("salt"))
+
+
+@report("ab_experiment_board")
+def _ab_experiment_board(src: Sources, experiments: DataFrame | None = None,
+                         alpha: float = exp.DEFAULT_ALPHA) -> DataFrame:
+    """All experiments of a metadata table (by default the test data's) in one pass."""
+    known = _planned_experiments(src) if experiments is None else experiments
+    return enrol.experiment_board(src.users, src.events, src.orders, known, alpha)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .oracles import (AB_GROUP, FEATURES, RETENTION_WEEKLY, REVENUE_DAILY, SEGMENT_METRICS, SPLIT, _auc, pivot_sql,
-                      with_adapter)
+from .oracles import (AB_GROUP, FEATURES, RETENTION_WEEKLY, REVENUE_DAILY, SEGMENT_METRICS, SPLIT, _auc, ab_test_sql,
+                      pivot_sql, with_adapter)
 from .scorers import SCORERS
 
 _M = "18446744073709551616::UHUGEINT"
@@ -228,6 +228,24 @@ def oracle_sql() -> dict[str, str]:
              least(1.0, max(p * step) OVER (ORDER BY p, metric)) < 0.05 AS safe
       FROM (SELECT *, count(*) OVER () - row_number() OVER (ORDER BY p, metric) + 1 AS step
             FROM (SELECT *, {_phi("-z")} AS p FROM tested))""")
+    q["ab_experiment_board"] = A("""
+    plans AS (
+      SELECT n_name AS experiment, CAST(DATE '2023-12-15' + n_nationkey::INTEGER AS TIMESTAMP) AS starts,
+             CAST(DATE '2023-12-15' + (n_nationkey + n_nationkey % 5 * 7 + 3)::INTEGER AS TIMESTAMP) AS ends,
+             'x' || n_nationkey AS salt FROM nation),
+    person AS (
+      SELECT id, (SELECT min(created_at) FROM s_events e WHERE e.user_id = id) AS first_event
+      FROM (SELECT DISTINCT id FROM s_users WHERE id IS NOT NULL)),
+    places AS (
+      SELECT experiment, CASE WHEN CAST('0x' || substr(md5(salt || ':' || id), 1, 8) AS BIGINT) % 100 < 50
+                              THEN 'A' ELSE 'B' END AS ab_group,
+             EXISTS (FROM s_orders o WHERE o.user_id = id AND o.status = 'Complete' AND o.created_at >= first_event
+                     AND o.created_at < ends) AS converted
+      FROM person JOIN plans ON first_event >= starts AND first_event < ends),
+    board_metrics AS (
+      SELECT experiment, ab_group, count(*) AS users, count(*) FILTER (converted) AS converters,
+             count(*) FILTER (converted) / count(*) AS conversion_rate FROM places GROUP BY ALL)""",
+        body=ab_test_sql(f"({pivot_sql('board_metrics', 'experiment')})", "experiment"))
     ctes = scorer_ctes()
     q["ml_fixed_metrics"] = A(FEATURES, *ctes, body="""
       SELECT model, model = (SELECT model FROM best) AS chosen, train_order, auc, accuracy, rows, target, feature_table
