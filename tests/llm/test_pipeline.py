@@ -89,7 +89,7 @@ SQL = [n for n in __spark_entry__.oracle_sql() if re.match(r"op\d+_", n)]
 @pytest.mark.parametrize("name", SQL)
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "benchmark"):
         con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     got = __spark_entry__.queries()[name](spark, SF)
     cur = con.execute(__spark_entry__.oracle_sql()[name])
@@ -109,7 +109,12 @@ def test_contract_columns(spark):
         "op7": "doc_id bigint, held_out boolean, score double, predicted int",
         "op8": "doc_id bigint, held_out boolean, lang_pred string, score double",
         "op9": "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint",
-        "op10": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"}
+        "op10": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+        "op11": "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, "
+                "negative_score bigint",
+        "op12": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, "
+                "offset bigint",
+        "op13": "item_id bigint, rank int, doc_id bigint, score bigint"}
     named = {n.split("_")[0]: f for n, f in __spark_entry__.queries().items() if re.match(r"op\d+_", n)}
     assert sorted(named) == sorted(want)
     for op, fields in want.items():
