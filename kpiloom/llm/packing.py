@@ -151,7 +151,7 @@ class Shard:
         self.term = np.full(len(idf), -1)
         self.term[term[starts]] = np.arange(len(starts))
         self.size = np.diff(starts, append=len(term))
-        self.row, self.gain = row, gain
+        self.row, self.gain, self.place = row, gain, np.arange(len(row))
         self.used = np.zeros(len(counts), np.int64)     # ids taken of each fragment
         self.open = np.ones(len(counts), bool)
         self.first = 0
@@ -159,9 +159,8 @@ class Shard:
     def neighbours(self, ids: np.ndarray) -> np.ndarray:
         """Unused fragments that share tokens with ``ids``, the best first."""
         terms = self.term[np.unique(ids)]
-        which = terms[terms >= 0]
-        score = np.bincount(laid_out(self.row, self.size, which),
-                            laid_out(self.gain, self.size, which), len(self.counts))
+        at = laid_out(self.place, self.size, terms[terms >= 0])
+        score = np.bincount(self.row[at], self.gain[at], len(self.counts))
         score[~self.open] = 0
         top = np.argpartition(-score, min(NEIGHBOURS, len(score)) - 1)[:NEIGHBOURS]
         top = top[score[top] > 0]
