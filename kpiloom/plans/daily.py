@@ -112,17 +112,21 @@ def load_gold(spark: SparkSession, out: str) -> dict[str, DataFrame]:
 
 def run_daily_batch(spark: SparkSession, sf_dir: str | Sources, out: str, feature_table: str | None = None,
                     profile: train.Profile | None = None, shap_rows: int | None = None,
-                    tables: bool = False) -> tuple[DataFrame, TrainingRun]:
+                    tables: bool = False, relationships: bool = False) -> tuple[DataFrame, TrainingRun]:
     """Write the gold models under ``out``, run the data-quality suite on the written
     tables, stop when a test fails (:class:`QualityGateError`, nothing is published),
     otherwise publish them and train on the first available feature table
     (``feature_table`` override first, then the gold one).
 
-    Each model is computed once; the suite, the training and later readers see the
-    same written rows.
+    ``relationships`` also stops the batch, before any model is built, when a row of the
+    silver tables names a user or an order that is not there.  Each model is computed
+    once; the suite, the training and later readers see the same written rows.
     """
     from .reports import gold_models
     src = sf_dir if isinstance(sf_dir, Sources) else Sources(spark, sf_dir)
+    if relationships:
+        dq.gate(dq.run_relationships({"users": src.users, "orders": src.orders, "order_items": src.items,
+                                      "events": src.events}))
     paths = write_gold(spark, gold_models(src), out)
     report = dq.run_suite(spark, {name: spark.read.parquet(p) for name, p in paths.items()})
     dq.gate(report)

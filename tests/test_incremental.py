@@ -110,6 +110,17 @@ def test_relationships_count_rows_and_keys(spark):
         dq.gate(dq.run_relationships(tables))
 
 
+def test_orphans_stop_the_batch_before_any_model(spark, tmp_path):
+    from kpiloom.plans.daily import run_daily_batch
+    from kpiloom.sources.silver import Sources
+    src = Sources.from_tables(
+        spark, h.users(spark, [(1, "2024-01-01")]), h.orders(spark, [(1, 1, "Complete", "2024-01-02")]),
+        h.items(spark, [(1, 1.0), (2, 1.0)]), h.events(spark, [(1, "page_view", "2024-01-02", "Ads")]))
+    with pytest.raises(dq.QualityGateError, match="order_items.order_id relationship .1 failures"):
+        run_daily_batch(spark, src, str(tmp_path / "out"), relationships=True)
+    assert not (tmp_path / "out").exists()
+
+
 def test_bounds_flag_planted_spikes(spark):
     import datetime as dt
     rng = random.Random(1)
