@@ -168,7 +168,7 @@ class ByteBPE:
         word = pc.ascii_trim(keys.filter(some), "\n" + _STOPS)
         behind_space = pa.array(~fed[plain])
         word = pc.if_else(behind_space, pc.binary_join_element_wise(" ", word, ""), word).dictionary_encode()
-        pool = self.encode_words(word.dictionary.to_pylist())
+        pool = self.encode_words(word.dictionary.to_numpy(zero_copy_only=False).tolist())
         n_words = len(pool)
         pool += map(self.keys.__getitem__, keys.filter(pc.invert(some)).to_pylist())
         n_pool = len(pool)
