@@ -16,6 +16,7 @@ every touched day reads along.
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,26 +106,51 @@ class IncrementalGold:
             F.max("newest").alias("newest")).collect()}
         touched: dict[str, set[str]] = {"revenue_daily": set(), "activity_daily": set()}
         applied: list[tuple] = []
-        if orders is not None:
+
+        def file_orders_and_items() -> None:             # items are placed by the batch's orders
+            if orders is not None:
+                file_orders()
+            if items is not None:
+                file_items()
+
+        def file_orders() -> None:
             rows = orders.groupBy("order_id", part_of(F.col("created_at")).alias("part")).agg(
                 F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("status") == complete).alias("n_complete"))
             filed = self._file(rows, "orders", batch)
             touched["revenue_daily"] |= self._counted(filed, "orders", "n_rows", batch, marks, applied)
-        if items is not None:
+
+        def file_items() -> None:
             per_order = items.groupBy("order_id").agg(
                 F.count(F.lit(1)).alias("n_items"), money_sum("sale_price").alias("price_sum"),
                 rest_sum("sale_price").alias("price_rest"))
             filed = self._file(self._placed(per_order, marks.get("orders")), "items", batch)
             touched["revenue_daily"] |= self._counted(filed, "items", "n_items", batch, {}, applied)
-        if events is not None:
+
+        def file_events() -> None:
+            if events is None:
+                return
             rows = events.groupBy("user_id", part_of(F.col("created_at")).alias("part")).agg(
                 F.count(F.lit(1)).alias("n_events"), F.max("created_at").alias("last_ts"))
             filed = self._file(rows, "activity", batch)
             touched["activity_daily"] |= self._counted(filed, "activity", "n_events", batch, marks, applied)
-        touched["revenue_daily"].discard(PENDING)
-        for name, parts in touched.items():
-            if parts:
-                self._overwrite(getattr(self, f"_{name}")(sorted(parts)), f"gold/{name}", "part")
+
+        def merge(name: str) -> None:
+            if touched[name]:
+                self._overwrite(getattr(self, f"_{name}")(sorted(touched[name])), f"gold/{name}", "part")
+
+        def revenue() -> None:
+            file_orders_and_items()
+            touched["revenue_daily"].discard(PENDING)
+            merge("revenue_daily")
+
+        def activity() -> None:
+            file_events()
+            merge("activity_daily")
+
+        # the two models share no table: their jobs fill the cluster together
+        with ThreadPoolExecutor(2) as pool:
+            for done in [pool.submit(revenue), pool.submit(activity)]:
+                done.result()
         # last: a batch that fails on the way is not in the ledger, and is applied again
         self.spark.createDataFrame(applied, LEDGER).coalesce(1).write.mode("append").parquet(f"{self.folder}/ledger")
         return sorted(set().union(*touched.values()))

@@ -94,6 +94,22 @@ def test_late_rows_and_interrupted_batches(spark, tmp_path, monkeypatch):
     assert gold.activity_daily().count() == 3
 
 
+def test_orders_and_events_are_filed_at_the_same_time(spark, tmp_path, monkeypatch):
+    import threading
+    gold, both = IncrementalGold(spark, str(tmp_path / "gold")), threading.Barrier(2, timeout=60)
+    file = gold._file
+
+    def meeting(df, name, batch):
+        if name in ("orders", "activity"):
+            both.wait()
+        return file(df, name, batch)
+    monkeypatch.setattr(gold, "_file", meeting)
+    gold.apply("a", orders=h.orders(spark, [(1, 1, "Complete", "2024-01-02")]), items=h.items(spark, [(1, 2.5)]),
+               events=h.events(spark, [(1, "page_view", "2024-01-03", "Ads")]))
+    assert [r.revenue for r in gold.revenue_daily().collect()] == [2.5] and gold.activity_daily().count() == 1
+    assert gold.ledger().count() == 3
+
+
 def test_relationships_count_rows_and_keys(spark):
     users = h.users(spark, [(1, "2024-01-01"), (2, "2024-01-01"), (None, None)])
     orders = h.orders(spark, [(1, 1, "Complete", None), (2, 7, "Complete", None), (3, None, "Complete", None)]
