@@ -89,6 +89,24 @@ def test_neither_partitioning_nor_passes_change_a_tree(spark, monkeypatch):
     assert one.nodes() == many.nodes() == in_task.nodes()
 
 
+def test_no_sums_reach_the_driver(spark, monkeypatch):
+    """What a pass returns is a few numbers per node and feature, and no more for more partitions."""
+    import pickle
+
+    from pyspark import RDD
+    monkeypatch.setattr(boosting, "ONE_TASK", 0)
+    plain, sizes = RDD.collect, []
+
+    def collect(self):
+        got = plain(self)
+        sizes.append(sum(len(pickle.dumps(x)) for x in got))
+        return got
+    monkeypatch.setattr(RDD, "collect", collect)
+    model = boosting.fit_boosted(frame(spark, rows(4000, 7), 24), FEATURES, "y", how=Boosting(rounds=3, depth=4))
+    assert len(model.trees) == 3 and len(sizes) >= 12
+    assert max(sizes) < 16_000                 # a task's sums of the last level: 2 x 8 x 4 x 256 doubles
+
+
 def test_learns_and_regularises(spark):
     train, test = frame(spark, rows(3000, 3)), frame(spark, rows(1500, 4))
     model = boosting.fit_boosted(train, FEATURES, "y", how=Boosting(rounds=40))
