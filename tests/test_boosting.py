@@ -141,3 +141,17 @@ def test_attributions_add_up_to_the_margin(spark):
     for i, r in got.items():
         total = model.base + r.base + sum(r[f"shap_{f}"] for f in FEATURES)
         assert total == pytest.approx(model.margins(x[i])[0], abs=1e-9)
+
+
+def test_tasks_of_a_pass_grow_with_the_rows_not_the_partitions(spark, monkeypatch):
+    from pyspark import RDD
+    assert [boosting.pass_tasks(n, 12) for n in (1, 72_000, 300_000, 10 ** 6, 10 ** 9)] == [1, 3, 10, 12, 954]
+    monkeypatch.setattr(boosting, "ONE_TASK", 0)
+    plain, parts = RDD.collect, []
+
+    def collect(self):
+        parts.append(self.getNumPartitions())
+        return plain(self)
+    monkeypatch.setattr(RDD, "collect", collect)
+    boosting.fit_boosted(frame(spark, rows(400, 8), 9), FEATURES, "y", how=Boosting(rounds=2, depth=2))
+    assert len(parts) >= 2 and set(parts) == {1}
