@@ -64,3 +64,40 @@ def test_partitions_of_the_splits_follow_the_rows(spark, monkeypatch):
         daily.train_from_table(spark, table, "t", "unused")
     assert seen["train"][0] == seen["test"][0] == 3
     assert seen["train"][1] + seen["test"][1] == 100
+
+
+def test_large_candidates_all_take_turns(spark, monkeypatch):
+    spans, collected = [], []
+
+    class Fake:
+        def fit(self, rows):
+            began = time.monotonic()
+            time.sleep(0.2)
+            spans.append((began, time.monotonic()))
+            return self
+
+    monkeypatch.setattr(train, "TOGETHER_ROWS", 2, raising=False)
+    monkeypatch.setattr(train, "collect_garbage", lambda s: collected.append(s))
+    monkeypatch.setattr(train, "model_spec", lambda *a: Fake())
+    monkeypatch.setattr(train, "fit_boosted", lambda rows, *a, **k: Fake().fit(rows))
+    monkeypatch.setattr(train, "score", lambda m, rows, label: rows)
+    monkeypatch.setattr(train, "measure", lambda s: {"auc": 0.5, "accuracy": 0.5})
+    df = spark.createDataFrame([(i, 1.0, i % 2) for i in range(3)], "user_id long, x double, y long")
+    models, board = train.train_candidates(spark, df, df, ["x"], "y", 3, "t")
+    assert list(models) == [r.model for r in board.orderBy("train_order").collect()] == list(train.CANDIDATES)
+    spans.sort()
+    assert len(spans) == 4 and all(one[1] <= two[0] for one, two in zip(spans, spans[1:]))
+    assert len(collected) >= 4
+
+
+def test_garbage_is_collected_around_a_step(spark, monkeypatch):
+    from kpiloom import session
+    collected = []
+    monkeypatch.setattr(session, "collect_garbage", collected.append)
+    with pytest.raises(RuntimeError, match="no step"), session.collecting(spark, 0.05):
+        time.sleep(0.5)
+        raise RuntimeError("no step")
+    n = len(collected)
+    assert n >= 3 and all(s is spark for s in collected)
+    time.sleep(0.2)
+    assert len(collected) == n
